@@ -63,20 +63,20 @@ def t1_tile_grid_mixed(spark, sf):
 
 @query(
     "p15_keep_bright_patches",
-    f"""{E}, s AS (SELECT min(v) AS lo, max(v) AS hi FROM event_voxels), t AS (SELECT z//3 AS gz, x//4 AS gx, y//4 AS gy, z, x, y, v, (v-lo)/(hi-lo)*2-1 AS nv FROM event_voxels, s),
-k AS (SELECT gz, gx, gy, avg(nv) AS mean_v FROM t GROUP BY ALL HAVING avg(nv) > -0.92)
-SELECT gz, gx, gy, round(mean_v, 6) AS mean_v, round(sum(v), 3) AS other_sum, count(*) AS n FROM t JOIN k USING (gz, gx, gy) GROUP BY ALL""",
+    f"""{E}, s AS (SELECT volume_id, min(v) AS lo, max(v) AS hi FROM event_voxels GROUP BY volume_id), t AS (SELECT volume_id, z//3 AS gz, x//4 AS gx, y//4 AS gy, z, x, y, v, (v-lo)/(hi-lo)*2-1 AS nv FROM event_voxels JOIN s USING (volume_id)),
+k AS (SELECT volume_id, gz, gx, gy, avg(nv) AS mean_v FROM t GROUP BY ALL HAVING avg(nv) > -0.98)
+SELECT volume_id, gz, gx, gy, round(mean_v, 6) AS mean_v, round(sum(v), 3) AS other_sum, count(*) AS n FROM t JOIN k USING (volume_id, gz, gx, gy) GROUP BY ALL""",
 )
 def p15_keep_bright_patches(spark, sf):
     """Bright patches of the normalised volume; the raw volume keeps the same places."""
     raw = fx.event_voxels(spark, sf)
     keys = ["volume_id", "gz", "gx", "gy"]
     scaled = tiling.tile_grid(nz.normalize(raw, "11"), (3, 4, 4), (3, 4, 4))
-    kept = scaled.groupBy(*keys).agg(F.avg("v").alias("mean_v")).where(F.col("mean_v") > -0.92)
+    kept = scaled.groupBy(*keys).agg(F.avg("v").alias("mean_v")).where(F.col("mean_v") > -0.98)
     tiles = tiling.tile_grid(raw, (3, 4, 4), (3, 4, 4))
     other = tiles.groupBy(*keys).agg(F.sum("v").alias("other_sum"), F.count(F.lit(1)).alias("n"))
     return kept.join(other, keys).select(
-        "gz", "gx", "gy", F.round("mean_v", 6).alias("mean_v"), F.round("other_sum", 3).alias("other_sum"), "n"
+        *keys, F.round("mean_v", 6).alias("mean_v"), F.round("other_sum", 3).alias("other_sum"), "n"
     )
 
 
@@ -92,23 +92,23 @@ def t2_tile_overlap(spark, sf):
     return _out(slices_to_voxels(tiles))
 
 
-@query("s4_name_split_tiles", f"""{E}, {OVERLAP} SELECT DISTINCT format('day{{:02d}}_s{{:04d}}', z, i) AS name, z, i FROM tiles""")
+@query("s4_name_split_tiles", f"""{E}, {OVERLAP} SELECT DISTINCT format('block{{:d}}day{{:02d}}_s{{:04d}}', volume_id, z, i) AS name, z, i FROM tiles""")
 def s4_name_split_tiles(spark, sf):
     tiles = tiling.tile_overlap(fx.event_slices(spark, sf), 8, 2, 10)
-    stem = F.format_string("day%02d", F.col("z"))
+    stem = F.format_string("block%dday%02d", F.col("volume_id"), F.col("z"))
     return tiles.select(text.tile_name(stem, F.col("i")).alias("name"), "z", "i")
 
 
 @query(
     "s5_split_imageset",
-    f"""{E}, {OVERLAP}, images AS (SELECT format('day{{:02d}}', z) AS stem, i, count(*) AS n, round(sum(v),3) AS total FROM tiles GROUP BY ALL)
+    f"""{E}, {OVERLAP}, images AS (SELECT format('block{{:d}}day{{:02d}}', volume_id, z) AS stem, i, count(*) AS n, round(sum(v),3) AS total FROM tiles GROUP BY ALL)
 SELECT stem || format('_s{{:04d}}', i) AS name, n, total FROM images""",
 )
 def s5_split_imageset(spark, sf):
     """Catalog -> overlap tiles -> names and content, as written by the sink."""
     from stratavox.sources.images import split_imageset
 
-    images = fx.event_slices(spark, sf).withColumn("path", F.format_string("days/day%02d.tif", F.col("z")))
+    images = fx.event_slices(spark, sf).withColumn("path", F.format_string("days/block%dday%02d.tif", F.col("volume_id"), F.col("z")))
     tiles = split_imageset(images, 8, 2, 10)
     total = F.aggregate("data", F.lit(0.0), lambda acc, v: acc + v)
     return tiles.select("name", F.size("data").cast("long").alias("n"), F.round(total, 3).alias("total"))
@@ -137,15 +137,15 @@ def t5_random_crop(spark, sf):
     "t6_paired_random_crop",
     f"""{E}, d AS (SELECT DISTINCT volume_id, z, {integer_sql(3, "pair/x", "0", "12-5+1", "volume_id", "z")} AS t, {integer_sql(3, "pair/y", "0", "12-5+1", "volume_id", "z")} AS l FROM event_voxels),
 lo AS (SELECT volume_id, z, x//2 AS x, y//2 AS y, avg(v) AS v FROM event_voxels GROUP BY ALL)
-SELECT 'low' AS side, z, x-t AS x, y-l AS y, {RV} FROM lo JOIN d USING (volume_id, z) WHERE x>=t AND x<t+5 AND y>=l AND y<l+5
-UNION ALL SELECT 'high', z, x-t*2, y-l*2, {RV} FROM event_voxels JOIN d USING (volume_id, z) WHERE x>=t*2 AND x<t*2+10 AND y>=l*2 AND y<l*2+10""",
+SELECT 'low' AS side, volume_id, z, x-t AS x, y-l AS y, {RV} FROM lo JOIN d USING (volume_id, z) WHERE x>=t AND x<t+5 AND y>=l AND y<l+5
+UNION ALL SELECT 'high', volume_id, z, x-t*2, y-l*2, {RV} FROM event_voxels JOIN d USING (volume_id, z) WHERE x>=t*2 AND x<t*2+10 AND y>=l*2 AND y<l*2+10""",
 )
 def t6_paired_random_crop(spark, sf):
     high = fx.event_voxels(spark, sf)
     low = pooling.pool(high, (1, 2, 2), "mean")
     a, b = tiling.paired_random_crop(low, high, 2, 5, seed=3)
     both = a.withColumn("side", F.lit("low")).unionByName(b.withColumn("side", F.lit("high")))
-    return _out(both.select("side", "z", "x", "y", "v"))
+    return _out(both.select("side", "volume_id", "z", "x", "y", "v"))
 
 
 @query(

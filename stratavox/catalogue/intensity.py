@@ -53,8 +53,8 @@ def p5_normalize_none(spark, sf):
 @query(
     "p6_z_rescale",
     f"""WITH {fx.EVENTS_SQL}, lg AS (SELECT volume_id, z, x, y, log10(v+1) AS v FROM event_voxels),
-s AS (SELECT avg(v) AS mu, stddev_pop(v) AS sd FROM lg)
-SELECT {KEY}, round(greatest(least((v-mu)/sd, 6), -6)/6, 6) + 0.0 AS v FROM lg, s""",
+s AS (SELECT volume_id, avg(v) AS mu, stddev_pop(v) AS sd FROM lg GROUP BY volume_id)
+SELECT {KEY}, round(greatest(least((v-mu)/sd, 6), -6)/6, 6) + 0.0 AS v FROM lg JOIN s USING (volume_id)""",
 )
 def p6_z_rescale(spark, sf):
     return _out(nz.z_rescale(fx.event_voxels(spark, sf), 6.0), "v")

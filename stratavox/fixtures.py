@@ -47,36 +47,52 @@ voxels AS (SELECT volume_id, z, CAST((i-1)//8 AS INT) AS x, CAST((i-1)%8 AS INT)
 )
 
 
-def event_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse non-negative volume (day, hour, user bucket); empty cells are 0."""
+def event_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse non-negative volumes: one per block of 24 users, 30 days deep, 24 hours x 24 users wide; empty cells are 0.
+
+    A slice is filled from a map of at most 576 sums.
+    """
     events = table(spark, sf_dir, "events")
+    user = F.col("user_id")
     sums = events.groupBy(
-        (F.dayofmonth("ts") - 1).alias("z"), F.hour("ts").alias("x"), (F.col("user_id") % 24).cast("int").alias("y")
+        F.floor(user / 24).cast("int").alias("volume_id"),
+        (F.dayofmonth("ts") - 1).alias("z"),
+        (F.hour("ts") * 24 + user % 24).cast("int").alias("pos"),
     ).agg(F.round(F.sum("value"), 6).alias("v"))
-    grid = (
-        spark.range(30)
-        .select(F.col("id").cast("int").alias("z"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("x"))
-        .select("z", "x", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("y"))
-    )
-    return grid.join(sums, ["z", "x", "y"], "left").select(
-        F.lit(0).alias("volume_id"), "z", "x", "y", F.coalesce("v", F.lit(0.0)).alias("v")
+    filled = sums.groupBy("volume_id", "z").agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("cells"))
+    blocks = events.select(F.floor(user / 24).cast("int").alias("volume_id")).distinct()
+    dense = blocks.select("volume_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("z"))
+    cell = F.transform(F.sequence(F.lit(0), F.lit(575)), lambda i: F.coalesce(F.col("cells")[i], F.lit(0.0)))
+    return dense.join(filled, ["volume_id", "z"], "left").select(
+        "volume_id", "z", F.lit(24).alias("h"), F.lit(24).alias("w"), cell.alias("data")
     )
 
 
-EVENTS_SQL = """event_sums AS (SELECT CAST(day(ts)-1 AS INT) AS z, CAST(hour(ts) AS INT) AS x, CAST(user_id%24 AS INT) AS y, round(sum(value),6) AS v FROM events GROUP BY ALL),
-grid AS (SELECT CAST(a.range AS INT) AS z, CAST(b.range AS INT) AS x, CAST(c.range AS INT) AS y FROM range(0,30) a, range(0,24) b, range(0,24) c),
-event_voxels AS (SELECT 0 AS volume_id, g.z, g.x, g.y, coalesce(s.v,0.0) AS v FROM grid g LEFT JOIN event_sums s ON g.z=s.z AND g.x=s.x AND g.y=s.y)"""
+def event_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slices_to_voxels(event_slices(spark, sf_dir))
 
 
-def event_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same volume as 24x24 block rows (every group holds exactly 576 cells)."""
-    cells = F.sort_array(F.collect_list(F.struct("x", "y", "v")))
-    return (
-        event_voxels(spark, sf_dir)
-        .groupBy("volume_id", "z")
-        .agg(F.transform(cells, lambda c: c["v"]).alias("data"))
-        .select("volume_id", "z", F.lit(24).alias("h"), F.lit(24).alias("w"), "data")
+EVENTS_SQL = """event_sums AS (SELECT CAST(user_id//24 AS INT) AS volume_id, CAST(day(ts)-1 AS INT) AS z, CAST(hour(ts) AS INT) AS x, CAST(user_id%24 AS INT) AS y, round(sum(value),6) AS v FROM events GROUP BY ALL),
+grid AS (SELECT volume_id, CAST(a.range AS INT) AS z, CAST(b.range AS INT) AS x, CAST(c.range AS INT) AS y FROM (SELECT DISTINCT volume_id FROM event_sums), range(0,30) a, range(0,24) b, range(0,24) c),
+event_voxels AS (SELECT g.volume_id, g.z, g.x, g.y, coalesce(s.v,0.0) AS v FROM grid g LEFT JOIN event_sums s ON g.volume_id=s.volume_id AND g.z=s.z AND g.x=s.x AND g.y=s.y)"""
+
+
+def event_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24x24 colour images in [0, 1): pages and signups, clicks and errors, purchases of one user block and day."""
+    events = table(spark, sf_dir, "events")
+    user, kind = F.col("user_id"), F.col("event_type")
+    channel = F.when(kind.isin("view", "signup"), 0).when(kind.isin("click", "error"), 1).otherwise(2)
+    sums = events.groupBy(
+        F.floor(user / 24).cast("int").alias("volume_id"),
+        (F.dayofmonth("ts") - 1).alias("z"),
+        ((F.hour("ts") * 24 + user % 24) * 3 + channel).cast("int").alias("pos"),
+    ).agg(F.round(F.sum("value"), 6).alias("v"))
+    level = F.col("v") / (F.col("v") + 50.0)
+    filled = sums.groupBy("volume_id", "z").agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", level.alias("v")))).alias("cells")
     )
+    cell = F.transform(F.sequence(F.lit(0), F.lit(1727)), lambda i: F.coalesce(F.col("cells")[i], F.lit(0.0)))
+    return filled.select("volume_id", "z", F.lit(24).alias("h"), F.lit(24).alias("w"), cell.alias("data"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

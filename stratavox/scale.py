@@ -36,7 +36,7 @@ def attach_small(
     kept = settle(small)
     rows = kept.count()
     if rows <= max_rows:
-        return big.join(F.broadcast(kept), list(on), how) if on else big.crossJoin(F.broadcast(kept))
+        return big.join(F.broadcast(kept), list(on), how)
     return salted_join(big, kept, on, how, salts)
 
 
@@ -74,6 +74,7 @@ def prefix_sum(
     order: Sequence[str | Column],
     sums: dict[str, Column],
     rank: str | None = None,
+    previous: dict[str, str] | None = None,
 ) -> DataFrame:
     """Running totals (inclusive) of ``sums`` inside each key in the given order.
 
@@ -81,7 +82,11 @@ def prefix_sum(
     a partition come from a window over that partition's share; totals of earlier partitions come
     from one row per (key, partition). ``order`` must be unique inside a key. The frame is cut by a checkpoint,
     because range bounds are sampled and must not be drawn twice.
+
+    ``previous`` maps an output name to the first (ascending) order column: its value in the preceding row of the key,
+    which is the largest value seen so far.
     """
+    previous = previous or {}
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     parts = dict(sums)
     if rank is not None:
@@ -92,17 +97,29 @@ def prefix_sum(
         .repartitionByRange(*key_cols, *order_cols)
         .withColumn("_part", F.spark_partition_id())
     )
-    totals = placed.groupBy(*keys, "_part").agg(*[F.sum(n).alias(f"_t_{n}") for n in parts])
+    totals = placed.groupBy(*keys, "_part").agg(
+        *[F.sum(n).alias(f"_t_{n}") for n in parts], *[F.max(c).alias(f"_t_{n}") for n, c in previous.items()]
+    )
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "_part", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in parts]
+        *keys,
+        "_part",
+        *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in parts],
+        *[F.max(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in previous],
     )
-    running = Window.partitionBy(*keys, "_part").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    inside = placed.withColumns({n: F.sum(n).over(running) for n in parts})
-    joined = inside.join(offsets, [*keys, "_part"])
-    return joined.withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in parts}).drop(
-        "_part", *[f"_o_{n}" for n in parts]
+    ordered = Window.partitionBy(*keys, "_part").orderBy(*order_cols)
+    running = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.withColumns(
+        {**{n: F.sum(n).over(running) for n in parts}, **{n: F.max(c).over(before) for n, c in previous.items()}}
     )
+    joined = inside.join(offsets, [*keys, "_part"])
+    return joined.withColumns(
+        {
+            **{n: F.col(n) + F.col(f"_o_{n}") for n in parts},
+            **{n: F.coalesce(F.col(n), F.col(f"_o_{n}")) for n in previous},
+        }
+    ).drop("_part", *[f"_o_{n}" for n in (*parts, *previous)])
 
 
 def exact_quantiles(
@@ -179,7 +196,7 @@ def exact_quantiles(
             for side in ("lo", "hi")
         ]
     )
-    out = wide.join(span, keys) if keys else wide.crossJoin(F.broadcast(span))
+    out = wide.join(span, keys)
     for name, p in probs.items():
         rank = F.lit(p) * (F.col("n") - 1)
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
