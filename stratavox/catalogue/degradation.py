@@ -1 +1,175 @@
+"""Noise, degradation and user-function queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stratavox import fixtures as fx
+from stratavox.catalogue.geometry import draw_sql
+from stratavox.catalogue.registry import query
+from stratavox.catalogue.stencils import DONE, ISO, V, _vox, apply_sql, conv_sql, matlab_sql
+from stratavox.functions import kernels
+from stratavox.operators import degrade, planes, user
+from stratavox.operators.layout import slices_to_voxels
+
+GAUSS = f"sqrt(-2*ln(1-{draw_sql(19, 'noise/r', 'volume_id', 'z', 'x', 'y')}))*cos(6.283185307179586*{draw_sql(19, 'noise/a', 'volume_id', 'z', 'x', 'y')})"
+
+
+def summary(df, *extra):
+    """Size, mean and extremes of each image."""
+    mean = F.aggregate("data", F.lit(0.0), lambda acc, v: acc + v) / F.size("data")
+    return df.select(
+        "volume_id",
+        "z",
+        "h",
+        "w",
+        F.round(mean, 6).alias("mean"),
+        F.round(F.array_min("data").cast("double"), 6).alias("low"),
+        F.round(F.array_max("data").cast("double"), 6).alias("high"),
+        *extra,
+    )
+
+
+@query(
+    "d1_add_noise",
+    f"{V}, s AS (SELECT volume_id, stddev_pop(v) AS sd FROM voxels GROUP BY volume_id) SELECT volume_id, z, x, y, round(v+0.1*sd*{GAUSS},6) + 0.0 AS v FROM voxels JOIN s USING (volume_id)",
+)
+def d1_add_noise(spark, sf):
+    out = degrade.add_noise(fx.voxels(spark, sf), 0.1, seed=19)
+    return out.withColumn("v", F.round("v", 6) + 0.0)
+
+
+@query("d1_add_shot_noise")
+def d1_add_shot_noise(spark, sf):
+    return summary(degrade.add_shot_noise(fx.event_slices(spark, sf), 0.1, seed=19))
+
+
+@query("d2_gaussian_noise")
+def d2_gaussian_noise(spark, sf):
+    return summary(degrade.gaussian_noise(fx.event_rgb(spark, sf), seed=2))
+
+
+@query("d3_speckle_noise")
+def d3_speckle_noise(spark, sf):
+    return summary(degrade.speckle_noise(fx.event_rgb(spark, sf), seed=3))
+
+
+@query("d4_poisson_noise")
+def d4_poisson_noise(spark, sf):
+    return summary(degrade.poisson_noise(fx.event_rgb(spark, sf), seed=4))
+
+
+@query("d5_dct_quantize_noise")
+def d5_dct_quantize_noise(spark, sf):
+    return summary(degrade.dct_quantize_noise(fx.event_rgb(spark, sf), seed=5))
+
+
+@query("d6_blur_random")
+def d6_blur_random(spark, sf):
+    return summary(degrade.blur_random(fx.event_rgb(spark, sf), 4, seed=6))
+
+
+@query("d7_resize_random")
+def d7_resize_random(spark, sf):
+    return summary(degrade.resize_random(fx.event_rgb(spark, sf), 4, seed=7))
+
+
+SHARP_K = """tap_raw AS (SELECT range AS k, exp(-(range-3)*(range-3)/(2*1.4*1.4::DOUBLE)) AS w FROM range(0,7)), tap AS (SELECT k, w/(SELECT sum(w) FROM tap_raw) AS w FROM tap_raw),
+k7 AS (SELECT a.k AS ky, b.k AS kx, a.w*b.w AS w FROM tap a, tap b)"""
+
+
+@query(
+    "d8_sharpen",
+    f"""{V}, {SHARP_K}, img AS (SELECT volume_id, z, x, y, (v+0.5) AS v FROM voxels), {conv_sql('k7', 7, 'mirror', source='img', name='smooth')},
+mask AS (SELECT volume_id, z, x, y, CASE WHEN abs(i.v-s.v)*255 > 10 THEN 1.0 ELSE 0.0 END AS v, i.v AS img, i.v-s.v AS res FROM img i JOIN smooth s USING (volume_id, z, x, y)),
+{conv_sql('k7', 7, 'mirror', source='mask', name='soft')}
+SELECT volume_id, z, x, y, round(soft.v*greatest(least(img+0.5*res,1),0)+(1-soft.v)*img,6) + 0.0 AS v FROM mask JOIN soft USING (volume_id, z, x, y)""",
+)
+def d8_sharpen(spark, sf):
+    bright = fx.slices(spark, sf).withColumn("data", F.transform("data", lambda v: v + 0.5))
+    return _vox(planes.sharpen(bright, 0.5, 6, 10.0))
+
+
+@query("d9_bicubic_degradation", f"{V}, {matlab_sql('w', 8, 0.5)}, {apply_sql('w', 'w')} {DONE.format(t='res')}")
+def d9_bicubic_degradation(spark, sf):
+    return _vox(degrade.bicubic_degradation(fx.slices(spark, sf), 2))
+
+
+@query("d10_srmd_degradation", f"{V}, {ISO}, {conv_sql('iso', 5, 'wrap')}, {matlab_sql('w', 8, 0.5)}, {apply_sql('w', 'w', 'conv')} {DONE.format(t='res')}")
+def d10_srmd_degradation(spark, sf):
+    return _vox(degrade.srmd_degradation(fx.slices(spark, sf), kernels.isotropic_gaussian(5, 1.3), 2))
+
+
+@query("d11_dpsr_degradation", f"{V}, {ISO}, {matlab_sql('w', 8, 0.5)}, {apply_sql('w', 'w')}, {conv_sql('iso', 5, 'wrap', n=4, source='res')} {DONE.format(t='conv')}")
+def d11_dpsr_degradation(spark, sf):
+    return _vox(degrade.dpsr_degradation(fx.slices(spark, sf), kernels.isotropic_gaussian(5, 1.3), 2))
+
+
+@query("d12_classical_degradation", f"{V}, {ISO}, {conv_sql('iso', 5, 'wrap')} SELECT volume_id, z, x//2 AS x, y//2 AS y, round(v,6) + 0.0 AS v FROM conv WHERE x%2=0 AND y%2=0")
+def d12_classical_degradation(spark, sf):
+    return _vox(degrade.classical_degradation(fx.slices(spark, sf), kernels.isotropic_gaussian(5, 1.3), 2))
+
+
+@query("d13_degrade_bsrgan")
+def d13_degrade_bsrgan(spark, sf):
+    out = degrade.degrade_bsrgan(fx.event_rgb(spark, sf), sf=4, lq_patchsize=5, seed=13)
+    return summary(out, F.size("hq").alias("hq_cells"))
+
+
+@query("d14_degrade_variant")
+def d14_degrade_variant(spark, sf):
+    return summary(degrade.degrade_variant(byte_images(spark, sf), sf=4, seed=14))
+
+
+@query("d15_degrade_plus")
+def d15_degrade_plus(spark, sf):
+    out = degrade.degrade_plus(fx.event_rgb(spark, sf), sf=2, lq_patchsize=10, seed=15)
+    return summary(out, F.size("hq").alias("hq_cells"))
+
+
+@query("d16_degrade_light")
+def d16_degrade_light(spark, sf):
+    return summary(degrade.degrade_light(byte_images(spark, sf), sf=4, seed=16))
+
+
+def byte_images(spark, sf):
+    return fx.event_rgb(spark, sf).withColumn("data", F.transform("data", lambda v: F.rint(v * 255.0)))
+
+
+@query("u2_parallel_apply", "SELECT vec_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v*v)),6) AS energy FROM embeddings")
+def u2_parallel_apply(spark, sf):
+    """A user function over chunks of vectors, one value per vector, order key kept."""
+    rows = fx.table(spark, sf, "embeddings").select("vec_id", "embedding")
+
+    def energy(chunk, worker_id):
+        import numpy as np
+
+        total = (np.stack(chunk["embedding"].to_numpy()).astype(float) ** 2).sum(axis=1)
+        return chunk.assign(energy=total.round(6))[["vec_id", "energy"]]
+
+    return user.parallel_apply(rows, energy, 8, "vec_id long, energy double", order="vec_id", pass_worker=True)
+
+
+@query("u3_transforms_fn", f"{V} SELECT volume_id, z, x-2 AS x, y-2 AS y, round(v*2,6) + 0.0 AS v FROM voxels WHERE x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5")
+def u3_transforms_fn(spark, sf):
+    """A caller's transform in place of the default sample preparation."""
+    from stratavox.operators.tiling import center_crop
+
+    def mine(df):
+        return center_crop(df, 4, 4).withColumn("v", F.round(F.col("v") * 2, 6) + 0.0)
+
+    return user.prepare_samples(fx.voxels(spark, sf), transforms=mine)
+
+
+@query("u5_score_model", f"{V} SELECT volume_id, z, CAST(x//4 AS INT) AS x, CAST(y//4 AS INT) AS y, round(avg(v),6) + 0.0 AS v FROM voxels GROUP BY ALL")
+def u5_score_model(spark, sf):
+    """A model that encodes each slice to the means of its quarters, loaded once per task."""
+
+    def load():
+        import numpy as np
+
+        weights = np.kron(np.eye(2), np.full((1, 4), 0.25))
+        return lambda batch: np.einsum("hy,bcyx,wx->bchw", weights, batch, weights)
+
+    coded = user.score_model(fx.slices(spark, sf), load)
+    return slices_to_voxels(coded).withColumn("v", F.round("v", 6) + 0.0)
