@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratavox.functions.vectors import let
 from stratavox.operators.layout import slices_to_voxels
-from stratavox.scale import rank_ids
+from stratavox.scale import attach_small, rank_ids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,12 +63,17 @@ def event_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = sums.groupBy("volume_id", "z").agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("cells"))
     blocks = events.select(F.floor(user / 24).cast("int").alias("volume_id")).distinct()
     dense = blocks.select("volume_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("z"))
-    cell = F.transform(F.sequence(F.lit(0), F.lit(575)), lambda i: F.coalesce(F.col("cells")[i], F.lit(0.0)))
     return dense.join(filled, ["volume_id", "z"], "left").select(
-        "volume_id", "z", F.lit(24).alias("h"), F.lit(24).alias("w"), cell.alias("data")
+        "volume_id", "z", F.lit(24).alias("h"), F.lit(24).alias("w"), _dense("cells", 576).alias("data")
     )
 
 
+def _dense(cells: str, n: int):
+    """Map of positions to a full array; the map is bound once, not rebuilt for every cell."""
+    places = F.sequence(F.lit(0), F.lit(n - 1))
+    return let(F.col(cells), lambda m: F.transform(places, lambda i: F.coalesce(m[i], F.lit(0.0))))
+
+
 def event_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slices_to_voxels(event_slices(spark, sf_dir))
 
@@ -91,8 +97,7 @@ def event_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = sums.groupBy("volume_id", "z").agg(
         F.map_from_entries(F.collect_list(F.struct("pos", level.alias("v")))).alias("cells")
     )
-    cell = F.transform(F.sequence(F.lit(0), F.lit(1727)), lambda i: F.coalesce(F.col("cells")[i], F.lit(0.0)))
-    return filled.select("volume_id", "z", F.lit(24).alias("h"), F.lit(24).alias("w"), cell.alias("data"))
+    return filled.select("volume_id", "z", F.lit(24).alias("h"), F.lit(24).alias("w"), _dense("cells", 1728).alias("data"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,8 +154,6 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     depth = (
         table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("image_id")).agg(F.count(F.lit(1)).alias("n"))
     )
-    from stratavox.scale import attach_small
-
     return attach_small(sides, depth, ["image_id"]).where(F.col("pos") < F.floor(F.col("n") / 2)).drop("n")
 
 

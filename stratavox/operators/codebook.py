@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratavox.functions import vectors
+from stratavox.operators.planes import map_batches
 from stratavox.operators.tiling import extents
 from stratavox.scale import attach_small
 
@@ -53,19 +54,19 @@ def nearest_code(features: DataFrame, codebook: DataFrame, feature: str = "f", m
     elif method == "arrow":
         shared = features.sparkSession.sparkContext.broadcast((codes, centers))
 
-        @F.pandas_udf("d2 double, code int")
-        def search(batch: pd.Series) -> pd.DataFrame:
+        def search(batch: pd.DataFrame) -> pd.DataFrame:
             ids, table = shared.value
-            x = np.stack(batch.to_numpy()).astype(float)
+            x = np.stack(batch[feature].to_numpy()).astype(float)
             best_d2 = np.full(len(x), np.inf)
-            best_code = np.zeros(len(x), dtype=np.int32)
+            best_code = np.zeros(len(x), dtype=np.int16)
             for code, row in zip(ids, table):
                 d2 = ((x - row) ** 2).sum(axis=1)
                 closer = d2 < best_d2
                 best_d2[closer], best_code[closer] = d2[closer], code
-            return pd.DataFrame({"d2": best_d2, "code": best_code})
+            return pd.DataFrame({feature: batch[feature], "code": best_code, "d2": best_d2})
 
-        best = search(F.col(feature))
+        kind = dict(features.dtypes)[feature]
+        return map_batches(features, search, [feature], f"`{feature}` {kind}, code smallint, d2 double")
     else:
         raise ValueError("method is 'auto', 'expression' or 'arrow'")
     found = features.withColumn("_best", best)

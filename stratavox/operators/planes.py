@@ -28,23 +28,38 @@ def by_shape(data: pd.Series, h: pd.Series, w: pd.Series) -> Iterator[tuple[np.n
         yield at, np.stack(data.iloc[at].to_numpy()).astype(float).reshape(len(at), hh, ww, -1)
 
 
-def map_planes(df: DataFrame, fn: Block, data: str = "data") -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], uses: list[str], makes: str) -> DataFrame:
+    """Replace the columns ``uses`` by the columns ``makes`` computed from them, batch by batch.
+
+    This is an operator of its own in the plan. A function column would be copied into every later
+    expression that reads its result, and run once per copy.
+    """
+    types = dict(df.dtypes)
+    keep = [c for c in df.columns if c not in uses]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.reset_index(drop=True)
+            yield pd.concat([batch[keep], fn(batch[uses])], axis=1)
+
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), makes])
+    return df.select(*keep, *uses).mapInPandas(run, schema)
+
+
+def map_planes(df: DataFrame, fn: Block) -> DataFrame:
     """Apply ``fn`` (rows, h, w, channels) -> (rows, h2, w2, channels2) to every plane."""
 
-    @F.pandas_udf(PLANE)
-    def run(values: pd.Series, h: pd.Series, w: pd.Series) -> pd.DataFrame:
-        out_h, out_w = np.zeros(len(h), dtype=int), np.zeros(len(h), dtype=int)
-        out: list = [None] * len(h)
-        for at, block in by_shape(values, h, w):
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        out_h, out_w = np.zeros(len(batch), dtype=int), np.zeros(len(batch), dtype=int)
+        out: list = [None] * len(batch)
+        for at, block in by_shape(batch["data"], batch["h"], batch["w"]):
             result = fn(block)
             out_h[at], out_w[at] = result.shape[1], result.shape[2]
             for i, flat in zip(at, result.reshape(len(at), -1)):
                 out[i] = flat
         return pd.DataFrame({"h": out_h, "w": out_w, "data": out})
 
-    keep = [c for c in df.columns if c not in ("h", "w", data)]
-    made = df.select(*keep, run(F.col(data), F.col("h"), F.col("w")).alias("_p"))
-    return made.select(*keep, "_p.h", "_p.w", F.col("_p.data").alias(data))
+    return map_batches(df, run, ["h", "w", "data"], PLANE)
 
 
 def separable(block: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -178,24 +193,19 @@ def drawn_batch_size(batch: Column, low: int, high: int, seed: int) -> Column:
 def batch_resize(df: DataFrame, batch: Column, low: int, high: int, seed: int) -> DataFrame:
     """Gray to three channels, then cubic to the size drawn for the batch."""
 
-    @F.pandas_udf(PLANE)
-    def run(values: pd.Series, h: pd.Series, w: pd.Series, n: pd.Series) -> pd.DataFrame:
-        out: list = [None] * len(h)
-        tagged = pd.Series(list(zip(h, w, n)))
-        for (hh, ww, nn), rows in tagged.groupby(tagged).groups.items():
-            block = np.stack(values.iloc[rows].to_numpy()).astype(float).reshape(len(rows), hh, ww, 1)
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out: list = [None] * len(rows)
+        for (h, w, n), part in rows.groupby(["h", "w", "_n"]):
+            block = np.stack(part["data"].to_numpy()).astype(float).reshape(len(part), h, w, 1)
             block = np.repeat(block, 3, axis=3)
-            if nn != hh:
-                block = separable(block, kernels.resize_weights("cubic", hh, nn), kernels.resize_weights("cubic", ww, nn))
-            for i, flat in zip(rows, block.reshape(len(rows), -1)):
+            if n != h:
+                block = separable(block, kernels.resize_weights("cubic", h, n), kernels.resize_weights("cubic", w, n))
+            for i, flat in zip(part.index, block.reshape(len(part), -1)):
                 out[i] = flat
-        side = [int(v) for v in n]
-        return pd.DataFrame({"h": side, "w": side, "data": out})
+        return pd.DataFrame({"h": rows["_n"], "w": rows["_n"], "data": out})
 
-    keep = [c for c in df.columns if c not in ("h", "w", "data")]
-    size = drawn_batch_size(batch, low, high, seed)
-    made = df.select(*keep, run(F.col("data"), F.col("h"), F.col("w"), size).alias("_p"))
-    return made.select(*keep, "_p.h", "_p.w", "_p.data")
+    sized = df.withColumn("_n", drawn_batch_size(batch, low, high, seed))
+    return map_batches(sized, run, ["h", "w", "data", "_n"], PLANE)
 
 
 def pyramid_pool(df: DataFrame, levels: tuple[int, ...] = (1, 2, 3, 6)) -> DataFrame:
@@ -239,21 +249,20 @@ def _place(block: np.ndarray, y: np.ndarray, x: np.ndarray, fill: float | None)
 def _moved(df: DataFrame, params: list[Column], coords, fill: float | None) -> DataFrame:
     """Inverse mapping with per-row parameters."""
 
-    @F.pandas_udf("array<double>")
-    def run(values: pd.Series, h: pd.Series, w: pd.Series, packed: pd.Series) -> pd.Series:
-        out: list = [None] * len(h)
-        table = np.stack(packed.to_numpy()).astype(float)
-        for at, block in by_shape(values, h, w):
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        out: list = [None] * len(batch)
+        table = np.stack(batch["_move"].to_numpy()).astype(float)
+        for at, block in by_shape(batch["data"], batch["h"], batch["w"]):
             hh, ww = block.shape[1:3]
             grid_y, grid_x = np.meshgrid(np.arange(hh), np.arange(ww), indexing="ij")
             p = [table[at, i][:, None, None] for i in range(table.shape[1])]
             y, x = coords(grid_y[None].astype(float), grid_x[None].astype(float), hh, ww, *p)
             for i, flat in zip(at, _place(block, y, x, fill).reshape(len(at), -1)):
                 out[i] = flat
-        return pd.Series(out)
+        return pd.DataFrame({"h": batch["h"], "w": batch["w"], "data": out})
 
-    packed = F.array(*[p.cast("double") for p in params])
-    return df.withColumn("data", run(F.col("data"), F.col("h"), F.col("w"), packed))
+    moved = df.withColumn("_move", F.array(*[p.cast("double") for p in params]))
+    return map_batches(moved, run, ["h", "w", "data", "_move"], PLANE)
 
 
 def rotate(df: DataFrame, seed: int, limit: float = 45.0, sample: str = "volume_id") -> DataFrame:
@@ -369,11 +378,11 @@ def _half(n: int) -> np.ndarray:
 
 
 def _pair_score(pairs: DataFrame, score, name: str) -> DataFrame:
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
-        out = np.zeros(len(h))
-        for (at, left), (_, right) in zip(by_shape(a, h, w), by_shape(b, h, w)):
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(len(batch))
+        sides = [by_shape(batch[side], batch["h"], batch["w"]) for side in ("a", "b")]
+        for (at, left), (_, right) in zip(*sides):
             out[at] = score(left, right)
-        return pd.Series(out)
+        return pd.DataFrame({name: out})
 
-    return pairs.withColumn(name, run(F.col("a"), F.col("b"), F.col("h"), F.col("w")))
+    return map_batches(pairs, run, ["h", "w", "a", "b"], f"{name} double")

@@ -62,12 +62,12 @@ def slice_shifts(slices: DataFrame, reference: str | DataFrame = "first", subpix
     """
     refs = reference_planes(slices, reference)
     clean = F.transform("data", pixel.nan_to_num)
-    clean_ref = F.transform("ref", lambda v: pixel.nan_to_num(v))
+    clean_ref = F.transform("ref", pixel.nan_to_num)
 
-    @F.pandas_udf("dy double, dx double")
-    def measure(img: pd.Series, ref: pd.Series, h: pd.Series, w: pd.Series) -> pd.DataFrame:
-        dy, dx = np.zeros(len(h)), np.zeros(len(h))
-        for (at, a), (_, b) in zip(planes.by_shape(img, h, w), planes.by_shape(ref, h, w)):
+    def measure(batch: pd.DataFrame) -> pd.DataFrame:
+        dy, dx = np.zeros(len(batch)), np.zeros(len(batch))
+        sides = [planes.by_shape(batch[side], batch["h"], batch["w"]) for side in ("img", "ref")]
+        for (at, a), (_, b) in zip(*sides):
             corr = full_correlation(a[..., 0], b[..., 0])
             best = corr.reshape(len(at), -1).argmax(axis=1)
             rows, cols = np.unravel_index(best, corr.shape[1:])
@@ -78,8 +78,8 @@ def slice_shifts(slices: DataFrame, reference: str | DataFrame = "first", subpix
         return pd.DataFrame({"dy": dy, "dx": dx})
 
     both = attach_small(slices, refs, ["volume_id"], max_rows=REFERENCE_ROWS)
-    found = both.select("volume_id", "z", measure(clean, clean_ref, F.col("h"), F.col("w")).alias("s"))
-    return found.select("volume_id", "z", "s.dy", "s.dx")
+    ready = both.select("volume_id", "z", "h", "w", clean.alias("img"), clean_ref.alias("ref"))
+    return planes.map_batches(ready, measure, ["h", "w", "img", "ref"], "dy double, dx double")
 
 
 def align(slices: DataFrame, reference: str | DataFrame = "first", subpixel: bool = False, sign: int = -1, fill: float = 0.0) -> DataFrame:
