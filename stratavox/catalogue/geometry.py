@@ -37,7 +37,7 @@ def _out(df, *names):
 WHERE (z//4+1)*4 <= nz AND (x//3+1)*3 <= nx AND (y//4+1)*4 <= ny""",
 )
 def t1_tile_grid(spark, sf):
-    return _out(tiling.tile_grid(fx.voxels(spark, sf), (4, 3, 4), (4, 3, 4)))
+    return _out(tiling.tile_grid(fx.voxels(spark, sf), (4, 3, 4), (4, 3, 4), sizes=fx.sizes(spark, sf)))
 
 
 @query(
@@ -48,7 +48,7 @@ z >= gz*3 AND z < gz*3+5 AND x >= gx*6 AND x < gx*6+8 AND y >= gy*8 AND y < gy*8
 WHERE gz < nz//3 AND gz*3+5 <= nz AND gx < nx//6 AND gx*6+8 <= nx AND gy < ny//8 AND gy*8+8 <= ny""",
 )
 def t1_tile_grid_step(spark, sf):
-    return _out(tiling.tile_grid(fx.event_voxels(spark, sf), (5, 8, 8), (3, 6, 8), origin="step"))
+    return _out(tiling.tile_grid(fx.event_voxels(spark, sf), (5, 8, 8), (3, 6, 8), origin="step", sizes=fx.event_sizes(spark, sf)))
 
 
 @query(
@@ -58,7 +58,7 @@ WHERE z//5 < nz//10 AND (z//5+1)*5 <= nz AND x//8 < nx//12 AND y//8 < ny//8""",
 )
 def t1_tile_grid_mixed(spark, sf):
     """Step larger than the block: counts follow the step, origins the block."""
-    return _out(tiling.tile_grid(fx.event_voxels(spark, sf), (5, 8, 8), (10, 12, 8)))
+    return _out(tiling.tile_grid(fx.event_voxels(spark, sf), (5, 8, 8), (10, 12, 8), sizes=fx.event_sizes(spark, sf)))
 
 
 @query(
@@ -71,9 +71,9 @@ def p15_keep_bright_patches(spark, sf):
     """Bright patches of the normalised volume; the raw volume keeps the same places."""
     raw = fx.event_voxels(spark, sf)
     keys = ["volume_id", "gz", "gx", "gy"]
-    scaled = tiling.tile_grid(nz.normalize(raw, "11"), (3, 4, 4), (3, 4, 4))
+    scaled = tiling.tile_grid(nz.normalize(raw, "11"), (3, 4, 4), (3, 4, 4), sizes=fx.event_sizes(spark, sf))
     kept = scaled.groupBy(*keys).agg(F.avg("v").alias("mean_v")).where(F.col("mean_v") > -0.98)
-    tiles = tiling.tile_grid(raw, (3, 4, 4), (3, 4, 4))
+    tiles = tiling.tile_grid(raw, (3, 4, 4), (3, 4, 4), sizes=fx.event_sizes(spark, sf))
     other = tiles.groupBy(*keys).agg(F.sum("v").alias("other_sum"), F.count(F.lit(1)).alias("n"))
     return kept.join(other, keys).select(
         *keys, F.round("mean_v", 6).alias("mean_v"), F.round("other_sum", 3).alias("other_sum"), "n"
@@ -121,7 +121,7 @@ def t3_tile_square(spark, sf):
 
 @query("t4_center_crop", f"{E} SELECT volume_id, z, x-7 AS x, y-5 AS y, {RV} FROM event_voxels WHERE x >= 7 AND x < 16 AND y >= 5 AND y < 19")
 def t4_center_crop(spark, sf):
-    return _out(tiling.center_crop(fx.event_voxels(spark, sf), 9, 14))
+    return _out(tiling.center_crop(fx.event_voxels(spark, sf), 9, 14, sizes=fx.event_sizes(spark, sf)))
 
 
 @query(
@@ -130,7 +130,7 @@ def t4_center_crop(spark, sf):
 SELECT volume_id, z, x-t AS x, y-l AS y, {RV} FROM voxels JOIN d USING (volume_id) WHERE x>=t AND x<t+5 AND y>=l AND y<l+4""",
 )
 def t5_random_crop(spark, sf):
-    return _out(tiling.random_crop(fx.voxels(spark, sf), 5, 4, seed=11))
+    return _out(tiling.random_crop(fx.voxels(spark, sf), 5, 4, seed=11, sizes=fx.sizes(spark, sf)))
 
 
 @query(
@@ -142,8 +142,9 @@ UNION ALL SELECT 'high', volume_id, z, x-t*2, y-l*2, {RV} FROM event_voxels JOIN
 )
 def t6_paired_random_crop(spark, sf):
     high = fx.event_voxels(spark, sf)
-    low = pooling.pool(high, (1, 2, 2), "mean")
-    a, b = tiling.paired_random_crop(low, high, 2, 5, seed=3)
+    low = pooling.pool(high, (1, 2, 2), "mean", sizes=fx.event_sizes(spark, sf))
+    sizes = fx.event_sizes(spark, sf).withColumns({"nx": F.lit(12), "ny": F.lit(12)})
+    a, b = tiling.paired_random_crop(low, high, 2, 5, seed=3, sizes=sizes)
     both = a.withColumn("side", F.lit("low")).unionByName(b.withColumn("side", F.lit("high")))
     return _out(both.select("side", "volume_id", "z", "x", "y", "v"))
 
@@ -154,7 +155,7 @@ def t6_paired_random_crop(spark, sf):
 SELECT volume_id, z-s AS z, x, y, {RV} FROM voxels JOIN d USING (volume_id) WHERE z>=s AND z<s+16""",
 )
 def t7_crop_z(spark, sf):
-    return _out(tiling.crop_z(fx.voxels(spark, sf), 16, seed=5))
+    return _out(tiling.crop_z(fx.voxels(spark, sf), 16, seed=5, sizes=fx.sizes(spark, sf)))
 
 
 @query(
@@ -172,17 +173,17 @@ def t8_stride_z(spark, sf):
 SELECT volume_id, i AS z, x, y, round(avg(v), 6) + 0.0 AS v FROM voxels JOIN b USING (volume_id) WHERE z >= i*nz//(nz//4) AND z < -((-(i+1)*nz)//(nz//4)) + CASE WHEN (i+1)*nz % (nz//4) > 0 THEN 1 ELSE 0 END GROUP BY ALL""",
 )
 def t9_area_downsample_z(spark, sf):
-    return _out(pooling.area_downsample_z(fx.voxels(spark, sf), 4))
+    return _out(pooling.area_downsample_z(fx.voxels(spark, sf), 4, sizes=fx.sizes(spark, sf)))
 
 
 @query("t10_modcrop", f"{V} SELECT {KEY}, {RV} FROM voxels WHERE x < 6 AND y < 6")
 def t10_modcrop(spark, sf):
-    return _out(tiling.modcrop(fx.voxels(spark, sf), 3))
+    return _out(tiling.modcrop(fx.voxels(spark, sf), 3, sizes=fx.sizes(spark, sf)))
 
 
 @query("t11_shave", f"{V} SELECT volume_id, z, x-2 AS x, y-2 AS y, {RV} FROM voxels WHERE x >= 2 AND x < 6 AND y >= 2 AND y < 6")
 def t11_shave(spark, sf):
-    return _out(tiling.shave(fx.voxels(spark, sf), 2))
+    return _out(tiling.shave(fx.voxels(spark, sf), 2, sizes=fx.sizes(spark, sf)))
 
 
 _D = {
@@ -204,7 +205,7 @@ _D = {
 def t12_dihedral(spark, sf):
     """All eight modes of every slice in one scan."""
     modes = fx.voxels(spark, sf).withColumn("mode", F.explode(F.array(*[F.lit(m) for m in range(8)])))
-    return _out(tiling.dihedral(modes, F.col("mode")))
+    return _out(tiling.dihedral(modes, F.col("mode"), sizes=fx.sizes(spark, sf)))
 
 
 @query(
@@ -214,7 +215,7 @@ m AS (SELECT volume_id, z, CASE WHEN vf THEN 7-x ELSE x END AS r, CASE WHEN hf T
 SELECT volume_id, z, CASE WHEN rt THEN c ELSE r END AS x, CASE WHEN rt THEN r ELSE c END AS y, {RV} FROM m""",
 )
 def t13_augment_list(spark, sf):
-    return _out(tiling.augment(fx.voxels(spark, sf), seed=8))
+    return _out(tiling.augment(fx.voxels(spark, sf), seed=8, sizes=fx.sizes(spark, sf)))
 
 
 @query(
@@ -252,7 +253,7 @@ UNION ALL SELECT volume_id, 'z_xy', false, z, x, y, 0.5, {RV} FROM g WHERE g=2
 UNION ALL SELECT volume_id, 'z_yx', false, z, y, x, 0.5, {RV} FROM g WHERE g=2""",
 )
 def t17_view_group_random(spark, sf):
-    return _out(tiling.view_group_random(fx.voxels(spark, sf), seed=2))
+    return _out(tiling.view_group_random(fx.voxels(spark, sf), seed=2, sizes=fx.sizes(spark, sf)))
 
 
 @query("t18_xy_slices", f"{V} SELECT volume_id, z, 8 AS h, 8 AS w, round(sum((x*8+y+1)*v), 6) + 0.0 AS checksum FROM voxels GROUP BY ALL")
@@ -280,22 +281,22 @@ def t20_hconcat(spark, sf):
     from stratavox.operators.pairing import interleaved_pair
 
     a, b = interleaved_pair(fx.slices(spark, sf))
-    return _out(tiling.hconcat(slices_to_voxels(a), slices_to_voxels(b), "y"))
+    return _out(tiling.hconcat(slices_to_voxels(a), slices_to_voxels(b), "y", fx.sizes(spark, sf)))
 
 
 @query("r7_project_z_mean", f"{V}, {N} SELECT volume_id, z//4 AS z, x, y, round(avg(v), 6) + 0.0 AS v FROM voxels JOIN n USING (volume_id) WHERE (z//4+1)*4 <= nz GROUP BY ALL")
 def r7_project_z_mean(spark, sf):
-    return _out(pooling.project_z(fx.voxels(spark, sf), 4, "mean"))
+    return _out(pooling.project_z(fx.voxels(spark, sf), 4, "mean", sizes=fx.sizes(spark, sf)))
 
 
 @query("r7_project_z_max", f"{V}, {N} SELECT volume_id, z//4 AS z, x, y, round(max(v), 6) + 0.0 AS v FROM voxels JOIN n USING (volume_id) WHERE (z//4+1)*4 <= nz GROUP BY ALL")
 def r7_project_z_max(spark, sf):
-    return _out(pooling.project_z(fx.voxels(spark, sf), 4, "max"))
+    return _out(pooling.project_z(fx.voxels(spark, sf), 4, "max", sizes=fx.sizes(spark, sf)))
 
 
 @query("r7_project_z_min", f"{V}, {N} SELECT volume_id, z//4 AS z, x, y, round(min(v), 6) + 0.0 AS v FROM voxels JOIN n USING (volume_id) WHERE (z//4+1)*4 <= nz GROUP BY ALL")
 def r7_project_z_min(spark, sf):
-    return _out(pooling.project_z(fx.voxels(spark, sf), 4, "min"))
+    return _out(pooling.project_z(fx.voxels(spark, sf), 4, "min", sizes=fx.sizes(spark, sf)))
 
 
 @query("r8_project_z_sampled", f"{V} SELECT volume_id, (z-2)//8 AS z, x, y, {RV} FROM voxels WHERE z >= 2 AND (z-2)%8=0")
@@ -305,12 +306,12 @@ def r8_project_z_sampled(spark, sf):
 
 @query("r9_max_pool", f"{V}, {N} SELECT volume_id, z//2 AS z, x//2 AS x, y//3 AS y, round(max(v), 6) + 0.0 AS v FROM voxels JOIN n USING (volume_id) WHERE (z//2+1)*2 <= nz AND (y//3+1)*3 <= ny GROUP BY ALL")
 def r9_max_pool(spark, sf):
-    return _out(pooling.pool(fx.voxels(spark, sf), (2, 2, 3), "max"))
+    return _out(pooling.pool(fx.voxels(spark, sf), (2, 2, 3), "max", sizes=fx.sizes(spark, sf)))
 
 
 @query("r10_avg_pool", f"{V} SELECT volume_id, z, x//2 AS x, y//2 AS y, round(avg(v), 6) + 0.0 AS v FROM voxels GROUP BY ALL")
 def r10_avg_pool(spark, sf):
-    return _out(pooling.pool(fx.voxels(spark, sf), (1, 2, 2), "mean"))
+    return _out(pooling.pool(fx.voxels(spark, sf), (1, 2, 2), "mean", sizes=fx.sizes(spark, sf)))
 
 
 @query(
@@ -324,7 +325,7 @@ def r11_adaptive_pool(spark, sf):
     """3x3 bins of two channels, then unit length across the channels."""
     from stratavox.functions.vectors import l2_normalize
 
-    binned = pooling.adaptive_pool(fx.voxels(spark, sf), {"x": 3, "y": 3}, "mean")
+    binned = pooling.adaptive_pool(fx.voxels(spark, sf), {"x": 3, "y": 3}, "mean", sizes=fx.sizes(spark, sf))
     pair = binned.groupBy("volume_id", F.shiftright("z", 1).alias("z"), "x", "y").agg(
         F.max(F.when(F.col("z") % 2 == 0, F.col("v"))).alias("c0"), F.max(F.when(F.col("z") % 2 == 1, F.col("v"))).alias("c1")
     )
@@ -338,7 +339,7 @@ def r11_adaptive_pool(spark, sf):
 SELECT volume_id, z, round(v, 6) + 0.0 AS v FROM p""",
 )
 def r11_global_max_pool(spark, sf):
-    return _out(pooling.adaptive_pool(fx.voxels(spark, sf), {"x": 1, "y": 1}, "max").drop("x", "y"))
+    return _out(pooling.adaptive_pool(fx.voxels(spark, sf), {"x": 1, "y": 1}, "max", sizes=fx.sizes(spark, sf)).drop("x", "y"))
 
 
 @query("r13_mean_flat", f"{V} SELECT volume_id, z, round(avg(v), 6) + 0.0 AS mean FROM voxels GROUP BY ALL")

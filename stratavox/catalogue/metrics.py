@@ -46,7 +46,7 @@ def m2_projected_l1(spark, sf):
     keys = ["volume_id", "z", "x", "y"]
     original = tiling.stride_z(tiling.stride_z(vox, 4), 2).withColumnRenamed("v", "o")
     kinds = F.array(*[F.struct(F.lit(k).alias("how"), F.col(k).alias("v")) for k in ("mean", "max", "min")])
-    sized = tiling.with_extents(vox).where((F.floor(F.col("z") / 8) + 1) * 8 <= F.col("nz"))
+    sized = tiling.with_extents(vox, fx.sizes(spark, sf)).where((F.floor(F.col("z") / 8) + 1) * 8 <= F.col("nz"))
     all_three = (
         sized.groupBy("volume_id", F.floor(F.col("z") / 8).cast("int").alias("z"), "x", "y")
         .agg(F.avg("v").alias("mean"), F.max("v").alias("max"), F.min("v").alias("min"))
@@ -72,7 +72,7 @@ m AS (SELECT volume_id, z, avg(CAST((a-b)*(a-b) AS DOUBLE)) AS mse FROM l GROUP
 )
 def m3_psnr(spark, sf):
     levels = pairs(spark, sf).withColumns({c: pixel.unsigned(F.col(c) * 2 + 0.5) for c in "ab"})
-    return _out(metrics.psnr(levels, border=1), "psnr")
+    return _out(metrics.psnr(levels, border=1, sizes=fx.sizes(spark, sf)), "psnr")
 
 
 CE = "(ln(list_sum(list_transform(logits, lambda v: exp(v)))) - logits[label+1])"

@@ -354,8 +354,7 @@ def r19_dwt2(spark, sf):
 def r20_invdwt2(spark, sf):
     """Coefficients plus themselves, rebuilt: twice the image."""
     c = wavelet.dwt2(fx.slices(spark, sf), HAAR, 2)
-    doubled = wavelet.scale(wavelet.combine(c, wavelet.combine(c, wavelet.scale(c, "/", 2.0), "-"), "+"), "*", 4.0 / 3.0)
-    return _vox(wavelet.invdwt2(doubled, HAAR, 2, (8, 8)))
+    return _vox(wavelet.invdwt2(wavelet.combine(c, c, "+"), HAAR, 2, (8, 8)))
 
 
 CORR = """ref AS (SELECT volume_id, x, y, v FROM voxels WHERE z=0),

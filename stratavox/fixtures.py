@@ -51,7 +51,7 @@ voxels AS (SELECT volume_id, z, CAST((i-1)//8 AS INT) AS x, CAST((i-1)%8 AS INT)
 def event_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse non-negative volumes: one per block of 24 users, 30 days deep, 24 hours x 24 users wide; empty cells are 0.
 
-    A slice is filled from a map of at most 576 sums.
+    A slice is filled from a list of at most 576 sums.
     """
     events = table(spark, sf_dir, "events")
     user = F.col("user_id")
@@ -60,7 +60,7 @@ def event_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.dayofmonth("ts") - 1).alias("z"),
         (F.hour("ts") * 24 + user % 24).cast("int").alias("pos"),
     ).agg(F.round(F.sum("value"), 6).alias("v"))
-    filled = sums.groupBy("volume_id", "z").agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("cells"))
+    filled = sums.groupBy("volume_id", "z").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("cells"))
     blocks = events.select(F.floor(user / 24).cast("int").alias("volume_id")).distinct()
     dense = blocks.select("volume_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("z"))
     return dense.join(filled, ["volume_id", "z"], "left").select(
@@ -69,9 +69,32 @@ def event_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dense(cells: str, n: int):
-    """Map of positions to a full array; the map is bound once, not rebuilt for every cell."""
-    places = F.sequence(F.lit(0), F.lit(n - 1))
-    return let(F.col(cells), lambda m: F.transform(places, lambda i: F.coalesce(m[i], F.lit(0.0))))
+    """Sorted (pos, v) entries to a full array: runs of zeros between the entries, one pass."""
+    filled = let(
+        F.col(cells),
+        lambda c: F.concat(
+            F.flatten(
+                F.zip_with(
+                    c,
+                    F.concat(F.array(F.lit(-1)), F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda e: e["pos"])),
+                    lambda e, before: F.concat(F.array_repeat(F.lit(0.0), e["pos"] - before - 1), F.array(e["v"])),
+                )
+            ),
+            F.array_repeat(F.lit(0.0), n - 1 - F.element_at(c, -1)["pos"]),
+        ),
+    )
+    return F.when(F.col(cells).isNull(), F.array_repeat(F.lit(0.0), n)).otherwise(filled)
+
+
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents of the label stacks: a count that reads one column."""
+    labels = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("volume_id"))
+    return labels.agg(F.count(F.lit(1)).cast("int").alias("nz")).withColumns({"nx": F.lit(8), "ny": F.lit(8)})
+
+
+def event_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 24).cast("int").alias("volume_id"))
+    return blocks.distinct().withColumns({"nz": F.lit(30), "nx": F.lit(24), "ny": F.lit(24)})
 
 
 def event_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +118,7 @@ def event_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.round(F.sum("value"), 6).alias("v"))
     level = F.col("v") / (F.col("v") + 50.0)
     filled = sums.groupBy("volume_id", "z").agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", level.alias("v")))).alias("cells")
+        F.sort_array(F.collect_list(F.struct("pos", level.alias("v")))).alias("cells")
     )
     return filled.select("volume_id", "z", F.lit(24).alias("h"), F.lit(24).alias("w"), _dense("cells", 1728).alias("data"))
 
@@ -151,9 +174,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         pair.alias("pos"),
         F.col("embedding").cast("array<double>").alias("f"),
     )
-    depth = (
-        table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("image_id")).agg(F.count(F.lit(1)).alias("n"))
-    )
+    depth = sizes(spark, sf_dir).select(F.col("volume_id").alias("image_id"), F.col("nz").alias("n"))
     return attach_small(sides, depth, ["image_id"]).where(F.col("pos") < F.floor(F.col("n") / 2)).drop("n")
 
 

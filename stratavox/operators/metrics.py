@@ -22,12 +22,14 @@ def l1_l2(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.avg(F.abs(diff)).alias("l1"), F.avg(diff * diff).alias("l2"))
 
 
-def psnr(pairs: DataFrame, keys: Sequence[str] = ("volume_id", "z"), border: int = 0) -> DataFrame:
+def psnr(
+    pairs: DataFrame, keys: Sequence[str] = ("volume_id", "z"), border: int = 0, sizes: DataFrame | None = None
+) -> DataFrame:
     """20 log10(255 / rmse) per image on [0, 255] levels; infinite for equal images."""
     if border:
         from stratavox.operators.tiling import shave
 
-        pairs = shave(pairs, border)
+        pairs = shave(pairs, border, sizes)
     diff = F.col("a").cast("double") - F.col("b")
     mse = pairs.groupBy(*keys).agg(F.avg(diff * diff).alias("mse"))
     # 20 log10(255 / sqrt(mse)), written so that a zero error is decided before the division.

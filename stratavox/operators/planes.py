@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from stratavox.functions import draws, kernels
 from stratavox.scale import attach_small
 
+DIRECT_TAPS = 81
 PLANE = "h int, w int, data array<double>"
 Block = Callable[[np.ndarray], np.ndarray]
 
@@ -90,6 +91,11 @@ def correlate(block: np.ndarray, kernel: np.ndarray, mode: str, stride: int = 1,
         top, left = (kh - 1) // 2, (kw - 1) // 2
     h, w = block.shape[1:3]
     wide = take_padded(block, top, kh - 1 - top, left, kw - 1 - left, mode)
+    if kernel.size > DIRECT_TAPS:
+        spectrum = np.fft.rfft2(wide, axes=(1, 2))
+        window = np.conj(np.fft.rfft2(kernel, wide.shape[1:3]))[None, :, :, None]
+        full = np.fft.irfft2(spectrum * window, wide.shape[1:3], axes=(1, 2))
+        return full[:, :h:stride, :w:stride]
     out = np.zeros_like(block[:, ::stride, ::stride])
     for (y, x), weight in np.ndenumerate(kernel):
         if weight:

@@ -15,9 +15,11 @@ from stratavox.operators.tiling import AXES, with_extents
 HOW = {"max": F.max, "min": F.min, "mean": F.avg}
 
 
-def pool(df: DataFrame, kernel: Sequence[int], how: str, value: str = "v") -> DataFrame:
+def pool(
+    df: DataFrame, kernel: Sequence[int], how: str, value: str = "v", sizes: DataFrame | None = None
+) -> DataFrame:
     """Non-overlapping pooling over (kz, kx, ky); an incomplete tail is dropped."""
-    out = with_extents(df)
+    out = with_extents(df, sizes)
     keys = [c for c in df.columns if c not in (*AXES, value)]
     for axis, k in zip(AXES, kernel):
         if k > 1:
@@ -26,9 +28,9 @@ def pool(df: DataFrame, kernel: Sequence[int], how: str, value: str = "v") -> Da
     return out.groupBy(*keys, *AXES).agg(HOW[how](value).alias(value))
 
 
-def project_z(df: DataFrame, depth: int, how: str = "mean") -> DataFrame:
+def project_z(df: DataFrame, depth: int, how: str = "mean", sizes: DataFrame | None = None) -> DataFrame:
     """Reduce non-overlapping z windows; 'min' is a true minimum."""
-    return pool(df, (depth, 1, 1), how)
+    return pool(df, (depth, 1, 1), how, sizes=sizes)
 
 
 def project_z_sampled(df: DataFrame, uprate: int, skip: int) -> DataFrame:
@@ -38,11 +40,13 @@ def project_z_sampled(df: DataFrame, uprate: int, skip: int) -> DataFrame:
     return kept.withColumn("z", F.floor((F.col("z") - start) / step).cast("int"))
 
 
-def adaptive_pool(df: DataFrame, sizes: dict[str, int], how: str, value: str = "v") -> DataFrame:
+def adaptive_pool(
+    df: DataFrame, bins: dict[str, int], how: str, value: str = "v", sizes: DataFrame | None = None
+) -> DataFrame:
     """Pool axes to given sizes; bin i covers floor(i n / m) up to ceil((i + 1) n / m), so bins may share a voxel."""
-    out = with_extents(df)
+    out = with_extents(df, sizes)
     keys = [c for c in df.columns if c not in (*AXES, value)]
-    for axis, m in sizes.items():
+    for axis, m in bins.items():
         m = F.lit(m) if isinstance(m, int) else m
         n = F.col(f"n{axis}")
         first = F.floor(F.col(axis) * m / n).cast("int")
@@ -51,9 +55,9 @@ def adaptive_pool(df: DataFrame, sizes: dict[str, int], how: str, value: str = "
     return out.groupBy(*keys, *AXES).agg(HOW[how](value).alias(value))
 
 
-def area_downsample_z(df: DataFrame, step: int) -> DataFrame:
+def area_downsample_z(df: DataFrame, step: int, sizes: DataFrame | None = None) -> DataFrame:
     """Mean pooling along z to size // step bins."""
-    return adaptive_pool(df, {"z": F.floor(F.col("nz") / step)}, "mean")
+    return adaptive_pool(df, {"z": F.floor(F.col("nz") / step)}, "mean", sizes=sizes)
 
 
 def mean_flat(df: DataFrame, batch: Sequence[str], value: str = "v") -> DataFrame:

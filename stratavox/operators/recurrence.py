@@ -56,8 +56,11 @@ def ema(
     )
     maps = scaled.groupBy("key", "_chunk").agg(F.max_by("_p", "_n").alias("_a"), F.max_by("_q", "_n").alias("_b"))
     key_type = df.schema["key"].dataType.simpleString()
-    starts = maps.groupBy("key").applyInPandas(_fold, f"key {key_type}, _chunk long, _start double")
-    done = scaled.join(starts, ["key", "_chunk"]).withColumn(out, F.col("_p") * F.col("_start") + F.col("_q"))
+    # Most keys fit in one chunk, which starts from 0; only the others need their maps folded.
+    longer = maps.join(maps.where("_chunk = 1").select("key"), "key", "left_semi")
+    starts = longer.groupBy("key").applyInPandas(_fold, f"key {key_type}, _chunk long, _start double")
+    start = F.coalesce("_start", F.lit(0.0))
+    done = scaled.join(starts, ["key", "_chunk"], "left").withColumn(out, F.col("_p") * start + F.col("_q"))
     return done.drop("_chunk", "_keep", "_add", "_p", "_q", "_start").withColumnRenamed("_n", "n")
 
 

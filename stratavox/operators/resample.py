@@ -13,15 +13,16 @@ from stratavox.functions import kernels
 from stratavox.operators import planes
 from stratavox.operators.tiling import with_extents
 
-OUT_CHUNK = 16
+CHUNK_VALUES = 2**20
 
 
 def _chunk_fn(chunk: pd.DataFrame) -> pd.DataFrame:
     """Linear z interpolation of one output chunk from its input slices."""
     chunk = chunk.sort_values("z")
     first = chunk.iloc[0]
-    n, m, start = int(first["nz"]), int(first["mz"]), int(first["_chunk"]) * OUT_CHUNK
-    i = np.arange(start, min(start + OUT_CHUNK, m))
+    n, m, span = int(first["nz"]), int(first["mz"]), int(first["_span"])
+    start = int(first["_chunk"]) * span
+    i = np.arange(start, min(start + span, m))
     low, high, w = kernels.linear_places(i, n, m)
     z = chunk["z"].to_numpy()
     block = np.stack(chunk["data"].to_numpy())
@@ -35,7 +36,7 @@ def _chunk_fn(chunk: pd.DataFrame) -> pd.DataFrame:
 def resample_z(slices: DataFrame, depth: Callable[[Column], Column]) -> DataFrame:
     """Linear resampling along z to ``depth(nz)`` slices.
 
-    The output is cut in chunks of ``OUT_CHUNK`` slices. An input slice goes to the chunks whose interpolation touches it
+    The output is cut in chunks of about ``CHUNK_VALUES`` values. An input slice goes to the chunks whose interpolation touches it
     (one or two when enlarging), so the shuffle moves each slice about once and a task holds one chunk.
     """
     sized = with_extents(slices).withColumn("mz", depth(F.col("nz")).cast("int"))
@@ -45,9 +46,11 @@ def resample_z(slices: DataFrame, depth: Callable[[Column], Column]) -> DataFram
     last = F.when(F.col("z") == F.col("nz") - 1, F.col("mz") - 1).otherwise(
         F.least(F.ceil((F.col("z") + 1.5) * ratio - 0.5), F.col("mz") - 1)
     )
-    chunks = F.sequence(F.floor(first / OUT_CHUNK).cast("int"), F.floor(last / OUT_CHUNK).cast("int"))
+    span = F.least(F.greatest(F.floor(CHUNK_VALUES / (F.col("h") * F.col("w"))), F.lit(4)), F.lit(512)).cast("int")
+    sized = sized.withColumn("_span", span)
+    chunks = F.sequence(F.floor(first / F.col("_span")).cast("int"), F.floor(last / F.col("_span")).cast("int"))
     spread = sized.where(F.col("mz") > 0).withColumn("_chunk", F.explode(chunks))
-    spread = spread.select("volume_id", "_chunk", "z", "nz", "mz", "h", "w", "data")
+    spread = spread.select("volume_id", "_chunk", "_span", "z", "nz", "mz", "h", "w", "data")
     schema = "volume_id int, z int, h int, w int, data array<double>"
     return spread.groupBy("volume_id", "_chunk").applyInPandas(_chunk_fn, schema)
 

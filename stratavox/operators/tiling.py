@@ -25,10 +25,13 @@ def extents(df: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
 
 
 def with_extents(df: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Add nz, nx, ny. A catalog usually knows the sizes; without ``sizes`` they cost a scan."""
     return attach_small(df, extents(df) if sizes is None else sizes, ["volume_id"])
 
 
-def tile_grid(df: DataFrame, block: Sequence[int], step: Sequence[int], origin: str = "block") -> DataFrame:
+def tile_grid(
+    df: DataFrame, block: Sequence[int], step: Sequence[int], origin: str = "block", sizes: DataFrame | None = None
+) -> DataFrame:
     """Assign voxels to full blocks.
 
     Counts per axis are ``size // step``. ``origin='block'`` places block g at ``g * block``; ``'step'``
@@ -36,7 +39,7 @@ def tile_grid(df: DataFrame, block: Sequence[int], step: Sequence[int], origin:
     """
     if origin not in ("block", "step"):
         raise ValueError("origin is 'block' or 'step'")
-    out = with_extents(df)
+    out = with_extents(df, sizes)
     for axis, d, s in zip(AXES, block, step):
         pitch = d if origin == "block" else s
         place, size = F.col(axis), F.col(f"n{axis}")
@@ -156,24 +159,36 @@ def window(df: DataFrame, top: Column, left: Column, height: int, width: int) ->
     return df.where(inside).withColumns({"x": F.col("x") - top, "y": F.col("y") - left})
 
 
-def center_crop(df: DataFrame, height: int, width: int) -> DataFrame:
+def center_crop(df: DataFrame, height: int, width: int, sizes: DataFrame | None = None) -> DataFrame:
     top = F.floor((F.col("nx") - height) / 2).cast("int")
     left = F.floor((F.col("ny") - width) / 2).cast("int")
-    return window(with_extents(df), top, left, height, width).drop("nz", "nx", "ny")
+    return window(with_extents(df, sizes), top, left, height, width).drop("nz", "nx", "ny")
 
 
-def random_crop(df: DataFrame, height: int, width: int, seed: int, sample: Sequence[str] = ("volume_id",)) -> DataFrame:
+def random_crop(
+    df: DataFrame,
+    height: int,
+    width: int,
+    seed: int,
+    sample: Sequence[str] = ("volume_id",),
+    sizes: DataFrame | None = None,
+) -> DataFrame:
     """Same window for every image of a sample: the draw is keyed on the sample id."""
     key = [F.col(c) for c in sample]
     top = draws.integer(seed, "crop/x", 0, F.col("nx") - height + 1, *key)
     left = draws.integer(seed, "crop/y", 0, F.col("ny") - width + 1, *key)
-    return window(with_extents(df), top, left, height, width).drop("nz", "nx", "ny")
+    return window(with_extents(df, sizes), top, left, height, width).drop("nz", "nx", "ny")
 
 
-def paired_random_crop(low: DataFrame, high: DataFrame, sf: int, size: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """A window of the small image and the sf-times larger one of the large image, drawn once per slice."""
+def paired_random_crop(
+    low: DataFrame, high: DataFrame, sf: int, size: int, seed: int, sizes: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """A window of the small image and the sf-times larger one of the large image, drawn once per slice.
+
+    ``sizes`` are those of the small images.
+    """
     key = [F.col("volume_id"), F.col("z")]
-    sizes = extents(low)
+    sizes = extents(low) if sizes is None else sizes
 
     def one(df: DataFrame, factor: int) -> DataFrame:
         top = draws.integer(seed, "pair/x", 0, F.col("nx") - size + 1, *key) * factor
@@ -206,16 +221,16 @@ def every_kth(df: DataFrame, offset: int = 4, step: int = 8) -> DataFrame:
     return kept.withColumn("z", F.floor((F.col("z") - offset) / step).cast("int"))
 
 
-def modcrop(df: DataFrame, scale: int) -> DataFrame:
+def modcrop(df: DataFrame, scale: int, sizes: DataFrame | None = None) -> DataFrame:
     """Trim each plane axis by itself to a multiple of ``scale``."""
-    sized = with_extents(df)
+    sized = with_extents(df, sizes)
     return sized.where(
         (F.col("x") < F.col("nx") - F.col("nx") % scale) & (F.col("y") < F.col("ny") - F.col("ny") % scale)
     ).drop("nz", "nx", "ny")
 
 
-def shave(df: DataFrame, border: int) -> DataFrame:
-    sized = with_extents(df)
+def shave(df: DataFrame, border: int, sizes: DataFrame | None = None) -> DataFrame:
+    sized = with_extents(df, sizes)
     x, y = F.col("x"), F.col("y")
     inside = (x >= border) & (x < F.col("nx") - border) & (y >= border) & (y < F.col("ny") - border)
     return sized.where(inside).withColumns({"x": x - border, "y": y - border}).drop("nz", "nx", "ny")
@@ -238,20 +253,27 @@ def dihedral_place(mode: int | Column, x: Column, y: Column, nx: Column, ny: Col
     return F.when(odd, col).otherwise(row), F.when(odd, row).otherwise(col)
 
 
-def dihedral(df: DataFrame, mode: int | Column) -> DataFrame:
-    sized = with_extents(df)
+def dihedral(df: DataFrame, mode: int | Column, sizes: DataFrame | None = None) -> DataFrame:
+    sized = with_extents(df, sizes)
     x, y = dihedral_place(mode, F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))
     return sized.withColumns({"x": x, "y": y}).drop("nz", "nx", "ny")
 
 
-def augment(df: DataFrame, seed: int, hflip: bool = True, rot: bool = True, sample: str = "volume_id") -> DataFrame:
+def augment(
+    df: DataFrame,
+    seed: int,
+    hflip: bool = True,
+    rot: bool = True,
+    sample: str = "volume_id",
+    sizes: DataFrame | None = None,
+) -> DataFrame:
     """Horizontal flip, vertical flip and transpose, each with probability one half, equal for all images of a sample."""
     key = F.col(sample)
 
     def coin(name: str, allowed: bool) -> Column:
         return F.lit(allowed) & (draws.uniform(seed, name, key) < 0.5)
 
-    sized = with_extents(df)
+    sized = with_extents(df, sizes)
     row = F.when(coin("vflip", rot), F.col("nx") - 1 - F.col("x")).otherwise(F.col("x"))
     col = F.when(coin("hflip", hflip), F.col("ny") - 1 - F.col("y")).otherwise(F.col("y"))
     turn = coin("rot90", rot)
@@ -289,10 +311,10 @@ def six_views(df: DataFrame) -> DataFrame:
     return df.select("volume_id", F.explode(views).alias("s"), "v").select("volume_id", "s.*", "v")
 
 
-def view_group_random(df: DataFrame, seed: int) -> DataFrame:
+def view_group_random(df: DataFrame, seed: int, sizes: DataFrame | None = None) -> DataFrame:
     """One plane group of three per volume. The yz and xz groups come with z-flipped copies; xy counts double; all / 4."""
     group = draws.integer(seed, "viewgroup", 0, 3, F.col("volume_id"))
-    sized = with_extents(df)
+    sized = with_extents(df, sizes)
 
     def view(name, batch, row, col, flip, weight):
         spot = {"row": F.col(row), "col": F.col(col)}
@@ -321,7 +343,7 @@ def view_group_random(df: DataFrame, seed: int) -> DataFrame:
     return sized.select("volume_id", F.explode(choice).alias("s"), "v").select("volume_id", "s.*", "v")
 
 
-def hconcat(a: DataFrame, b: DataFrame, axis: str = "y") -> DataFrame:
-    """Place ``b`` behind ``a`` along an axis."""
-    moved = with_extents(b, extents(a)).withColumn(axis, F.col(axis) + F.col(f"n{axis}")).drop("nz", "nx", "ny")
+def hconcat(a: DataFrame, b: DataFrame, axis: str = "y", sizes: DataFrame | None = None) -> DataFrame:
+    """Place ``b`` behind ``a`` along an axis; ``sizes`` are those of ``a``."""
+    moved = with_extents(b, extents(a) if sizes is None else sizes).withColumn(axis, F.col(axis) + F.col(f"n{axis}")).drop("nz", "nx", "ny")
     return a.unionByName(moved.select(*a.columns))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratavox.functions import kernels
-from stratavox.operators.planes import by_shape
+from stratavox.operators.planes import PLANE, by_shape, map_batches
 
 COEFFICIENTS = "level int, m1 int, m2 int, h int, w int, data array<double>"
 
@@ -74,27 +74,36 @@ def scale(a: DataFrame, op: str, factor: float) -> DataFrame:
 
 
 def invdwt2(coefficients: DataFrame, masks: Sequence[Sequence[float]], levels: int, size: tuple[int, int]) -> DataFrame:
-    """Rebuild the images; a group is the coefficients of one image."""
+    """Rebuild the images; a row gathers the coefficients of one image."""
     sizes = [size]
     for _ in range(levels):
         sizes.append(tuple(len(analysis_weights(masks[0], n)) for n in sizes[-1]))
 
-    def rebuild(image: pd.DataFrame) -> pd.DataFrame:
-        parts = {(r.level, r.m1, r.m2): np.asarray(r.data).reshape(r.h, r.w) for r in image.itertuples()}
-        approx = parts[(levels, 0, 0)]
+    n = len(masks)
+    wanted = [(level, m1, m2) for level in range(1, levels + 1) for m1 in range(n) for m2 in range(n)]
+    at = F.struct("level", "m1", "m2")
+    wide = coefficients.groupBy("volume_id", "z").agg(
+        *[
+            F.first(F.when(at == F.struct(*[F.lit(i) for i in spot]), F.col("data")), ignorenulls=True).alias("c%d_%d_%d" % spot)
+            for spot in wanted
+        ]
+    )
+
+    def rebuild(batch: pd.DataFrame) -> pd.DataFrame:
+        def part(level: int, m1: int, m2: int) -> np.ndarray:
+            return np.stack(batch["c%d_%d_%d" % (level, m1, m2)].to_numpy()).reshape(len(batch), *sizes[level])
+
+        approx = part(levels, 0, 0)
         for level in range(levels, 0, -1):
             n_h, n_w = sizes[level - 1]
-            total = np.zeros((n_h, n_w))
+            total = np.zeros((len(batch), n_h, n_w))
             for m1, left in enumerate(masks):
                 for m2, right in enumerate(masks):
-                    c = approx if m1 == m2 == 0 else parts[(level, m1, m2)]
-                    total += 2 * analysis_weights(left, n_h).T @ c @ analysis_weights(right, n_w)
+                    c = approx if m1 == m2 == 0 else part(level, m1, m2)
+                    rows, cols = analysis_weights(left, n_h), analysis_weights(right, n_w)
+                    total += 2 * np.einsum("yh,byx,xw->bhw", rows, c, cols)
             approx = total
-        first = image.iloc[0]
-        return pd.DataFrame(
-            {"volume_id": [first["volume_id"]], "z": [first["z"]], "h": [size[0]], "w": [size[1]], "data": [approx.ravel()]}
-        )
+        flat = list(approx.reshape(len(batch), -1))
+        return pd.DataFrame({"h": size[0], "w": size[1], "data": flat})
 
-    return coefficients.groupBy("volume_id", "z").applyInPandas(
-        rebuild, "volume_id int, z int, h int, w int, data array<double>"
-    )
+    return map_batches(wide, rebuild, ["c%d_%d_%d" % spot for spot in wanted], PLANE)

@@ -34,10 +34,21 @@ def attach_small(
     of its own row, so a key with a third of all rows is still split.
     """
     kept = settle(small)
-    rows = kept.count()
+    return _join_counted(big, kept, on, kept.count(), how, max_rows, salts)
+
+
+def _join_counted(
+    big: DataFrame,
+    small: DataFrame,
+    on: Sequence[str],
+    rows: int,
+    how: str = "inner",
+    max_rows: int = BROADCAST_ROWS,
+    salts: int = SALTS,
+) -> DataFrame:
     if rows <= max_rows:
-        return big.join(F.broadcast(kept), list(on), how)
-    return salted_join(big, kept, on, how, salts)
+        return big.join(F.broadcast(small), list(on), how)
+    return salted_join(big, small, on, how, salts)
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
@@ -159,15 +170,17 @@ def exact_quantiles(
         F.col("n").alias("held"),
     ).select(*keys, "r.want", "r.k", "lo", "hi", "below", "held")
     while True:
-        state = settle(state)
-        open_ = state.where((F.col("hi") > F.col("lo")) & (F.col("held") > small)).limit(1).count()
+        # ``state`` is a projection of a settled frame here: reading it again is cheap.
+        seen = state.agg(
+            F.count(F.lit(1)).alias("rows"), F.max((F.col("hi") > F.col("lo")) & (F.col("held") > small)).alias("open")
+        ).head()
         ranges = state.select(*keys, "lo", "hi", "below").distinct()
-        inside = attach_small(data, ranges, keys).where(F.col("_v").between(F.col("lo"), F.col("hi")))
-        if open_:
-            cell = F.least(
-                F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins),
-                F.lit(bins - 1),
-            )
+        inside = _join_counted(data, ranges, keys, seen["rows"]).where(
+            F.col("_v").between(F.col("lo"), F.col("hi"))
+        )
+        if seen["open"]:
+            share = F.try_divide(F.col("_v") - F.col("lo"), F.col("hi") - F.col("lo"))
+            cell = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1))
         else:
             cell = F.col("_v")
         counts = inside.groupBy(*keys, "lo", "hi", "below", cell.alias("_cell")).agg(
@@ -175,8 +188,10 @@ def exact_quantiles(
         )
         upto = Window.partitionBy(*keys, "lo", "hi").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
         counts = counts.withColumn("_upto", F.col("below") + F.sum("_n").over(upto))
-        found = state.drop("below", "held").join(counts, [*keys, "lo", "hi"]).where(
-            (F.col("k") < F.col("_upto")) & (F.col("k") >= F.col("_upto") - F.col("_n"))
+        found = (
+            state.drop("below", "held")
+            .join(counts, [*keys, "lo", "hi"])
+            .where((F.col("k") < F.col("_upto")) & (F.col("k") >= F.col("_upto") - F.col("_n")))
         )
         state = found.select(
             *keys,
@@ -187,8 +202,9 @@ def exact_quantiles(
             (F.col("_upto") - F.col("_n")).alias("below"),
             F.col("_n").alias("held"),
         )
-        if not open_:
+        if not seen["open"]:
             break
+        state = settle(state)
     wide = state.groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("want") == f"{name}|{side}", F.col("lo"))).alias(f"_{name}_{side}")
