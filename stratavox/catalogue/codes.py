@@ -30,7 +30,7 @@ NEAREST = f"{NEAR} SELECT vec_id, CAST(code AS SMALLINT) AS code, round(d2,6) AS
 
 @query("j5_nearest_code", NEAREST)
 def j5_nearest_code(spark, sf):
-    return _out(assigned(spark, sf).select("vec_id", "code", "d2"), "d2")
+    return _out(assigned(spark, sf, "expression").select("vec_id", "code", "d2"), "d2")
 
 
 @query("j5_nearest_code_arrow", NEAREST)
@@ -127,16 +127,15 @@ m AS (SELECT layer, avg(loss) AS m FROM loss GROUP BY layer)"""
 @query("m12_nce_multi_layer", f"""{FEAT}, {LAYERS} SELECT round(sum(m*CASE layer WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 2.0 END)/4,6) AS nce FROM m""")
 def m12_nce_multi_layer(spark, sf):
     """Four layers: the quarters of each vector at unit length."""
-    from functools import reduce
-
     from stratavox.functions.vectors import l2_normalize
 
-    features = fx.features(spark, sf)
-    parts = []
-    for layer in range(4):
-        part = features.withColumn("f", l2_normalize(F.slice("f", layer * 16 + 1, 16)))
-        parts.append(contrast.patch_nce(part, layer=layer).withColumn("layer", F.lit(layer)))
-    losses = reduce(lambda a, b: a.unionByName(b), parts)
+    quarters = F.array(
+        *[F.struct(F.lit(n).alias("layer"), l2_normalize(F.slice("f", n * 16 + 1, 16)).alias("f")) for n in range(4)]
+    )
+    layered = fx.features(spark, sf).select("side", "image_id", "pos", F.explode(quarters).alias("q")).select(
+        "side", "image_id", "pos", "q.layer", "q.f"
+    )
+    losses = contrast.patch_nce(layered)
     return _out(contrast.nce_multi_layer(losses, {0: 1.0, 1: 1.0, 2: 0.5, 3: 2.0}), "nce")
 
 

@@ -141,12 +141,14 @@ SELECT 'low' AS side, volume_id, z, x-t AS x, y-l AS y, {RV} FROM lo JOIN d USIN
 UNION ALL SELECT 'high', volume_id, z, x-t*2, y-l*2, {RV} FROM event_voxels JOIN d USING (volume_id, z) WHERE x>=t*2 AND x<t*2+10 AND y>=l*2 AND y<l*2+10""",
 )
 def t6_paired_random_crop(spark, sf):
-    high = fx.event_voxels(spark, sf)
-    low = pooling.pool(high, (1, 2, 2), "mean", sizes=fx.event_sizes(spark, sf))
-    sizes = fx.event_sizes(spark, sf).withColumns({"nx": F.lit(12), "ny": F.lit(12)})
-    a, b = tiling.paired_random_crop(low, high, 2, 5, seed=3, sizes=sizes)
+    from stratavox.operators import planes
+    from stratavox.operators.layout import slices_to_voxels
+
+    high = fx.event_slices(spark, sf)
+    low = planes.resize(high, "area", (12, 12))
+    a, b = tiling.paired_random_crop(low, high, 2, 5, seed=3)
     both = a.withColumn("side", F.lit("low")).unionByName(b.withColumn("side", F.lit("high")))
-    return _out(both.select("side", "volume_id", "z", "x", "y", "v"))
+    return _out(slices_to_voxels(both).select("side", "volume_id", "z", "x", "y", "v"))
 
 
 @query(
@@ -164,7 +166,7 @@ def t7_crop_z(spark, sf):
 SELECT volume_id, (z-s)//3 AS z, x, y, {RV} FROM voxels JOIN d USING (volume_id) WHERE z>=s AND (z-s)%3=0""",
 )
 def t8_stride_z(spark, sf):
-    return _out(tiling.stride_z(fx.voxels(spark, sf), 3, seed=6))
+    return _out(tiling.stride_z(fx.voxels(spark, sf), 3, seed=6, sizes=fx.sizes(spark, sf)))
 
 
 @query(
@@ -224,7 +226,7 @@ def t13_augment_list(spark, sf):
 SELECT volume_id, z, CASE WHEN t THEN y ELSE x END AS x, CASE WHEN t THEN x ELSE y END AS y, {RV} FROM voxels JOIN c USING (volume_id)""",
 )
 def t15_swap_xy(spark, sf):
-    return _out(tiling.swap_xy(fx.voxels(spark, sf), seed=9))
+    return _out(tiling.swap_xy(fx.voxels(spark, sf), seed=9, sizes=fx.sizes(spark, sf)))
 
 
 @query(

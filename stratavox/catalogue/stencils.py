@@ -10,7 +10,7 @@ from stratavox.catalogue.geometry import draw_sql, integer_sql
 from stratavox.catalogue.registry import query
 from stratavox.functions import kernels
 from stratavox.operators import metrics, pairing, planes, register, resample, wavelet
-from stratavox.operators.layout import slices_to_voxels, voxels_to_slices
+from stratavox.operators.layout import reslice_x, slices_to_voxels
 
 V = "WITH " + fx.VOXELS_SQL
 E = "WITH " + fx.EVENTS_SQL
@@ -325,14 +325,14 @@ def _pyramid_sql() -> str:
 def r12_pyramid_pool(spark, sf):
     scaled = fx.event_slices(spark, sf).withColumn("data", F.transform("data", lambda v: v * 0.7310585786300049))
     out = planes.pyramid_pool(scaled)
-    names = ["v", "p1", "p2", "p3", "p6"]
-    stacked = out.select("volume_id", "z", "w", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(575)), lambda i: F.slice("data", i * 5 + 1, 5))).alias("i", "c"))
-    return stacked.select(
+    names = ["data", "p1", "p2", "p3", "p6"]
+    cells = out.select("volume_id", "z", "w", F.posexplode(F.arrays_zip(*names)).alias("i", "c"))
+    return cells.select(
         "volume_id",
         "z",
-        F.floor(F.col("i") / 24).cast("int").alias("x"),
-        (F.col("i") % 24).alias("y"),
-        *[(F.round(F.col("c")[k], 6) + 0.0).alias(n) for k, n in enumerate(names)],
+        F.expr("CAST(i DIV w AS INT)").alias("x"),
+        F.expr("CAST(i % w AS INT)").alias("y"),
+        *[(F.round(F.col("c")[n], 6) + 0.0).alias("v" if n == "data" else n) for n in names],
     )
 
 
@@ -425,13 +425,9 @@ def m4_ssim(spark, sf):
 
 @query("m5_ms_ssim")
 def m5_ms_ssim(spark, sf):
-    """Depth x user planes of each hour, even against odd days, three scales."""
+    """Depth x user planes of each hour against a dimmed copy, three scales."""
     levels = fx.event_slices(spark, sf).withColumn("data", F.transform("data", lambda v: 2.0 * v / (v + 50.0) - 1.0))
-    sides = []
-    for part in (levels, levels.withColumn("data", F.transform("data", lambda v: v * 0.9))):
-        vox = slices_to_voxels(part)
-        plane = vox.select("volume_id", F.col("x").alias("z"), F.col("z").alias("x"), "y", "v")
-        sides.append(voxels_to_slices(plane))
+    sides = [reslice_x(part) for part in (levels, levels.withColumn("data", F.transform("data", lambda v: v * 0.9)))]
     scored = planes.ms_ssim(pairing.slice_pairs(*sides), win=5)
     return scored.select("volume_id", F.col("z").alias("hour"), "ms_ssim")
 

@@ -19,7 +19,7 @@ from stratavox.operators.tiling import extents
 from stratavox.scale import attach_small
 
 MAX_CODES = 65_536
-INLINE_CELLS = 4_096
+INLINE_CELLS = 256
 
 
 def _load(codebook: DataFrame) -> tuple[np.ndarray, np.ndarray]:

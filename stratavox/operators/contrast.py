@@ -18,7 +18,8 @@ BLOCK = 256
 
 
 def _sides(features: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    ids = list(dict.fromkeys([*group, "image_id", "pos"]))
+    layer = ["layer"] if "layer" in features.columns else []
+    ids = list(dict.fromkeys([*layer, *group, "image_id", "pos"]))
     q = features.where("side = 'q'").select(*ids, F.col("f").alias("q"))
     k = features.where("side = 'k'").select(*ids, F.col("f").alias("k"))
     return q, k
@@ -56,12 +57,15 @@ def patch_nce(
     """Loss per query: cross entropy of its own key against the keys of the group (own entry set to -10).
 
     ``patches`` positions are sampled first; 0 uses all of them. ``group=['batch']`` takes negatives of the whole batch.
-    Each block gives a partial (maximum, sum of exponentials), merged per query.
+    A ``layer`` column keeps layers apart. Each block gives a partial log-sum of exponentials, merged per query.
     """
     if patches:
         features = sample_positions(features, patches, seed, layer)
+    ids = ["image_id", "pos"]
+    if "layer" in features.columns:
+        ids, group = ["layer", *ids], ["layer", *group]
     q, k = _sides(features, group)
-    own = q.join(k.select("image_id", "pos", "k"), ["image_id", "pos"]).withColumn(
+    own = q.join(k.select(*ids, "k"), ids).withColumn(
         "_pos_logit", vectors.dot(F.col("q"), F.col("k")) / temperature
     )
     met = own.drop("k").join(_blocks(k, group), list(group))
@@ -70,14 +74,14 @@ def patch_nce(
         same = (e["image_id"] == F.col("image_id")) & (e["pos"] == F.col("pos"))
         return F.when(same, F.lit(-10.0)).otherwise(vectors.dot(F.col("q"), e["k"])) / temperature
 
-    partial = met.select("image_id", "pos", "_pos_logit", F.transform("_keys", logit).alias("_l")).select(
-        "image_id", "pos", "_pos_logit", vectors.log_sum_exp(F.col("_l")).alias("_lse")
+    partial = met.select(*ids, "_pos_logit", F.transform("_keys", logit).alias("_l")).select(
+        *ids, "_pos_logit", vectors.log_sum_exp(F.col("_l")).alias("_lse")
     )
-    merged = partial.groupBy("image_id", "pos").agg(
+    merged = partial.groupBy(*ids).agg(
         F.first("_pos_logit").alias("_p"), F.collect_list("_lse").alias("_parts")
     )
     whole = vectors.log_sum_exp(F.concat(F.array("_p"), F.col("_parts")))
-    return merged.select("image_id", "pos", (whole - F.col("_p")).alias("loss"))
+    return merged.select(*ids, (whole - F.col("_p")).alias("loss"))
 
 
 def nce_multi_layer(losses: DataFrame, weights: dict[int, float], divisor: float | None = None) -> DataFrame:

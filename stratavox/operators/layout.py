@@ -24,3 +24,25 @@ def voxels_to_slices(voxels: DataFrame, keys: list[str] | None = None, value: st
     return voxels.groupBy(*keys).agg(
         (F.max("x") + 1).alias("h"), (F.max("y") + 1).alias("w"), F.transform(cells, lambda c: c["v"]).alias("data")
     )
+
+
+def reslice_x(slices: DataFrame) -> DataFrame:
+    """Planes (Z, Y) along X as block rows, ``z`` numbering the x places.
+
+    Whole plane rows move through the shuffle, not voxels; cut deep volumes in z windows first.
+    """
+    places = F.sequence(F.lit(0), F.col("h") - 1)
+    rows = slices.select("volume_id", "z", "w", "data", F.explode(places).alias("x")).select(
+        "volume_id",
+        F.col("x"),
+        "w",
+        F.struct("z", F.slice("data", F.col("x") * F.col("w") + 1, F.col("w")).alias("row")).alias("r"),
+    )
+    gathered = rows.groupBy("volume_id", "x", "w").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    return gathered.select(
+        "volume_id",
+        F.col("x").alias("z"),
+        F.size("rs").alias("h"),
+        "w",
+        F.flatten(F.transform("rs", lambda r: r["row"])).alias("data"),
+    )

@@ -215,19 +215,22 @@ def batch_resize(df: DataFrame, batch: Column, low: int, high: int, seed: int) -
 
 
 def pyramid_pool(df: DataFrame, levels: tuple[int, ...] = (1, 2, 3, 6)) -> DataFrame:
-    """Input plus the plane pooled to 1, 2, 3, 6 cells per side and brought back linearly: one array of channels per pixel."""
+    """Adds p1, p2, p3, p6: the plane pooled to so many cells per side and brought back linearly, next to the input."""
 
-    def fn(block: np.ndarray) -> np.ndarray:
-        h, w = block.shape[1:3]
-        parts = [block]
-        for level in levels:
-            pool_h, pool_w = kernels.pool_weights(h, h // level), kernels.pool_weights(w, w // level)
-            rows = kernels.resize_weights("linear", len(pool_h), h) @ pool_h
-            cols = kernels.resize_weights("linear", len(pool_w), w) @ pool_w
-            parts.append(separable(block, rows, cols))
-        return np.concatenate(parts, axis=3)
-
-    return map_planes(df, fn)
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        out = {f"p{n}": [None] * len(batch) for n in levels}
+        for at, block in by_shape(batch["data"], batch["h"], batch["w"]):
+            h, w = block.shape[1:3]
+            for n in levels:
+                pool_h, pool_w = kernels.pool_weights(h, h // n), kernels.pool_weights(w, w // n)
+                rows = kernels.resize_weights("linear", len(pool_h), h) @ pool_h
+                cols = kernels.resize_weights("linear", len(pool_w), w) @ pool_w
+                for i, flat in zip(at, separable(block, rows, cols).reshape(len(at), -1)):
+                    out[f"p{n}"][i] = flat
+        return pd.concat([batch, pd.DataFrame(out)], axis=1)
+
+    made = ", ".join(f"p{n} array<double>" for n in levels)
+    return map_batches(df, run, ["h", "w", "data"], f"{PLANE}, {made}")
 
 
 def shift_pixel(df: DataFrame, scale: int, upper_left: bool = True) -> DataFrame:

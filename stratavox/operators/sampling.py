@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratavox.functions import draws
@@ -24,10 +24,16 @@ def shuffle_batches(df: DataFrame, id_col: str, size: int, seed: int, drop_last:
 
 
 def sample_positions(features: DataFrame, n: int, seed: int, layer: int = 0) -> DataFrame:
-    """Keep ``n`` positions without replacement, equal for all images and sides.
+    """Keep ``n`` positions without replacement, equal for all images and sides; per ``layer`` if there is such a column.
 
-    The top-n of a keyed draw over the distinct positions is a limit after a sort, so each task keeps n rows.
+    The n smallest keyed draws over the distinct positions: a rank limit, so each task forwards at most n rows per layer.
     """
-    places = features.select("pos").distinct()
-    chosen = places.orderBy(draws.uniform(seed, "positions", F.lit(layer), F.col("pos")), "pos").limit(n)
-    return attach_small(features, chosen, ["pos"], "left_semi")
+    keys = ["layer", "pos"] if "layer" in features.columns else ["pos"]
+    which = F.col("layer") if "layer" in features.columns else F.lit(layer)
+    places = features.select(*keys).distinct().withColumn("_u", draws.uniform(seed, "positions", which, F.col("pos")))
+    if "layer" in features.columns:
+        rank = F.row_number().over(Window.partitionBy("layer").orderBy("_u", "pos"))
+        chosen = places.withColumn("_r", rank).where(F.col("_r") <= n).select(*keys)
+    else:
+        chosen = places.orderBy("_u", "pos").limit(n).select(*keys)
+    return attach_small(features, chosen, keys, "left_semi")

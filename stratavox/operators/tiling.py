@@ -24,9 +24,13 @@ def extents(df: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
     return df.groupBy(*keys).agg(*[(F.max(a) + 1).alias(f"n{a}") for a in AXES])
 
 
-def with_extents(df: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """Add nz, nx, ny. A catalog usually knows the sizes; without ``sizes`` they cost a scan."""
-    return attach_small(df, extents(df) if sizes is None else sizes, ["volume_id"])
+def with_extents(df: DataFrame, sizes: DataFrame | None = None, **per_volume: Column) -> DataFrame:
+    """Add nz, nx, ny. A catalog usually knows the sizes; without ``sizes`` they cost a scan.
+
+    Further columns (draws, say) are worked out once per volume, on the size table, and ride along.
+    """
+    table = extents(df) if sizes is None else sizes
+    return attach_small(df, table.withColumns(per_volume) if per_volume else table, ["volume_id"])
 
 
 def tile_grid(
@@ -165,35 +169,30 @@ def center_crop(df: DataFrame, height: int, width: int, sizes: DataFrame | None
     return window(with_extents(df, sizes), top, left, height, width).drop("nz", "nx", "ny")
 
 
-def random_crop(
-    df: DataFrame,
-    height: int,
-    width: int,
-    seed: int,
-    sample: Sequence[str] = ("volume_id",),
-    sizes: DataFrame | None = None,
-) -> DataFrame:
-    """Same window for every image of a sample: the draw is keyed on the sample id."""
-    key = [F.col(c) for c in sample]
-    top = draws.integer(seed, "crop/x", 0, F.col("nx") - height + 1, *key)
-    left = draws.integer(seed, "crop/y", 0, F.col("ny") - width + 1, *key)
-    return window(with_extents(df, sizes), top, left, height, width).drop("nz", "nx", "ny")
-
+def random_crop(df: DataFrame, height: int, width: int, seed: int, sizes: DataFrame | None = None) -> DataFrame:
+    """Same window for every image of a sample (volume): the draw is keyed on the sample id."""
+    key = F.col("volume_id")
+    placed = with_extents(
+        df,
+        sizes,
+        _top=draws.integer(seed, "crop/x", 0, F.col("nx") - height + 1, key),
+        _left=draws.integer(seed, "crop/y", 0, F.col("ny") - width + 1, key),
+    )
+    return window(placed, F.col("_top"), F.col("_left"), height, width).select(*df.columns)
 
-def paired_random_crop(
-    low: DataFrame, high: DataFrame, sf: int, size: int, seed: int, sizes: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """A window of the small image and the sf-times larger one of the large image, drawn once per slice.
 
-    ``sizes`` are those of the small images.
-    """
+def paired_random_crop(low: DataFrame, high: DataFrame, sf: int, size: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """On block rows: a window of the small image and the sf-times larger one of the large image, drawn once per slice."""
     key = [F.col("volume_id"), F.col("z")]
-    sizes = extents(low) if sizes is None else sizes
 
     def one(df: DataFrame, factor: int) -> DataFrame:
-        top = draws.integer(seed, "pair/x", 0, F.col("nx") - size + 1, *key) * factor
-        left = draws.integer(seed, "pair/y", 0, F.col("ny") - size + 1, *key) * factor
-        return window(with_extents(df, sizes), top, left, size * factor, size * factor).drop("nz", "nx", "ny")
+        placed = df.withColumns(
+            {
+                "_top": draws.integer(seed, "pair/x", 0, F.col("h") / factor - size + 1, *key) * factor,
+                "_left": draws.integer(seed, "pair/y", 0, F.col("w") / factor - size + 1, *key) * factor,
+            }
+        ).withColumn("data", _cut(F.col("_top"), F.col("_left"), size * factor, size * factor))
+        return placed.withColumns({"h": F.lit(size * factor), "w": F.lit(size * factor)}).select(*df.columns)
 
     return one(low, 1), one(high, sf)
 
@@ -202,18 +201,24 @@ def crop_z(df: DataFrame, depth: int, seed: int | None = None, sizes: DataFrame
     """A z window of ``depth`` slices; start 0 without a seed, else drawn in [0, size - depth)."""
     if depth <= 0:
         return df
-    sized = with_extents(df, sizes)
+    if seed is None:
+        return df.where(F.col("z") < depth)
     room = F.greatest(F.col("nz") - depth, F.lit(1))
-    start = F.lit(0) if seed is None else draws.integer(seed, "cropz", 0, room, F.col("volume_id"))
+    sized = with_extents(df, sizes, _start=draws.integer(seed, "cropz", 0, room, F.col("volume_id")))
+    start = F.col("_start")
     kept = sized.where((F.col("z") >= start) & (F.col("z") < start + depth))
-    return kept.withColumn("z", F.col("z") - start).drop("nz", "nx", "ny")
+    return kept.withColumn("z", F.col("z") - start).select(*df.columns)
 
 
-def stride_z(df: DataFrame, step: int, seed: int | None = None) -> DataFrame:
+def stride_z(df: DataFrame, step: int, seed: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Every step-th slice from phase 0, or from a phase drawn per volume."""
-    phase = F.lit(0) if seed is None else draws.integer(seed, "stridez", 0, step, F.col("volume_id"))
-    kept = df.where((F.col("z") >= phase) & ((F.col("z") - phase) % step == 0))
-    return kept.withColumn("z", ((F.col("z") - phase) / step).cast("int"))
+    phase = F.lit(0)
+    placed = df
+    if seed is not None:
+        placed = with_extents(df, sizes, _phase=draws.integer(seed, "stridez", 0, step, F.col("volume_id")))
+        phase = F.col("_phase")
+    kept = placed.where((F.col("z") >= phase) & ((F.col("z") - phase) % step == 0))
+    return kept.withColumn("z", ((F.col("z") - phase) / step).cast("int")).select(*df.columns)
 
 
 def every_kth(df: DataFrame, offset: int = 4, step: int = 8) -> DataFrame:
@@ -260,33 +265,29 @@ def dihedral(df: DataFrame, mode: int | Column, sizes: DataFrame | None = None)
 
 
 def augment(
-    df: DataFrame,
-    seed: int,
-    hflip: bool = True,
-    rot: bool = True,
-    sample: str = "volume_id",
-    sizes: DataFrame | None = None,
+    df: DataFrame, seed: int, hflip: bool = True, rot: bool = True, sizes: DataFrame | None = None
 ) -> DataFrame:
-    """Horizontal flip, vertical flip and transpose, each with probability one half, equal for all images of a sample."""
-    key = F.col(sample)
+    """Horizontal flip, vertical flip and transpose, each with probability one half, equal for all images of a sample (volume)."""
 
     def coin(name: str, allowed: bool) -> Column:
-        return F.lit(allowed) & (draws.uniform(seed, name, key) < 0.5)
+        return F.lit(allowed) & (draws.uniform(seed, name, F.col("volume_id")) < 0.5)
 
-    sized = with_extents(df, sizes)
-    row = F.when(coin("vflip", rot), F.col("nx") - 1 - F.col("x")).otherwise(F.col("x"))
-    col = F.when(coin("hflip", hflip), F.col("ny") - 1 - F.col("y")).otherwise(F.col("y"))
-    turn = coin("rot90", rot)
+    sized = with_extents(df, sizes, _h=coin("hflip", hflip), _v=coin("vflip", rot), _t=coin("rot90", rot))
+    row = F.when(F.col("_v"), F.col("nx") - 1 - F.col("x")).otherwise(F.col("x"))
+    col = F.when(F.col("_h"), F.col("ny") - 1 - F.col("y")).otherwise(F.col("y"))
     return sized.withColumns(
-        {"x": F.when(turn, col).otherwise(row), "y": F.when(turn, row).otherwise(col)}
-    ).drop("nz", "nx", "ny")
+        {"x": F.when(F.col("_t"), col).otherwise(row), "y": F.when(F.col("_t"), row).otherwise(col)}
+    ).select(*df.columns)
 
 
-def swap_xy(df: DataFrame, seed: int, p: float = 0.5) -> DataFrame:
-    turn = draws.uniform(seed, "swapxy", F.col("volume_id")) < p
-    return df.withColumns(
-        {"x": F.when(turn, F.col("y")).otherwise(F.col("x")), "y": F.when(turn, F.col("x")).otherwise(F.col("y"))}
-    )
+def swap_xy(df: DataFrame, seed: int, p: float = 0.5, sizes: DataFrame | None = None) -> DataFrame:
+    turned = with_extents(df, sizes, _t=draws.uniform(seed, "swapxy", F.col("volume_id")) < p)
+    return turned.withColumns(
+        {
+            "x": F.when(F.col("_t"), F.col("y")).otherwise(F.col("x")),
+            "y": F.when(F.col("_t"), F.col("x")).otherwise(F.col("y")),
+        }
+    ).select(*df.columns)
 
 
 # The six planes as (name, stacking axis, row axis, column axis).
@@ -313,8 +314,8 @@ def six_views(df: DataFrame) -> DataFrame:
 
 def view_group_random(df: DataFrame, seed: int, sizes: DataFrame | None = None) -> DataFrame:
     """One plane group of three per volume. The yz and xz groups come with z-flipped copies; xy counts double; all / 4."""
-    group = draws.integer(seed, "viewgroup", 0, 3, F.col("volume_id"))
-    sized = with_extents(df, sizes)
+    sized = with_extents(df, sizes, _group=draws.integer(seed, "viewgroup", 0, 3, F.col("volume_id")))
+    group = F.col("_group")
 
     def view(name, batch, row, col, flip, weight):
         spot = {"row": F.col(row), "col": F.col(col)}

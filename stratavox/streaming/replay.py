@@ -28,26 +28,24 @@ class ReplayProcessor(StatefulProcessor):
         self.size, self.seed, self.order = size, seed, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", T.StructType([T.StructField("n", T.LongType())]))
-        place = T.StructType([T.StructField("place", T.IntegerType())])
-        value = T.StructType([T.StructField("v", T.DoubleType())])
-        self.held = handle.getMapState("held", place, value)
+        fields = [T.StructField("n", T.LongType()), T.StructField("held", T.ArrayType(T.DoubleType()))]
+        self.state = handle.getValueState("buffer", T.StructType(fields))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n = self.count.get()[0] if self.count.exists() else 0
+        n, held = self.state.get() if self.state.exists() else (0, [])
+        held = list(held)
         arrived = pd.concat(list(rows)).sort_values(self.order)
         out = []
         for v in arrived["v"]:
             emitted = v
             if n < self.size:
-                self.held.updateValue((n,), (v,))
+                held.append(v)
             elif _uniform(self.seed, "swap", key[0], n) > 0.5:
                 place = int(_uniform(self.seed, "place", key[0], n) * self.size)
-                emitted = self.held.getValue((place,))[0]
-                self.held.updateValue((place,), (v,))
+                emitted, held[place] = held[place], v
             out.append((key[0], n, v, emitted))
             n += 1
-        self.count.update((n,))
+        self.state.update((n, held))
         yield pd.DataFrame(out, columns=["key", "n", "v", "emitted"])
 
     def close(self) -> None:
