@@ -7,7 +7,7 @@ from types import SimpleNamespace
 
 from stratavox.catalogue.registry import ORACLES, QUERIES
 
-MODULES = ("intensity", "geometry", "sampling", "sources", "metrics", "codes", "stencils", "degradation", "stateful")
+MODULES = ("intensity", "geometry", "sampling", "sources", "metrics", "codes", "stencils", "degradation", "stateful", "journeys")
 
 
 def load() -> SimpleNamespace:

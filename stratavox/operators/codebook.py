@@ -85,7 +85,7 @@ def remap_codes(codes: DataFrame, used: DataFrame) -> DataFrame:
 
 def code_lookup(codes: DataFrame, codebook: DataFrame) -> DataFrame:
     """Codes to vectors."""
-    return attach_small(codes, codebook.withColumn("code", F.col("code").cast("short")), ["code"], max_rows=MAX_CODES)
+    return attach_small(codes, codebook.withColumn("code", F.col("code").cast("short")), ["code"])
 
 
 def usage(codes: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -13,7 +13,6 @@ from stratavox.operators.layout import slices_to_voxels, voxels_to_slices
 from stratavox.scale import attach_small
 
 DIRECT_SIDE = 16
-REFERENCE_ROWS = 10_000
 
 
 def reference_planes(slices: DataFrame, reference: str | DataFrame = "first") -> DataFrame:
@@ -77,7 +76,7 @@ def slice_shifts(slices: DataFrame, reference: str | DataFrame = "first", subpix
                 dy[i], dx[i] = rows[k] - (a.shape[1] - 1) + off_y, cols[k] - (a.shape[2] - 1) + off_x
         return pd.DataFrame({"dy": dy, "dx": dx})
 
-    both = attach_small(slices, refs, ["volume_id"], max_rows=REFERENCE_ROWS)
+    both = attach_small(slices, refs, ["volume_id"])
     ready = both.select("volume_id", "z", "h", "w", clean.alias("img"), clean_ref.alias("ref"))
     return planes.map_batches(ready, measure, ["h", "w", "img", "ref"], "dy double, dx double")
 

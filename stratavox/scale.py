@@ -1,6 +1,6 @@
 """Primitives that keep every other operator safe when one key holds much of the data.
 
-* ``attach_small``  - join per-key statistics: broadcast only after counting them, salted shuffle join beyond.
+* ``attach_small``  - join per-key statistics: broadcast only after weighing them, salted shuffle join beyond.
 * ``rank_ids``      - position of integer ids inside a key, with bounded window groups.
 * ``prefix_sum``    - exact running totals over any sort order, no window over a whole key.
 * ``exact_quantiles`` - linear-interpolated percentiles by interval refinement, no sort of the data.
@@ -16,46 +16,54 @@ from pyspark.sql import functions as F
 from stratavox.session import settle
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 2**20
+WIDE_ROW_BYTES = 16 * 2**10
 SALTS = 64
 
 
+def weigh(df: DataFrame) -> tuple[int, int]:
+    """Rows and about how many bytes they take, from one cheap pass over a settled frame."""
+    sizes = [
+        F.sum(F.size(f.name) * 8) if f.dataType.typeName() == "array" else F.sum(F.length(f.name))
+        for f in df.schema.fields
+        if f.dataType.typeName() in ("array", "string", "binary")
+    ]
+    row = df.agg(F.count(F.lit(1)), *sizes).head()
+    return row[0], row[0] * 16 * len(df.columns) + sum(v or 0 for v in row[1:])
+
+
 def attach_small(
     big: DataFrame,
     small: DataFrame,
     on: Sequence[str],
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join ``small`` (one or few narrow rows per key) to ``big`` on ``on``.
+    """Join ``small`` (one or few rows per key) to ``big`` on ``on``.
 
-    ``small`` is computed once, into the checkpoint folder, and counted. Up to ``max_rows`` it is
-    broadcast and ``big`` is not shuffled. Beyond that ``big`` is spread over ``salts`` sub-keys by a hash
-    of its own row, so a key with a third of all rows is still split.
+    ``small`` is computed once, into the checkpoint folder, and weighed. Within the bounds it is
+    broadcast and ``big`` is not shuffled. Beyond them narrow rows meet in a salted join, and rows of many bytes in a
+    plain shuffle join, where the adaptive skew rule repeats only what a hot key needs.
     """
     kept = settle(small)
-    return _join_counted(big, kept, on, kept.count(), how, max_rows, salts)
-
-
-def _join_counted(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    rows: int,
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    if rows <= max_rows:
-        return big.join(F.broadcast(small), list(on), how)
-    return salted_join(big, small, on, how, salts)
+    rows, size = weigh(kept)
+    if rows <= max_rows and size <= max_bytes:
+        return big.join(F.broadcast(kept), list(on), how)
+    if rows and size / rows > WIDE_ROW_BYTES:
+        return big.join(kept, list(on), how)
+    return salted_join(big, kept, on, how)
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Spread ``big`` over ``salts`` sub-keys by a hash of its own row, so that a key with a third of all rows is split."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salting repeats the right side, which {how} joins cannot bear")
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    plain = [f.name for f in big.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]
+    chosen = plain if set(plain) - set(on) else big.columns
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*chosen), F.lit(salts)))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    repeated = small.withColumn("_salt", F.explode(every))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
@@ -149,65 +157,75 @@ def exact_quantiles(
     values they are counted one by one. A dense volume of 10**13 voxels needs two rounds.
     """
     keys = list(keys)
-    data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
+        F.col("_v").isNotNull() & ~F.isnan("_v")
+    )
     span = settle(
         data.groupBy(*keys).agg(F.min("_v").alias("v_min"), F.max("_v").alias("v_max"), F.count("_v").alias("n"))
     )
     names = list(probs)
     ranks = F.array(
         *[
-            F.struct(F.lit(f"{name}|{side}").alias("want"), func(F.lit(p) * (F.col("n") - 1)).cast("long").alias("k"))
+            F.struct(F.lit(f"{name}|{side}").alias("_want"), func(F.lit(p) * (F.col("n") - 1)).cast("long").alias("_k"))
             for name, p in probs.items()
             for side, func in (("lo", F.floor), ("hi", F.ceil))
         ]
     )
     state = span.select(
         *keys,
-        F.explode(ranks).alias("r"),
-        F.col("v_min").alias("lo"),
-        F.col("v_max").alias("hi"),
-        F.lit(0).cast("long").alias("below"),
-        F.col("n").alias("held"),
-    ).select(*keys, "r.want", "r.k", "lo", "hi", "below", "held")
+        F.explode(ranks).alias("_r"),
+        F.col("v_min").alias("_from"),
+        F.col("v_max").alias("_to"),
+        F.lit(0).cast("long").alias("_below"),
+        F.col("n").alias("_held"),
+    ).select(*keys, "_r._want", "_r._k", "_from", "_to", "_below", "_held")
+    last = None
     while True:
         # ``state`` is a projection of a settled frame here: reading it again is cheap.
         seen = state.agg(
-            F.count(F.lit(1)).alias("rows"), F.max((F.col("hi") > F.col("lo")) & (F.col("held") > small)).alias("open")
+            F.count(F.lit(1)).alias("rows"),
+            F.sum("_held").alias("held"),
+            F.max((F.col("_to") > F.col("_from")) & (F.col("_held") > small)).alias("open"),
         ).head()
-        ranges = state.select(*keys, "lo", "hi", "below").distinct()
-        inside = _join_counted(data, ranges, keys, seen["rows"]).where(
-            F.col("_v").between(F.col("lo"), F.col("hi"))
-        )
-        if seen["open"]:
-            share = F.try_divide(F.col("_v") - F.col("lo"), F.col("hi") - F.col("lo"))
+        # Cells that cannot part the values (infinite spans) are counted value by value too.
+        split = seen["open"] and seen["held"] != last
+        last = seen["held"]
+        ranges = state.select(*keys, "_from", "_to", "_below").distinct()
+        if seen["rows"] <= BROADCAST_ROWS:
+            met = data.join(F.broadcast(ranges), keys)
+        else:
+            met = salted_join(data, ranges, keys)
+        inside = met.where(F.col("_v").between(F.col("_from"), F.col("_to")))
+        if split:
+            share = F.try_divide(F.col("_v") - F.col("_from"), F.col("_to") - F.col("_from"))
             cell = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1))
         else:
             cell = F.col("_v")
-        counts = inside.groupBy(*keys, "lo", "hi", "below", cell.alias("_cell")).agg(
+        counts = inside.groupBy(*keys, "_from", "_to", "_below", cell.alias("_cell")).agg(
             F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
         )
-        upto = Window.partitionBy(*keys, "lo", "hi").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-        counts = counts.withColumn("_upto", F.col("below") + F.sum("_n").over(upto))
+        upto = Window.partitionBy(*keys, "_from", "_to").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("_upto", F.col("_below") + F.sum("_n").over(upto))
         found = (
-            state.drop("below", "held")
-            .join(counts, [*keys, "lo", "hi"])
-            .where((F.col("k") < F.col("_upto")) & (F.col("k") >= F.col("_upto") - F.col("_n")))
+            state.drop("_below", "_held")
+            .join(counts, [*keys, "_from", "_to"])
+            .where((F.col("_k") < F.col("_upto")) & (F.col("_k") >= F.col("_upto") - F.col("_n")))
         )
         state = found.select(
             *keys,
-            "want",
-            "k",
-            F.col("_lo").alias("lo"),
-            F.col("_hi").alias("hi"),
-            (F.col("_upto") - F.col("_n")).alias("below"),
-            F.col("_n").alias("held"),
+            "_want",
+            "_k",
+            F.col("_lo").alias("_from"),
+            F.col("_hi").alias("_to"),
+            (F.col("_upto") - F.col("_n")).alias("_below"),
+            F.col("_n").alias("_held"),
         )
-        if not seen["open"]:
+        if not split:
             break
         state = settle(state)
     wide = state.groupBy(*keys).agg(
         *[
-            F.max(F.when(F.col("want") == f"{name}|{side}", F.col("lo"))).alias(f"_{name}_{side}")
+            F.max(F.when(F.col("_want") == f"{name}|{side}", F.col("_from"))).alias(f"_{name}_{side}")
             for name in names
             for side in ("lo", "hi")
         ]
