@@ -423,13 +423,35 @@ def m4_ssim(spark, sf):
     return out.select("volume_id", "z", F.round("ssim", 6).alias("ssim"))
 
 
-@query("m5_ms_ssim")
+def _ms_ssim_sql() -> str:
+    """Three scales of 5-tap windows on 30 x 24 planes; 2 x 2 means between, odd lengths padded by a counted zero."""
+    ctes = [
+        "g AS (SELECT range AS k, exp(-(range-2)*(range-2)/(2*1.5*1.5::DOUBLE)) AS w FROM range(0,5)), gn AS (SELECT k, w/(SELECT sum(w) FROM g) AS w FROM g)",
+        "p0 AS (SELECT volume_id, x AS hour, z AS r, y AS c, 2*v/(v+50)-1 AS a, (2*v/(v+50)-1)*0.9 AS b FROM event_voxels)",
+    ]
+    h, w, parts = 30, 24, []
+    c1, c2 = 0.02**2, 0.06**2
+    for level in range(3):
+        sums = "sum(gn.w*a) AS a, sum(gn.w*b) AS b, sum(gn.w*{aa}) AS aa, sum(gn.w*{bb}) AS bb, sum(gn.w*{ab}) AS ab"
+        ctes.append(f"u{level} AS (SELECT volume_id, hour, r-k AS r, c, {sums.format(aa='a*a', bb='b*b', ab='a*b')} FROM p{level}, gn WHERE r-k BETWEEN 0 AND {h - 5} GROUP BY ALL)")
+        ctes.append(f"w{level} AS (SELECT volume_id, hour, r, c-k AS c, {sums.format(aa='aa', bb='bb', ab='ab')} FROM u{level}, gn WHERE c-k BETWEEN 0 AND {w - 5} GROUP BY ALL)")
+        contrast = f"(2*(ab-a*b)+{c2!r}::DOUBLE)/(aa-a*a+bb-b*b+{c2!r}::DOUBLE)"
+        value = contrast if level < 2 else f"(2*a*b+{c1!r}::DOUBLE)/(a*a+b*b+{c1!r}::DOUBLE)*{contrast}"
+        ctes.append(f"s{level} AS (SELECT volume_id, hour, greatest(avg({value}),0) AS s FROM w{level} GROUP BY ALL)")
+        parts.append(f"power(s{level}.s, {planes.MS_WEIGHTS[level]!r}::DOUBLE)")
+        if level < 2:
+            ctes.append(f"p{level + 1} AS (SELECT volume_id, hour, (r+{h % 2})//2 AS r, (c+{w % 2})//2 AS c, sum(a)/4 AS a, sum(b)/4 AS b FROM p{level} GROUP BY ALL)")
+            h, w = (h + 2 * (h % 2) - 2) // 2 + 1, (w + 2 * (w % 2) - 2) // 2 + 1
+    return f"{E}, {', '.join(ctes)} SELECT volume_id, hour, round({'*'.join(parts)},6) AS ms_ssim FROM s0 JOIN s1 USING (volume_id, hour) JOIN s2 USING (volume_id, hour)"
+
+
+@query("m5_ms_ssim", _ms_ssim_sql())
 def m5_ms_ssim(spark, sf):
     """Depth x user planes of each hour against a dimmed copy, three scales."""
     levels = fx.event_slices(spark, sf).withColumn("data", F.transform("data", lambda v: 2.0 * v / (v + 50.0) - 1.0))
     sides = [reslice_x(part) for part in (levels, levels.withColumn("data", F.transform("data", lambda v: v * 0.9)))]
     scored = planes.ms_ssim(pairing.slice_pairs(*sides), win=5)
-    return scored.select("volume_id", F.col("z").alias("hour"), "ms_ssim")
+    return scored.select("volume_id", F.col("z").alias("hour"), F.round("ms_ssim", 6).alias("ms_ssim"))
 
 
 @query(

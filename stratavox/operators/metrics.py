@@ -224,7 +224,12 @@ def slice_pool(df: DataFrame, value: str = "v") -> DataFrame:
 def value_counts(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str = "v", previous: bool = False) -> DataFrame:
     """Distinct values with count, running share, and total; optionally the next smaller value."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    run = prefix_sum(counts, keys, [value], {"upto": F.col("n")}, previous={"prev": value} if previous else None)
-    joined = attach_small(run, totals, list(keys))
-    return joined.withColumn("cdf", F.col("upto") / F.col("total"))
+    run = prefix_sum(
+        counts,
+        keys,
+        [value],
+        {"upto": F.col("n")},
+        previous={"prev": value} if previous else None,
+        totals_of={"total": "upto"},
+    )
+    return run.withColumn("cdf", F.col("upto") / F.col("total"))

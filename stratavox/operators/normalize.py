@@ -48,17 +48,6 @@ def normalize(df: DataFrame, mode: str | None, keys: Sequence[str] = VOLUME, val
     return _with_stats(df, keys, value, scale(F.col(value), F.col("v_min"), F.col("v_max")))
 
 
-def clip_and_normalize(
-    df: DataFrame, low: float, high: float, mode: str = "11", keys: Sequence[str] = VOLUME, value: str = "v"
-) -> DataFrame:
-    """``percentile_clip`` then ``normalize`` with one statistics pass: after clipping, the extremes are the percentiles."""
-    q = exact_quantiles(df, keys, value, {"p_lo": low / 100.0, "p_hi": high / 100.0}).select(*keys, "p_lo", "p_hi")
-    scale = pixel.unit_range if mode == "01" else pixel.signed_range
-    clipped = pixel.clip(F.col(value), F.col("p_lo"), F.col("p_hi"))
-    # The clipped extremes equal the percentiles: values lie on both sides of each interpolated bound or on it.
-    return attach_small(df, q, keys).withColumn(value, scale(clipped, F.col("p_lo"), F.col("p_hi"))).select(*df.columns)
-
-
 def z_rescale(df: DataFrame, limit: float = 6.0, keys: Sequence[str] = VOLUME, value: str = "v") -> DataFrame:
     logged = df.withColumn(value, F.log10(F.col(value) + 1))
     z = F.try_divide(F.col(value) - F.col("v_mean"), F.col("v_std"))

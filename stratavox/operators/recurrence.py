@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratavox.scale import prefix_sum
+from stratavox.session import settle
 
 CHUNK = 2048
 
@@ -54,7 +55,9 @@ def ema(
     scaled = chunked.withColumn("_p", F.exp(F.sum(F.ln("_keep")).over(inside))).withColumn(
         "_q", F.col("_p") * F.sum(F.col("_add") / F.col("_p")).over(inside)
     )
-    maps = scaled.groupBy("key", "_chunk").agg(F.max_by("_p", "_n").alias("_a"), F.max_by("_q", "_n").alias("_b"))
+    maps = settle(
+        scaled.groupBy("key", "_chunk").agg(F.max_by("_p", "_n").alias("_a"), F.max_by("_q", "_n").alias("_b"))
+    )
     key_type = df.schema["key"].dataType.simpleString()
     # Most keys fit in one chunk, which starts from 0; only the others need their maps folded.
     longer = maps.join(maps.where("_chunk = 1").select("key"), "key", "left_semi")

@@ -12,12 +12,10 @@ from stratavox.scale import attach_small, prefix_sum
 def shuffle_batches(df: DataFrame, id_col: str, size: int, seed: int, drop_last: bool = False) -> DataFrame:
     """Random order cut into batches; the rank is a distributed running count, not a window over all rows."""
     drawn = df.select(id_col).withColumns({"_u": draws.uniform(seed, "shuffle", F.col(id_col)), "_all": F.lit(1)})
-    ranked = prefix_sum(drawn, ["_all"], ["_u", id_col], {}, rank="_rank")
+    out = prefix_sum(drawn, ["_all"], ["_u", id_col], {}, rank="_rank", totals_of={"_n": "_rank"})
     pos = F.col("_rank") - 1
-    out = ranked
     if drop_last:
-        total = df.agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(1))
-        out = attach_small(ranked, total, ["_all"]).where(pos < F.col("_n") - F.col("_n") % size)
+        out = out.where(pos < F.col("_n") - F.col("_n") % size)
     return out.select(
         id_col, F.floor(pos / size).cast("int").alias("batch"), (pos % size).cast("int").alias("place")
     )

@@ -32,11 +32,12 @@ def rescale_slices(
     if percentile is not None:
         probs = {"p_lo": percentile[0] / 100.0, "p_hi": percentile[1] / 100.0}
         bounds = exact_quantiles(slices_to_voxels(slices), VOLUME, "v", probs).select(*VOLUME, "p_lo", "p_hi")
-        slices = _map(slices, bounds, lambda v: pixel.clip(v, F.col("p_lo"), F.col("p_hi")))
+        low, high = F.col("p_lo"), F.col("p_hi")
         if norm in ("01", "11"):
             # After the clip the extremes are the percentiles themselves: no second statistics pass.
             scale = pixel.unit_range if norm == "01" else pixel.signed_range
-            return _map(slices, bounds, lambda v: scale(v, F.col("p_lo"), F.col("p_hi")))
+            return _map(slices, bounds, lambda v: scale(pixel.clip(v, low, high), low, high))
+        slices = _map(slices, bounds, lambda v: pixel.clip(v, low, high))
     if norm in ("01", "11"):
         scale = pixel.unit_range if norm == "01" else pixel.signed_range
         stats = volume_stats(slices_to_voxels(slices))

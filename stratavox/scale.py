@@ -94,6 +94,7 @@ def prefix_sum(
     sums: dict[str, Column],
     rank: str | None = None,
     previous: dict[str, str] | None = None,
+    totals_of: dict[str, str] | None = None,
 ) -> DataFrame:
     """Running totals (inclusive) of ``sums`` inside each key in the given order.
 
@@ -103,9 +104,9 @@ def prefix_sum(
     because range bounds are sampled and must not be drawn twice.
 
     ``previous`` maps an output name to the first (ascending) order column: its value in the preceding row of the key,
-    which is the largest value seen so far.
+    which is the largest value seen so far. ``totals_of`` maps an output name to the sum (or rank) whose total over the key it holds.
     """
-    previous = previous or {}
+    previous, totals_of = previous or {}, totals_of or {}
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     parts = dict(sums)
     if rank is not None:
@@ -125,6 +126,7 @@ def prefix_sum(
         "_part",
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in parts],
         *[F.max(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in previous],
+        *[F.sum(f"_t_{n}").over(Window.partitionBy(*keys)).alias(name) for name, n in totals_of.items()],
     )
     ordered = Window.partitionBy(*keys, "_part").orderBy(*order_cols)
     running = ordered.rowsBetween(Window.unboundedPreceding, 0)
