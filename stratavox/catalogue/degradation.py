@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from stratavox import fixtures as fx
@@ -59,7 +60,42 @@ def d4_poisson_noise(spark, sf):
     return summary(degrade.poisson_noise(fx.event_rgb(spark, sf), seed=4))
 
 
-@query("d5_dct_quantize_noise")
+def _numbers(text: str) -> str:
+    return "[" + ",".join(text.split()) + "]"
+
+
+def _step_draw(seed: int, step: int, word: int) -> str:
+    digest = f"md5(concat_ws(':', '{seed}:step:{step}:{word // 4}', concat_ws('/', CAST(volume_id AS VARCHAR), CAST(z AS VARCHAR))))"
+    return f"(CAST(concat('0x', substr({digest}, {8 * (word % 4) + 1}, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+def _dct_sql(seed: int) -> str:
+    """Forward and inverse cosine transform as four weighted sums over 8-blocks, quantised between."""
+    ycc = degrade.TO_YCC.tolist()
+    back = np.linalg.inv(degrade.TO_YCC).tolist()
+
+    def mix(rows, names):
+        return [" + ".join(f"({w!r}::DOUBLE)*{n}" for w, n in zip(row, names)) for row in rows]
+
+    y, cb, cr = mix(ycc, "rgb")
+    r, g, b = mix(back, ("c0", "c1", "c2"))
+    quant = f"greatest(least(floor((CASE WHEN c=0 THEN ({_numbers(degrade.LUMA)})[k*8+l+1] ELSE ({_numbers(degrade.CHROMA)})[k*8+l+1] END*percent+50)/100),255),1)"
+    return f"""WITH {fx.EVENT_RGB_SQL}, lv AS (SELECT volume_id, z, x, y, max(CASE WHEN ch=0 THEN v END) AS r, max(CASE WHEN ch=1 THEN v END) AS g, max(CASE WHEN ch=2 THEN v END) AS b
+ FROM (SELECT volume_id, z, x, y, ch, round_even(v*255,0) AS v FROM event_rgb) GROUP BY ALL),
+q AS (SELECT volume_id, z, CASE WHEN q < 50 THEN 5000.0::DOUBLE/q ELSE 200-2*q END AS percent FROM (SELECT volume_id, z, 30+least(CAST(floor({_step_draw(seed, 0, 0)}*66) AS INT),65) AS q FROM (SELECT DISTINCT volume_id, z FROM rgb_sums))),
+y3 AS (SELECT volume_id, z, x, y, unnest([0,1,2]) AS c, unnest([{y}-128, {cb}, {cr}]) AS v FROM lv),
+basis AS (SELECT a.range AS k, b.range AS i, cos((2*b.range+1)*a.range*pi()/16)/2*CASE WHEN a.range=0 THEN 1/sqrt(2) ELSE 1 END AS w FROM range(0,8) a, range(0,8) b),
+f1 AS (SELECT volume_id, z, c, x//8 AS bx, k, y, sum(w*v) AS v FROM y3 JOIN basis ON i=x%8 GROUP BY ALL),
+f2 AS (SELECT volume_id, z, c, bx, f1.k, y//8 AS bq, basis.k AS l, sum(w*v) AS v FROM f1 JOIN basis ON i=y%8 GROUP BY ALL),
+h AS (SELECT volume_id, z, c, bx, k, bq, l, round_even(v/{quant},0)*{quant} AS v FROM f2 JOIN q USING (volume_id, z)),
+b1 AS (SELECT volume_id, z, c, bx*8+i AS x, bq, l, sum(w*v) AS v FROM h JOIN basis USING (k) GROUP BY ALL),
+b2 AS (SELECT volume_id, z, c, x, bq*8+i AS y, sum(w*v) AS v FROM b1 JOIN basis ON basis.k=l GROUP BY ALL),
+o AS (SELECT volume_id, z, x, y, max(CASE WHEN c=0 THEN v+128 END) AS c0, max(CASE WHEN c=1 THEN v END) AS c1, max(CASE WHEN c=2 THEN v END) AS c2 FROM b2 GROUP BY ALL),
+p AS (SELECT volume_id, z, unnest([{r}, {g}, {b}]) AS v FROM o), lim AS (SELECT volume_id, z, greatest(least(round_even(v,0),255),0)/255 AS v FROM p)
+SELECT volume_id, z, 24 AS h, 24 AS w, round(avg(v),6) AS mean, round(min(v),6) + 0.0 AS low, round(max(v),6) AS high FROM lim GROUP BY ALL"""
+
+
+@query("d5_dct_quantize_noise", _dct_sql(5))
 def d5_dct_quantize_noise(spark, sf):
     return summary(degrade.dct_quantize_noise(fx.event_rgb(spark, sf), seed=5))
 

@@ -123,6 +123,12 @@ def event_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.select("volume_id", "z", F.lit(24).alias("h"), F.lit(24).alias("w"), _dense("cells", 1728).alias("data"))
 
 
+EVENT_RGB_SQL = """rgb_sums AS (SELECT CAST(user_id//24 AS INT) AS volume_id, CAST(day(ts)-1 AS INT) AS z, CAST(hour(ts) AS INT) AS x, CAST(user_id%24 AS INT) AS y,
+CASE WHEN event_type IN ('view','signup') THEN 0 WHEN event_type IN ('click','error') THEN 1 ELSE 2 END AS ch, round(sum(value),6) AS s FROM events GROUP BY ALL),
+rgb_grid AS (SELECT volume_id, z, CAST(a.range AS INT) AS x, CAST(b.range AS INT) AS y, CAST(c.range AS INT) AS ch FROM (SELECT DISTINCT volume_id, z FROM rgb_sums), range(0,24) a, range(0,24) b, range(0,3) c),
+event_rgb AS (SELECT g.*, coalesce(s/(s+50.0::DOUBLE),0) AS v FROM rgb_grid g LEFT JOIN rgb_sums USING (volume_id, z, x, y, ch))"""
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RGB bag in [0, 1]; ``n`` keeps the multiplicity key of the source row."""
     line = table(spark, sf_dir, "lineitem")
