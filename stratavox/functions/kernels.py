@@ -7,9 +7,12 @@ apply them to Arrow batches of block rows.
 from __future__ import annotations
 
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 
+SMALL_MATRIX = 4096
+
 
 def border_index(i: np.ndarray, n: int, mode: str) -> np.ndarray:
     """Source index for any position; -1 stands for a zero outside the image."""
@@ -31,13 +34,39 @@ def border_index(i: np.ndarray, n: int, mode: str) -> np.ndarray:
     raise ValueError(f"unknown border {mode!r}")
 
 
-def _matrix(m: int, n: int, taps: np.ndarray, weights: np.ndarray, mode: str) -> np.ndarray:
-    """Dense m x n weights from per-row tap positions."""
-    out = np.zeros((m, n))
-    source = border_index(taps, n, mode)
-    rows = np.repeat(np.arange(m), taps.shape[1])
-    np.add.at(out, (rows, np.maximum(source, 0).ravel()), np.where(source < 0, 0.0, weights).ravel())
-    return out
+class Taps(NamedTuple):
+    """Few weights per output place: source ``index`` (m x k), ``weight`` (m x k), source length ``n``."""
+
+    index: np.ndarray
+    weight: np.ndarray
+    n: int
+
+    @property
+    def m(self) -> int:
+        return len(self.index)
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((self.m, self.n))
+        rows = np.repeat(np.arange(self.m), self.index.shape[1])
+        np.add.at(out, (rows, self.index.ravel()), self.weight.ravel())
+        return out
+
+    def along(self, block: np.ndarray, axis: int) -> np.ndarray:
+        """Apply to one axis: a small matrix product for short axes, a sum over the taps for long ones."""
+        if self.m * self.n <= SMALL_MATRIX:
+            return np.moveaxis(np.tensordot(self.dense(), block, axes=(1, axis)), 0, axis)
+        shape = [1] * block.ndim
+        shape[axis] = self.m
+        total = 0.0
+        for t in range(self.index.shape[1]):
+            total = total + self.weight[:, t].reshape(shape) * np.take(block, self.index[:, t], axis=axis)
+        return total
+
+
+def make_taps(n: int, places: np.ndarray, weights: np.ndarray, mode: str) -> Taps:
+    """Taps from unbounded positions under a border rule."""
+    index = border_index(places, n, mode)
+    return Taps(np.maximum(index, 0), np.where(index < 0, 0.0, weights), n)
 
 
 def linear_places(i: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,41 +84,41 @@ def _cubic(t: np.ndarray, a: float) -> np.ndarray:
     return np.where(t <= 1, near, np.where(t < 2, far, 0.0))
 
 
-@lru_cache(maxsize=512)
-def resize_weights(method: str, n: int, m: int, scale: float | None = None, align_corners: bool = False) -> np.ndarray:
-    """Weights (m x n) that resample n samples to m.
+@lru_cache(maxsize=256)
+def resize_weights(method: str, n: int, m: int, scale: float | None = None, align_corners: bool = False) -> Taps:
+    """Weights that resample n samples to m.
 
     'nearest', 'linear', 'area' (integer bins, overlapping if needed), 'coverage' (fractional bins), 'cubic' (a = -3/4, edge
     repeated), 'matlab' (a = -1/2, widened when shrinking, symmetric border).
     """
     i = np.arange(m)
     if method == "nearest":
-        return _matrix(m, n, np.minimum(i * n // m, n - 1)[:, None], np.ones((m, 1)), "replicate")
+        return make_taps(n, np.minimum(i * n // m, n - 1)[:, None], np.ones((m, 1)), "replicate")
     if method == "linear":
         if align_corners:
             u = i * ((n - 1) / (m - 1) if m > 1 else 0.0)
             low = np.floor(u).astype(int)
             taps = np.stack([low, np.minimum(low + 1, n - 1)], 1)
-            return _matrix(m, n, taps, np.stack([1 - (u - low), u - low], 1), "replicate")
+            return make_taps(n, taps, np.stack([1 - (u - low), u - low], 1), "replicate")
         low, high, w = linear_places(i, n, m)
-        return _matrix(m, n, np.stack([low, high], 1), np.stack([1 - w, w], 1), "replicate")
+        return make_taps(n, np.stack([low, high], 1), np.stack([1 - w, w], 1), "replicate")
     if method == "area":
-        edges_low, edges_high = i * n // m, -(-(i + 1) * n // m)
-        k = np.arange(n)[None, :]
-        inside = (k >= edges_low[:, None]) & (k < edges_high[:, None])
-        return inside / inside.sum(1, keepdims=True)
+        first, stop = i * n // m, -(-(i + 1) * n // m)
+        places = first[:, None] + np.arange((stop - first).max())
+        inside = places < stop[:, None]
+        return make_taps(n, places, inside / inside.sum(1, keepdims=True), "replicate")
     if method == "coverage":
         if m >= n:
             return resize_weights("linear", n, m)
-        k = np.arange(n)[None, :]
         low, high = (i * n / m)[:, None], ((i + 1) * n / m)[:, None]
-        cover = np.clip(np.minimum(high, k + 1) - np.maximum(low, k), 0, None)
-        return cover / cover.sum(1, keepdims=True)
+        places = np.floor(low).astype(int) + np.arange(int(np.ceil(n / m)) + 1)
+        cover = np.clip(np.minimum(high, places + 1) - np.maximum(low, places), 0, None) * (places < n)
+        return make_taps(n, places, cover / cover.sum(1, keepdims=True), "replicate")
     if method == "cubic":
         u = i * ((n - 1) / (m - 1) if m > 1 else 0.0) if align_corners else (i + 0.5) * n / m - 0.5
         low = np.floor(u).astype(int)
         taps = low[:, None] + np.arange(-1, 3)[None, :]
-        return _matrix(m, n, taps, _cubic(u[:, None] - taps, -0.75), "replicate")
+        return make_taps(n, taps, _cubic(u[:, None] - taps, -0.75), "replicate")
     if method == "matlab":
         s = m / n if scale is None else scale
         shrink = min(s, 1.0)
@@ -99,21 +128,22 @@ def resize_weights(method: str, n: int, m: int, scale: float | None = None, alig
         taps = first[:, None] + np.arange(int(np.ceil(width)) + 2)[None, :]
         weights = shrink * _cubic(shrink * (u[:, None] - taps), -0.5)
         weights = weights / weights.sum(1, keepdims=True)
-        return _matrix(m, n, taps.astype(int) - 1, weights, "symmetric")
+        return make_taps(n, taps.astype(int) - 1, weights, "symmetric")
     raise ValueError(f"unknown resize method {method!r}")
 
 
-def shift_weights(n: int, offset: float) -> np.ndarray:
+def shift_weights(n: int, offset: float) -> Taps:
     """Linear interpolation at positions i + offset, held inside the image."""
     u = np.clip(np.arange(n) + offset, 0, n - 1)
     low = np.floor(u).astype(int)
     taps = np.stack([low, np.minimum(low + 1, n - 1)], 1)
-    return _matrix(n, n, taps, np.stack([1 - (u - low), u - low], 1), "replicate")
+    return make_taps(n, taps, np.stack([1 - (u - low), u - low], 1), "replicate")
 
 
-def pool_weights(n: int, kernel: int) -> np.ndarray:
+def pool_weights(n: int, kernel: int) -> Taps:
     m = n // kernel
-    return _matrix(m, n, (np.arange(m) * kernel)[:, None] + np.arange(kernel), np.full((m, kernel), 1 / kernel), "replicate")
+    places = (np.arange(m) * kernel)[:, None] + np.arange(kernel)
+    return make_taps(n, places, np.full((m, kernel), 1 / kernel), "replicate")
 
 
 def isotropic_gaussian(size: int, sigma: float) -> np.ndarray:
@@ -173,7 +203,7 @@ def shifted_kernel(k: np.ndarray, scale: int, upper_left: bool = True) -> np.nda
     """Move by half a pixel per scale step, linear interpolation, edges held, sum 1."""
     offset = (scale - 1) * 0.5 * (1 if upper_left else -1)
     rows, cols = shift_weights(k.shape[0], offset), shift_weights(k.shape[1], offset)
-    moved = rows @ k @ cols.T
+    moved = cols.along(rows.along(k, 0), 1)
     return moved / moved.sum()
 
 

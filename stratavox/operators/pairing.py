@@ -69,9 +69,10 @@ def paired_samples(files: DataFrame, dirs: Sequence[str]) -> DataFrame:
 def subject_labels(samples: DataFrame, subjects: DataFrame, path: str = "path") -> DataFrame:
     """Two scores per file by subject key; difference / 10 and its sign as 0, .5, 1. A missing subject is an error.
 
-    ``subjects`` needs ``ID, left_score, right_score`` and may carry ``ord`` to say which duplicate comes first.
+    ``subjects`` needs ``ID, left_score, right_score`` and may carry ``ord`` to say which duplicate comes first;
+    without it the smallest pair of scores does.
     """
-    order = F.col("ord") if "ord" in subjects.columns else F.lit(0)
+    order = F.col("ord") if "ord" in subjects.columns else F.struct("left_score", "right_score")
     first = subjects.groupBy("ID").agg(F.min_by(F.struct("left_score", "right_score"), order).alias("s"))
     looked = samples.withColumn("ID", text.subject_key(F.col(path))).join(first, "ID", "left")
     found = F.when(F.col("s").isNull(), F.raise_error(F.concat(F.lit("unknown subject "), F.col("ID")))).otherwise(F.col("s"))

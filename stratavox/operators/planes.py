@@ -63,9 +63,9 @@ def map_planes(df: DataFrame, fn: Block) -> DataFrame:
     return map_batches(df, run, ["h", "w", "data"], PLANE)
 
 
-def separable(block: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Weights along rows then columns."""
-    return np.einsum("wx,bhxc->bhwc", cols, np.einsum("hy,byxc->bhxc", rows, block))
+def separable(block: np.ndarray, rows: kernels.Taps, cols: kernels.Taps) -> np.ndarray:
+    """Weights along rows then columns of (planes, h, w, channels)."""
+    return cols.along(rows.along(block, 1), 2)
 
 
 def take_padded(block: np.ndarray, top: int, bottom: int, left: int, right: int, mode: str) -> np.ndarray:
@@ -223,9 +223,10 @@ def pyramid_pool(df: DataFrame, levels: tuple[int, ...] = (1, 2, 3, 6)) -> DataF
             h, w = block.shape[1:3]
             for n in levels:
                 pool_h, pool_w = kernels.pool_weights(h, h // n), kernels.pool_weights(w, w // n)
-                rows = kernels.resize_weights("linear", len(pool_h), h) @ pool_h
-                cols = kernels.resize_weights("linear", len(pool_w), w) @ pool_w
-                for i, flat in zip(at, separable(block, rows, cols).reshape(len(at), -1)):
+                rows = kernels.resize_weights("linear", pool_h.m, h)
+                cols = kernels.resize_weights("linear", pool_w.m, w)
+                back = separable(separable(block, pool_h, pool_w), rows, cols)
+                for i, flat in zip(at, back.reshape(len(at), -1)):
                     out[f"p{n}"][i] = flat
         return pd.concat([batch, pd.DataFrame(out)], axis=1)
 
@@ -317,8 +318,9 @@ def sharpen_block(block: np.ndarray, weight: float = 0.5, radius: int = 50, thre
     def smooth(b: np.ndarray) -> np.ndarray:
         h, w = b.shape[1:3]
         reach = np.arange(size) - size // 2
-        rows = kernels._matrix(h, h, np.arange(h)[:, None] + reach, np.tile(taps, (h, 1)), "mirror")
-        cols = kernels._matrix(w, w, np.arange(w)[:, None] + reach, np.tile(taps, (w, 1)), "mirror")
+        rows, cols = (
+            kernels.make_taps(n, np.arange(n)[:, None] + reach, np.tile(taps, (n, 1)), "mirror") for n in (h, w)
+        )
         return separable(b, rows, cols)
 
     residual = block - smooth(block)
@@ -331,9 +333,9 @@ def _window_taps(size: int, sigma: float) -> np.ndarray:
     return taps / taps.sum()
 
 
-def _valid(n: int, taps: np.ndarray) -> np.ndarray:
+def _valid(n: int, taps: np.ndarray) -> kernels.Taps:
     m = n - len(taps) + 1
-    return kernels._matrix(m, n, np.arange(m)[:, None] + np.arange(len(taps)), np.tile(taps, (m, 1)), "zero")
+    return kernels.make_taps(n, np.arange(m)[:, None] + np.arange(len(taps)), np.tile(taps, (m, 1)), "zero")
 
 
 def ssim_maps(a: np.ndarray, b: np.ndarray, taps: np.ndarray, span: float) -> tuple[np.ndarray, np.ndarray]:
@@ -379,11 +381,11 @@ def ms_ssim(pairs: DataFrame, win: int = 7, span: float = 2.0, weights: tuple[fl
     return _pair_score(pairs, score, "ms_ssim")
 
 
-def _half(n: int) -> np.ndarray:
+def _half(n: int) -> kernels.Taps:
     """2-wide mean pooling; an odd length is padded by one zero on both sides, counted in the mean."""
     odd = n % 2
     m = (n + 2 * odd - 2) // 2 + 1
-    return kernels._matrix(m, n, 2 * np.arange(m)[:, None] - odd + np.arange(2), np.full((m, 2), 0.5), "zero")
+    return kernels.make_taps(n, 2 * np.arange(m)[:, None] - odd + np.arange(2), np.full((m, 2), 0.5), "zero")
 
 
 def _pair_score(pairs: DataFrame, score, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ def analysis_weights(mask: Sequence[float], n: int) -> np.ndarray:
     size = len(mask)
     ends = np.arange((size + 1) % 2, n + size - 1, 2)
     taps = ends[:, None] - size + 1 + np.arange(size)
-    return kernels._matrix(len(ends), n, taps, np.tile(mask, (len(ends), 1)), "zero")
+    return kernels.make_taps(n, taps, np.tile(mask, (len(ends), 1)), "zero").dense()
 
 
 def dwt2(slices: DataFrame, masks: Sequence[Sequence[float]], levels: int) -> DataFrame:
@@ -39,7 +39,7 @@ def dwt2(slices: DataFrame, masks: Sequence[Sequence[float]], levels: int) -> Da
                     following = None
                     for m1, left in enumerate(rows):
                         for m2, right in enumerate(cols):
-                            c = 2 * np.einsum("hy,byx,wx->bhw", left, approx, right)
+                            c = 2 * (left @ approx @ right.T)
                             following = c if following is None else following
                             frame = batch.loc[at, keys].copy()
                             frame["level"], frame["m1"], frame["m2"] = level, m1, m2
@@ -101,7 +101,7 @@ def invdwt2(coefficients: DataFrame, masks: Sequence[Sequence[float]], levels: i
                 for m2, right in enumerate(masks):
                     c = approx if m1 == m2 == 0 else part(level, m1, m2)
                     rows, cols = analysis_weights(left, n_h), analysis_weights(right, n_w)
-                    total += 2 * np.einsum("yh,byx,xw->bhw", rows, c, cols)
+                    total += 2 * (rows.T @ c @ cols)
             approx = total
         flat = list(approx.reshape(len(batch), -1))
         return pd.DataFrame({"h": size[0], "w": size[1], "data": flat})

@@ -287,7 +287,13 @@ def test_let_binds_once(spark):
 @pytest.mark.parametrize("method,scale", [("linear", None), ("cubic", None), ("area", None), ("coverage", None), ("matlab", 0.4), ("nearest", None)])
 @pytest.mark.parametrize("n,m", [(10, 4), (7, 7), (5, 12)])
 def test_resize_weights_sum_to_one(method, scale, n, m):
-    w = kernels.resize_weights(method, n, m, None if scale is None else m / n)
+    taps = kernels.resize_weights(method, n, m, None if scale is None else m / n)
+    w = taps.dense()
+    line = np.random.default_rng(n).random((3, n))
+    assert np.allclose(taps.along(line, 1), line @ w.T)
+    limit, kernels.SMALL_MATRIX = kernels.SMALL_MATRIX, 0
+    assert np.allclose(taps.along(line, 1), line @ w.T)
+    kernels.SMALL_MATRIX = limit
     assert w.shape == (m, n) and np.allclose(w.sum(1), 1)
     if n == m:
         assert np.allclose(w, np.eye(n))
