@@ -33,6 +33,8 @@ SAMPLE_ROWS = 12_000
 LEXICON_WORDS = 5_000
 THRESHOLD = 0.7
 PRIOR_WEIGHT = 2.0
+STEM_FORMS = 5
+STEM_LENGTHS = (8, 7, 6, 5)
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
@@ -53,6 +55,11 @@ def words_of(clause: str) -> list[str]:
     return WORD.findall(clause)
 
 
+def stems_of(word: str) -> list[str]:
+    """Proper beginnings of a word, longest first, marked with a star."""
+    return [word[:k] + "*" for k in STEM_LENGTHS if len(word) > k]
+
+
 class Machine:
     """A deterministic weighted machine over labels: arcs[state][label] = (next state, weight, factor of later weights)."""
 
@@ -128,6 +135,19 @@ class Grammar:
             self.labels[word] = INSULT
         self.machine = compose([insult_machine(), threat_machine(), target_machine(), negation_machine(), report_machine()])
         self.loud = {w for w, label in self.labels.items() if label in (INSULT, THREAT)}
+        self.stems = {w: x for w, x in self.weights.items() if w.endswith("*")}
+        self.roots = {w[: STEM_LENGTHS[-1]] for w in self.stems}
+
+    def rewritten(self, words: list[str]) -> list[str]:
+        """The lexicon's entry for each word: the word, its look-alike spelling, or the heaviest stem."""
+        out = []
+        for word in words:
+            if word not in self.labels:
+                word = word.translate(LOOKALIKE)
+                if word not in self.labels and word[: STEM_LENGTHS[-1]] in self.roots:
+                    word = max((x for x in stems_of(word) if x in self.stems), key=self.stems.get, default=word)
+            out.append(word)
+        return out
 
     def clause(self, words: list[str]) -> float:
         """Weight of the clause's path through the composed machine."""
@@ -144,7 +164,7 @@ class Grammar:
         low = text.lower()
         words = set(words_of(low))
         plain = words if not any(c in low for c in "013457@$") else words | {w.translate(LOOKALIKE) for w in words}
-        if self.loud.isdisjoint(plain):
+        if self.loud.isdisjoint(plain) and not (self.roots and any(w[: STEM_LENGTHS[-1]] in self.roots for w in plain)):
             return 0.0, 0.0, 0.0
         best = total = 0.0
         matched = clauses = 0
@@ -153,7 +173,7 @@ class Grammar:
             if not own:
                 continue
             clauses += 1
-            own = [w if w in self.labels else w.translate(LOOKALIKE) for w in own]
+            own = self.rewritten(own)
             if self.loud.isdisjoint(own):
                 continue
             score = self.clause(own)
@@ -171,7 +191,8 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         counts: dict[tuple[str, int], int] = {}
         for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
-            for word in {w.translate(LOOKALIKE) if not w.isalpha() else w for w in words_of(text.lower())}:
+            own = {w.translate(LOOKALIKE) if not w.isalpha() else w for w in words_of(text.lower())}
+            for word in own.union(*map(stems_of, own)):
                 counts[word, toxic] = counts.get((word, toxic), 0) + 1
         yield pa.RecordBatch.from_pydict(
             {
@@ -207,27 +228,29 @@ def learn_lexicon(sample: DataFrame, rows: dict[int, int]) -> dict[str, float]:
             for text, label in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
                 own = words_of(text.lower())
                 for i, word in enumerate(own):
-                    key = word if word in wanted else word.translate(LOOKALIKE)
-                    if key in wanted:
-                        found.add((key, label, " ".join(own[max(0, i - 2) : i] + ["*"] + own[i + 1 : i + 3])))
-            words_, labels_, around = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_pydict(
-                {"word": pa.array(words_, pa.string()), "toxic": pa.array(labels_, pa.int32()), "around": pa.array(around, pa.string())}
-            )
-
-    distinct = sample.mapInArrow(contexts, "word string, toxic int, around string").distinct().groupBy("word").agg(
-        F.sum(F.col("toxic").cast("long")).alias("t"), F.sum((1 - F.col("toxic")).cast("long")).alias("c")
+                    key = word if word.isalpha() else word.translate(LOOKALIKE)
+                    for entry in (key, *stems_of(key)):
+                        if entry in wanted:
+                            found.add((entry, label, key, " ".join(own[max(0, i - 2) : i] + ["*"] + own[i + 1 : i + 3])))
+            columns = zip(*found) if found else ((), (), (), ())
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["word", "toxic", "form", "around"])
+
+    distinct = sample.mapInArrow(contexts, "word string, toxic int, form string, around string").where("toxic = 1").groupBy("word").agg(
+        F.count_distinct("around").alias("t"), F.count_distinct("form").alias("forms")
     )
-    around = {r["word"]: (r["t"], r["c"]) for r in distinct.collect()}  # at most LEXICON_WORDS rows
+    around = {r["word"]: (r["t"], r["forms"]) for r in distinct.collect()}  # at most LEXICON_WORDS rows
     weights = {w: PRIOR_WEIGHT for w in INSULTS}
     for word, (t, c) in words.items():
-        far_t, far_c = around.get(word, (0, 0))
+        far_t, forms = around.get(word, (0, 0))
         weight = lower_log_odds(min(t, far_t), c, toxic, clean)
         if word in INSULTS:
             evidence = min(1.0, (t + c) / 20)
             weight = (1 - evidence) * PRIOR_WEIGHT + evidence * weight
         elif far_t < 8 or far_t < 0.6 * t:
             continue  # too few contexts of its own: copies of one text
+        elif word.endswith("*") and forms < STEM_FORMS:
+            continue  # a word, not a stem
         if weight > 1.0:
             weights[word] = min(weight, 6.0)
         else:
