@@ -163,12 +163,7 @@ def send(blocks: DataFrame, emit: Callable[[Block], tuple[np.ndarray, list[np.nd
             for i in range(batch.num_rows):
                 block = opened(batch, i)
                 keys, beside = emit(block)
-                edges = bucket_edges(keys, buckets)
-                rows = []
-                for b in np.flatnonzero(np.diff(edges)).tolist():
-                    part = slice(edges[b], edges[b + 1])
-                    rows.append((b, block.gid, pack_arrays([keys[part], *[x[part] for x in beside]])))
-                yield as_rows(rows, ["bucket", "gid", "body"], [pa.int32(), pa.int64(), pa.binary()])
+                yield sent_rows(block.gid, keys, lambda part: [keys[part], *[x[part] for x in beside]], buckets)
 
     return blocks.mapInArrow(run, SENT)
 
@@ -201,13 +196,27 @@ def settle(sent: DataFrame, answer: Callable[[list[list[np.ndarray]]], list[list
     return sent.groupBy("bucket").applyInArrow(run, SENT)
 
 
-def meet(blocks: DataFrame, answers: DataFrame, work: Callable[[Block, list[np.ndarray]], pa.Table], schema) -> DataFrame:
-    """Each block with its answers, joined in the order of the hashes it sent (None if it sent none)."""
+def meet(blocks: DataFrame, answers: list[DataFrame], work: Callable[[Block, list[list[np.ndarray] | None]], pa.Table], schema) -> DataFrame:
+    """Each block with its answers of every exchange, in the order of the hashes it sent (None where it sent none)."""
+    labelled = [a.select("gid", F.lit(k).alias("kind"), "bucket", "body") for k, a in enumerate(answers)]
+    together, exchanges = labelled[0], len(answers)
+    for more in labelled[1:]:
+        together = together.unionByName(more)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("bucket")
-        parts = [unpack_arrays(x) for x in right["body"].to_pylist()]
-        joined = [np.concatenate(x) for x in zip(*parts)] if parts else None
-        return work(opened(left), joined)
-
-    return blocks.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(run, schema)
+        right = right.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        got = [None] * exchanges
+        kinds, bodies = right["kind"].to_pylist(), right["body"].to_pylist()
+        for k in set(kinds):
+            parts = [unpack_arrays(body) for kind, body in zip(kinds, bodies) if kind == k]
+            got[k] = [np.concatenate(x) for x in zip(*parts)]
+        return work(opened(left), got)
+
+    return blocks.groupBy("gid").cogroup(together.groupBy("gid")).applyInArrow(run, schema)
+
+
+def sent_rows(gid: int, keys: np.ndarray, arrays: Callable[[slice], list[np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """Rows for an exchange: for each bucket that has keys, what ``arrays`` gives for their places."""
+    edges = bucket_edges(keys, buckets)
+    rows = [(b, gid, pack_arrays(arrays(slice(edges[b], edges[b + 1])))) for b in np.flatnonzero(np.diff(edges)).tolist()]
+    return as_rows(rows, ["bucket", "gid", "body"], [pa.int32(), pa.int64(), pa.binary()])

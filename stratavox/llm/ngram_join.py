@@ -99,10 +99,10 @@ def incidence(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
         ]
     )
 
-    def rows(block: Block, answers: list[np.ndarray] | None) -> pa.Table:
+    def rows(block: Block, answers: list[list[np.ndarray] | None]) -> pa.Table:
         flat, begin = shingles(block, words)
         keys = np.unique(flat)
-        level = answers[0][np.searchsorted(keys, flat)] if answers else np.zeros(0, np.uint8)
+        level = answers[0][0][np.searchsorted(keys, flat)] if answers[0] else np.zeros(0, np.uint8)
         nodes, sizes, prefixes, columns, seen = [], np.diff(begin), [], [], set()
         texts = (block.raw[a : a + n] for a, n in zip(block.starts.tolist(), block.lengths.tolist()))
         versions = [signed(xxhash.xxh64_intdigest(t, SPARK_SEED)) for t in texts]
@@ -131,7 +131,7 @@ def incidence(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
         )
 
     answers = settle(send(blocks, emit, buckets), _rarity)
-    return stored(meet(blocks, answers, rows, schema))
+    return stored(meet(blocks, [answers], rows, schema))
 
 
 def _linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
