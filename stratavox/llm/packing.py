@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from stratavox.llm.common import stored, table
 from stratavox.llm.registry import query
-from stratavox.llm.tokens import WordIds
+from stratavox.llm.tokens import PieceIds
 
 WINDOW = 2048
 GRAIN = 4
 MOST_PIECES = 8
 END_ID = 1
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 8_000_000
 
 
 def combinations(present: np.ndarray, full: int) -> list[dict[int, int]]:
@@ -141,21 +141,22 @@ def ranges(chosen: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int
 def _pieces(path: str, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokenise, cut, and number the pieces of each length within this task."""
     part, half, full = TaskContext.get().partitionId(), window // 2, window // GRAIN
-    encoder = WordIds(path)
+    encoder = PieceIds(path)
     counted = np.zeros(full + 1, np.int64)
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(ids: list, texts: list[str], id_type: pa.DataType) -> pa.RecordBatch:
         rows: list[tuple] = []
-        for doc, tokens in zip(ids, encoder.encode_all(texts)):
-            tokens += end
-            n = len(tokens) // 4
+        tokens, begins = encoder.encode(texts)
+        for doc, first, beyond in zip(ids, begins[:-1].tolist(), begins[1:].tolist()):
+            n = beyond - first + 1
             start = 0
             while start < n:
                 rest = n - start
                 length = window if rest >= window else half if rest > half else rest
-                rows.append((doc, n, start, length, zlib.crc32(memoryview(tokens)[4 * start : 4 * (start + length)])))
+                crc = zlib.crc32(tokens[first + start : min(first + start + length, beyond)])
                 start += length
+                rows.append((doc, n, start - length, length, zlib.crc32(end, crc) if start == n else crc))
         doc, n, start, length, crc = map(list, zip(*rows))
         cells = -(-np.array(length, np.int64) // GRAIN)
         by = np.argsort(cells, kind="stable")

@@ -1,28 +1,75 @@
-"""Token ids of whole texts with a public byte-pair vocabulary, through a cache of words.
+"""Token ids of whole texts with a public byte-pair vocabulary, by distinct pieces.
 
-The vocabulary drops white space and never joins words across it, so a text's ids are the ids of its words one after the
-other. Words are cut at ASCII white space and looked up; unknown words that consist of plain letters, digits and signs
-are first cut into the pieces the vocabulary's own pattern gives, so that "word" and "word," share an entry. Everything
-unknown goes to the tokenizer itself.
+The vocabulary lower-cases, drops white space and cuts text by a pattern into runs of letters, single digits and runs of
+other signs before it merges bytes, so a text's ids are the ids of its pieces one after the other. For plain words (ASCII
+and the Latin letters that have one composed form) the cut is a change of character class, which numpy finds for a whole
+block of texts at once; every distinct piece is merged once by the tokenizer and kept in a bounded cache. Words with
+anything else (other scripts, apostrophes, control characters, the start of a special token) are given to the tokenizer whole.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import pyarrow as pa
+
+CACHE_ENTRIES = 600_000
+BATCH = 1024
+
+_BYTE = np.arange(256)
+_SPACE = np.isin(_BYTE, [0x20, *range(0x09, 0x0E)])
+_UPPER = (_BYTE >= 0x41) & (_BYTE <= 0x5A)
+_LETTER = _UPPER | ((_BYTE >= 0x61) & (_BYTE <= 0x7A))
+_DIGIT = (_BYTE >= 0x30) & (_BYTE <= 0x39)
+_ODD = ((_BYTE < 0x20) & ~_SPACE) | (_BYTE == 0x7F) | (_BYTE == 0x27)
+#: Second bytes, after 0xC3, of the letters from U+00C0 to U+00FF (two of these code points are signs).
+_LATIN = (_BYTE >= 0x80) & (_BYTE <= 0xBF) & (_BYTE != 0x97) & (_BYTE != 0xB7)
+
+
+def _after(mask: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(mask)
+    out[1:] = mask[:-1]
+    return out
 
-CACHE_ENTRIES = 250_000
-PIECE_ENTRIES = 600_000
 
-#: The alternatives of the vocabulary's pattern, for text of these characters only.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-#: Printable ASCII and the Latin letters that have one composed lower-case form.
-_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+def _before(mask: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(mask)
+    out[:-1] = mask[1:]
+    return out
 
 
-class WordIds:
-    """Little-endian uint32 ids of texts. Two generations of at most ``CACHE_ENTRIES`` words each bound the memory, and ``PIECE_ENTRIES`` pieces."""
+def cut_pieces(raw: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Start of each piece in ``raw``, the pieces (lower case if plain), and which of them are words kept whole."""
+    solid = ~_SPACE[raw]
+    high = raw >= 0x80
+    odd = _ODD[raw] | ((raw == 0x3C) & _before(raw == 0x7C))
+    kind = _LETTER[raw].astype(np.uint8) + 2 * _DIGIT[raw]
+    lowered = raw + (_UPPER[raw].astype(np.uint8) << 5)
+    if high.any():
+        second = _after(raw == 0xC3) & _LATIN[raw]
+        latin = second | _before(second)
+        kind[latin] = 1
+        odd |= high & ~latin
+        lowered[second & (raw <= 0x9E)] += 0x20
+    word = solid & ~_after(solid)
+    begin = (kind != np.concatenate([[3], kind[:-1]])) | (kind == 2) | word
+    begin &= solid
+    whole = np.zeros(0, bool)
+    if odd.any():
+        number = np.cumsum(word) - 1
+        odd_word = np.zeros(number[-1] + 1, bool)
+        odd_word[number[odd]] = True
+        inside = odd_word[number] & solid
+        begin &= ~inside | word
+        lowered = np.where(inside, raw, lowered)
+        whole = inside
+    at = np.flatnonzero(begin)
+    offsets = np.append(np.cumsum(solid, dtype=np.int32)[at] - 1, np.count_nonzero(solid)).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(lowered[solid])])
+    return at, pieces, whole[at] if len(whole) else np.zeros(len(at), bool)
+
+
+class PieceIds:
+    """Ids of texts, little-endian uint32; holds at most ``CACHE_ENTRIES`` pieces besides those of the block at hand."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -38,63 +85,50 @@ class WordIds:
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a piece
         for token, i in vocab.items():
             self.last[i] = token.endswith("</w>")
-        self.words: dict[bytes, bytes] = {}
-        self.old_words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[bytes, np.ndarray] = {}
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+    def _whole(self, words: list[bytes]) -> list[np.ndarray]:
+        texts = [w.decode("utf-8", "replace") for w in words]
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _merged(self, pieces: list[str]) -> np.ndarray:
-        return np.array(self.merges.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
+    def _merged(self, pieces: list[bytes]) -> list[np.ndarray]:
         """One call for many pieces: each gives ids of which only the last ends a piece."""
-        ids = self._merged(pieces)
+        text = b" ".join(pieces).decode("utf-8", "replace")
+        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1 if len(ids) else np.zeros(0, int)
-        if len(ends) == len(pieces) and (not len(ends) or ends[-1] == len(ids)):
-            begin = 0
-            for piece, end in zip(pieces, ends.tolist()):
-                self.pieces[piece] = ids[begin:end].tobytes()
-                begin = end
-        else:
-            for piece, own in zip(pieces, self._ids(pieces)):
-                self.pieces[piece] = own.tobytes()
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.pieces) > PIECE_ENTRIES:
-            self.pieces = {}
-        cut, whole, new = [], [], {}
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(text) and "<|" not in text:
-                parts = _PIECES.findall(text.lower())
-                cut.append((word, parts))
-                for part in parts:
-                    if part not in self.pieces:
-                        new[part] = None
-            else:
-                whole.append((word, text))
-        pieces = list(new)
-        for begin in range(0, len(pieces), 512):
-            self._learn_pieces(pieces[begin : begin + 512])
-        known = self.pieces
-        for word, parts in cut:
-            self.words[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
-        if whole:
-            for (word, _), ids in zip(whole, self._ids([t for _, t in whole])):
-                self.words[word] = ids.tobytes()
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; call it with a few MB of text at a time."""
-        split = [text.encode("utf-8", "replace").split() for text in texts]
-        if len(self.words) > CACHE_ENTRIES:
-            self.old_words, self.words = self.words, {}
-        words, old = self.words, self.old_words
-        missing = list(set().union(*split).difference(words))
-        if old:
-            found = {w: ids for w in missing if (ids := old.get(w)) is not None}
-            words.update(found)
-            missing = [w for w in missing if w not in found]
-        self._learn(missing)
-        return [b"".join(map(words.__getitem__, own)) for own in split]
+        if len(ends) != len(pieces) or ends[-1] != len(ids):
+            return self._whole(pieces)
+        bounds = [0, *ends.tolist()]
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _learn(self, pieces: list[bytes], whole: list[bytes]) -> None:
+        if len(self.known) > CACHE_ENTRIES:
+            self.known = {}
+        for names, ids_of in ((pieces, self._merged), (whole, self._whole)):
+            names = [p for p in names if p not in self.known]
+            for begin in range(0, len(names), BATCH):
+                part = names[begin : begin + BATCH]
+                self.known.update(zip(part, [x.tobytes() for x in ids_of(part)]))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and where each text's begin (one more entry at the end). Call it with a few MB at a time."""
+        parts = [t.encode("utf-8", "replace") for t in texts]
+        raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+        at, pieces, whole = cut_pieces(raw)
+        coded = pieces.dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        is_whole = np.zeros(len(names), bool)
+        is_whole[codes[whole]] = True
+        kept_whole = is_whole.tolist()
+        self._learn([n for n, w in zip(names, kept_whole) if not w], [n for n, w in zip(names, kept_whole) if w])
+        bodies = [self.known[n] for n in names]
+        own = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
+        pool = np.frombuffer(b"".join(bodies), "<u4")
+        from_ = np.cumsum(own) - own
+        count = own[codes]
+        end = np.cumsum(count)
+        ids = pool[np.repeat(from_[codes] - (end - count), count) + np.arange(end[-1] if len(end) else 0)]
+        first = np.searchsorted(at, np.cumsum(lengths) - lengths)
+        begins = np.append(np.concatenate([[0], end])[first], len(ids))
+        return ids, begins
