@@ -38,11 +38,16 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def squeeze(array: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(array).tobytes())
+    """Compressed bytes, equal places of the items together: the high bytes of sorted hashes then take next to nothing."""
+    flat = np.ascontiguousarray(array)
+    planes = flat.view(np.uint8).reshape(len(flat), flat.dtype.itemsize).T if len(flat) else flat
+    return zstandard.ZstdCompressor(1).compress(planes.tobytes())
 
 
 def unsqueeze(body: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(body), dtype)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel() if len(raw) else np.zeros(0, dtype)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -185,13 +190,24 @@ def unpack_arrays(body: bytes) -> list[np.ndarray]:
     return out
 
 
-def settle(sent: DataFrame, answer: Callable[[list[list[np.ndarray]]], list[list[np.ndarray]]]) -> DataFrame:
-    """Per bucket, ``answer`` turns what each block sent into what each block gets back (gid, bucket, body)."""
+def settle(
+    sent: DataFrame,
+    answer: Callable[[list[list[np.ndarray]]], list[list[np.ndarray]]],
+    tally: Callable[[list[list[np.ndarray]]], np.ndarray] | None = None,
+) -> DataFrame:
+    """Per bucket, ``answer`` turns what each block sent into what each block gets back (gid, bucket, body).
+
+    ``tally`` adds a row per bucket without a block: an array of what is to be summed over all buckets.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         got = [unpack_arrays(x) for x in group["body"].to_pylist()]
         back = [pack_arrays(x) for x in answer(got)]
-        return pa.table({"bucket": group["bucket"], "gid": group["gid"], "body": pa.array(back, pa.binary())})
+        buckets, gids = group["bucket"].to_pylist(), group["gid"].to_pylist()
+        if tally is not None:
+            back.append(pack_arrays([tally(got)]))
+            buckets, gids = [*buckets, buckets[0]], [*gids, None]
+        return pa.table({"bucket": pa.array(buckets, pa.int32()), "gid": pa.array(gids, pa.int64()), "body": pa.array(back, pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(run, SENT)
 

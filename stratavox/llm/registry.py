@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 MODULES = (
+    "katz",
     "repeats",
     "unit_dedup",
     "main_text",
