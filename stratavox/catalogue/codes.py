@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratavox import fixtures as fx
+from stratavox.catalogue.geometry import draw_sql
 from stratavox.catalogue.registry import query
 from stratavox.operators import codebook as cb
 from stratavox.operators import contrast, histogram, metrics, pairing
@@ -21,11 +22,11 @@ def vectors_of(spark, sf):
     return fx.table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("f"))
 
 
-def assigned(spark, sf, method="auto"):
+def assigned(spark, sf, method="arrow"):
     return cb.nearest_code(vectors_of(spark, sf), fx.codebook(spark, sf), method=method)
 
 
-NEAREST = f"{NEAR} SELECT vec_id, CAST(code AS SMALLINT) AS code, round(d2,6) AS d2 FROM assigned"
+NEAREST = f"{NEAR} SELECT vec_id, code, round(d2,6) AS d2 FROM assigned"
 
 
 @query("j5_nearest_code", NEAREST)
@@ -89,9 +90,7 @@ DOTS = "dots AS (SELECT q.image_id, q.pos, k.image_id AS key_image, k.pos AS key
 )
 def j7_pair_similarity(spark, sf):
     """Dot products of each query with all keys of its image, reported as count, extremes and best key."""
-    from stratavox.operators.sampling import sample_positions
-
-    sims = contrast.pair_similarity(sample_positions(fx.features(spark, sf), 256, seed=0))
+    sims = contrast.pair_similarity(fx.features(spark, sf))
     top = F.array_max(F.transform("sims", lambda s: F.struct(s["dot"].alias("dot"), s["key_pos"].alias("p"))))
     low = F.array_min(F.transform("sims", lambda s: s["dot"]))
     parts = sims.select("image_id", "pos", F.size("sims").alias("n"), top.alias("top"), low.alias("low"))
@@ -110,6 +109,19 @@ def m11_patch_nce(spark, sf):
     return _out(contrast.patch_nce(fx.features(spark, sf)), "loss")
 
 
+DRAWN = f"""p AS (SELECT DISTINCT pos FROM features), r AS (SELECT pos, row_number() OVER (ORDER BY {draw_sql(5, "positions", "0", "pos")}, pos) AS rn FROM p),
+drawn AS (SELECT features.* FROM features JOIN r USING (pos) WHERE rn <= 12)"""
+
+
+@query(
+    "m11_patch_nce_drawn",
+    f"""{FEAT}, {DRAWN}, {DOTS.format(on="q.image_id=k.image_id").replace("features", "drawn")}, {LOSS} SELECT image_id, pos, round(loss,6) + 0.0 AS loss FROM loss""",
+)
+def m11_patch_nce_drawn(spark, sf):
+    """Twelve drawn positions only."""
+    return _out(contrast.patch_nce(fx.features(spark, sf), patches=12, seed=5), "loss")
+
+
 @query("m11_patch_nce_batch", f"""{FEAT}, {DOTS.format(on="q.image_id//2=k.image_id//2")}, {LOSS} SELECT image_id, pos, round(loss,6) + 0.0 AS loss FROM loss""")
 def m11_patch_nce_batch(spark, sf):
     """Negatives of the whole batch of two images."""
@@ -152,7 +164,7 @@ def quarter_codebook(spark, sf):
     return book.select((F.col("label") * 4 + F.col("q")).alias("code"), part.alias("c"))
 
 
-@query("u7_encode_volume", f"WITH {fx.STACK_SQL}, {fx.CODEBOOK_SQL}, {QUARTERS} SELECT volume_id, z, gx, gy, CAST(code AS SMALLINT) AS code FROM enc")
+@query("u7_encode_volume", f"WITH {fx.STACK_SQL}, {fx.CODEBOOK_SQL}, {QUARTERS} SELECT volume_id, z, gx, gy, code FROM enc")
 def u7_encode_volume(spark, sf):
     return cb.encode_volume(fx.slices(spark, sf), quarter_codebook(spark, sf), 4)
 

@@ -45,6 +45,11 @@ def d1_add_shot_noise(spark, sf):
     return summary(degrade.add_shot_noise(fx.event_slices(spark, sf), 0.1, seed=19))
 
 
+@query("d1_two_part_noise")
+def d1_two_part_noise(spark, sf):
+    return summary(degrade.add_two_part_noise(fx.event_slices(spark, sf), 0.1, 0.1, seed=19))
+
+
 @query("d2_gaussian_noise")
 def d2_gaussian_noise(spark, sf):
     return summary(degrade.gaussian_noise(fx.event_rgb(spark, sf), seed=2))

@@ -19,7 +19,7 @@ from stratavox.operators.tiling import extents
 from stratavox.scale import attach_small
 
 MAX_CODES = 65_536
-INLINE_CELLS = 256
+CODE_BLOCK = 1024
 
 
 def _load(codebook: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -29,15 +29,13 @@ def _load(codebook: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["code"].to_numpy(), np.stack(rows["c"].to_numpy()).astype(float)
 
 
-def nearest_code(features: DataFrame, codebook: DataFrame, feature: str = "f", method: str = "auto") -> DataFrame:
-    """Add ``code`` (smallint) and ``d2``; equal distances go to the lowest code. The feature side is never shuffled.
+def nearest_code(features: DataFrame, codebook: DataFrame, feature: str = "f", method: str = "arrow") -> DataFrame:
+    """Add ``code`` (int) and ``d2``; equal distances go to the lowest code. The feature side is never shuffled.
 
-    Small codebooks are an array literal searched by an expression; larger ones are a broadcast variable
-    searched by Arrow batches.
+    The codebook is a broadcast variable, searched in Arrow batches by a matrix product per block of codes; every code that
+    rounding could have hidden is measured again directly. ``method='expression'`` searches an array literal instead.
     """
     codes, centers = _load(codebook)
-    if method == "auto":
-        method = "expression" if centers.size <= INLINE_CELLS else "arrow"
     if method == "expression":
         entries = F.array(
             *[
@@ -58,19 +56,27 @@ def nearest_code(features: DataFrame, codebook: DataFrame, feature: str = "f", m
             ids, table = shared.value
             x = np.stack(batch[feature].to_numpy()).astype(float)
             best_d2 = np.full(len(x), np.inf)
-            best_code = np.zeros(len(x), dtype=np.int16)
-            for code, row in zip(ids, table):
-                d2 = ((x - row) ** 2).sum(axis=1)
-                closer = d2 < best_d2
-                best_d2[closer], best_code[closer] = d2[closer], code
+            best_code = np.zeros(len(x), dtype=np.int32)
+            norms = (x**2).sum(axis=1)
+            for begin in range(0, len(ids), CODE_BLOCK):
+                part = table[begin : begin + CODE_BLOCK]
+                part_norms = (part**2).sum(axis=1)
+                rough = norms[:, None] - 2 * (x @ part.T) + part_norms
+                slack = 1e-9 * (norms + part_norms.max())
+                rows, cols = np.nonzero(rough <= np.minimum(rough.min(axis=1), best_d2 + slack)[:, None] + slack[:, None])
+                d2 = ((x[rows] - part[cols]) ** 2).sum(axis=1)
+                by = np.lexsort((cols, d2, rows))
+                first = by[np.concatenate([[True], np.diff(rows[by]) != 0])]
+                at, closer = rows[first], d2[first] < best_d2[rows[first]]
+                best_d2[at[closer]], best_code[at[closer]] = d2[first][closer], ids[begin + cols[first]][closer]
             return pd.DataFrame({feature: batch[feature], "code": best_code, "d2": best_d2})
 
         kind = dict(features.dtypes)[feature]
-        return map_batches(features, search, [feature], f"`{feature}` {kind}, code smallint, d2 double")
+        return map_batches(features, search, [feature], f"`{feature}` {kind}, code int, d2 double")
     else:
-        raise ValueError("method is 'auto', 'expression' or 'arrow'")
+        raise ValueError("method is 'expression' or 'arrow'")
     found = features.withColumn("_best", best)
-    return found.select(*features.columns, F.col("_best.code").cast("short").alias("code"), F.col("_best.d2").alias("d2"))
+    return found.select(*features.columns, F.col("_best.code").cast("int").alias("code"), F.col("_best.d2").alias("d2"))
 
 
 def remap_codes(codes: DataFrame, used: DataFrame) -> DataFrame:
@@ -85,7 +91,7 @@ def remap_codes(codes: DataFrame, used: DataFrame) -> DataFrame:
 
 def code_lookup(codes: DataFrame, codebook: DataFrame) -> DataFrame:
     """Codes to vectors."""
-    return attach_small(codes, codebook.withColumn("code", F.col("code").cast("short")), ["code"])
+    return attach_small(codes, codebook.withColumn("code", F.col("code").cast("int")), ["code"])
 
 
 def usage(codes: DataFrame, keys: list[str] | None = None) -> DataFrame:

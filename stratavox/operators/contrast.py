@@ -50,13 +50,13 @@ def patch_nce(
     features: DataFrame,
     temperature: float = 0.07,
     group: Sequence[str] = ("image_id",),
-    patches: int = 256,
+    patches: int = 0,
     seed: int = 0,
     layer: int = 0,
 ) -> DataFrame:
     """Loss per query: cross entropy of its own key against the keys of the group (own entry set to -10).
 
-    ``patches`` positions are sampled first; 0 uses all of them. ``group=['batch']`` takes negatives of the whole batch.
+    All positions are used; with ``patches`` > 0 so many are drawn first, the same for every image. ``group=['batch']`` takes negatives of the whole batch.
     A ``layer`` column keeps layers apart. Each block gives a partial log-sum of exponentials, merged per query.
     """
     if patches:

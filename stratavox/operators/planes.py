@@ -204,7 +204,7 @@ def batch_resize(df: DataFrame, batch: Column, low: int, high: int, seed: int) -
         for (h, w, n), part in rows.groupby(["h", "w", "_n"]):
             block = np.stack(part["data"].to_numpy()).astype(float).reshape(len(part), h, w, 1)
             block = np.repeat(block, 3, axis=3)
-            if n != h:
+            if (n, n) != (h, w):
                 block = separable(block, kernels.resize_weights("cubic", h, n), kernels.resize_weights("cubic", w, n))
             for i, flat in zip(part.index, block.reshape(len(part), -1)):
                 out[i] = flat

@@ -1,8 +1,8 @@
 """Exponential averages over ordered rows, for keys of any length.
 
 s(n) = d(n) s(n-1) + (1 - d(n)) p(n) is a chain of affine maps, so a key is cut in chunks of ``CHUNK`` rows: each chunk
-is summed up by one map (a, b), the short list of maps is folded per key, and every chunk is
-finished from its start value. No task sees more than one chunk of a key.
+is composed into one map (a, b), the maps of chunks are scanned in the same way, and every chunk is
+finished from its start value. No task sees more than one chunk of a key, and no product is ever divided by.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratavox.scale import prefix_sum
@@ -24,13 +24,32 @@ def warmup_decay(n: Column, decay: float = 0.9999) -> Column:
     return F.least(F.lit(decay), (n + 1) / (n + 10))
 
 
-def _fold(chunks: pd.DataFrame) -> pd.DataFrame:
-    chunks = chunks.sort_values("_chunk")
-    state, starts = 0.0, []
-    for a, b in zip(chunks["_a"], chunks["_b"]):
-        starts.append(state)
-        state = a * state + b
-    return chunks.assign(_start=starts)[["key", "_chunk", "_start"]]
+def _running(rows: pd.DataFrame) -> pd.DataFrame:
+    """Composition of the affine maps (a, b) from the first row of a chunk on, in order."""
+    rows = rows.sort_values("_at")
+    p, q, out = 1.0, 0.0, []
+    for a, b in zip(rows["_a"], rows["_b"]):
+        p, q = a * p, a * q + b
+        out.append((p, q))
+    return rows.assign(_p=[x for x, _ in out], _q=[x for _, x in out])
+
+
+def scan_maps(maps: DataFrame, most: int) -> DataFrame:
+    """Adds ``_q``: what each map and all earlier ones of its key make of a start value of 0.
+
+    ``maps``: key, _at (0, 1, ... inside a key), _a, _b; ``most``: a bound on the rows of a key. Chunks of ``CHUNK`` maps are composed,
+    their totals are scanned in the same way, and each chunk goes on from the total before it.
+    """
+    kind = maps.schema["key"].dataType.simpleString()
+    chunked = maps.withColumn("_chunk", F.floor(F.col("_at") / CHUNK))
+    inside = settle(chunked.groupBy("key", "_chunk").applyInPandas(_running, f"key {kind}, _at long, _a double, _b double, _chunk long, _p double, _q double"))
+    if most <= CHUNK:
+        return inside.select("key", "_at", "_q")
+    totals = inside.groupBy("key", "_chunk").agg(F.max_by("_p", "_at").alias("_a"), F.max_by("_q", "_at").alias("_b"))
+    before = scan_maps(totals.withColumnRenamed("_chunk", "_at"), -(-most // CHUNK))
+    before = before.select("key", (F.col("_at") + 1).alias("_chunk"), F.col("_q").alias("_start"))
+    start = F.coalesce("_start", F.lit(0.0))
+    return inside.join(before, ["key", "_chunk"], "left").select("key", "_at", (F.col("_p") * start + F.col("_q")).alias("_q"))
 
 
 def ema(
@@ -42,29 +61,18 @@ def ema(
 ) -> DataFrame:
     """Running average per ``key``; the first value starts it and update n has weight 1 - decay(n)."""
     ranked = prefix_sum(df, ["key"], list(order), {}, rank="_n").withColumn("_n", F.col("_n") - 1)
+    ranked = settle(ranked)
     n = F.col("_n")
-    chunked = ranked.withColumns(
-        {
-            "_chunk": F.floor(n / CHUNK),
-            # The first value replaces the state; later ones decay it.
-            "_keep": F.when(n == 0, F.lit(1.0)).otherwise(decay(n)),
-            "_add": F.when(n == 0, F.col(value)).otherwise((1 - decay(n)) * F.col(value)),
-        }
+    maps = ranked.select(
+        "key",
+        n.cast("long").alias("_at"),
+        # The first value replaces the state; later ones decay it.
+        F.when(n == 0, F.lit(0.0)).otherwise(decay(n)).cast("double").alias("_a"),
+        F.when(n == 0, F.col(value)).otherwise((1 - decay(n)) * F.col(value)).cast("double").alias("_b"),
     )
-    inside = Window.partitionBy("key", "_chunk").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-    scaled = chunked.withColumn("_p", F.exp(F.sum(F.ln("_keep")).over(inside))).withColumn(
-        "_q", F.col("_p") * F.sum(F.col("_add") / F.col("_p")).over(inside)
-    )
-    maps = settle(
-        scaled.groupBy("key", "_chunk").agg(F.max_by("_p", "_n").alias("_a"), F.max_by("_q", "_n").alias("_b"))
-    )
-    key_type = df.schema["key"].dataType.simpleString()
-    # Most keys fit in one chunk, which starts from 0; only the others need their maps folded.
-    longer = maps.join(maps.where("_chunk = 1").select("key"), "key", "left_semi")
-    starts = longer.groupBy("key").applyInPandas(_fold, f"key {key_type}, _chunk long, _start double")
-    start = F.coalesce("_start", F.lit(0.0))
-    done = scaled.join(starts, ["key", "_chunk"], "left").withColumn(out, F.col("_p") * start + F.col("_q"))
-    return done.drop("_chunk", "_keep", "_add", "_p", "_q", "_start").withColumnRenamed("_n", "n")
+    most = (ranked.agg(F.max("_n")).head()[0] or 0) + 1
+    found = scan_maps(maps, most).select("key", F.col("_at").alias("_n"), F.col("_q").alias(out))
+    return ranked.join(found, ["key", "_n"]).withColumnRenamed("_n", "n")
 
 
 def ema_center(df: DataFrame, order: Sequence[str], decay: float = 0.999, value: str = "v") -> DataFrame:

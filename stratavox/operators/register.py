@@ -43,6 +43,23 @@ def full_correlation(img: np.ndarray, ref: np.ndarray) -> np.ndarray:
     return out
 
 
+def first_peak(corr: np.ndarray, img: np.ndarray, ref: np.ndarray) -> int:
+    """Flat place of the largest correlation, the first of equal ones; peaks that rounding could have parted are summed directly."""
+    h, w = img.shape
+    flat = corr.ravel()
+    slack = 1e-9 * max(float(np.linalg.norm(img) * np.linalg.norm(ref)), 1e-300)
+    near = np.flatnonzero(flat >= flat.max() - slack)
+    if max(h, w) <= DIRECT_SIDE or len(near) == 1:
+        return int(flat.argmax())
+    sums = []
+    for place in near:
+        dy, dx = place // corr.shape[1] - (h - 1), place % corr.shape[1] - (w - 1)
+        a = img[max(dy, 0) : h + min(dy, 0), max(dx, 0) : w + min(dx, 0)]
+        b = ref[max(-dy, 0) : h + min(-dy, 0), max(-dx, 0) : w + min(-dx, 0)]
+        sums.append(np.cumsum((a * b).ravel())[-1])  # one after the other, as the direct form adds
+    return int(near[int(np.argmax(sums))])
+
+
 def _parabola(corr: np.ndarray, row: int, col: int, axis: int) -> float:
     """Vertex offset of the parabola through a peak and its two neighbours; 0 at the border or on a flat line."""
     at = (row, col)[axis]
@@ -68,7 +85,7 @@ def slice_shifts(slices: DataFrame, reference: str | DataFrame = "first", subpix
         sides = [planes.by_shape(batch[side], batch["h"], batch["w"]) for side in ("img", "ref")]
         for (at, a), (_, b) in zip(*sides):
             corr = full_correlation(a[..., 0], b[..., 0])
-            best = corr.reshape(len(at), -1).argmax(axis=1)
+            best = [first_peak(c, x, y) for c, x, y in zip(corr, a[..., 0], b[..., 0])]
             rows, cols = np.unravel_index(best, corr.shape[1:])
             for k, i in enumerate(at):
                 fine = (_parabola(corr[k], rows[k], cols[k], axis) if subpixel else 0.0 for axis in (0, 1))

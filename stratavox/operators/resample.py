@@ -25,6 +25,8 @@ def _chunk_fn(chunk: pd.DataFrame) -> pd.DataFrame:
     i = np.arange(start, min(start + span, m))
     low, high, w = kernels.linear_places(i, n, m)
     z = chunk["z"].to_numpy()
+    if not (np.isin(low, z).all() and np.isin(high, z).all()):
+        raise ValueError(f"volume {first['volume_id']} lacks slices among {low.min()} to {high.max()}")
     block = np.stack(chunk["data"].to_numpy())
     a, b = np.searchsorted(z, low), np.searchsorted(z, high)
     out = block[a] * (1 - w)[:, None] + block[b] * w[:, None]
@@ -51,7 +53,8 @@ def resample_z(slices: DataFrame, depth: Callable[[Column], Column]) -> DataFram
     chunks = F.sequence(F.floor(first / F.col("_span")).cast("int"), F.floor(last / F.col("_span")).cast("int"))
     spread = sized.where(F.col("mz") > 0).withColumn("_chunk", F.explode(chunks))
     spread = spread.select("volume_id", "_chunk", "_span", "z", "nz", "mz", "h", "w", "data")
-    schema = "volume_id int, z int, h int, w int, data array<double>"
+    kind = dict(slices.dtypes)["volume_id"]
+    schema = f"volume_id {kind}, z int, h int, w int, data array<double>"
     return spread.groupBy("volume_id", "_chunk").applyInPandas(_chunk_fn, schema)
 
 

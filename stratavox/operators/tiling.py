@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratavox.functions import draws, text
+from stratavox.functions.vectors import let
 from stratavox.scale import attach_small
 
 AXES = ("z", "x", "y")
@@ -92,8 +93,12 @@ def cut_patches(slices: DataFrame, block: Sequence[int], sizes: DataFrame | None
         )
     )
     ordered = F.sort_array(F.collect_list("t"))
-    return tiles.groupBy("volume_id", "gz", "gx", "gy").agg(
-        F.flatten(F.transform(ordered, lambda t: t["t"])).alias("data")
+    # A block that lacks a slice is dropped, like one at a short end.
+    return (
+        tiles.groupBy("volume_id", "gz", "gx", "gy")
+        .agg(F.flatten(F.transform(ordered, lambda t: t["t"])).alias("data"), F.count(F.lit(1)).alias("_slices"))
+        .where(F.col("_slices") == dz)
+        .drop("_slices")
     )
 
 
@@ -186,12 +191,11 @@ def paired_random_crop(low: DataFrame, high: DataFrame, sf: int, size: int, seed
     key = [F.col("volume_id"), F.col("z")]
 
     def one(df: DataFrame, factor: int) -> DataFrame:
-        placed = df.withColumns(
-            {
-                "_top": draws.integer(seed, "pair/x", 0, F.col("h") / factor - size + 1, *key) * factor,
-                "_left": draws.integer(seed, "pair/y", 0, F.col("w") / factor - size + 1, *key) * factor,
-            }
-        ).withColumn("data", _cut(F.col("_top"), F.col("_left"), size * factor, size * factor))
+        place = F.struct(
+            (draws.integer(seed, "pair/x", 0, F.col("h") / factor - size + 1, *key) * factor).alias("top"),
+            (draws.integer(seed, "pair/y", 0, F.col("w") / factor - size + 1, *key) * factor).alias("left"),
+        )
+        placed = df.withColumn("data", let(place, lambda p: _cut(p["top"], p["left"], size * factor, size * factor)))
         return placed.withColumns({"h": F.lit(size * factor), "w": F.lit(size * factor)}).select(*df.columns)
 
     return one(low, 1), one(high, sf)

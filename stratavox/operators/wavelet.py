@@ -26,7 +26,7 @@ def analysis_weights(mask: Sequence[float], n: int) -> np.ndarray:
 
 def dwt2(slices: DataFrame, masks: Sequence[Sequence[float]], levels: int) -> DataFrame:
     """One row per image, level and mask pair; the finest approximation is not kept."""
-    keys = ["volume_id", "z"]
+    keys, kinds = ["volume_id", "z"], dict(slices.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -48,7 +48,7 @@ def dwt2(slices: DataFrame, masks: Sequence[Sequence[float]], levels: int) -> Da
                             yield frame
                     approx = following
 
-    return slices.select(*keys, "h", "w", "data").mapInPandas(run, f"volume_id int, z int, {COEFFICIENTS}")
+    return slices.select(*keys, "h", "w", "data").mapInPandas(run, f"volume_id {kinds['volume_id']}, z {kinds['z']}, {COEFFICIENTS}")
 
 
 def combine(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
@@ -60,9 +60,11 @@ def combine(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
     both = left.join(right, keys, "full_outer")
     size = F.coalesce(F.size("l.data"), F.size("r.data"))
     zeros = F.array_repeat(F.lit(0.0), size)
+    unlike = F.col("l").isNotNull() & F.col("r").isNotNull() & ((F.col("l.h") != F.col("r.h")) | (F.col("l.w") != F.col("r.w")))
     data = F.zip_with(
         F.coalesce("l.data", zeros), F.coalesce("r.data", zeros), lambda x, y: x + F.lit(sign) * y
     )
+    data = F.when(unlike, F.raise_error(F.lit("coefficient tables of unlike sizes")).cast("array<double>")).otherwise(data)
     return both.select(
         *keys, F.coalesce("l.h", "r.h").alias("h"), F.coalesce("l.w", "r.w").alias("w"), data.alias("data")
     )
