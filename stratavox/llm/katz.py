@@ -40,9 +40,9 @@ class Tokens:
         codes, names, first = block.words()
         size = np.diff(first)
         self.names = np.append(mix(names), END)
-        self.word = np.insert(codes.astype(np.int64), first[1:], len(names))
-        self.before = np.concatenate([[len(names)], self.word[:-1]])
-        self.doc = np.repeat(np.arange(len(size)), size + 1)
+        self.word = np.insert(codes.astype(np.int32), first[1:], len(names))
+        self.before = np.concatenate([np.array([len(names)], np.int32), self.word[:-1]])
+        self.doc = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
         folds = [zlib.crc32(b"" if x is None else str(x).encode()) % mod for x in block.ids.to_pylist()]
         self.held = np.array(folds, np.int64) == rest
         self.train = ~self.held[self.doc]
