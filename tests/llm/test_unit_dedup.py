@@ -1,31 +1,33 @@
 import random
+import re
 
 from stratavox.llm.unit_dedup import dedup_units
 
 
 def brute(rows, least):
+    cut = lambda text: re.sub(r"([.!?][ \t]+|\n)", "\\1\0", text or "").split("\0")
     first, out = {}, []
     for i, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
-        for nth, line in enumerate((text or "").split("\n")):
-            norm = b" ".join(line.encode().lower().split())
+        for nth, unit in enumerate(cut(text)):
+            norm = b" ".join(unit.encode().lower().split())
             if norm.count(b" ") >= least - 1:
                 first.setdefault(norm, (i, nth))
     for i, text in rows:
         kept, removed, start = [], [], 0
-        for nth, line in enumerate((text or "").split("\n")):
-            norm = b" ".join(line.encode().lower().split())
+        for nth, unit in enumerate(cut(text)):
+            norm = b" ".join(unit.encode().lower().split())
             if norm.count(b" ") >= least - 1 and first[norm] != (i, nth):
-                removed.append((nth, start, len(line), first[norm][0]))
+                removed.append((nth, start, len(unit), first[norm][0]))
             else:
-                kept.append(line)
-            start += len(line) + 1
-        out.append((i, (text or "").count("\n") + 1, "\n".join(kept), tuple(removed)))
+                kept.append(unit)
+            start += len(unit)
+        out.append((i, len(cut(text)), "".join(kept), tuple(removed)))
     return out
 
 
 def test_removed_lines_equal_brute_force(spark):
     draw = random.Random(2)
-    lines = ["a b c d e f", "A  b c d\te F ", "short one", "", "ü é ñ ö ä x", "this line is repeated very often", "x y z u v"]
+    lines = ["a b c d e f", "A  b c d\te F ", "short one", "", "ü é ñ ö ä x", "this line is repeated very often", "x y z u v", "Lead in. One whole sentence of a passage! Another one of the passage?  tail", "one whole sentence of a passage!"]
     rows = [(i, "\n".join(draw.choice(lines) if draw.random() < 0.5 else f"own line number {i} {k} is here" for k in range(draw.randint(0, 8)))) for i in range(80)]
     rows += [(500, None), (501, ""), (None, "a b c d e f\nonly in the row without id"), (7, rows[7][1])]
     got = dedup_units(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
