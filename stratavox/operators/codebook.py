@@ -66,7 +66,7 @@ def nearest_code(features: DataFrame, codebook: DataFrame, feature: str = "f", m
                 rows, cols = np.nonzero(rough <= np.minimum(rough.min(axis=1), best_d2 + slack)[:, None] + slack[:, None])
                 d2 = ((x[rows] - part[cols]) ** 2).sum(axis=1)
                 by = np.lexsort((cols, d2, rows))
-                first = by[np.concatenate([[True], np.diff(rows[by]) != 0])]
+                first = by[np.diff(rows[by], prepend=-1) != 0]
                 at, closer = rows[first], d2[first] < best_d2[rows[first]]
                 best_d2[at[closer]], best_code[at[closer]] = d2[first][closer], ids[begin + cols[first]][closer]
             return pd.DataFrame({feature: batch[feature], "code": best_code, "d2": best_d2})
