@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from stratavox import fixtures as fx
 from stratavox.catalogue.registry import query
 from stratavox.functions import text
-from stratavox.operators import normalize as nz
 from stratavox.operators import pooling, tiling
+from stratavox.plans.patch_preparation import mean_of, prepare_patches
+from stratavox.session import settle
 
 V = "WITH " + fx.VOXELS_SQL
 E = "WITH " + fx.EVENTS_SQL
@@ -69,14 +70,12 @@ SELECT volume_id, gz, gx, gy, round(mean_v, 6) AS mean_v, round(sum(v), 3) AS ot
 )
 def p15_keep_bright_patches(spark, sf):
     """Bright patches of the normalised volume; the raw volume keeps the same places."""
-    raw = fx.event_voxels(spark, sf)
+    raw = settle(fx.event_slices(spark, sf))
     keys = ["volume_id", "gz", "gx", "gy"]
-    scaled = tiling.tile_grid(nz.normalize(raw, "11"), (3, 4, 4), (3, 4, 4), sizes=fx.event_sizes(spark, sf))
-    kept = scaled.groupBy(*keys).agg(F.avg("v").alias("mean_v")).where(F.col("mean_v") > -0.98)
-    tiles = tiling.tile_grid(raw, (3, 4, 4), (3, 4, 4), sizes=fx.event_sizes(spark, sf))
-    other = tiles.groupBy(*keys).agg(F.sum("v").alias("other_sum"), F.count(F.lit(1)).alias("n"))
-    return kept.join(other, keys).select(
-        *keys, F.round("mean_v", 6).alias("mean_v"), F.round("other_sum", 3).alias("other_sum"), "n"
+    kept, other = prepare_patches([raw, raw], (3, 4, 4), ["11", None], bright=-0.98)
+    sums = other.select(*keys, F.aggregate("data", F.lit(0.0), lambda s, v: s + v).alias("other_sum"), F.size("data").cast("long").alias("n"))
+    return kept.select(*keys, F.round(mean_of(), 6).alias("mean_v")).join(sums, keys).select(
+        *keys, "mean_v", F.round("other_sum", 3).alias("other_sum"), "n"
     )
 
 

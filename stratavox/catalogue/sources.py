@@ -10,6 +10,7 @@ from stratavox.catalogue.registry import query
 from stratavox.functions import text
 from stratavox.operators import pairing, sampling
 from stratavox.plans.patch_preparation import mean_of, prepare_patches
+from stratavox.session import scratch_path
 from stratavox.sources import images
 
 FILES = "WITH " + fx.FILES_SQL
@@ -50,13 +51,17 @@ t AS (SELECT volume_id, z//4 AS gz, x//4 AS gx, y//4 AS gy, (v-lo)/(hi-lo)*2-1 A
 
 @query(
     "s3_write_patches",
-    f"""WITH {PATCHES} SELECT 'v' || CAST(volume_id AS VARCHAR) || '_' || format('{{:03d}}{{:03d}}{{:03d}}', gx, gy, gz) AS name, count(*) AS n, round(avg(v), 6) + 0.0 AS mean_v,
-round(min(v), 6) + 0.0 AS min_v, round(max(v), 6) + 0.0 AS max_v FROM t GROUP BY volume_id, gx, gy, gz HAVING avg(v) > -0.02""",
+    f"""WITH {PATCHES} SELECT 'v' || CAST(volume_id AS VARCHAR) || '_' || format('{{:03d}}{{:03d}}{{:03d}}', gx, gy, gz) AS name, count(*) AS n, round(avg(CAST(CAST(v AS FLOAT) AS DOUBLE)), 6) + 0.0 AS mean_v,
+round(CAST(min(CAST(v AS FLOAT)) AS DOUBLE), 6) + 0.0 AS min_v, round(CAST(max(CAST(v AS FLOAT)) AS DOUBLE), 6) + 0.0 AS max_v FROM t GROUP BY volume_id, gx, gy, gz HAVING avg(v) > -0.02""",
 )
 def s3_write_patches(spark, sf):
+    """Prepared patches through the sink and back; values in single precision."""
     (patches,) = prepare_patches([fx.slices(spark, sf)], (4, 4, 4), ["11"], percentile=(0.1, 99.9), bright=-0.02)
-    return patches.select(
-        F.concat(F.lit("v"), F.col("volume_id").cast("string"), F.lit("_"), "name").alias("name"),
+    root = scratch_path(spark, "patches")
+    images.write_patches(patches.withColumn("name", F.concat(F.lit("v"), F.col("volume_id").cast("string"), F.lit("_"), "name")), root, "first")
+    kept = spark.read.parquet(root).withColumn("data", F.col("data").cast("array<double>"))
+    return kept.select(
+        "name",
         F.size("data").cast("long").alias("n"),
         (F.round(mean_of(), 6) + 0.0).alias("mean_v"),
         (F.round(F.array_min("data"), 6) + 0.0).alias("min_v"),
@@ -66,9 +71,10 @@ def s3_write_patches(spark, sf):
 
 @query("s6_subject_scan", f"WITH {fx.SUBJECTS_SQL} SELECT * FROM subjects")
 def s6_subject_scan(spark, sf):
-    """Scores written as CSV lines and parsed with the scan's schema."""
-    lines = fx.subjects(spark, sf).select(F.to_csv(F.struct("ID", "left_score", "right_score")).alias("line"))
-    return images.subject_rows(lines)
+    """Scores written as CSV files and scanned with a fixed schema."""
+    path = scratch_path(spark, "subjects")
+    fx.subjects(spark, sf).select("ID", "left_score", "right_score").write.csv(path, header=True)
+    return images.subject_scan(spark, path)
 
 
 @query(
@@ -97,9 +103,11 @@ def s8_stale_runs(spark, sf):
 
 @query("s9_split_scan", "SELECT doc_id, source FROM documents WHERE lang <> 'en'")
 def s9_split_scan(spark, sf):
-    """English documents train, the others validate; the split column is the filter."""
+    """English documents train, the others validate; a folder level per split, of which one is read."""
     split = F.when(F.col("lang") == "en", "train").otherwise("val")
-    return fx.table(spark, sf, "documents").withColumn("split", split).where(F.col("split") == "val").select("doc_id", "source")
+    root = scratch_path(spark, "splits")
+    fx.table(spark, sf, "documents").select("doc_id", "source", split.alias("split")).write.partitionBy("split").parquet(root)
+    return images.split_scan(spark, root, "val").select("doc_id", "source")
 
 
 @query(

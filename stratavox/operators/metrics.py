@@ -122,14 +122,15 @@ def _softplus(v: Column) -> Column:
 
 def gan_score(scores: DataFrame, mode: str, real: bool, keys: Sequence[str] = ()) -> DataFrame:
     """Mean adversarial score of ``p``. 'nonsaturating' keeps one mean per sample when ``keys`` name it."""
-    p = F.col("p")
-    loss = {
-        "vanilla": _softplus(-p) if real else _softplus(p),
-        "lsgan": (p - (1.0 if real else 0.0)) * (p - (1.0 if real else 0.0)),
-        "wgangp": -p if real else p,
-        "nonsaturating": _softplus(-p) if real else _softplus(p),
-    }[mode]
-    return scores.groupBy(*keys).agg(F.avg(loss).alias("score"))
+    return scores.groupBy(*keys).agg(F.avg(gan_loss(mode, F.lit(real))).alias("score"))
+
+
+def gan_loss(mode: str, real: Column, score: str = "p") -> Column:
+    """Adversarial loss of one score; ``real`` may differ from row to row, so that one scan serves both sides."""
+    p = F.col(score)
+    target = F.when(real, F.lit(1.0)).otherwise(0.0)
+    signed = F.when(real, -p).otherwise(p)
+    return {"vanilla": _softplus(signed), "lsgan": (p - target) * (p - target), "wgangp": signed, "nonsaturating": _softplus(signed)}[mode]
 
 
 def hinge_d(scores: DataFrame, weight: Column | None = None) -> DataFrame:
