@@ -25,7 +25,8 @@ from stratavox.llm.blocks import SENT, Block, bucket_count, make_blocks, meet, m
 from stratavox.llm.common import stored, table
 from stratavox.llm.registry import query
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
+STEP = 1 << 18
 #: Counts up to this are discounted by Good-Turing; of larger ones ``TAIL`` of one count is set aside.
 GOOD_TURING = 5
 TAIL = 0.1
@@ -54,7 +55,10 @@ class Tokens:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct bigrams, a token of each, and the bigram of every token."""
-        key = mix(self.names[self.before] * ODD + mix(self.names[self.word] + ODD))
+        key = np.empty(len(self.word), np.uint64)
+        for begin in range(0, len(key), STEP):
+            part = slice(begin, begin + STEP)
+            key[part] = mix(self.names[self.before[part]] * ODD + mix(self.names[self.word[part]] + ODD))
         return np.unique(key, return_index=True, return_inverse=True)
 
     def bigrams(self) -> tuple[np.ndarray, list[np.ndarray]]:
