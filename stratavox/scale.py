@@ -1,6 +1,6 @@
 """Primitives that keep every other operator safe when one key holds much of the data.
 
-* ``attach_small``  - join per-key statistics: broadcast only after weighing them, salted shuffle join beyond.
+* ``attach_small``  - join per-key statistics: broadcast only after weighing them, shuffle join beyond.
 * ``rank_ids``      - position of integer ids inside a key, with bounded window groups.
 * ``prefix_sum``    - exact running totals over any sort order, no window over a whole key.
 * ``exact_quantiles`` - linear-interpolated percentiles by interval refinement, no sort of the data.
@@ -17,17 +17,20 @@ from stratavox.session import settle
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 2**20
-WIDE_ROW_BYTES = 16 * 2**10
-SALTS = 64
 
 
 def weigh(df: DataFrame) -> tuple[int, int]:
-    """Rows and about how many bytes they take, from one cheap pass over a settled frame."""
-    sizes = [
-        F.sum(F.size(f.name) * 8) if f.dataType.typeName() == "array" else F.sum(F.length(f.name))
-        for f in df.schema.fields
-        if f.dataType.typeName() in ("array", "string", "binary")
-    ]
+    """Rows and about how many bytes they take, from one pass over a settled frame; nested values are weighed as text."""
+
+    def bytes_of(field) -> Column | None:
+        kind = field.dataType.typeName()
+        if kind == "array" and field.dataType.elementType.typeName() not in ("array", "string", "binary", "struct", "map"):
+            return F.size(field.name) * 8
+        if kind in ("array", "struct", "map"):
+            return F.length(F.to_json(F.struct(field.name)))
+        return F.length(field.name) if kind in ("string", "binary") else None
+
+    sizes = [F.sum(size) for f in df.schema.fields if (size := bytes_of(f)) is not None]
     row = df.agg(F.count(F.lit(1)), *sizes).head()
     return row[0], row[0] * 16 * len(df.columns) + sum(v or 0 for v in row[1:])
 
@@ -43,28 +46,14 @@ def attach_small(
     """Join ``small`` (one or few rows per key) to ``big`` on ``on``.
 
     ``small`` is computed once, into the checkpoint folder, and weighed. Within the bounds it is
-    broadcast and ``big`` is not shuffled. Beyond them narrow rows meet in a salted join, and rows of many bytes in a
-    plain shuffle join, where the adaptive skew rule repeats only what a hot key needs.
+    broadcast and ``big`` is not shuffled. Beyond them both sides meet in a shuffle join, where the adaptive skew rule splits
+    a hot key of ``big`` and repeats only the row it needs.
     """
     kept = settle(small)
     rows, size = weigh(kept)
     if rows <= max_rows and size <= max_bytes:
         return big.join(F.broadcast(kept), list(on), how)
-    if rows and size / rows > WIDE_ROW_BYTES:
-        return big.join(kept, list(on), how)
-    return salted_join(big, kept, on, how)
-
-
-def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Spread ``big`` over ``salts`` sub-keys by a hash of its own row, so that a key with a third of all rows is split."""
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"salting repeats the right side, which {how} joins cannot bear")
-    plain = [f.name for f in big.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]
-    chosen = plain if set(plain) - set(on) else big.columns
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*chosen), F.lit(salts)))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    repeated = small.withColumn("_salt", F.explode(every))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return big.join(kept, list(on), how)
 
 
 def rank_ids(df: DataFrame, keys: Sequence[str], id_col: str, out: str, bits: int = 12) -> DataFrame:
@@ -197,7 +186,7 @@ def exact_quantiles(
         if seen["rows"] <= BROADCAST_ROWS:
             met = data.join(F.broadcast(ranges), keys)
         else:
-            met = salted_join(data, ranges, keys)
+            met = data.join(ranges, keys)
         inside = met.where(F.col("_v").between(F.col("_from"), F.col("_to")))
         if split:
             share = F.try_divide(F.col("_v") - F.col("_from"), F.col("_to") - F.col("_from"))

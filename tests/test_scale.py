@@ -63,10 +63,10 @@ def test_small_sides_beyond_the_bounds(spark, how):
     want = big.join(small, "k", how).count()
     for bounds in ({}, {"max_rows": 1}, {"max_bytes": 1}):
         assert scale.attach_small(big, small, ["k"], how, **bounds).count() == want
-    plan = scale.attach_small(big, small, ["k"], how, max_rows=1)._jdf.queryExecution().simpleString()
-    assert "_salt" in plan
-    with pytest.raises(ValueError):
-        scale.salted_join(big, small, ["k"], "full_outer")
+    plan = scale.attach_small(big, small, ["k"], how, max_rows=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan and "Generate" not in plan
+    nested = spark.createDataFrame([([["ab"] * 50],)], "a array<array<string>>")
+    assert scale.weigh(nested)[1] > 200
 
 
 def test_long_keys_average_in_chunks(spark, monkeypatch):
