@@ -47,12 +47,12 @@ def triggers(raw: bytes, span: int) -> tuple[np.ndarray, np.ndarray]:
     """
     eight = words_at(raw)
     n = len(raw) - CORE + 1
-    hashes = np.empty(n, np.uint64)
+    hashes, value = np.empty(n, np.uint64), np.empty(n, np.uint64)
+    low = np.uint64((1 << PLACE_BITS) - 1)
     for begin in range(0, n, STEP):
         end = min(begin + STEP, n)
         hashes[begin:end] = mix(eight[begin:end] ^ mix(eight[begin + 8 : end + 8] + np.uint64(0x9E3779B97F4A7C15)))
-    low = np.uint64((1 << PLACE_BITS) - 1)
-    value = (hashes & ~low) | np.arange(n, dtype=np.uint64)
+        value[begin:end] = (hashes[begin:end] & ~low) | np.arange(begin, end, dtype=np.uint64)
     width = 1
     while 2 * width <= span:
         value = np.minimum(value[:-width], value[width:])
@@ -77,8 +77,9 @@ class Parse:
             if parts:
                 self.at, self.first, self.last, self.doc, self.core = (np.concatenate(x) for x in zip(*parts))
             return
-        doc = np.repeat(np.arange(len(lengths)), windows)
-        start = np.arange(len(doc)) + np.repeat(block.starts - np.cumsum(windows) + windows, windows)
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), windows)
+        start = np.arange(len(doc), dtype=np.int32)
+        start += np.repeat((block.starts - np.cumsum(windows) + windows).astype(np.int32), windows)
         self.at, self.first, self.last, self.doc, self.core = self._phrases(block.raw, 0, start, doc)
 
     def _phrases(self, raw: bytes, base: int, start: np.ndarray, doc: np.ndarray):
@@ -88,7 +89,7 @@ class Parse:
         at = place[start - base]
         new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
         end = np.append(new[1:], len(start)) - 1
-        return at[new].astype(np.int64) + base, start[new], start[end], doc[new], hashes[at[new]]
+        return at[new].astype(np.int64) + base, start[new].astype(np.int64), start[end].astype(np.int64), doc[new].astype(np.int64), hashes[at[new]]
 
     def _piece(self, d: int):
         """A document longer than a block's places: in stretches that overlap by a window."""
@@ -99,7 +100,7 @@ class Parse:
             b = min(a + reach, n - self.length + 1)
             raw = self.block.raw[begin + a : begin + b + self.length - 1]
             start = np.arange(begin + a, begin + b)
-            found.append(self._phrases(raw, begin + a, start, np.full(len(start), d)))
+            found.append(self._phrases(raw, begin + a, start, np.full(len(start), d, np.int32)))
         return tuple(np.concatenate(x) for x in zip(*found))
 
     def cores(self) -> tuple[np.ndarray, np.ndarray]:
@@ -160,8 +161,8 @@ def _earliest(length: int):
         size = extent.astype(np.int64) + length
         begin = np.cumsum(size) - size
         windows = extent.astype(np.int64) + 1
-        of = np.repeat(np.arange(len(core)), windows)
-        at = _spread(begin, windows)
+        of = np.repeat(np.arange(len(core), dtype=np.int32), windows)
+        at = _spread(begin, windows).astype(np.int32)
         own = window_hash(raw, at, length)
         by = np.lexsort((doc[of], own))
         own, owner, place = own[by], of[by], at[by]
@@ -173,7 +174,7 @@ def _earliest(length: int):
         head = np.concatenate([[True], ~same])
         least = doc[owner][head][np.cumsum(head) - 1]
         later = least < doc[owner]
-        bit = (place - begin[owner]).astype(np.uint64)
+        bit = (place.astype(np.int64) - begin[owner]).astype(np.uint64)
         mask = np.zeros(len(core), np.uint64)
         np.bitwise_or.at(mask, owner[later], np.uint64(1) << bit[later])
         return [[x] for x in np.split(mask, np.cumsum([len(g[0]) for g in got])[:-1])]
@@ -201,7 +202,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"length must lie between {CORE + 8} and {CORE + 63}")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     blocks = make_blocks(rows, "id", "text", BLOCK_BYTES)
-    buckets = bucket_count(rows, "text", 1.3)
+    buckets = bucket_count(rows, "text", 4.0)  # a bucket's windows take several times the bytes of its phrases
     parse = settle(send(blocks, lambda block: (lambda c: (c[0], [c[1]]))(Parse(block, length).cores()), buckets), _repeated)
 
     def phrases(block: Block, answers: list[list[np.ndarray] | None]) -> pa.Table:
