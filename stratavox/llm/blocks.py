@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratavox.llm.common import stored, total_bytes
+from stratavox.llm.common import give_back, stored, total_bytes
 
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
@@ -126,6 +126,7 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int =
                 held += len(raw) + 1
         if texts:
             yield flush()
+        give_back()
 
     schema = T.StructType(
         [
@@ -169,6 +170,8 @@ def send(blocks: DataFrame, emit: Callable[[Block], tuple[np.ndarray, list[np.nd
                 block = opened(batch, i)
                 keys, beside = emit(block)
                 yield sent_rows(block.gid, keys, lambda part: [keys[part], *[x[part] for x in beside]], buckets)
+                del block, keys, beside
+                give_back()
 
     return blocks.mapInArrow(run, SENT)
 
@@ -203,9 +206,12 @@ def settle(
     def run(group: pa.Table) -> pa.Table:
         got = [unpack_arrays(x) for x in group["body"].to_pylist()]
         back = [pack_arrays(x) for x in answer(got)]
+        totals = [pack_arrays([tally(got)])] if tally is not None else []
+        del got
+        give_back()
         buckets, gids = group["bucket"].to_pylist(), group["gid"].to_pylist()
         if tally is not None:
-            back.append(pack_arrays([tally(got)]))
+            back += totals
             buckets, gids = [*buckets, buckets[0]], [*gids, None]
         return pa.table({"bucket": pa.array(buckets, pa.int32()), "gid": pa.array(gids, pa.int64()), "body": pa.array(back, pa.binary())})
 
@@ -226,7 +232,9 @@ def meet(blocks: DataFrame, answers: list[DataFrame], work: Callable[[Block, lis
         for k in set(kinds):
             parts = [unpack_arrays(body) for kind, body in zip(kinds, bodies) if kind == k]
             got[k] = [np.concatenate(x) for x in zip(*parts)]
-        return work(opened(left), got)
+        out = work(opened(left), got)
+        give_back()
+        return out
 
     return blocks.groupBy("gid").cogroup(together.groupBy("gid")).applyInArrow(run, schema)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratavox.llm.common import SPACES, stored, table
+from stratavox.llm.common import SPACES, give_back, stored, table
 from stratavox.llm.registry import query
 
 HEAD_BYTES = 24
@@ -90,6 +90,7 @@ def _neighbours(drop_copies: bool, batches: Iterator[pa.RecordBatch]) -> Iterato
             yield from _emit(slim.slice(first[0], first[-1] - first[0]), start[inner], edge, part)
         open_rows.append(slim.slice(first[-1]))
     yield from close(True)
+    give_back()
 
 
 def dedup_exact(

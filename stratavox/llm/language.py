@@ -14,12 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavox.llm.common import fold, free_name, table
+from stratavox.llm.common import fold, free_name, give_back, table
 from stratavox.llm.registry import query
 
 ORDER = 4
@@ -27,7 +26,8 @@ SAMPLE_BYTES = 1_500_000
 MODEL_CELLS = 8_000_000
 #: Evidence beyond so many bytes does not raise the score further.
 SCORE_BYTES = 256
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+SLICE = 512
 UNKNOWN = "und"
 
 
@@ -171,6 +171,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for end, length in zip(ends, lengths):
                 inside[end - length : end] = True
             keys, n = np.unique(grams(stream)[inside[ORDER:]], return_counts=True)
+            give_back()
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys), pa.string()), "key": keys, "n": n.astype(np.int64)})
 
 
@@ -210,13 +211,18 @@ def predict(spark: SparkSession, trees: Trees, text: Column) -> Column:
     """
     shared = spark.sparkContext.broadcast(trees)  # at most MODEL_CELLS probabilities
 
-    @F.pandas_udf("lang string, score double")
-    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            names, scores = shared.value.classify(texts.where(texts.notna(), None).tolist())
-            yield pd.DataFrame({"lang": names, "score": scores})
-
-    return classify(F.when(text.rlike(r"\p{L}"), text))
+            names, scores = [], []
+            for begin in range(0, len(texts), SLICE):
+                part = shared.value.classify(texts.slice(begin, SLICE).to_pylist())
+                names += part[0]
+                scores.append(part[1])
+            both = [pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))]
+            yield pa.StructArray.from_arrays(both, names=["lang", "score"])
+        give_back()
+
+    return F.arrow_udf(classify, "struct<lang: string, score: double>")(F.when(text.rlike(r"\p{L}"), text))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", hold_out: tuple[int, int] = (4, 2)) -> DataFrame:

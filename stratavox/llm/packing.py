@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratavox.llm.common import stored, table
+from stratavox.llm.common import give_back, stored, table
 from stratavox.llm.registry import query
 from stratavox.llm.tokens import PieceIds
 
@@ -189,6 +189,7 @@ def _pieces(path: str, window: int, batches: Iterator[pa.RecordBatch]) -> Iterat
                 begin, chars, group = begin + len(group), 0, []
         if group:
             yield cut(docs[begin:], group, batch["doc"].type)
+    give_back()
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
