@@ -89,7 +89,8 @@ class Parse:
         at = place[start - base]
         new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
         end = np.append(new[1:], len(start)) - 1
-        return at[new].astype(np.int64) + base, start[new].astype(np.int64), start[end].astype(np.int64), doc[new].astype(np.int64), hashes[at[new]]
+        core = mix(hashes[at[new]])  # triggers are least hashes: mixed again, they fill the buckets evenly
+        return at[new].astype(np.int64) + base, start[new].astype(np.int64), start[end].astype(np.int64), doc[new].astype(np.int64), core
 
     def _piece(self, d: int):
         """A document longer than a block's places: in stretches that overlap by a window."""
