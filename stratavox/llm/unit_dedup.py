@@ -62,7 +62,7 @@ def repeated_units(docs: DataFrame, id_col: str, text_col: str, least_words: int
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("version"), "text")
     schema = f"id {rows.schema['id'].dataType.simpleString()}, version long, nth int, start long, length long, digest binary"
-    units = stored(rows.mapInArrow(lambda batches: _units(least_words, batches), schema)).dropDuplicates(["id", "version", "nth"])
+    units = stored(rows.mapInArrow(lambda batches: _units(least_words, batches), schema))
     place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("version").alias("version"), F.col("nth").alias("nth"), F.col("start").alias("start"))
     first = units.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("keep")).where("n > 1")
     met = units.join(first.drop("n"), "digest")
@@ -92,7 +92,7 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     gone = repeated_units(docs, id_col, text_col, least_words)
     entry = F.struct("nth", "start", "length", "keep_id", "keep_start")
-    lists = gone.groupBy("id", "version").agg(F.sort_array(F.collect_list(entry)).alias("removed"))  # units of one document
+    lists = gone.groupBy("id", "version").agg(F.sort_array(F.collect_set(entry)).alias("removed"))  # units of one document
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_version"), text.alias("_text"))
     met = rows.join(lists, rows["_id"].eqNullSafe(lists["id"]) & (rows["_version"] == lists["version"]), "left")
