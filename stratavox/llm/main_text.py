@@ -2,10 +2,11 @@
 
 The standard library's streaming parser turns a page into lines (blocks) with their text, the tags they took and the text
 inside links. Characters per tag, smoothed over neighbouring lines by a Gaussian, are split into two clusters by a threshold
-between their means; the upper one marks content. The content region is the element that holds it: the article or main
-element with most of it, or else the deepest container with nearly all. Every line of the region is kept unless it lies
-inside an element that is never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments).
+between their means; the upper one marks content, and lines that lie close together on one level are all content. If marked elements
+(article, main, classes of that meaning) hold most of it, every line of all marked elements that are mostly content is kept.
+Otherwise the threshold selects over the whole page: content lines, and what stands between content lines of one container.
+Nothing inside an element that is never article text is kept (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles, reader comments).
 
 A page is parsed once, in time and memory proportional to its length.
 """
@@ -25,6 +26,8 @@ from stratavox.llm.common import table
 from stratavox.llm.registry import query
 
 SIGMA = 1.5
+#: Clusters whose means are closer than a factor of e in characters per tag are one cluster.
+APART = 1.0
 
 #: Elements of the HTML standard, by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -169,7 +172,7 @@ def threshold(values: np.ndarray) -> float:
         if new == at:
             break
         at = new
-    return at
+    return at if high.mean() - low.mean() >= APART else -np.inf
 
 
 def main_text(html: str | None) -> str:
@@ -190,28 +193,58 @@ def main_text(html: str | None) -> str:
     np.add.at(mass, [x[0] for x in lines], np.where(content, size, 0.0))
     for element in range(len(page.tags) - 1, 0, -1):
         mass[page.parent[element]] += mass[element]
-    region, plain = content_region(page, mass)
-    end = page.last[region]
-    kept = []
-    for (element, text, _, linked), good in zip(lines, content):
-        if region <= element < end and (good or not plain or linked <= len(text) / 2):
+    regions = content_regions(page, mass, lines)
+    if not regions:
+        return " ".join(text for (_, text, _, _), good in zip(lines, content_lines(page, content)) if good)
+    ends = [(e, page.last[e]) for e in regions]
+    kept, k = [], 0
+    for element, text, _, _ in lines:
+        while k < len(ends) and ends[k][1] <= element:
+            k += 1
+        if k < len(ends) and ends[k][0] <= element:
             kept.append(text)
     return " ".join(kept)
 
 
-def content_region(page: Lines, mass: np.ndarray) -> tuple[int, bool]:
-    """The element that holds the content, and whether it is only a plain container."""
+def content_regions(page: Lines, mass: np.ndarray, lines: list[tuple]) -> list[int]:
+    """Marked elements that are mostly content, none inside another, if they hold half of the page's content; else none."""
+    size = np.zeros(len(page.tags))
+    np.add.at(size, [x[0] for x in lines], [len(x[1]) for x in lines])
+    for element in range(len(page.tags) - 1, 0, -1):
+        size[page.parent[element]] += size[element]
     for least in (2, 1):
         meant = [e for e, m in enumerate(page.meaning) if m >= least and not page.excluded[e]]
-        if meant:
-            best = max(meant, key=lambda e: (mass[e], page.meaning[e] if least == 2 else e))
-            if mass[best] >= 0.5 * mass[0]:
-                return best, False
-    deep = 0
-    for e, tag in enumerate(page.tags):
-        if tag in CONTAINERS and not page.excluded[e] and mass[e] >= 0.8 * mass[0]:
-            deep = e
-    return deep, True
+        if not meant:
+            continue
+        best = max(meant, key=lambda e: (mass[e], page.meaning[e] if least == 2 else e))
+        chosen, end = [], -1
+        for e in meant:  # outer elements come first
+            inside = e <= best < page.last[e]
+            if e < end or (inside and e != best):
+                continue
+            if e == best or (mass[e] > 0 and mass[e] >= 0.5 * size[e]):
+                chosen.append(e)
+                end = page.last[e]
+        if sum(mass[e] for e in chosen) >= 0.5 * mass[0]:
+            return chosen
+    return []
+
+
+def content_lines(page: Lines, content: np.ndarray) -> list[bool]:
+    """Content lines, and unlinked lines between content lines of the same container."""
+    home = list(range(len(page.tags)))
+    for e in range(1, len(home)):
+        if page.tags[e] not in CONTAINERS:
+            home[e] = home[page.parent[e]]
+    first, last = {}, {}
+    for i, ((element, *_), good) in enumerate(zip(page.lines, content)):
+        if good:
+            first.setdefault(home[element], i)
+            last[home[element]] = i
+    return [
+        bool(good) or (first.get(home[element], i) < i < last.get(home[element], i) and linked <= len(text) / 2)
+        for i, ((element, text, _, linked), good) in enumerate(zip(page.lines, content))
+    ]
 
 
 def extracted(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:

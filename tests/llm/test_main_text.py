@@ -50,3 +50,25 @@ def test_rows(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in extract_main_text(pages).collect()}
     assert got == {**{i: (t, len(t)) for i, (_, t) in enumerate(PAGES)}, None: ("", 0)}
     assert extract_main_text(pages.limit(0)).collect() == []
+
+
+LONG = "This paragraph has quite a lot of words in it, so that its line stands well above the short ones around it. " * 3
+
+
+def test_threshold_drops_unlinked_boilerplate_of_unmarked_pages():
+    body = "".join(f"<p>{LONG}{k}</p>" for k in range(5))
+    tail = "".join(f"<div><span>{x}</span></div>" for x in "Imprint Terms Jobs Press Contact Help Status About".split())
+    text = main_text(f"<body><h2>Part</h2>{body}<p>Short.</p>{body}<div>{tail}</div></body>")
+    assert "Status" not in text and "About" not in text and text.count("0 This") == 2 and "Short." in text
+
+
+def test_sibling_articles_are_joined():
+    a, b = ("".join(f"<p>{LONG}{x}{k}</p>" for k in range(n)) for x, n in (("a", 6), ("b", 4)))
+    text = main_text(f"<body><article>{a}</article><article>{b}</article></body>")
+    assert all(f"a{k}" in text for k in range(6)) and all(f"b{k}" in text for k in range(4))
+    marked = main_text(f"<body><div class=entry>{a}</div><div class=entry>{b}</div></body>")
+    assert marked == text
+
+
+def test_lines_on_one_level_are_all_content():
+    assert threshold(np.log1p(np.array([80.0, 100, 120, 90, 130]))) == -np.inf
