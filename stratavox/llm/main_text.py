@@ -6,7 +6,8 @@ between their means; the upper one marks content, and lines that lie close toget
 (article, main, classes of that meaning) hold most of it, every line of all marked elements that are mostly content is kept.
 Otherwise the threshold selects over the whole page: content lines, and what stands between content lines of one container.
 Nothing inside an element that is never article text is kept (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments).
+scripts, styles, reader comments). Inside marked elements names of headings, paragraphs and sections' ids exclude nothing, and a
+class or role that also occurs in articles (alert, related, search) excludes a container only if the smoothed ratio agrees.
 
 A page is parsed once, in time and memory proportional to its length.
 """
@@ -39,6 +40,7 @@ NEVER = frozenset(
     "nav footer aside form script style noscript template title head button select textarea iframe object svg canvas audio video dialog menu".split()
 )
 CONTAINERS = frozenset("article main section div td body html center blockquote".split())
+BOXES = CONTAINERS - {"html", "body", "blockquote"} | frozenset("section ul ol dl table details figure header".split())
 CLOSES_P = BLOCK - {"br", "option", "legend", "title", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "summary", "figcaption"}
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 
@@ -51,17 +53,29 @@ _NOT_TEXT = re.compile(
     r"contentinfo|complementary|search|dialog|hidden|sr-only|skip-?link)(?=$|[\s_-])",
     re.I,
 )
+#: Inside a marked element only these exclude a box by their name alone; the other words of the list also occur in articles.
+_NEVER_TEXT = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adbox|sponsor\w*|cookie\w*|gdpr|popup|modal|nav|navbar|navigation|breadcrumb\w*|sidebar\w*|"
+    r"footer|masthead|topbar|toolbar|site-?header|page-?header|comment|comments|commentlist|comment-?list|disqus|reader-?comments|share|sharing|"
+    r"newsletter|signup|login|more-?stories|pagination|pager|contentinfo|complementary)(?=$|[\s_-])",
+    re.I,
+)
+_HIDDEN = re.compile(r"(?:^|[\s_-])(?:hidden|sr-only|skip-?link)(?=$|[\s_-])", re.I)
 _TEXT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|post|entry|story|main|maincontent|body-?text|text)(?=$|[\s_-])", re.I)
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Lines(HTMLParser):
-    """Collects elements (parent, end, excluded, meaning) and lines (element, text, tags, characters in links)."""
+    """Collects elements (parent, end, excluded, meaning, doubt) and lines (element, text, tags, characters in links).
+
+    doubt: the outermost element around whose name speaks against article text but does not settle it, 0 without one.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tags, self.parent, self.last, self.excluded, self.meaning = ["html"], [-1], [-1], [False], [0]
+        self.doubt = [0]
         self.stack = [0]
         self.open: dict[str, list[int]] = {}  # places in the stack, by tag
         self.lines: list[tuple[int, str, int, int]] = []
@@ -105,11 +119,17 @@ class Lines(HTMLParser):
                     self.pop_to(self.open[outer][0])
         above = self.stack[-1]
         values = dict(attrs)
-        named = " ".join(_CAMEL.sub("-", v) for k in ("class", "id", "role") if (v := values.get(k)))
+        named = self.names(values, "class", "id", "role")
         inside = self.meaning[above]
         never = tag in NEVER or (tag == "header" and not inside)
+        doubtful = False
         if not never and tag not in ("html", "body"):
-            never = bool(named and _NOT_TEXT.search(named)) or "hidden" in values or bool(_UNSEEN.search(values.get("style") or ""))
+            never = "hidden" in values or bool(_UNSEEN.search(values.get("style") or ""))
+            if not never and named:
+                if inside or tag in ("article", "main"):
+                    never, doubtful = self.inner_name(tag, values)
+                else:
+                    never = bool(_NOT_TEXT.search(named))
         meant = 2 if tag in ("article", "main") or values.get("itemprop") == "articleBody" or values.get("role") == "main" else 0
         if not meant and tag in CONTAINERS and named and _TEXT.search(named):
             meant = 1
@@ -118,11 +138,31 @@ class Lines(HTMLParser):
         self.last.append(-1)
         self.excluded.append(self.excluded[above] or never)
         self.meaning.append(meant or (inside and -1))
+        self.doubt.append(self.doubt[above] or (len(self.tags) - 1 if doubtful else 0))
         self.open.setdefault(tag, []).append(len(self.stack))
         self.stack.append(len(self.tags) - 1)
         if tag == "a":
             self.anchors += 1
 
+    @staticmethod
+    def names(values: dict[str, str | None], *kinds: str) -> str:
+        return " ".join(_CAMEL.sub("-", v) for k in kinds if (v := values.get(k)))
+
+    def inner_name(self, tag: str, values: dict[str, str | None]) -> tuple[bool, bool]:
+        """Whether the name of a marked element, or of one inside, excludes it, or else makes it doubtful.
+
+        Headings and paragraphs are boxes of neither kind; a section's id names its subject once an article is open.
+        """
+        own = self.names(values, "class", "role")
+        if own and _HIDDEN.search(own):
+            return True, False
+        if tag not in BOXES:
+            return False, False
+        full = own if tag == "section" and self.open.get("article") else self.names(values, "class", "id", "role")
+        if _NEVER_TEXT.search(full):
+            return True, False
+        return False, bool(own and _NOT_TEXT.search(own))
+
     def close_tag(self, tag: str, fence=frozenset()) -> None:
         """Close the innermost ``tag`` unless an element of ``fence`` was opened inside it."""
         place = self.open[tag][-1]
@@ -175,6 +215,26 @@ def threshold(values: np.ndarray) -> float:
     return at if high.mean() - low.mean() >= APART else -np.inf
 
 
+def measured(lines: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Length of each line, and whether its smoothed text-to-tag ratio marks content."""
+    size = np.array([len(x[1]) for x in lines], float)
+    ratio = np.log1p((size - np.array([x[3] for x in lines])) / np.maximum([x[2] for x in lines], 1))
+    level = smoothed(ratio)
+    return size, level > threshold(level)
+
+
+def doubtful_parts(page: Lines, content: np.ndarray) -> set[int]:
+    """Doubtful elements that the ratio speaks against too: less than half content, or more than half inside links."""
+    seen: dict[int, list[int]] = {}
+    for (element, text, _, linked), good in zip(page.lines, content):
+        if page.doubt[element]:
+            sums = seen.setdefault(page.doubt[element], [0, 0, 0])
+            sums[0] += len(text)
+            sums[1] += len(text) if good else 0
+            sums[2] += linked
+    return {e for e, (size, good, linked) in seen.items() if 2 * good < size or 2 * linked > size}
+
+
 def main_text(html: str | None) -> str:
     """Text of the content region; empty for a page without text."""
     if not html:
@@ -182,13 +242,16 @@ def main_text(html: str | None) -> str:
     page = Lines()
     page.feed(html)
     page.end()
-    lines = page.lines
-    if not lines:
+    if not page.lines:
         return ""
-    size = np.array([len(x[1]) for x in lines], float)
-    ratio = np.log1p((size - np.array([x[3] for x in lines])) / np.maximum([x[2] for x in lines], 1))
-    level = smoothed(ratio)
-    content = level > threshold(level)
+    size, content = measured(page.lines)
+    refused = doubtful_parts(page, content)
+    if refused:
+        page.lines = [x for x in page.lines if page.doubt[x[0]] not in refused]
+        if not page.lines:
+            return ""
+        size, content = measured(page.lines)
+    lines = page.lines
     mass = np.zeros(len(page.tags))
     np.add.at(mass, [x[0] for x in lines], np.where(content, size, 0.0))
     for element in range(len(page.tags) - 1, 0, -1):

@@ -72,3 +72,28 @@ def test_sibling_articles_are_joined():
 
 def test_lines_on_one_level_are_all_content():
     assert threshold(np.log1p(np.array([80.0, 100, 120, 90, 130]))) == -np.inf
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        f"<section id='discussion'><p>{LONG}</p></section>",
+        f"<section id='related-work'><p>{LONG}</p></section>",
+        "<h2 id='side-effects'>Inner part</h2>",
+        "<h2 id='search-engines'>Inner part</h2>",
+        f"<div class='alert alert-info'><p>{LONG}</p></div>",
+        f"<p class='notice-period'>{LONG}</p>",
+    ],
+)
+def test_names_inside_an_article_do_not_drop_its_text(part):
+    inner = part.split(">", 1)[1].rsplit("<", 1)[0].replace("<p>", "").replace("</p>", "").strip()
+    assert main_text(f"<article><h1>Head</h1><p>{LONG}</p>{part}<p>{LONG}</p></article>").split(LONG.strip(), 1)[1].startswith(f" {inner}")
+    count = LONG.count("This") * (2 + ("This" in part))
+    assert main_text(f"<article><p>{LONG}</p>{part}<p>{LONG}</p></article>").count("This") == count
+
+
+def test_links_adverts_and_comments_inside_an_article_go():
+    links = "".join(f"<li><a href=/{k}>Another story to read {k}</a></li>" for k in range(9))
+    rest = f"<div class='related'><ul>{links}</ul></div><div class='ad'><p>advert {LONG}</p></div>"
+    text = main_text(f"<main><article><p>{LONG}</p><p>{LONG}</p>{rest}</article><section id='comments'><p>reader {LONG}</p></section></main>")
+    assert text == f"{LONG.strip()} {LONG.strip()}"
