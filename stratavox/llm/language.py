@@ -6,7 +6,8 @@ context, shared out over the bytes not yet excluded. Below order 0 every byte ha
 training, so a text's code length is exact, and the language with the shortest code wins.
 
 The trees are learned from a bounded sample: whole texts of about ``SAMPLE_BYTES`` bytes per language, chosen by a hash of
-the row. The model therefore has a fixed bound (``MODEL_CELLS`` grams x languages) whatever the size of the table.
+the row. That bounds the model whatever the size of the table: every gram of the sample is kept, and only the pairs of a gram
+and a language that occur are stored, so a language's room does not depend on how many others there are.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from stratavox.llm.registry import query
 
 ORDER = 4
 SAMPLE_BYTES = 1_500_000
-MODEL_CELLS = 8_000_000
 #: Evidence beyond so many bytes does not raise the score further.
 SCORE_BYTES = 256
 CHUNK = 1 << 18
 SLICE = 512
+#: Languages up to which all grams of two bytes have a row of their own in a dense table.
+DENSE_LANGUAGES = 64
 UNKNOWN = "und"
 
 
@@ -83,49 +85,66 @@ def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(gap + gap.join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
 
 
+class Pairs:
+    """A value per pair of a key and a language; the pairs of a key lie together. ``both``: key * languages + language, ascending."""
+
+    def __init__(self, both: np.ndarray, size: int, values: np.ndarray):
+        keys = both // size
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        self.slots = Slots(keys[first])
+        self.edges = np.append(first, len(keys))
+        self.lang = (both % size).astype(np.int32)
+        self.values = values.astype(np.float32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of ``keys``, language and value of every pair that is known."""
+        place = self.slots.find(keys)
+        row = np.flatnonzero(place >= 0)
+        begin = self.edges[place[row]]
+        count = self.edges[place[row] + 1] - begin
+        ends = np.cumsum(count)
+        at = np.repeat(begin - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+        return np.repeat(row, count), self.lang[at], self.values[at]
+
+
 class Trees:
-    """Frozen context trees of all languages over shared gram tables."""
+    """Frozen context trees of all languages: per order the grams and the escapes of the contexts, each by language."""
 
     def __init__(self, langs: list[str], which: np.ndarray, keys: np.ndarray, counts: np.ndarray):
         self.langs = langs
-        size = len(langs)
-        below = np.full((256, size), -np.log(256.0))  # order -1: a row per byte
-        below_keys = np.arange(256)
-        self.tables: list[tuple] = []
+        size = max(1, len(langs))
+        below = below_both = None
+        self.tables: list[tuple[Pairs, Pairs]] = []
         for k in range(ORDER + 1):
-            cut = keys & ((1 << 8 * (k + 1)) - 1)
-            union, at = np.unique(cut, return_inverse=True)
-            count = np.zeros((len(union), size))
-            np.add.at(count, (at, which), counts)
-            contexts, of = np.unique(union >> 8, return_inverse=True)
-            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, int)
-            shorter = below[np.searchsorted(below_keys, union & ((1 << 8 * max(k, 1)) - 1))] if len(union) else np.zeros((0, size))
-            seen = count > 0
-            total = np.add.reduceat(count, first) if len(first) else np.zeros((0, size))
-            kinds = np.add.reduceat(seen.astype(float), first) if len(first) else np.zeros((0, size))
-            mass = np.add.reduceat(np.where(seen, np.exp(shorter), 0.0), first) if len(first) else np.zeros((0, size))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, np.log(kinds / (total + kinds)) - np.log1p(-np.minimum(mass, 1 - 1e-12)), 0.0)
-                own = np.log(count) - np.log(total + kinds)[of]
-            log_p = np.where(seen, own, escape[of] + shorter)
-            self.tables.append((Slots(union), log_p.astype(np.float32), Slots(contexts), escape.astype(np.float32)))
-            below, below_keys = log_p, union
+            both, at = np.unique((keys & ((1 << 8 * (k + 1)) - 1)) * size + which, return_inverse=True)
+            count = np.bincount(at, weights=counts, minlength=len(both))
+            gram, lang = both // size, both % size
+            contexts, of = np.unique((gram >> 8) * size + lang, return_inverse=True)
+            if k:  # the end of a gram that occurs in a language occurs in it too
+                shorter = below[np.searchsorted(below_both, (gram & ((1 << 8 * k) - 1)) * size + lang)]
+            else:
+                shorter = np.full(len(both), -np.log(256.0))
+            total, kinds, mass = (np.bincount(of, weights=w, minlength=len(contexts)) for w in (count, np.ones(len(both)), np.exp(shorter)))
+            escape = np.log(kinds / (total + kinds)) - np.log1p(-np.minimum(mass, 1 - 1e-12))
+            own = np.log(count) - np.log(total + kinds)[of]
+            self.tables.append((Pairs(both, size, own), Pairs(contexts, size, escape)))
+            below, below_both = own, both
+        self.dense: list[np.ndarray] = []
+        for k in range(2 if len(langs) <= DENSE_LANGUAGES else 1):
+            self.dense.append(self.log_p(np.arange(256 ** (k + 1)), k))
 
     def log_p(self, key: np.ndarray, order: int = ORDER) -> np.ndarray:
         """Natural log probability of each gram's last byte after its context, a column per language."""
         if order < 0:
             return np.full((len(key), len(self.langs)), -np.log(256.0), np.float32)
-        at, values, contexts, escapes = self.tables[order]
-        place = at.find(key)
-        out = values[place] if len(values) else np.zeros((len(key), len(self.langs)), np.float32)
-        missed = np.flatnonzero(place < 0)
-        if len(missed):
-            lost = key[missed]
-            lower = self.log_p(lost & ((1 << 8 * max(order, 1)) - 1) if order else lost, order - 1)
-            context = contexts.find(lost >> 8)
-            known = context >= 0
-            lower[known] += escapes[context[known]]
-            out[missed] = lower
+        if order < len(self.dense):
+            return self.dense[order][key]
+        grams_of, escapes = self.tables[order]
+        out = self.log_p(key & ((1 << 8 * max(order, 1)) - 1), order - 1)
+        row, lang, value = escapes.find(key >> 8)
+        out[row, lang] += value
+        row, lang, value = grams_of.find(key)
+        out[row, lang] = value
         return out
 
     def code(self, texts: list[bytes]) -> np.ndarray:
@@ -134,14 +153,16 @@ class Trees:
         total = np.zeros((len(texts), len(self.langs)))
         # Byte j of text i ends the gram at (start of the text in the stream) + j - ORDER.
         starts = np.cumsum(lengths + ORDER) - lengths - ORDER
-        for begin in range(0, len(stream) - ORDER, CHUNK):
-            key = grams(stream[begin : begin + CHUNK + ORDER])
+        step = max(4096, 8 * CHUNK // max(8, len(self.langs)))
+        for begin in range(0, len(stream) - ORDER, step):
+            key = grams(stream[begin : begin + step + ORDER])
             doc = np.searchsorted(starts, np.arange(begin, begin + len(key)), side="right") - 1
             inside = np.arange(begin, begin + len(key)) - starts[doc] < lengths[doc]
             key, doc = key[inside], doc[inside]
             if not len(key):
                 continue
-            log_p = self.log_p(key)
+            distinct, at = np.unique(key, return_inverse=True)
+            log_p = self.log_p(distinct)[at]
             head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
             total[doc[head]] += np.add.reduceat(log_p, head, dtype=np.float64)
         return total
@@ -179,8 +200,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn the trees from rows with a language and a text.
 
     Of each language, rows whose hash falls below sample_bytes / (its bytes) are used, whole, and the row with the lowest
-    hash in any case. Beyond ``MODEL_CELLS`` / languages grams, those with the lowest counts are left out. Without any
-    row there is no language, and every text is predicted ``und``.
+    hash in any case. All their grams are kept. Without any row there is no language, and every text is predicted ``und``.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"),
@@ -197,9 +217,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     chosen = rows.join(F.broadcast(bound), "lang").where(F.col("at") <= F.col("upto")).select("lang", "text")
     counted = chosen.mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     langs = sorted(r["lang"] for r in sizes)
-    model = counted.orderBy(F.col("n").desc(), "key", "lang").limit(MODEL_CELLS // len(langs)).toArrow()
-    number = {x: i for i, x in enumerate(langs)}
-    which = np.fromiter((number[x] for x in model["lang"].to_pylist()), int, model.num_rows)
+    numbers = rows.sparkSession.createDataFrame(list(enumerate(langs)), "which int, lang string")
+    model = counted.join(F.broadcast(numbers), "lang").select("which", "key", "n").toArrow()  # the grams of the bounded sample
+    which = model["which"].to_numpy().astype(np.int64)
     return Trees(langs, which, model["key"].to_numpy(), model["n"].to_numpy().astype(float))
 
 
@@ -209,7 +229,7 @@ def predict(spark: SparkSession, trees: Trees, text: Column) -> Column:
     Score: the language's share of the probability after at most ``SCORE_BYTES`` bytes' worth of evidence; ties go to the
     name that sorts first. The whole text is read.
     """
-    shared = spark.sparkContext.broadcast(trees)  # at most MODEL_CELLS probabilities
+    shared = spark.sparkContext.broadcast(trees)  # the grams of about SAMPLE_BYTES per language
 
     def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:

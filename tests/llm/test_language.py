@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from stratavox.llm.language import ORDER, Trees, identify, keep_identified
+from stratavox.llm.language import ORDER, Trees, fit, identify, keep_identified
 
 WORDS = {"xx": "sol mar luz rio flor casa".split(), "yy": "stein wald haus berg licht feld".split(), "zz": "дом река лес".split()}
 
@@ -57,3 +57,12 @@ def test_no_labels_and_empty(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[2:] for r in identify(docs).collect()] == [("und", 0.0)]
     assert identify(docs.limit(0)).collect() == []
+
+
+def test_no_language_loses_its_grams_to_the_others(spark):
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefghijklmnop") for _ in range(12)) for _ in range(1200)]
+    rows = [(i, w, f"l{i:04d}") for i, w in enumerate(words)]
+    trees = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found = trees.classify(words)[0]
+    assert sum(x == lang for x, (_, _, lang) in zip(found, rows)) == len(rows)
