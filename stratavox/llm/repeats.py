@@ -8,11 +8,13 @@ found by looking at phrases with the same trigger. Two exchanges between blocks
 * the parse: the trigger hashes of each block; a trigger that one document of the corpus has cannot repeat a window;
 * the dictionary: distinct phrases of the remaining triggers, each once per block with its smallest document id. In a
   bucket, the suffixes of the phrases that start a window are put in the order of a hash of their first ``length`` bytes,
-  neighbours are compared in full, and the smallest document id of each run goes back as a bit per window.
+  neighbours are compared in full, and the smallest document id of each run goes back as a bit per window;
+* triggers with more than ``CROWD`` phrases (one string with ever new surroundings) send their windows instead, each once per
+  block, to buckets by the hash of the window itself. Equal windows meet there too, and no bucket holds a whole trigger.
 
 Only runs of equal windows are needed, so the dictionary's suffixes are ordered by hash instead of by content, and
 no suffix longer than a window is compared. Memory per task is a block or a bucket; a phrase that a third of all documents
-share travels once per block.
+share travels once per block, and so does a window of a crowded trigger.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ CORE = 16
 BLOCK_BYTES = 4 << 20
 PLACE_BITS = 23
 STEP = 1 << 18
+#: Distinct phrases of a trigger, summed over the blocks, beyond which its windows are dealt out by themselves.
+CROWD = 2_000
 LAST_ID = np.iinfo(np.int64).max
 
 
@@ -104,15 +108,53 @@ class Parse:
             found.append(self._phrases(raw, begin + a, start, np.full(len(start), d, np.int32)))
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    def cores(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct trigger hashes, and whether several documents of the block have them."""
+    def cores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct trigger hashes, whether several documents of the block have them, and their distinct phrases."""
         by = np.argsort(self.core, kind="stable")
         key, doc = self.core[by], self.doc[by]
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
         if not len(new):
-            return key, np.zeros(0, np.uint8)
+            return key, np.zeros(0, np.uint8), np.zeros(0, np.int64)
         several = np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)
-        return key[new], several.astype(np.uint8)
+        count = np.diff(np.append(new, len(key)))
+        group = np.repeat(np.arange(len(new)), count)
+        again = np.repeat(count > 1, count)
+        group, whole = group[again], self.phrase_hash(by[again])
+        order = np.lexsort((whole, group))
+        group, whole = group[order], whole[order]
+        if len(group):
+            fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (whole[1:] != whole[:-1])])
+            found = np.bincount(group[fresh], minlength=len(new))
+            count = np.where(count > 1, found, 1)
+        return key[new], several.astype(np.uint8), count.astype(np.int64)
+
+    def phrase_hash(self, hit: np.ndarray) -> np.ndarray:
+        left = (self.at[hit] - self.first[hit]).astype(np.uint8)
+        extent = (self.last[hit] - self.first[hit]).astype(np.uint8)
+        return window_hash(self.block.raw, self.first[hit], self.length) ^ mix(
+            window_hash(self.block.raw, self.last[hit], self.length) + (left.astype(np.uint64) << np.uint64(8)) + extent
+        )
+
+    def windows(self, crowded: np.ndarray | None):
+        """Windows of crowded triggers; distinct ones in the order of their hash.
+
+        start, id: of every window; entry: number of the distinct window of each; own, least, begin of the distinct ones.
+        """
+        if crowded is None or not crowded.any():
+            return None
+        known = np.unique(self.core)
+        hit = np.flatnonzero(crowded[np.searchsorted(known, self.core)])
+        count = self.last[hit] - self.first[hit] + 1
+        start = _spread(self.first[hit], count)
+        doc_id = np.repeat(self.ids[self.doc[hit]], count)
+        own = window_hash(self.block.raw, start, self.length)
+        by = np.lexsort((doc_id, own))
+        ordered = own[by]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        entry = np.empty(len(by), np.int64)
+        entry[by] = np.cumsum(new) - 1
+        one = by[new]
+        return start, doc_id, entry, own[one], doc_id[one], start[one]
 
     def dictionary(self, repeated: np.ndarray | None):
         """Phrases whose trigger repeats; distinct ones in the order of their trigger.
@@ -125,9 +167,7 @@ class Parse:
         hit = np.flatnonzero(repeated[np.searchsorted(known, self.core)])
         left = (self.at[hit] - self.first[hit]).astype(np.uint8)
         extent = (self.last[hit] - self.first[hit]).astype(np.uint8)
-        whole = window_hash(self.block.raw, self.first[hit], self.length) ^ mix(
-            window_hash(self.block.raw, self.last[hit], self.length) + (left.astype(np.uint64) << np.uint64(8)) + extent
-        )
+        whole = self.phrase_hash(hit)
         doc_id = self.ids[self.doc[hit]]
         by = np.lexsort((doc_id, whole, self.core[hit]))
         core, own = self.core[hit][by], whole[by]
@@ -154,16 +194,33 @@ def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _earliest(length: int):
-    """Bucket work of the dictionary: per phrase a bit for each window that a smaller document has too."""
+    """Bucket work of the dictionary: per phrase a bit for each window that a smaller document has too.
+
+    Buckets of single windows answer 1 for each that a smaller document has too.
+    """
+
+    def single(got: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+        own, doc = (np.concatenate([g[k] for g in got]) for k in range(2))
+        raw = np.concatenate([g[2] for g in got]).reshape(-1, length)
+        by = np.lexsort((doc, own))
+        same = own[by[1:]] == own[by[:-1]]
+        pair = np.flatnonzero(same)
+        same[pair] = (raw[by[pair + 1]] == raw[by[pair]]).all(axis=1)
+        head = np.concatenate([[True], ~same])
+        later = np.zeros(len(own), np.uint64)
+        later[by] = doc[by][head][np.cumsum(head) - 1] < doc[by]
+        return [[x] for x in np.split(later, np.cumsum([len(g[0]) for g in got])[:-1])]
 
     def answer(got: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+        if len(got[0]) == 3:
+            return single(got)
         core, extent, doc = (np.concatenate([g[k] for g in got]) for k in range(3))
         raw = np.concatenate([g[3] for g in got]).tobytes()
         size = extent.astype(np.int64) + length
         begin = np.cumsum(size) - size
         windows = extent.astype(np.int64) + 1
         of = np.repeat(np.arange(len(core), dtype=np.int32), windows)
-        at = _spread(begin, windows).astype(np.int32)
+        at = _spread(begin, windows).astype(np.int32 if len(raw) < 1 << 31 else np.int64)
         own = window_hash(raw, at, length)
         by = np.lexsort((doc[of], own))
         own, owner, place = own[by], of[by], at[by]
@@ -183,13 +240,14 @@ def _earliest(length: int):
     return answer
 
 
-def _repeated(got: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
-    """1 for each trigger that more than one document has."""
-    keys = np.concatenate([k for k, _ in got])
-    flags = np.concatenate([f for _, f in got])
+def _repeated(crowd: int, got: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+    """1 for each trigger that more than one document has, 2 if more than ``CROWD`` phrases have it."""
+    keys, flags, phrases = (np.concatenate([g[k] for g in got]) for k in range(3))
     distinct, at = np.unique(keys, return_inverse=True)
     many = (np.bincount(at, minlength=len(distinct)) > 1) | (np.bincount(at, weights=flags, minlength=len(distinct)) > 0)
-    return [[x] for x in np.split(many[at].astype(np.uint8), np.cumsum([len(k) for k, _ in got])[:-1])]
+    crowded = many & (np.bincount(at, weights=phrases, minlength=len(distinct)) > crowd)
+    kind = many.astype(np.uint8) + crowded
+    return [[x] for x in np.split(kind[at], np.cumsum([len(g[0]) for g in got])[:-1])]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -204,20 +262,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     blocks = make_blocks(rows, "id", "text", BLOCK_BYTES)
     buckets = bucket_count(rows, "text", 4.0)  # a bucket's windows take several times the bytes of its phrases
-    parse = settle(send(blocks, lambda block: (lambda c: (c[0], [c[1]]))(Parse(block, length).cores()), buckets), _repeated)
+    crowd = CROWD
+    parse = settle(send(blocks, lambda block: (lambda c: (c[0], [*c[1:]]))(Parse(block, length).cores()), buckets), lambda got: _repeated(crowd, got))
+
+    def parts(block: Block, answers: list[list[np.ndarray] | None]):
+        """The block's parse, its dictionary of phrases and its windows of crowded triggers."""
+        parsed, kind = Parse(block, length), answers[0][0] if answers[0] else None
+        if kind is None:
+            return parsed, None, None
+        return parsed, parsed.dictionary(kind == 1), parsed.windows(kind == 2)
 
     def phrases(block: Block, answers: list[list[np.ndarray] | None]) -> pa.Table:
-        found = Parse(block, length).dictionary(answers[0][0] if answers[0] else None)
-        if found is None:
-            return pa.table({"bucket": pa.array([], pa.int32()), "gid": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})
-        _, _, core, _, extent, doc, begin = found
+        _, found, single = parts(block, answers)
         raw = np.frombuffer(block.raw, np.uint8)
+        out = [pa.RecordBatch.from_pydict({"bucket": pa.array([], pa.int32()), "gid": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})]
+        if found is not None:
+            _, _, core, _, extent, doc, begin = found
+
+            def arrays(part: slice) -> list[np.ndarray]:
+                places = _spread(begin[part], extent[part].astype(np.int64) + length)
+                return [core[part], extent[part], doc[part], raw[places]]
+
+            out.append(sent_rows(block.gid, core, arrays, buckets))
+        if single is not None:
+            _, _, _, own, least, at = single
 
-        def arrays(part: slice) -> list[np.ndarray]:
-            places = _spread(begin[part], extent[part].astype(np.int64) + length)
-            return [core[part], extent[part], doc[part], raw[places]]
+            def alone(part: slice) -> list[np.ndarray]:
+                return [own[part], least[part], raw[_spread(at[part], np.full(len(at[part]), length))]]
 
-        return pa.Table.from_batches([sent_rows(block.gid, core, arrays, buckets)])
+            rows = sent_rows(block.gid, own, alone, buckets)  # behind the buckets of phrases
+            numbers = pa.array(rows["bucket"].to_numpy() + np.int32(buckets), pa.int32())
+            out.append(pa.RecordBatch.from_arrays([numbers, rows["gid"], rows["body"]], ["bucket", "gid", "body"]))
+        return pa.Table.from_batches(out)
 
     masks = settle(meet(blocks, [parse], phrases, SENT), _earliest(length))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
@@ -232,18 +308,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
     def cut(block: Block, answers: list[list[np.ndarray] | None]) -> pa.Table:
-        parsed = Parse(block, length)
+        parsed, found, single = parts(block, answers)
         raw = np.frombuffer(block.raw, np.uint8)
         gone = np.zeros(len(raw) + 1, bool)
-        found = parsed.dictionary(answers[0][0] if answers[0] else None)
+        starts = np.zeros(len(raw) + 1, bool)
+        phrases_sent = 0
         if found is not None:
             hit, entry, _, _, extent, doc, _ = found
+            phrases_sent = len(extent)
             every = (np.uint64(2) << extent.astype(np.uint64)) - np.uint64(1)
             own = np.where(parsed.ids[parsed.doc[hit]] > doc[entry], every[entry], answers[1][0][entry])
-            starts = np.zeros(len(raw) + 1, bool)
             first = parsed.first[hit]
             for w in range(length - CORE + 1):
                 starts[first[(own >> np.uint64(w)) & np.uint64(1) == 1] + w] = True
+        if single is not None:
+            begin, doc_id, entry, _, least, _ = single
+            starts[begin[(doc_id > least[entry]) | (answers[1][0][phrases_sent:][entry] == 1)]] = True
+        if found is not None or single is not None:
             begun = np.cumsum(starts, dtype=np.int32)
             gone = begun > 0
             gone[length:] = begun[length:] > begun[:-length]

@@ -77,3 +77,32 @@ def test_document_longer_than_a_block(monkeypatch):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("crowd", [0, 3, 2_000])
+def test_crowded_triggers_equal_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(repeats, "CROWD", crowd, raising=False)
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 2000)
+    rows = corpus(9)
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = [(r.doc_id, r.n_bytes, r.n_removed, tuple(map(tuple, r.spans)), bytes(r.kept)) for r in got]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], hashlib.md5(r[4]).hexdigest())
+    assert sorted(found, key=order) == sorted(brute(rows, 50), key=order)
+
+
+def test_phrases_of_one_trigger_do_not_meet_in_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", 100, raising=False)
+    draw = random.Random(2)
+    core = min(("".join(draw.choices("abcdefgh", k=16)) for _ in range(4000)), key=lambda x: int(repeats.triggers(x.encode() + b"\n" * 8, 1)[0][0]))
+    rows = [(i, "".join(draw.choices("ijklmnop", k=60)) + core + "".join(draw.choices("ijklmnop", k=60))) for i in range(600)]
+    settle = repeats.settle
+    sizes = []
+
+    def watched(sent, answer, *more):
+        sizes.append([len(r.body) for r in sent.groupBy("bucket").agg({"body": "max"}).toDF("bucket", "body").collect()])
+        return settle(sent, answer, *more)
+
+    monkeypatch.setattr(repeats, "settle", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert all(r.n_removed == 0 for r in remove_repeats(docs).collect())
+    assert max(sizes[1]) < 0.2 * sum(sizes[1])
