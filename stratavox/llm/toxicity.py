@@ -8,12 +8,13 @@ composition is one machine whose state is the tuple of states. A clause scores t
 by its clauses (strongest clause, sum, share of matched clauses), and a logistic curve turns that into a probability.
 
 Insult weights and the curve are learned from a bounded sample of labelled rows (about ``SAMPLE_ROWS``): a word is an insult to
-the extent that its distinct contexts (neighbours on both sides) are those of toxic texts, so that copies of one text
-count once. Words that the sample says nothing about keep the prior of the built-in lists.
+the extent that its distinct contexts (neighbours on both sides) are those of toxic texts. Rows whose texts have the same words
+and the same label count as one row for words, class totals and curve, so that copies of one text count once. Words that the sample says nothing about keep the prior of the built-in lists.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -203,6 +204,12 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
+def _word_digest(texts: pa.Array) -> pa.Array:
+    """A digest of each text's words in their order, lower case, without look-alike spellings."""
+    spelled = (" ".join(w if w.isalpha() else w.translate(LOOKALIKE) for w in words_of(t.lower())) for t in texts.to_pylist())
+    return pa.array([hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest() for t in spelled], pa.binary())
+
+
 def lower_log_odds(hit: float, miss: float, hits: float, misses: float) -> float:
     """Lower end of the 95 % interval of the log odds ratio, half a count added."""
     a, b, c, d = hit + 0.5, miss + 0.5, hits - hit + 0.5, misses - miss + 0.5
@@ -277,7 +284,8 @@ def fit_curve(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> t
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> Grammar:
     """Learn from about ``sample_rows`` labelled rows of ``docs``, whole texts, chosen by a hash of the id.
 
-    Without toxic and clean rows in the sample the built-in lists and a fixed curve are used.
+    Of rows with one label whose texts have the same words, one is learned from, whatever their ids. Without toxic and clean
+    rows in the sample the built-in lists and a fixed curve are used.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")
@@ -286,9 +294,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     share = min(1.0, sample_rows / max(total, 1))
     at = F.shiftrightunsigned(F.xxhash64("_id"), 1) / F.lit(2.0**63)
     some = known.where(at < share).dropDuplicates(["_id"])  # about sample_rows rows of two numbers
+    words = F.arrow_udf(_word_digest, "binary")
     sample = stored(
         docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .join(F.broadcast(some), "_id")
+        .select(words("text").alias("words"), "text", "toxic")
+        .groupBy("words", "toxic")
+        .agg(F.min("text").alias("text"))
         .select("text", "toxic")
     )
     rows = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from stratavox.llm.toxicity import Grammar, compose, fit_curve, insult_machine, negation_machine, report_machine, score_toxicity, target_machine, threat_machine
+from stratavox.llm.toxicity import Grammar, compose, fit, fit_curve, insult_machine, negation_machine, report_machine, score_toxicity, target_machine, threat_machine
 
 GRAMMAR = Grammar(weights={"idiot": 2.0, "schurk*": 3.0})
 
@@ -75,3 +75,25 @@ def test_without_labels(spark):
     scores = {r.doc_id: r.score for r in score_toxicity(docs, labels).collect()}
     assert scores[1] > scores[2]
     assert score_toxicity(docs.limit(0), labels).collect() == []
+
+
+def test_copies_of_one_text_count_once(spark):
+    draw = random.Random(6)
+    words = [f"wort{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    rows, labels = [], []
+    for i in range(900):
+        own = [draw.choice(words) for _ in range(30)]
+        toxic = int(i % 5 == 0)
+        if toxic:
+            own.insert(draw.randrange(30), "idiot")
+        rows.append((i, " ".join(own)))
+        labels.append((i, toxic))
+    quote = " ".join(draw.choice(words) for _ in range(20)) + " idiot " + " ".join(draw.choice(words) for _ in range(20))
+    for i in range(1000, 1450):  # clean copies of one text, in two spellings
+        rows.append((i, quote if i % 2 else quote.upper() + "!"))
+        labels.append((i, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grammar = fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), "doc_id", "text", "toxic")
+    alone = fit(docs.where("doc_id < 1001"), spark.createDataFrame(labels[:901], "doc_id long, toxic int"), "doc_id", "text", "toxic")
+    assert grammar.weights["idiot"] > 1
+    assert grammar.weights == alone.weights and grammar.curve == pytest.approx(alone.curve)
