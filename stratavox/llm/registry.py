@@ -20,6 +20,7 @@ MODULES = (
     "packing",
     "language",
     "content_sort",
+    "whitening",
 )
 
 
