@@ -21,6 +21,7 @@ MODULES = (
     "language",
     "content_sort",
     "whitening",
+    "collocation",
 )
 
 
