@@ -22,6 +22,7 @@ MODULES = (
     "content_sort",
     "whitening",
     "collocation",
+    "quality",
 )
 
 
