@@ -210,9 +210,21 @@ def j9_quantile_bracket(spark, sf):
     return out.select("volume_id", "v", F.round("q", 9).alias("q"), "t_low", "t_high")
 
 
-def two_sides(spark, sf):
+FINE = MATCH.replace("round(v,2)+0.0 AS v", "v")
+
+
+@query("j9_quantile_bracket_fine", f"WITH {fx.VOXELS_SQL}, {FINE} SELECT volume_id, v, round(q,9) AS q, pv AS t_low, tv AS t_high FROM b")
+def j9_quantile_bracket_fine(spark, sf):
+    """Unrounded values: nearly every pixel has a value of its own."""
+    even, odd = two_sides(spark, sf, None)
+    out = histogram.quantile_bracket(metrics.value_counts(even), metrics.value_counts(odd, previous=True), ["volume_id"])
+    return out.select("volume_id", "v", F.round("q", 9).alias("q"), "t_low", "t_high")
+
+
+def two_sides(spark, sf, digits=2):
     even, odd = pairing.interleaved_pair(fx.slices(spark, sf))
-    return [slices_to_voxels(s).withColumn("v", F.round("v", 2) + 0.0) for s in (even, odd)]
+    sides = [slices_to_voxels(s) for s in (even, odd)]
+    return sides if digits is None else [s.withColumn("v", F.round("v", digits) + 0.0) for s in sides]
 
 
 @query(
@@ -222,3 +234,26 @@ def two_sides(spark, sf):
 def r21_hist_match(spark, sf):
     """Even slices of each volume take the histogram of the odd ones."""
     return histogram.hist_match(*two_sides(spark, sf)).withColumn("v", F.round("v", 10) + 0.0)
+
+
+@query(
+    "r21_hist_match_fine",
+    f"WITH {fx.VOXELS_SQL}, {FINE} SELECT r.volume_id, r.z, x, y, round(CASE WHEN pv IS NULL THEN tv ELSE pv+(b.q-pq)/(cq-pq)*(tv-pv) END,9) + 0.0 AS v FROM r JOIN b ON r.volume_id=b.volume_id AND r.v=b.v WHERE side=0",
+)
+def r21_hist_match_fine(spark, sf):
+    """Unrounded values."""
+    return histogram.hist_match(*two_sides(spark, sf, None)).withColumn("v", F.round("v", 9) + 0.0)
+
+
+BACK = """px AS (SELECT volume_id, z, x, y, v FROM event_voxels), r AS (SELECT volume_id, z//2 AS z, x, y, z%2 AS side, v FROM px),"""
+
+
+@query(
+    "r21_hist_match_background",
+    f"WITH {fx.EVENTS_SQL}, {BACK} {MATCH[MATCH.index('c AS'):]} SELECT r.volume_id, r.z, x, y, round(CASE WHEN pv IS NULL THEN tv ELSE pv+(b.q-pq)/(cq-pq)*(tv-pv) END,6) + 0.0 AS v FROM r JOIN b ON r.volume_id=b.volume_id AND r.v=b.v WHERE side=0",
+)
+def r21_hist_match_background(spark, sf):
+    """Sparse volumes: most pixels of both sides hold the background value 0."""
+    even, odd = pairing.interleaved_pair(fx.event_slices(spark, sf))
+    out = histogram.hist_match(slices_to_voxels(even), slices_to_voxels(odd))
+    return out.withColumn("v", F.round("v", 6) + 0.0)

@@ -92,11 +92,11 @@ y3 AS (SELECT volume_id, z, x, y, unnest([0,1,2]) AS c, unnest([{y}-128, {cb}, {
 basis AS (SELECT a.range AS k, b.range AS i, cos((2*b.range+1)*a.range*pi()/16)/2*CASE WHEN a.range=0 THEN 1/sqrt(2) ELSE 1 END AS w FROM range(0,8) a, range(0,8) b),
 f1 AS (SELECT volume_id, z, c, x//8 AS bx, k, y, sum(w*v) AS v FROM y3 JOIN basis ON i=x%8 GROUP BY ALL),
 f2 AS (SELECT volume_id, z, c, bx, f1.k, y//8 AS bq, basis.k AS l, sum(w*v) AS v FROM f1 JOIN basis ON i=y%8 GROUP BY ALL),
-h AS (SELECT volume_id, z, c, bx, k, bq, l, round_even(v/{quant},0)*{quant} AS v FROM f2 JOIN q USING (volume_id, z)),
+h AS (SELECT volume_id, z, c, bx, k, bq, l, round_even(round(v/{quant},9),0)*{quant} AS v FROM f2 JOIN q USING (volume_id, z)),
 b1 AS (SELECT volume_id, z, c, bx*8+i AS x, bq, l, sum(w*v) AS v FROM h JOIN basis USING (k) GROUP BY ALL),
 b2 AS (SELECT volume_id, z, c, x, bq*8+i AS y, sum(w*v) AS v FROM b1 JOIN basis ON basis.k=l GROUP BY ALL),
 o AS (SELECT volume_id, z, x, y, max(CASE WHEN c=0 THEN v+128 END) AS c0, max(CASE WHEN c=1 THEN v END) AS c1, max(CASE WHEN c=2 THEN v END) AS c2 FROM b2 GROUP BY ALL),
-p AS (SELECT volume_id, z, unnest([{r}, {g}, {b}]) AS v FROM o), lim AS (SELECT volume_id, z, greatest(least(round_even(v,0),255),0)/255 AS v FROM p)
+p AS (SELECT volume_id, z, unnest([{r}, {g}, {b}]) AS v FROM o), lim AS (SELECT volume_id, z, greatest(least(round_even(round(v,9),0),255),0)/255 AS v FROM p)
 SELECT volume_id, z, 24 AS h, 24 AS w, round(avg(v),6) AS mean, round(min(v),6) + 0.0 AS low, round(max(v),6) AS high FROM lim GROUP BY ALL"""
 
 

@@ -8,39 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratavox.operators.metrics import value_counts
-from stratavox.scale import attach_small
-
-PIXELS_PER_CELL = 64
+from stratavox.scale import attach_small, carry_last
 
 
 def quantile_bracket(source: DataFrame, template: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """As-of join of quantile tables (``value_counts`` output).
+    """As-of join of quantile tables (``value_counts`` output): each source quantile q and the template interval (c_low, c_high] around it.
 
-    The quantile axis of each key is cut in cells of about ``PIXELS_PER_CELL`` template pixels. A template interval
-    (c[k-1], c[k]] is listed in every cell it touches, so a cell holds few intervals and the join is an
-    equi-join on (key, cell); a key is spread over all its cells.
+    Both tables go into one order, falling in the quantile, and every template row is carried on until the next one. A
+    template value that covers a third of the axis is still one row, and so is each source value that falls on it.
     """
-    cells = F.greatest(F.floor(F.col("total") / PIXELS_PER_CELL), F.lit(1))
-    low = (F.col("upto") - F.col("n")) / F.col("total")
-
-    def cell(q):
-        return F.floor(q * F.col("cells"))
-
-    ranges = template.withColumn("cells", cells).withColumn("c_low", low)
-    ranges = ranges.select(
-        *keys,
-        F.col("c_low"),
+    keys = list(keys)
+    interval = F.struct(
+        ((F.col("upto") - F.col("n")) / F.col("total")).alias("c_low"),
         F.col("cdf").alias("c_high"),
         F.col("prev").alias("t_low"),
         F.col("v").alias("t_high"),
-        F.explode(F.sequence(cell(F.col("c_low")), cell(F.col("cdf")))).alias("_cell"),
-    )
-    sizes = template.groupBy(*keys).agg(F.first("total").alias("_t")).select(
-        *keys, F.greatest(F.floor(F.col("_t") / PIXELS_PER_CELL), F.lit(1)).alias("cells")
     )
-    asked = attach_small(source.select(*keys, "v", F.col("cdf").alias("q")), sizes, keys).withColumn("_cell", cell(F.col("q")))
-    hit = asked.join(ranges, [*keys, "_cell"]).where((F.col("q") > F.col("c_low")) & (F.col("q") <= F.col("c_high")))
-    return hit.select(*keys, "v", "q", "c_low", "c_high", "t_low", "t_high")
+    value = source.schema["v"].dataType
+    known = template.select(*keys, (-F.col("cdf")).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(value).alias("v"), interval.alias("_known"))
+    asked = source.select(*keys, (-F.col("cdf")).alias("_at"), F.lit(1).alias("_side"), "v", F.lit(None).cast(known.schema["_known"].dataType).alias("_known"))
+    found = carry_last(known.unionByName(asked), keys, ["_at", "_side"], "_known").where((F.col("_side") == 1) & F.col("_known").isNotNull())
+    return found.select(*keys, "v", (-F.col("_at")).alias("q"), "_known.c_low", "_known.c_high", "_known.t_low", "_known.t_high")
 
 
 def hist_match(source: DataFrame, template: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:

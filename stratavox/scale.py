@@ -3,6 +3,7 @@
 * ``attach_small``  - join per-key statistics: broadcast only after weighing them, shuffle join beyond.
 * ``rank_ids``      - position of integer ids inside a key, with bounded window groups.
 * ``prefix_sum``    - exact running totals over any sort order, no window over a whole key.
+* ``carry_last``    - the last known value before each row, the core of an as-of join.
 * ``exact_quantiles`` - linear-interpolated percentiles by interval refinement, no sort of the data.
 """
 
@@ -133,6 +134,26 @@ def prefix_sum(
     ).drop("_part", *[f"_o_{n}" for n in (*parts, *previous)])
 
 
+def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """Fills ``value`` with the last non-null one at or before each row of its key, in the given order (ascending).
+
+    An as-of join is the union of both sides, sorted once: the side that is looked up holds a value, the other asks. Rows are
+    range-partitioned on (key, order); inside a partition a window carries the value on, and the last value of each (key, partition)
+    is carried over partition ends, one narrow row each. However many rows ask for one value, none is repeated or gathered.
+    """
+    placed = settle(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    known = placed.where(F.col(value).isNotNull())
+    # The pair orders like the rows, so the largest pair of a partition holds its last value.
+    last = known.groupBy(*keys, "_part").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    ends = placed.select(*keys, "_part").distinct().join(last, [*keys, "_part"], "left")
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(*keys, "_part", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    running = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.withColumn(value, F.last(value, ignorenulls=True).over(running))
+    joined = inside.join(starts, [*keys, "_part"])
+    return joined.withColumn(value, F.coalesce(value, "_before")).drop("_part", "_before")
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],

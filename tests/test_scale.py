@@ -1,6 +1,7 @@
 """The scale primitives under skew, other partitionings and tight bounds."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,40 @@ def test_matching_equals_interpolation(spark):
     want = np.interp(np.cumsum(sc) / 300, np.cumsum(tc) / 200, tv)[si]
     assert np.allclose(got, want)
     assert value_counts(make(source)).count() == len(sv)
+
+
+@pytest.mark.parametrize("parts", ["1", "13"])
+def test_carry_last_over_partition_ends(spark, parts):
+    rng = np.random.default_rng(4)
+    rows = [(int(k), float(i), None if rng.random() < 0.9 else f"s{i}") for k in range(3) for i in rng.permutation(200 if k else 2000)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set(coalesce, "false")
+    try:
+        got = scale.carry_last(spark.createDataFrame(rows, "k int, at double, s string"), ["k"], ["at"], "s").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set(coalesce, "true")
+    want = pd.DataFrame(rows, columns=["k", "at", "s"]).sort_values(["k", "at"])
+    want["s"] = want.groupby("k")["s"].ffill()
+    got = got.sort_values(["k", "at"])
+    assert [(x or None) for x in got["s"]] == [x if isinstance(x, str) else None for x in want["s"]]
+
+
+def test_matching_with_a_background_of_a_third(spark):
+    """One value on a third of the pixels of each side: the template's histogram is taken, and no cells are listed."""
+    n = 30_000
+    side = lambda seed, back: spark.range(n).select(
+        F.lit("vol").alias("volume_id"), F.col("id").alias("x"), F.when(F.col("id") % 3 == 0, back).otherwise(F.rand(seed)).alias("v")
+    )
+    source, template = side(1, 0.25).cache(), side(2, 0.75).cache()
+    matched = hist_match(source, template)
+    plan = matched._jdf.queryExecution().toString().lower()
+    assert "sequence(" not in plan and "explode" not in plan
+    got = matched.toPandas()
+    s, t = source.toPandas()["v"].to_numpy(), template.toPandas()["v"].to_numpy()
+    values, counts = np.unique(t, return_counts=True)
+    own, at, n_own = np.unique(s, return_inverse=True, return_counts=True)
+    want = np.interp(np.cumsum(n_own) / n, np.cumsum(counts) / n, values)[at]
+    assert np.allclose(got.sort_values("x")["v"], want)
