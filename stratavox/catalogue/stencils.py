@@ -10,7 +10,7 @@ from stratavox.catalogue.geometry import draw_sql, integer_sql
 from stratavox.catalogue.registry import query
 from stratavox.functions import kernels
 from stratavox.operators import metrics, pairing, planes, register, resample, wavelet
-from stratavox.operators.layout import reslice_x, slices_to_voxels
+from stratavox.operators.layout import slices_to_voxels
 
 V = "WITH " + fx.VOXELS_SQL
 E = "WITH " + fx.EVENTS_SQL
@@ -447,11 +447,11 @@ def _ms_ssim_sql() -> str:
 
 @query("m5_ms_ssim", _ms_ssim_sql())
 def m5_ms_ssim(spark, sf):
-    """Depth x user planes of each hour against a dimmed copy, three scales."""
+    """Depth x user planes of each hour against a dimmed copy, three scales, in windows of eight of thirty slices."""
     levels = fx.event_slices(spark, sf).withColumn("data", F.transform("data", lambda v: 2.0 * v / (v + 50.0) - 1.0))
-    sides = [reslice_x(part) for part in (levels, levels.withColumn("data", F.transform("data", lambda v: v * 0.9)))]
-    scored = planes.ms_ssim(pairing.slice_pairs(*sides), win=5)
-    return scored.select("volume_id", F.col("z").alias("hour"), F.round("ms_ssim", 6).alias("ms_ssim"))
+    dimmed = levels.withColumn("data", F.transform("data", lambda v: v * 0.9))
+    scored = planes.ms_ssim_depth(pairing.slice_pairs(levels, dimmed), win=5, rows=8, sizes=fx.event_sizes(spark, sf))
+    return scored.select("volume_id", F.col("x").alias("hour"), F.round("ms_ssim", 6).alias("ms_ssim"))
 
 
 @query(

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratavox.scale import attach_small
+
 
 def slices_to_voxels(slices: DataFrame, value: str = "v") -> DataFrame:
     """Explode block rows; coordinates are arithmetic on the array position, so nothing is ranked."""
@@ -26,23 +30,31 @@ def voxels_to_slices(voxels: DataFrame, keys: list[str] | None = None, value: st
     )
 
 
-def reslice_x(slices: DataFrame) -> DataFrame:
-    """Planes (Z, Y) along X as block rows, ``z`` numbering the x places.
+def x_windows(slices: DataFrame, rows: int, ghost: int, values: Sequence[str] = ("data",), sizes: DataFrame | None = None) -> DataFrame:
+    """Planes (Z, Y) along X, cut along z in windows of ``rows`` slices with up to ``ghost`` neighbours on either side.
 
-    Whole plane rows move through the shuffle, not voxels; cut deep volumes in z windows first.
+    One row per (volume_id, x, window): ``z_from`` and ``h`` say which slices it holds, ``nz`` how deep the volume is. Plane rows
+    move through the shuffle, each to the windows that need it, and a group never exceeds rows + 2 ghost of them, however
+    deep the volume. ``sizes`` (volume_id, nz) saves a pass over z. A missing slice raises an error.
     """
-    places = F.sequence(F.lit(0), F.col("h") - 1)
-    rows = slices.select("volume_id", "z", "w", "data", F.explode(places).alias("x")).select(
-        "volume_id",
-        F.col("x"),
-        "w",
-        F.struct("z", F.slice("data", F.col("x") * F.col("w") + 1, F.col("w")).alias("row")).alias("r"),
-    )
-    gathered = rows.groupBy("volume_id", "x", "w").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    depth = sizes.select("volume_id", "nz") if sizes is not None else slices.groupBy("volume_id").agg((F.max("z") + 1).alias("nz"))
+    z, nz = F.col("z"), F.col("nz")
+    at = lambda place: F.floor(place / rows).cast("int")
+    first, last = at(F.greatest(z - ghost, F.lit(0))), at(F.least(z + ghost, nz - 1))
+    placed = attach_small(slices, depth, ["volume_id"]).withColumn("window", F.explode(F.sequence(first, last)))
+    cells = placed.select("volume_id", "z", "nz", "w", "window", *values, F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("x"))
+    part = F.struct("z", *[F.slice(v, F.col("x") * F.col("w") + 1, F.col("w")).alias(v) for v in values])
+    gathered = cells.groupBy("volume_id", "x", "w", "nz", "window").agg(F.sort_array(F.collect_list(part)).alias("rs"))
+    begin = F.greatest(F.col("window") * rows - ghost, F.lit(0))
+    end = F.least((F.col("window") + 1) * rows + ghost, nz)
+    whole = F.size("rs") == end - begin
     return gathered.select(
         "volume_id",
-        F.col("x").alias("z"),
-        F.size("rs").alias("h"),
+        "x",
+        "window",
+        "nz",
+        begin.alias("z_from"),
+        F.when(whole, F.size("rs")).otherwise(F.raise_error(F.lit("slices are missing")).cast("int")).alias("h"),
         "w",
-        F.flatten(F.transform("rs", lambda r: r["row"])).alias("data"),
+        *[F.flatten(F.col(f"rs.{v}")).alias(v) for v in values],
     )

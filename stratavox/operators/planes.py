@@ -7,6 +7,7 @@ whole batch of equally shaped planes. Planes carry ``h, w, data`` and, for colou
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratavox.functions import draws, kernels
+from stratavox.operators.layout import x_windows
 from stratavox.scale import attach_small
 
 DIRECT_TAPS = 81
@@ -381,6 +383,72 @@ def ms_ssim(pairs: DataFrame, win: int = 7, span: float = 2.0, weights: tuple[fl
     return _pair_score(pairs, score, "ms_ssim")
 
 
+class Part:
+    """Rows [low, low + len) of a plane of ``height`` rows, as (planes, rows, columns, channels)."""
+
+    def __init__(self, block: np.ndarray, low: int, height: int):
+        self.block, self.low, self.height = block, low, height
+
+    def rows(self, begin: int, end: int) -> np.ndarray:
+        return self.block[:, begin - self.low : end - self.low]
+
+    def half(self) -> Part:
+        """2 x 2 means as in ``_half``: of an odd height, a zero row before and after counts."""
+        odd, high = self.height % 2, self.low + self.block.shape[1]
+        height = (self.height + 2 * odd - 2) // 2 + 1
+        begin = -(-(self.low + odd) // 2) if self.low else 0
+        end = (high + odd) // 2 if high < self.height else height
+        end = max(end, begin)
+        need = np.arange(2 * begin - odd, 2 * end - odd)
+        inside = (need >= 0) & (need < self.height)
+        pairs = self.block[:, np.where(inside, need - self.low, 0)] * inside[None, :, None, None]
+        means = pairs.reshape(len(pairs), end - begin, 2, *pairs.shape[2:]).mean(axis=2)
+        return Part(_half(means.shape[2]).along(means, 2), begin, height)
+
+
+def ms_ssim_depth(
+    pairs: DataFrame,
+    win: int = 7,
+    span: float = 2.0,
+    weights: tuple[float, ...] = MS_WEIGHTS,
+    rows: int = 256,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
+    """``ms_ssim`` of the (Z, Y) planes of two volumes, per (volume_id, x), for volumes of any depth.
+
+    ``pairs``: aligned slices (volume_id, z, h, w, a, b). A plane is scored in windows of ``rows`` slices: a window owns the
+    positions of each scale that begin in it and has the neighbours that their smoothing and halving reach. Sums and counts
+    of the windows are added up per plane, so the score does not depend on ``rows``. A plane smaller than the smoothing window at some scale
+    has no score (NULL).
+    """
+    levels = len(weights)
+    parts = x_windows(pairs, rows, (win + 1) << (levels - 1), ("a", "b"), sizes)
+    names = [f"{kind}{level}" for level in range(levels) for kind in ("s", "n")]
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((len(batch), len(names)))
+        taps = _window_taps(win, 1.5)
+        for (h, w, low, window, nz), at in batch.groupby(["h", "w", "z_from", "window", "nz"]).indices.items():
+            a, b = (Part(np.stack(batch[side].iloc[at].to_numpy()).astype(float).reshape(len(at), h, w, 1), low, nz) for side in ("a", "b"))
+            for level in range(levels):
+                first, beyond = (-(-min(edge, nz) // (1 << level)) for edge in (window * rows, (window + 1) * rows))
+                beyond = min(beyond, a.height - win + 1)
+                if beyond > first and a.block.shape[2] >= win:
+                    similarity, contrast = ssim_maps(a.rows(first, beyond + win - 1), b.rows(first, beyond + win - 1), taps, span)
+                    value = similarity if level == levels - 1 else contrast
+                    out[at, 2 * level], out[at, 2 * level + 1] = value.sum(axis=(1, 2, 3)), value[0].size
+                if level < levels - 1:
+                    a, b = a.half(), b.half()
+        return pd.DataFrame(out, columns=names)
+
+    uses = ["h", "w", "z_from", "window", "nz", "a", "b"]
+    scored = map_batches(parts, run, uses, ", ".join(f"{n} double" for n in names))
+    sums = scored.groupBy("volume_id", "x").agg(*[F.sum(n).alias(n) for n in names])
+    factors = [F.pow(F.greatest(F.try_divide(F.col(f"s{k}"), F.col(f"n{k}")), F.lit(0.0)), F.lit(weight)) for k, weight in enumerate(weights)]
+    missing = reduce(lambda x, y: x | y, [F.col(f"n{k}") == 0 for k in range(levels)])
+    return sums.select("volume_id", "x", F.when(~missing, reduce(lambda x, y: x * y, factors)).alias("ms_ssim"))
+
+
 def _half(n: int) -> kernels.Taps:
     """2-wide mean pooling; an odd length is padded by one zero on both sides, counted in the mean."""
     odd = n % 2
