@@ -91,13 +91,28 @@ DOTS = "dots AS (SELECT q.image_id, q.pos, k.image_id AS key_image, k.pos AS key
 def j7_pair_similarity(spark, sf):
     """Dot products of each query with all keys of its image, reported as count, extremes and best key."""
     sims = contrast.pair_similarity(fx.features(spark, sf))
-    top = F.array_max(F.transform("sims", lambda s: F.struct(s["dot"].alias("dot"), s["key_pos"].alias("p"))))
-    low = F.array_min(F.transform("sims", lambda s: s["dot"]))
-    parts = sims.select("image_id", "pos", F.size("sims").alias("n"), top.alias("top"), low.alias("low"))
-    out = parts.groupBy("image_id", "pos").agg(
-        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("top.dot").alias("high"), F.max("top").alias("t")
-    )
-    return _out(out.select("image_id", "pos", "n", "low", "high", F.col("t.p").alias("best")), "low", "high")
+    return _out(sims.select("image_id", "pos", "n", "low", "high", F.col("keys")[0]["key_pos"].alias("best")), "low", "high")
+
+
+@query(
+    "j7_top_keys",
+    f"""{FEAT}, {DOTS.format(on="q.image_id=k.image_id")} SELECT image_id, pos, row_number() OVER w AS rank, key_pos, round(dot,6) + 0.0 AS dot FROM dots WINDOW w AS (PARTITION BY image_id, pos ORDER BY dot DESC, key_image, key_pos) QUALIFY rank <= 5""",
+)
+def j7_top_keys(spark, sf):
+    """The five most similar keys of each query."""
+    sims = contrast.pair_similarity(fx.features(spark, sf), top=5)
+    ranked = sims.select("image_id", "pos", F.posexplode("keys").alias("at", "k"))
+    return _out(ranked.select("image_id", "pos", (F.col("at") + 1).cast("long").alias("rank"), F.col("k.key_pos").alias("key_pos"), F.col("k.dot").alias("dot")), "dot")
+
+
+@query(
+    "j7_similar_pairs",
+    f"""{FEAT}, {DOTS.format(on="q.image_id//2=k.image_id//2")} SELECT image_id, pos, key_image, key_pos, round(dot,6) + 0.0 AS dot FROM dots WHERE dot >= 0.3""",
+)
+def j7_similar_pairs(spark, sf):
+    """Pairs of two neighbouring images with a dot product of 0.3 or more."""
+    batched = fx.features(spark, sf).withColumn("batch", F.floor(F.col("image_id") / 2))
+    return _out(contrast.similar_pairs(batched, 0.3, group=["batch"]), "dot")
 
 
 LOSS = """l AS (SELECT image_id, pos, CASE WHEN key_image=image_id AND key_pos=pos THEN -10.0 ELSE dot END/0.07 AS l, CASE WHEN key_image=image_id AND key_pos=pos THEN dot/0.07 END AS own FROM dots),
