@@ -43,6 +43,25 @@ def st2_ema_stream(spark, sf):
     return out.withColumn("ema", F.round("ema", 6))
 
 
+#: Slots of an hour whose end the watermark, an hour behind the last event, has passed.
+CLOSED = "WHERE epoch_ms(date_trunc('hour', ts)) + 3600000 <= (SELECT max(epoch_ms(ts)) - 3600000 FROM events)"
+
+
+@query("st1_replay_stream_in_time", REPLAY.replace("FROM events)", f"FROM events {CLOSED})", 1))
+def st1_replay_stream_in_time(spark, sf):
+    """Elements in the order of event time; the last hours stay open."""
+    return sink.run_available(replay.replay_stream_in_time(event_stream(spark, sf), 20, seed=23, slot_seconds=3600))
+
+
+@query(
+    "st2_ema_stream_in_time",
+    f"{EMA.replace('FROM events)', f'FROM events {CLOSED})', 1)} SELECT key, n, round(list_reduce(h, lambda a, b: {{'n': b.n, 'v': a.v-(1-least(0.9999,(1+b.n)/(10.0+b.n)))*(a.v-b.v)}}).v,6) AS ema FROM l",
+)
+def st2_ema_stream_in_time(spark, sf):
+    out = sink.run_available(averages.ema_stream_in_time(event_stream(spark, sf), slot_seconds=3600))
+    return out.withColumn("ema", F.round("ema", 6))
+
+
 MEANS = "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS epoch_start, event_type AS name, round(avg(value),6) AS mean FROM events {w} GROUP BY ALL"
 
 

@@ -1,22 +1,25 @@
 """Exponential averages over ordered rows, for keys of any length.
 
-s(n) = d(n) s(n-1) + (1 - d(n)) p(n) is a chain of affine maps, so a key is cut in chunks of ``CHUNK`` rows: each chunk
-is composed into one map (a, b), the maps of chunks are scanned in the same way, and every chunk is
-finished from its start value. No task sees more than one chunk of a key, and no product is ever divided by.
+s(n) = d(n) s(n-1) + (1 - d(n)) p(n) is a chain of affine maps x -> a x + b. A key is cut in chunks of ``CHUNK`` rows; a task composes
+the maps of its chunks by a strided scan of whole Arrow batches, many short keys or one long chunk at a time, and carries a chunk
+over the end of a batch. The totals of chunks are scanned in the same way, and every chunk goes on from the total before it.
+No product is ever divided by, so decays of 0 and values of any size are exact to rounding.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratavox.scale import prefix_sum
+from stratavox.scale import attach_small, prefix_sum
 from stratavox.session import settle
 
-CHUNK = 2048
+CHUNK = 1 << 16
+STRIP = 256
 
 
 def warmup_decay(n: Column, decay: float = 0.9999) -> Column:
@@ -24,32 +27,78 @@ def warmup_decay(n: Column, decay: float = 0.9999) -> Column:
     return F.least(F.lit(decay), (n + 1) / (n + 10))
 
 
-def _running(rows: pd.DataFrame) -> pd.DataFrame:
-    """Composition of the affine maps (a, b) from the first row of a chunk on, in order."""
-    rows = rows.sort_values("_at")
-    p, q, out = 1.0, 0.0, []
-    for a, b in zip(rows["_a"], rows["_b"]):
-        p, q = a * p, a * q + b
-        out.append((p, q))
-    return rows.assign(_p=[x for x, _ in out], _q=[x for _, x in out])
+def compose_runs(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Composition of the maps of each run up to every place; ``first`` is true where a run begins.
 
-
-def scan_maps(maps: DataFrame, most: int) -> DataFrame:
-    """Adds ``_q``: what each map and all earlier ones of its key make of a start value of 0.
-
-    ``maps``: key, _at (0, 1, ... inside a key), _a, _b; ``most``: a bound on the rows of a key. Chunks of ``CHUNK`` maps are composed,
-    their totals are scanned in the same way, and each chunk goes on from the total before it.
+    Runs are cut in strips of ``STRIP`` places. Step k takes place k of all strips at once, in the order of a plain loop; the
+    totals of strips are composed in the same way and carried on.
     """
-    kind = maps.schema["key"].dataType.simpleString()
-    chunked = maps.withColumn("_chunk", F.floor(F.col("_at") / CHUNK))
-    inside = settle(chunked.groupBy("key", "_chunk").applyInPandas(_running, f"key {kind}, _at long, _a double, _b double, _chunk long, _p double, _q double"))
-    if most <= CHUNK:
-        return inside.select("key", "_at", "_q")
-    totals = inside.groupBy("key", "_chunk").agg(F.max_by("_p", "_at").alias("_a"), F.max_by("_q", "_at").alias("_b"))
-    before = scan_maps(totals.withColumnRenamed("_chunk", "_at"), -(-most // CHUNK))
-    before = before.select("key", (F.col("_at") + 1).alias("_chunk"), F.col("_q").alias("_start"))
-    start = F.coalesce("_start", F.lit(0.0))
-    return inside.join(before, ["key", "_chunk"], "left").select("key", "_at", (F.col("_p") * start + F.col("_q")).alias("_q"))
+    p, q = a.astype(float), b.astype(float)
+    if not len(p):
+        return p, q
+    place = np.arange(len(p))
+    since = place - np.maximum.accumulate(np.where(first, place, 0))
+    begin = np.flatnonzero(since % STRIP == 0)
+    size = np.diff(np.append(begin, len(p)))
+    by_size = np.argsort(-size, kind="stable")
+    starts, longest = begin[by_size], -size[by_size]
+    for k in range(1, int(-longest[0])):
+        at = starts[: np.searchsorted(longest, -k)] + k
+        q[at] += p[at] * q[at - 1]
+        p[at] *= p[at - 1]
+    heads = since[begin] == 0
+    if heads.all():
+        return p, q
+    ends = begin + size - 1
+    whole_p, whole_q = compose_runs(p[ends], q[ends], heads)
+    later = np.flatnonzero(~heads)
+    strip = np.repeat(later, size[later])
+    at = np.repeat(begin[later] - np.cumsum(size[later]) + size[later], size[later]) + np.arange(len(strip))
+    q[at] += p[at] * whole_q[strip - 1]
+    p[at] *= whole_p[strip - 1]
+    return p, q
+
+
+def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``_p``, ``_q``: rows come sorted by key, chunk and place."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch["key"].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        chunk = batch["_chunk"].to_numpy()
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])
+        a, b = batch["_a"].to_numpy(zero_copy_only=False).copy(), batch["_b"].to_numpy(zero_copy_only=False).copy()
+        if held is not None and held[:2] == (batch["key"][0].as_py(), chunk[0]):
+            a[0], b[0] = a[0] * held[2], a[0] * held[3] + b[0]
+        p, q = compose_runs(a, b, first)
+        held = (batch["key"][-1].as_py(), chunk[-1], p[-1], q[-1])
+        yield batch.append_column("_p", pa.array(p)).append_column("_q", pa.array(q))
+
+
+def scan_maps(maps: DataFrame) -> DataFrame:
+    """Adds ``_q``: what each map and all earlier ones of its key make of a start value of 0. Other columns stay.
+
+    ``maps``: key, _at (0, 1, ... inside a key), _a, _b. A chunk is sorted and composed in one task; a long key is many chunks.
+    """
+    chunked = maps.withColumn("_chunk", F.floor(F.col("_at") / CHUNK).cast("long"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunked.schema.fields)
+    sorted_rows = chunked.repartition("key", "_chunk").sortWithinPartitions("key", "_chunk", "_at")
+    inside = settle(sorted_rows.mapInArrow(_composed, f"{schema}, _p double, _q double"))
+    # One row per key and chunk, and only for keys of more than one chunk.
+    totals = (
+        inside.groupBy("key", "_chunk").agg(F.max_by("_p", "_at").alias("_a"), F.max_by("_q", "_at").alias("_b")).withColumnRenamed("_chunk", "_at")
+    )
+    most = inside.agg(F.max("_chunk")).head()[0]
+    done = inside.drop("_a", "_b")
+    if not most:
+        return done.drop("_chunk", "_p")
+    long_keys = inside.where("_chunk > 0").select("key").distinct()
+    before = scan_maps(totals.join(long_keys, "key"))
+    starts = before.select("key", (F.col("_at") + 1).alias("_chunk"), F.col("_q").alias("_start"))
+    met = attach_small(done, starts, ["key", "_chunk"], "left")
+    return met.withColumn("_q", F.col("_p") * F.coalesce("_start", F.lit(0.0)) + F.col("_q")).drop("_chunk", "_p", "_start")
 
 
 def ema(
@@ -59,20 +108,17 @@ def ema(
     value: str = "v",
     out: str = "ema",
 ) -> DataFrame:
-    """Running average per ``key``; the first value starts it and update n has weight 1 - decay(n)."""
-    ranked = prefix_sum(df, ["key"], list(order), {}, rank="_n").withColumn("_n", F.col("_n") - 1)
-    ranked = settle(ranked)
-    n = F.col("_n")
-    maps = ranked.select(
-        "key",
-        n.cast("long").alias("_at"),
-        # The first value replaces the state; later ones decay it.
-        F.when(n == 0, F.lit(0.0)).otherwise(decay(n)).cast("double").alias("_a"),
-        F.when(n == 0, F.col(value)).otherwise((1 - decay(n)) * F.col(value)).cast("double").alias("_b"),
+    """Running average per ``key``; the first value starts it and update n has weight 1 - decay(n). Adds ``n`` and ``out``."""
+    ranked = prefix_sum(df, ["key"], list(order), {}, rank="_at").withColumn("_at", (F.col("_at") - 1).cast("long"))
+    n = F.col("_at")
+    maps = ranked.withColumns(
+        {
+            # The first value replaces the state; later ones decay it.
+            "_a": F.when(n == 0, F.lit(0.0)).otherwise(decay(n)).cast("double"),
+            "_b": F.when(n == 0, F.col(value)).otherwise((1 - decay(n)) * F.col(value)).cast("double"),
+        }
     )
-    most = (ranked.agg(F.max("_n")).head()[0] or 0) + 1
-    found = scan_maps(maps, most).select("key", F.col("_at").alias("_n"), F.col("_q").alias(out))
-    return ranked.join(found, ["key", "_n"]).withColumnRenamed("_n", "n")
+    return scan_maps(maps).withColumnsRenamed({"_q": out, "_at": "n"})
 
 
 def ema_center(df: DataFrame, order: Sequence[str], decay: float = 0.999, value: str = "v") -> DataFrame:

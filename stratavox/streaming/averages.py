@@ -2,54 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from stratavox.operators.recurrence import compose_runs
+from stratavox.streaming.ordered import Chain, by_arrival, by_time, utc_instant
+
+MADE = "n bigint, ema double"
 
 
-class EmaProcessor(StatefulProcessor):
+class EmaChain(Chain):
     """State per key: the average and the number of updates."""
 
-    def __init__(self, decay: float, order: list[str]):
-        self.decay, self.order = decay, order
+    fields = "s double, n bigint"
+    made = ("n", "ema")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())]
-        self.state = handle.getValueState("average", T.StructType(fields))
+    def __init__(self, decay: float):
+        self.decay = decay
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s, n = self.state.get() if self.state.exists() else (None, -1)
-        arrived = pd.concat(list(rows)).sort_values(self.order)
-        out = []
-        for v in arrived["v"]:
-            n += 1
-            keep = min(self.decay, (1 + n) / (10 + n))
-            s = v if s is None else s - (1 - keep) * (s - v)
-            out.append((key[0], n, s))
-        self.state.update((s, n))
-        yield pd.DataFrame(out, columns=["key", "n", "ema"])
+    def first(self) -> tuple:
+        return (0.0, 0)
 
-    def close(self) -> None:
-        pass
+    def take(self, key, state: tuple, values: np.ndarray) -> tuple[tuple, dict[str, np.ndarray]]:
+        s, count = state
+        n = count + np.arange(len(values))
+        keep = np.where(n == 0, 0.0, np.minimum(self.decay, (1 + n) / (10 + n)))
+        p, q = compose_runs(keep, (1 - keep) * values, np.arange(len(values)) == 0)
+        made = p * s + q
+        return (float(made[-1]), count + len(values)), {"n": n, "ema": made}
 
 
 def ema_stream(stream: DataFrame, decay: float = 0.9999, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    return stream.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=EmaProcessor(decay, list(order)),
-        outputStructType="key bigint, n bigint, ema double",
-        outputMode="Append",
-        timeMode="None",
-    )
-
-
-def utc_instant(ts: str) -> Column:
-    """A zone-free timestamp read as UTC, whatever the session zone is."""
-    parts = f"year({ts}), month({ts}), day({ts}), hour({ts}), minute({ts}), extract(SECOND FROM {ts})"
-    return F.expr(f"make_timestamp({parts}, 'UTC')")
+    """key, n, ema: arrivals of one trigger are taken in ``order``."""
+    return by_arrival(stream, EmaChain(decay), MADE, order)
+
+
+def ema_stream_in_time(stream: DataFrame, decay: float = 0.9999, **timing) -> DataFrame:
+    """key, n, ema: rows are taken in the order of event time, once the watermark has passed them (``by_time``)."""
+    return by_time(stream, EmaChain(decay), MADE, **timing)
 
 
 def epoch_metric_means(df: DataFrame, ts: str = "ts", epoch: str = "1 day", late: str = "1 hour") -> DataFrame:

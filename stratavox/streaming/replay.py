@@ -5,58 +5,54 @@ Whether element n swaps, and with which place, are draws keyed on (key, n), so t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from stratavox.functions import draws
 from stratavox.scale import prefix_sum
+from stratavox.streaming.ordered import Chain, by_arrival, by_time
 
-OUT = "key bigint, n bigint, v double, emitted double"
+MADE = "n bigint, v double, emitted double"
 
 
 def _uniform(seed: int, stream: str, key, n: int) -> float:
     return draws.numpy_seed(seed, stream, f"{key}:{n}")[0] / draws.TWO_32
 
 
-class ReplayProcessor(StatefulProcessor):
-    def __init__(self, size: int, seed: int, order: list[str]):
-        self.size, self.seed, self.order = size, seed, order
+class ReplayChain(Chain):
+    """State per key: how many elements came, and the at most ``size`` that are held."""
+
+    fields = "n bigint, held array<double>"
+    made = ("n", "v", "emitted")
+
+    def __init__(self, size: int, seed: int):
+        self.size, self.seed = size, seed
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [T.StructField("n", T.LongType()), T.StructField("held", T.ArrayType(T.DoubleType()))]
-        self.state = handle.getValueState("buffer", T.StructType(fields))
+    def first(self) -> tuple:
+        return (0, [])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, held = self.state.get() if self.state.exists() else (0, [])
-        held = list(held)
-        arrived = pd.concat(list(rows)).sort_values(self.order)
-        out = []
-        for v in arrived["v"]:
-            emitted = v
+    def take(self, key, state: tuple, values: np.ndarray) -> tuple[tuple, dict[str, np.ndarray]]:
+        count, held = state[0], list(state[1])
+        emitted = values.astype(float)
+        for i, v in enumerate(emitted.tolist()):
+            n = count + i
             if n < self.size:
                 held.append(v)
-            elif _uniform(self.seed, "swap", key[0], n) > 0.5:
-                place = int(_uniform(self.seed, "place", key[0], n) * self.size)
-                emitted, held[place] = held[place], v
-            out.append((key[0], n, v, emitted))
-            n += 1
-        self.state.update((n, held))
-        yield pd.DataFrame(out, columns=["key", "n", "v", "emitted"])
-
-    def close(self) -> None:
-        pass
+            elif _uniform(self.seed, "swap", key, n) > 0.5:
+                place = int(_uniform(self.seed, "place", key, n) * self.size)
+                emitted[i], held[place] = held[place], v
+        return (count + len(values), held), {"n": count + np.arange(len(values)), "v": values, "emitted": emitted}
 
 
 def replay_stream(stream: DataFrame, size: int = 50, seed: int = 0, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """``stream`` has key, v and the order columns; arrivals of one trigger are taken in that order."""
-    return stream.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=ReplayProcessor(size, seed, list(order)), outputStructType=OUT, outputMode="Append", timeMode="None"
-    )
+    return by_arrival(stream, ReplayChain(size, seed), MADE, order)
+
+
+def replay_stream_in_time(stream: DataFrame, size: int = 50, seed: int = 0, **timing) -> DataFrame:
+    """Elements are taken in the order of event time, once the watermark has passed them (``by_time``)."""
+    return by_time(stream, ReplayChain(size, seed), MADE, **timing)
 
 
 def replay_batch(rows: DataFrame, size: int = 50, seed: int = 0, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:

@@ -145,3 +145,14 @@ def test_matching_with_a_background_of_a_third(spark):
     own, at, n_own = np.unique(s, return_inverse=True, return_counts=True)
     want = np.interp(np.cumsum(n_own) / n, np.cumsum(counts) / n, values)[at]
     assert np.allclose(got.sort_values("x")["v"], want)
+
+
+def test_average_of_a_million_rows_of_one_key(spark):
+    rows = spark.range(1_000_000).select(F.when(F.col("id") % 50 == 7, F.col("id")).otherwise(-1).cast("string").alias("key"), "id", F.rand(2).alias("v"), F.lit("x").alias("tag"))
+    got = recurrence.ema(rows, ["id"], recurrence.warmup_decay).where("key = '-1'").orderBy("id").toPandas()
+    assert (got["n"] == np.arange(len(got))).all() and (got["tag"] == "x").all() and len(got) == 980_000
+    s = 0.0
+    for i, (v, found) in enumerate(zip(got["v"].tolist(), got["ema"].tolist())):
+        keep = 0.0 if i == 0 else min(0.9999, (1 + i) / (10 + i))
+        s = keep * s + (1 - keep) * v
+        assert abs(found - s) < 1e-9

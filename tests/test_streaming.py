@@ -52,3 +52,59 @@ def test_epoch_means_close_epochs_only(spark, folder):
     want = averages.epoch_metric_means(named(spark.read.parquet(folder))).toPandas().set_index("epoch_start")["mean"]
     assert len(got) == 3
     assert all(np.isclose(r.mean, want[r.epoch_start]) for r in got.itertuples(index=False))
+
+
+@pytest.fixture(scope="module")
+def late_folder(spark, tmp_path_factory):
+    """Rows of three string keys in files by arrival: event times come up to 50 minutes late, a sentinel closes all slots."""
+    root = tmp_path_factory.mktemp("late")
+    rng = np.random.default_rng(3)
+    at = np.sort(rng.integers(0, 12 * 3600, 900)) + rng.integers(-3000, 1, 900)
+    rows = [(f"k{i % 3 if i % 5 else 0}", 1_700_000_000 + int(s), i, float(rng.normal())) for i, s in enumerate(at)]
+    rows.append(("end", 1_700_000_000 + 20 * 3600, 900, 0.0))
+    for part in range(5):
+        mine = rows[part * 180 : (part + 1) * 180 if part < 4 else None]
+        df = spark.createDataFrame(mine, "key string, s long, event_id long, v double")
+        df.select("key", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "event_id", "v").coalesce(1).write.mode("append").parquet(str(root))
+    return str(root)
+
+
+def same_rows(got, want, columns):
+    got, want = (f.sort_values(["key", "n"]).reset_index(drop=True)[["key", "n", *columns]] for f in (got, want))
+    assert got["key"].tolist() == want["key"].tolist() and got["n"].tolist() == want["n"].tolist()
+    for c in columns:
+        assert np.allclose(got[c], want[c])
+
+
+@pytest.mark.parametrize("slot", [60, 7200])
+def test_late_rows_are_taken_where_they_belong(spark, late_folder, slot):
+    order = ("ts", "event_id")
+    closed = spark.read.parquet(late_folder).where("key <> 'end'")
+    timing = {"late": "1 hour", "slot_seconds": slot}
+    got = sink.run_available(averages.ema_stream_in_time(stream(spark, late_folder), **timing)).toPandas()
+    same_rows(got, recurrence.ema(closed, order, recurrence.warmup_decay).toPandas(), ["ema"])
+    got = sink.run_available(replay.replay_stream_in_time(stream(spark, late_folder), 8, seed=1, **timing)).toPandas()
+    same_rows(got, replay.replay_batch(closed, 8, seed=1, order=order).toPandas(), ["v", "emitted"])
+
+
+@pytest.mark.parametrize("in_time", [False, True])
+def test_a_million_rows_of_one_key_in_one_trigger(spark, tmp_path, in_time):
+    n = 1_000_000
+    rows = spark.range(n).select(
+        F.lit("hot").alias("key"),
+        F.timestamp_micros(F.col("id") * 7919 % n * 10_000 + 1_700_000_000_000_000).cast("timestamp_ntz").alias("ts"),
+        F.col("id").alias("event_id"),
+        F.rand(4).alias("v"),
+    )
+    rows.union(spark.sql("SELECT 'end', timestamp_ntz '2024-01-01', -1L, 0D")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = sink.read_files(spark, str(tmp_path / "in"), "*.parquet")
+    made = averages.ema_stream_in_time(source, slot_seconds=600) if in_time else averages.ema_stream(source)
+    got = sink.run_available(made).where("key = 'hot'").orderBy("n").toPandas()
+    want = spark.read.parquet(str(tmp_path / "in")).where("key = 'hot'").orderBy("ts").toPandas()["v"].to_numpy()
+    assert len(got) == n
+    s, at = None, {0, 5, 8191, 50_000, 123_456, n - 1}
+    for i, v in enumerate(want.tolist()):
+        keep = min(0.9999, (1 + i) / (10 + i))
+        s = v if s is None else s - (1 - keep) * (s - v)
+        if i in at:
+            assert np.isclose(got["ema"][i], s)
