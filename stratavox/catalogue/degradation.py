@@ -9,7 +9,7 @@ from stratavox import fixtures as fx
 from stratavox.catalogue.geometry import draw_sql
 from stratavox.catalogue.registry import query
 from stratavox.catalogue.stencils import DONE, ISO, V, _vox, apply_sql, conv_sql, matlab_sql
-from stratavox.functions import kernels
+from stratavox.functions import fields, kernels
 from stratavox.operators import degrade, planes, user
 from stratavox.operators.layout import slices_to_voxels
 
@@ -40,38 +40,152 @@ def d1_add_noise(spark, sf):
     return out.withColumn("v", F.round("v", 6) + 0.0)
 
 
-@query("d1_add_shot_noise")
+def _numbers(text: str) -> str:
+    return "[" + ",".join(text.split()) + "]"
+
+
+def _step_draw(seed: int, step: int, word: int) -> str:
+    digest = f"md5(concat_ws(':', '{seed}:step:{step}:{word // 4}', concat_ws('/', CAST(volume_id AS VARCHAR), CAST(z AS VARCHAR))))"
+    return f"(CAST(concat('0x', substr({digest}, {8 * (word % 4) + 1}, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+IMAGE_KEY = "concat_ws('/', CAST(volume_id AS VARCHAR), CAST(z AS VARCHAR))"
+SUMMARY = "SELECT volume_id, z, 24 AS h, 24 AS w, round(avg(v),6) AS mean, round(min(v),6) + 0.0 AS low, round(max(v),6) + 0.0 AS high FROM {src} GROUP BY ALL"
+
+
+def _word(seed: int) -> str:
+    """The word behind an image's noise fields."""
+    return f"CAST(concat('0x', substr(md5(concat_ws(':', '{seed}:noise', {IMAGE_KEY})), 1, 8)) AS BIGINT)"
+
+
+def _uniform_sql(src: str, out: str, word: str, place: str, stream: str | int) -> str:
+    """``src`` with a uniform number per row, mixed from word, place and stream."""
+    low, halves = fields.LOW_32, "xor(_x, (_x >> 16))"
+    mixed = f"SELECT * REPLACE (({halves} * {fields.MIX}) & {low} AS _x) FROM"
+    begun = f"SELECT *, (({word}) + (({place}) + 1) * {fields.PLACE}) & {low} AS _x FROM {src}"
+    placed = f"SELECT * REPLACE (({halves} + (((({stream}) + 1) * {fields.STREAM}) & {low})) & {low} AS _x) FROM ({mixed} ({mixed} ({begun})))"
+    return f"(SELECT * EXCLUDE (_x), (CAST({halves} AS DOUBLE) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS {out} FROM ({mixed} ({mixed} ({placed}))))"
+
+
+def _normal_sql(src: str, out: str, word: str, place: str) -> str:
+    both = _uniform_sql(_uniform_sql(src, "_r", word, place, 0), "_a", word, place, 1)
+    return f"(SELECT * EXCLUDE (_r, _a), sqrt(-2.0::DOUBLE * ln(_r)) * cos(2 * pi() * _a) AS {out} FROM {both})"
+
+
+def _poisson_sql(name: str, src: str, out: str, mean: str, word: str, place: str, keys: str) -> str:
+    """CTEs that end in ``name``: ``src`` with a Poisson number per row, by inversion or by transformed rejection."""
+    small = _uniform_sql(f"(SELECT * FROM {src} WHERE {mean} < {fields.LARGE_MEAN})", "_u", word, place, 0)
+    steps = f"list_transform(range(0, {fields.INVERSION_STEPS}), lambda i: {{'i': i, 'p': exp(-{mean}), 'c': exp(-{mean}), 'k': 0}})"
+    after = f"{{'i': b.i, 'p': a.p * {mean} / b.i, 'c': a.c + a.p * {mean} / b.i, 'k': a.k + CASE WHEN _u > a.c THEN 1 ELSE 0 END}}"
+    tries = f"(SELECT *, unnest(range(0, {fields.ATTEMPTS})) AS _t FROM {src} WHERE {mean} >= {fields.LARGE_MEAN})"
+    first = f"{fields.FIRST_ATTEMPT} + 2 * _t"
+    drawn = _uniform_sql(_uniform_sql(tries, "_u", word, place, first), "_v", word, place, f"{first} + 1")
+    hat = f"SELECT *, 0.931::DOUBLE + 2.53::DOUBLE * sqrt({mean}) AS _b FROM {drawn}"
+    hat = f"SELECT *, -0.059::DOUBLE + 0.02483::DOUBLE * _b AS _c, 0.5::DOUBLE - abs(_u - 0.5::DOUBLE) AS _room FROM ({hat})"
+    hat = f"SELECT *, floor((2 * _c / _room + _b) * (_u - 0.5::DOUBLE) + {mean} + 0.43::DOUBLE) AS _k FROM ({hat})"
+    below = f"ln(_v) + ln(1.1239::DOUBLE + 1.1328::DOUBLE / (_b - 3.4::DOUBLE)) - ln(_c / (_room * _room) + _b) <= -{mean} + greatest(_k, 0) * ln({mean}) - lgamma(greatest(_k, 0) + 1)"
+    fits = f"(_room >= 0.07 AND _v <= 0.9277::DOUBLE - 3.6224::DOUBLE / (_b - 2)) OR (_k >= 0 AND NOT (_room < 0.013 AND _v > _room) AND {below})"
+    return f"""{name}_small AS (SELECT * EXCLUDE (_u), CAST(list_reduce({steps}, lambda a, b: {after}).k AS DOUBLE) AS {out} FROM {small}),
+{name}_large AS (SELECT {keys}, arg_min(_k, _t) FILTER (WHERE {fits}) AS _k FROM ({hat}) GROUP BY ALL),
+{name} AS (SELECT * FROM {name}_small UNION ALL BY NAME SELECT s.*, coalesce(_k, floor(s.{mean})) AS {out} FROM {src} s JOIN {name}_large USING ({keys}))"""
+
+
+def _two_part_sql(seed: int, gaussian: float, poisson: float) -> str:
+    """Noise of the volume's deviation, then shot noise; the second field has the next word."""
+    at = "x * 24 + y"
+    img = f"img AS (SELECT volume_id, z, x, y, v, {_word(seed)} AS w0, 0.1::DOUBLE AS rate FROM event_voxels)"
+    src, turn = "img", 0
+    if gaussian:
+        img += f", sd AS (SELECT volume_id, stddev_pop(v) AS sd FROM event_voxels GROUP BY volume_id), nz AS (SELECT * REPLACE (v + {gaussian!r}::DOUBLE * sd * n AS v) FROM {_normal_sql('img', 'n', 'w0', at)} JOIN sd USING (volume_id))"
+        src, turn = "nz", 1
+    word = f"(w0 + {turn} * {fields.TURN}) & {fields.LOW_32}"
+    means = f"mn AS (SELECT *, greatest(v, 0) * {poisson!r}::DOUBLE AS mean FROM {src})"
+    shot = _poisson_sql("shot", "mn", "k", "mean", word, at, "volume_id, z, x, y")
+    done = f"done AS (SELECT volume_id, z, v + k / {poisson!r}::DOUBLE - greatest(v, 0) AS v FROM shot)"
+    return f"WITH {fx.EVENTS_SQL}, {img}, {means}, {shot}, {done} {SUMMARY.format(src='done')}"
+
+
+@query("d1_add_shot_noise", _two_part_sql(19, 0.0, 0.1))
 def d1_add_shot_noise(spark, sf):
     return summary(degrade.add_shot_noise(fx.event_slices(spark, sf), 0.1, seed=19))
 
 
-@query("d1_two_part_noise")
+@query("d1_two_part_noise", _two_part_sql(19, 0.1, 0.1))
 def d1_two_part_noise(spark, sf):
     return summary(degrade.add_two_part_noise(fx.event_slices(spark, sf), 0.1, 0.1, seed=19))
 
 
-@query("d2_gaussian_noise")
+def _colour_mix_sql(high: int) -> str:
+    """Per image of ``im``: the root f of the absolute covariance, by its eigenvalues (l1, l2, l3) and Lagrange's formula."""
+    drawn = _uniform_sql("(SELECT volume_id, z, w0, unnest(range(0, 12)) AS i FROM im)", "m", "w0", "i", degrade.COLOUR_STREAM)
+    pivot = ", ".join(f"max(m) FILTER (WHERE i = {i}) AS m{i}" for i in range(12))
+    dot = lambda a, b: " + ".join(f"{a}{r} * {b}{r}" for r in range(3))
+    columns = ", ".join(f"m{3 * r + j} AS {'abc'[j]}{r}" for j in range(3) for r in range(3))
+    e1 = ", ".join(f"a{r} / sqrt({dot('a', 'a')}) AS p{r}" for r in range(3))
+    v2 = ", ".join(f"b{r} - ({dot('p', 'b')}) * p{r} AS u{r}" for r in range(3))
+    e2 = ", ".join(f"u{r} / sqrt({dot('u', 'u')}) AS q{r}" for r in range(3))
+    v3 = ", ".join(f"c{r} - ({dot('p', 'c')}) * p{r} - ({dot('q', 'c')}) * q{r} AS t{r}" for r in range(3))
+    e3 = ", ".join(f"t{r} / sqrt({dot('t', 't')}) AS s{r}" for r in range(3))
+    pairs = [(0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)]
+    cov = ", ".join(
+        f"abs(pow({high} / 255.0::DOUBLE, 2) * ({' + '.join(f'{chr(112 + i) if i < 2 else chr(115)}{r} * m{9 + r} * {chr(112 + j) if j < 2 else chr(115)}{r}' for r in range(3))})) AS k{i}{j}"
+        for i, j in pairs
+    )
+    square = {f"{i}{j}": " + ".join(f"k{min(i, r)}{max(i, r)} * k{min(r, j)}{max(r, j)}" for r in range(3)) for i, j in pairs}
+    entries = ", ".join(f"al * ({square[f'{i}{j}']}) + be * k{i}{j}{' + ga' if i == j else ''} AS f{i}{j}" for i, j in pairs)
+    return f"""mx0 AS (SELECT volume_id, z, {pivot} FROM {drawn} GROUP BY ALL),
+mx1 AS (SELECT *, {columns} FROM mx0), mx2 AS (SELECT *, {e1} FROM mx1), mx3 AS (SELECT *, {v2} FROM mx2), mx4 AS (SELECT *, {e2} FROM mx3), mx5 AS (SELECT *, {v3} FROM mx4), mx6 AS (SELECT *, {e3} FROM mx5),
+mx7 AS (SELECT volume_id, z, {cov} FROM mx6), mx8 AS (SELECT *, (k00 + k11 + k22) / 3 AS mid FROM mx7),
+mx9 AS (SELECT *, sqrt((pow(k00 - mid, 2) + pow(k11 - mid, 2) + pow(k22 - mid, 2) + 2 * (k01 * k01 + k02 * k02 + k12 * k12)) / 6) AS wide FROM mx8),
+mx10 AS (SELECT *, acos(greatest(least(((k00 - mid) * ((k11 - mid) * (k22 - mid) - k12 * k12) - k01 * (k01 * (k22 - mid) - k12 * k02) + k02 * (k01 * k12 - (k11 - mid) * k02)) / (2 * wide * wide * wide), 1), -1)) / 3 AS ph FROM mx9),
+mx11 AS (SELECT *, mid + 2 * wide * cos(ph) AS l1, mid + 2 * wide * cos(ph + 2 * pi() / 3) AS l3 FROM mx10), mx12 AS (SELECT *, 3 * mid - l1 - l3 AS l2 FROM mx11),
+mx13 AS (SELECT *, sqrt(abs(l1)) / ((l1 - l2) * (l1 - l3)) AS g1, sqrt(abs(l2)) / ((l2 - l1) * (l2 - l3)) AS g2, sqrt(abs(l3)) / ((l3 - l1) * (l3 - l2)) AS g3 FROM mx12),
+mx14 AS (SELECT *, g1 + g2 + g3 AS al, -(g1 * (l2 + l3) + g2 * (l1 + l3) + g3 * (l1 + l2)) AS be, g1 * l2 * l3 + g2 * l1 * l3 + g3 * l1 * l2 AS ga FROM mx13),
+colour AS (SELECT volume_id, z, {entries} FROM mx14)"""
+
+
+def _noise_sql(seed: int, speckle: bool, low: int = 2, high: int = 25) -> str:
+    level = f"{low} + least(CAST(floor(u0 * {high - low + 1}) AS INT), {high - low})"
+    im = f"im AS (SELECT *, {level} AS level FROM (SELECT volume_id, z, {_step_draw(seed, 0, 0)} AS u0, {_step_draw(seed, 0, 1)} AS u1, {_word(seed)} AS w0 FROM (SELECT DISTINCT volume_id, z FROM rgb_sums)))"
+    cells = "(SELECT volume_id, z, x, y, ch, v, u1, level, w0 FROM event_rgb JOIN im USING (volume_id, z))"
+    drawn = _normal_sql(cells, "n", "w0", "CASE WHEN u1 < 0.4 THEN x * 24 + y ELSE (x * 24 + y) * 3 + ch END")
+    wide = ", ".join(f"max({c}) FILTER (WHERE ch = {k}) AS {c}{k}" for c in "vn" for k in range(3))
+    f = lambda i, j: f"f{min(i, j)}{max(i, j)}"
+    noise = ", ".join(f"CASE WHEN u1 > 0.6 OR u1 < 0.4 THEN n{k} * (level / 255.0::DOUBLE) ELSE {' + '.join(f'n{i} * {f(i, k)}' for i in range(3))} END" for k in range(3))
+    out = "v + v * n" if speckle else "v + n"
+    return f"""WITH {fx.EVENT_RGB_SQL}, {im}, {_colour_mix_sql(high)},
+px AS (SELECT volume_id, z, x, y, u1, level, {wide} FROM {drawn} GROUP BY ALL),
+el AS (SELECT volume_id, z, unnest([v0, v1, v2]) AS v, unnest([{noise}]) AS n FROM px JOIN colour USING (volume_id, z)),
+done AS (SELECT volume_id, z, greatest(least({out}, 1), 0) AS v FROM el) {SUMMARY.format(src='done')}"""
+
+
+@query("d2_gaussian_noise", _noise_sql(2, speckle=False))
 def d2_gaussian_noise(spark, sf):
     return summary(degrade.gaussian_noise(fx.event_rgb(spark, sf), seed=2))
 
 
-@query("d3_speckle_noise")
+@query("d3_speckle_noise", _noise_sql(3, speckle=True))
 def d3_speckle_noise(spark, sf):
     return summary(degrade.speckle_noise(fx.event_rgb(spark, sf), seed=3))
 
 
-@query("d4_poisson_noise")
-def d4_poisson_noise(spark, sf):
-    return summary(degrade.poisson_noise(fx.event_rgb(spark, sf), seed=4))
-
-
-def _numbers(text: str) -> str:
-    return "[" + ",".join(text.split()) + "]"
+def _shot_sql(seed: int) -> str:
+    byte = "greatest(least(round_even(round(({v})*255,9),0),255),0)/255"
+    im = f"im AS (SELECT *, pow(10, 2 * u0 + 2) AS counts FROM (SELECT volume_id, z, {_step_draw(seed, 0, 0)} AS u0, {_step_draw(seed, 0, 1)} AS u1, {_word(seed)} AS w0 FROM (SELECT DISTINCT volume_id, z FROM rgb_sums)))"
+    held = f"held AS (SELECT volume_id, z, x, y, ch, {byte.format(v='v')} AS v, u1, counts, w0 FROM event_rgb JOIN im USING (volume_id, z))"
+    colours = _poisson_sql("cs", "cm", "k", "mean", "w0", "(x * 24 + y) * 3 + ch", "volume_id, z, x, y, ch")
+    grays = _poisson_sql("gs", "gm", "k", "mean", "w0", "x * 24 + y", "volume_id, z, x, y")
+    level = byte.format(v="0.299::DOUBLE*max(v) FILTER (WHERE ch = 0) + 0.587::DOUBLE*max(v) FILTER (WHERE ch = 1) + 0.114::DOUBLE*max(v) FILTER (WHERE ch = 2)")
+    return f"""WITH {fx.EVENT_RGB_SQL}, {im}, {held},
+cm AS (SELECT *, v * counts AS mean FROM held WHERE u1 < 0.5), {colours},
+g AS (SELECT volume_id, z, x, y, counts, w0, {level} AS gray FROM held WHERE u1 >= 0.5 GROUP BY ALL), gm AS (SELECT *, gray * counts AS mean FROM g), {grays},
+done AS (SELECT volume_id, z, greatest(least(k / counts, 1), 0) AS v FROM cs
+ UNION ALL SELECT held.volume_id, held.z, greatest(least(held.v + (k / gs.counts - gray), 1), 0) FROM held JOIN gs USING (volume_id, z, x, y)) {SUMMARY.format(src='done')}"""
 
 
-def _step_draw(seed: int, step: int, word: int) -> str:
-    digest = f"md5(concat_ws(':', '{seed}:step:{step}:{word // 4}', concat_ws('/', CAST(volume_id AS VARCHAR), CAST(z AS VARCHAR))))"
-    return f"(CAST(concat('0x', substr({digest}, {8 * (word % 4) + 1}, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+@query("d4_poisson_noise", _shot_sql(4))
+def d4_poisson_noise(spark, sf):
+    return summary(degrade.poisson_noise(fx.event_rgb(spark, sf), seed=4))
 
 
 def _dct_sql(seed: int) -> str:
