@@ -28,7 +28,7 @@ WINDOW = 2048
 GRAIN = 4
 MOST_PIECES = 8
 END_ID = 1
-GROUP_CHARS = 8_000_000
+GROUP_CHARS = 500_000
 
 
 def combinations(present: np.ndarray, full: int) -> list[dict[int, int]]:
@@ -187,6 +187,7 @@ def _pieces(path: str, window: int, batches: Iterator[pa.RecordBatch]) -> Iterat
             if chars >= GROUP_CHARS:
                 yield cut(docs[begin : begin + len(group)], group, batch["doc"].type)
                 begin, chars, group = begin + len(group), 0, []
+                give_back()
         if group:
             yield cut(docs[begin:], group, batch["doc"].type)
     give_back()

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 150_000
 BATCH = 1024
 
 _BYTE = np.arange(256)
@@ -72,29 +72,32 @@ class PieceIds:
     """Ids of texts, little-endian uint32; holds at most ``CACHE_ENTRIES`` pieces besides those of the block at hand."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        # One tokenizer, of which only the front changes: its own for whole words, and for pieces that are already
+        # normalised and cut one that maps bytes to their letters. The vocabulary is held once.
         self.tokenizer = Tokenizer.from_file(path)
-        # The same merges for pieces that are already normalised and cut: only the bytes are mapped to their letters.
-        self.merges = Tokenizer.from_file(path)
-        self.merges.normalizer = None
-        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
+        bare = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.fronts = {True: (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer), False: (normalizers.Sequence([]), bare)}
+        self.front = True
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a piece
         for token, i in vocab.items():
             self.last[i] = token.endswith("</w>")
         self.known: dict[bytes, np.ndarray] = {}
 
-    def _whole(self, words: list[bytes]) -> list[np.ndarray]:
-        texts = [w.decode("utf-8", "replace") for w in words]
+    def _encode(self, texts: list[str], whole: bool) -> list[np.ndarray]:
+        if whole != self.front:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.fronts[whole]
+            self.front = whole
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _whole(self, words: list[bytes]) -> list[np.ndarray]:
+        return self._encode([w.decode("utf-8", "replace") for w in words], True)
+
     def _merged(self, pieces: list[bytes]) -> list[np.ndarray]:
         """One call for many pieces: each gives ids of which only the last ends a piece."""
-        text = b" ".join(pieces).decode("utf-8", "replace")
-        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ids = self._encode([b" ".join(pieces).decode("utf-8", "replace")], False)[0]
         ends = np.flatnonzero(self.last[ids]) + 1 if len(ids) else np.zeros(0, int)
         if len(ends) != len(pieces) or ends[-1] != len(ids):
             return self._whole(pieces)
