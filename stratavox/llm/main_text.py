@@ -9,14 +9,18 @@ Nothing inside an element that is never article text is kept (menus, headers, fo
 scripts, styles, reader comments). Inside marked elements names of headings, paragraphs and sections' ids exclude nothing, and a
 class or role that also occurs in articles (alert, related, search) excludes a container only if the smoothed ratio agrees.
 
-A page is parsed once, in time and memory proportional to its length.
+A name counts only as a whole: its parts must all speak of such boxes. The threshold selects nothing inside marked elements.
+
+A page is cut into text and complete tags once and parsed once, in time and memory proportional to its length; no byte string stops it.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
+from string import ascii_letters
 
 import numpy as np
 import pandas as pd
@@ -44,8 +48,29 @@ BOXES = CONTAINERS - {"html", "body", "blockquote"} | frozenset("section ul ol d
 CLOSES_P = BLOCK - {"br", "option", "legend", "title", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "summary", "figcaption"}
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 
-#: Words of class, id and role values that mark what is not article text.
-_NOT_TEXT = re.compile(
+#: Parts of class, id and role names that mark what is not article text.
+_OTHER_PARTS = re.compile(
+    r"ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|"
+    r"nav|navbar|navigation|menus?|menubar|breadcrumbs?|sidebar\w*|side|aside|rail|widgets?|footer|foot|masthead|topbar|toolbar|"
+    r"siteheader|pageheader|comments?|commentlist|disqus|respond|reply|replies|discussion|share|sharing|social|newsletters?|subscribe\w*|"
+    r"subscription|signup|login|search|searchbox|related|recommend\w*|pagination|pager|contentinfo|complementary|dialog|hidden|sronly|skiplink"
+)
+#: Inside a marked element only these exclude a box by its name alone; the other parts also occur in articles.
+_CERTAIN_PARTS = re.compile(
+    r"ads?|advert\w*|adsense|adbox|sponsor\w*|cookies?|gdpr|popups?|modal|nav|navbar|navigation|breadcrumbs?|sidebar\w*|footer|masthead|"
+    r"topbar|toolbar|siteheader|pageheader|comments?|commentlist|disqus|share|sharing|newsletters?|signup|login|pagination|pager|"
+    r"contentinfo|complementary"
+)
+_HIDDEN_PARTS = re.compile(r"hidden|sronly|skiplink")
+#: Parts that only name the kind of box: a name counts if it consists of the parts above and these.
+_BOX_PARTS = frozenset(
+    "a area bar block body bottom box boxes btn btns bubble button buttons card center col column container content contents count counter "
+    "cta element footer form frame global group head header holder icon icons inline inner item items js label large layer left line link links "
+    "list lists main media mobile module more mpu new outer page panel placeholder posts primary rectangle right root row secondary section site "
+    "skyscraper slot small space sticky stories strip tab tabs thread title tool tools top unit ul wrap wrapper zone reader readers user users article".split()
+)
+_PAIRS = re.compile(r"\b(site|page)[-_](header)\b|\b(sr)[-_](only)\b|\b(skip)[-_](link)\b")
+_TEXT = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|"
     r"nav|navbar|navigation|menu\w*|breadcrumb\w*|sidebar\w*|side|aside|rail|widget\w*|footer|foot|masthead|topbar|toolbar|site-?header|page-?header|"
     r"comment|comments|commentlist|comment-?list|disqus|respond|reply|replies|reader-?comments|discussion|"
@@ -66,6 +91,93 @@ _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+@lru_cache(4096)
+def named_as(value: str, parts: re.Pattern) -> bool:
+    """Whether a whole name in ``value`` is made of ``parts`` and words for boxes: "share-bar" is, "share-price" is not."""
+    joined = _PAIRS.sub(lambda m: "".join(x for x in m.groups() if x), value.lower())
+    for name in joined.split():
+        own = [p.rstrip("0123456789") for p in re.split(r"[-_]+", name) if p.strip("0123456789")]
+        hits = [bool(parts.fullmatch(p)) for p in own]
+        if any(hits) and all(hit or p in _BOX_PARTS for hit, p in zip(hits, own)):
+            return True
+    return False
+
+
+_EVENT = re.compile(r"<(?=[a-zA-Z/!?])")
+_TAG_STOP = re.compile(r"[>=]")
+_QUOTE = re.compile(r"\s*([\"'])")
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>\x00]*")
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+_USED = frozenset("class id role style hidden itemprop".split())
+_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style")}
+
+
+def repaired(html: str) -> Iterator[str]:
+    """The page as text runs and complete tags with the attributes that matter, in one pass.
+
+    Comments, declarations (of any form), processing instructions, and what scripts and styles hold are left out. As the HTML
+    standard says, a comment, a tag or a script that never ends reaches to the end of the page. A quotation mark that is never
+    closed counts as an ordinary character. What cannot be found once is not searched again, so time is linear.
+    """
+    n, at = len(html), 0
+    last = {q: html.rfind(q) for q in ("\"", "'", ">", "-->", "--!>")}
+    while at < n:
+        found = _EVENT.search(html, at)
+        begin = found.start() if found else n
+        if begin > at:
+            yield html[at:begin].replace("<", "&lt;") if "<" in html[at:begin] else html[at:begin]
+        if not found:
+            return
+        sign = html[begin + 1]
+        if html.startswith("<!--", begin):
+            if html.startswith((">", "->"), begin + 4):
+                at = html.index(">", begin) + 1
+                continue
+            ends = [(end, html.find(end, begin + 4)) for end in ("-->", "--!>") if last[end] >= begin + 4]
+            if not ends:
+                return
+            at = min(place + len(end) for end, place in ends)
+            continue
+        if begin >= last[">"]:
+            return
+        if sign in "!?" or (sign == "/" and html[begin + 2] not in ascii_letters):
+            at = html.index(">", begin) + 1
+            continue
+        name = _TAG_NAME.match(html, begin + (2 if sign == "/" else 1)).group()
+        at = begin + 1
+        while True:
+            stop = _TAG_STOP.search(html, at)
+            if stop is None:
+                return
+            at = stop.end()
+            if stop.group() == ">":
+                break
+            quote = _QUOTE.match(html, at)
+            if quote and last[quote.group(1)] >= quote.end():
+                at = html.index(quote.group(1), quote.end()) + 1
+        tag = name.lower()
+        if not _PLAIN.fullmatch(tag):
+            tag = "span"  # an unknown inline element
+        if sign == "/":
+            yield f"</{tag}>"
+            continue
+        kept = []
+        for attribute in _ATTRIBUTE.finditer(html, begin + 1 + len(name), at - 1):
+            key, value = attribute.group(1).lower(), attribute.group(2) or ""
+            if key in _USED:
+                value = value[1:-1] if value[:1] in ("\"", "'") and value[:1] == value[-1:] and len(value) > 1 else value
+                kept.append(f' {key}="{value.replace(chr(34), "&quot;")}"')
+        yield f"<{tag}{''.join(kept)}>"
+        if tag in _RAW:
+            close = _RAW[tag].search(html, at)
+            if close is None:
+                return
+            at = close.start()
+
+
+_PLAIN = re.compile(r"[a-z][-a-z0-9_.:]*")
+
+
 class Lines(HTMLParser):
     """Collects elements (parent, end, excluded, meaning, doubt) and lines (element, text, tags, characters in links).
 
@@ -129,7 +241,7 @@ class Lines(HTMLParser):
                 if inside or tag in ("article", "main"):
                     never, doubtful = self.inner_name(tag, values)
                 else:
-                    never = bool(_NOT_TEXT.search(named))
+                    never = named_as(named, _OTHER_PARTS)
         meant = 2 if tag in ("article", "main") or values.get("itemprop") == "articleBody" or values.get("role") == "main" else 0
         if not meant and tag in CONTAINERS and named and _TEXT.search(named):
             meant = 1
@@ -154,14 +266,14 @@ class Lines(HTMLParser):
         Headings and paragraphs are boxes of neither kind; a section's id names its subject once an article is open.
         """
         own = self.names(values, "class", "role")
-        if own and _HIDDEN.search(own):
+        if own and named_as(own, _HIDDEN_PARTS):
             return True, False
         if tag not in BOXES:
             return False, False
         full = own if tag == "section" and self.open.get("article") else self.names(values, "class", "id", "role")
-        if _NEVER_TEXT.search(full):
+        if named_as(full, _CERTAIN_PARTS):
             return True, False
-        return False, bool(own and _NOT_TEXT.search(own))
+        return False, bool(own and named_as(own, _OTHER_PARTS))
 
     def close_tag(self, tag: str, fence=frozenset()) -> None:
         """Close the innermost ``tag`` unless an element of ``fence`` was opened inside it."""
@@ -240,7 +352,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Lines()
-    page.feed(html)
+    for part in repaired(html):
+        page.feed(part)
     page.end()
     if not page.lines:
         return ""

@@ -1,7 +1,13 @@
+import math
+import random
+import time
+
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from stratavox.llm.main_text import extract_main_text, main_text, smoothed, threshold
+from stratavox.llm.main_text import Lines, extract_main_text, main_text, measured, named_as, repaired, smoothed, threshold, _OTHER_PARTS
 
 PAGES = [
     (
@@ -97,3 +103,85 @@ def test_links_adverts_and_comments_inside_an_article_go():
     rest = f"<div class='related'><ul>{links}</ul></div><div class='ad'><p>advert {LONG}</p></div>"
     text = main_text(f"<main><article><p>{LONG}</p><p>{LONG}</p>{rest}</article><section id='comments'><p>reader {LONG}</p></section></main>")
     assert text == f"{LONG.strip()} {LONG.strip()}"
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<p>a<![foo[x]]>b</p>", "ab"),
+        ("<p>a<![ ]>b<![CDATA[c]]>d</p>", "abd"),
+        ("<p>a<!DOCTYPE x>b<?php echo 1 ?>c</ >d</\u00e9>e</p>", "abcde"),
+        ("<p>a<!-- b -- > c --!>d<!-->e<!--->f</p>", "adef"),
+        ("<p>a</p><!-- never closed <p>b</p>", "a"),
+        ("<p>a</p><p title='b", "a"),
+        ("<p>5 < 6 and 7 <8</p>", "5 < 6 and 7 <8"),
+        ("<p title=\"x > y\" class=ok>a</p>", "a"),
+        ("<p title=\"open>a</p>", "a"),
+        ("<p>a<script>1 < 2; '</p>'", "a"),
+        ("<a\"b c>x</a\"b><p>y", "x y"),
+        ("<p>Tom &amp Jerry &#65;&#x42; &notaname; &", "Tom & Jerry AB \u00acaname; &"),
+    ],
+)
+def test_broken_markup(html, text):
+    assert main_text(html) == text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "!", "[", "]", "-", "/", "?", "=", '"', "'", "&", "#", "p", "a", "script", "style", " ", "\x00", "\n", "<!--", "-->", "<![", "]]>", "<p>", "</p>", "<article>", "\u00e9", "x"]), max_size=60).map("".join))
+def test_nothing_stops_the_parser(html):
+    assert isinstance(main_text(html), str)
+    assert main_text(f"<article><p>kept</p></article>{html}").startswith("kept") or "article" in html or "script" in html or "style" in html
+
+
+@pytest.mark.parametrize("bad", ["<a ", "<!--", "<![x[", '<a b="', "<a b='", "<script>", "</x", "<a =", "<p/", "<!-- >", "&#", "<b x='1\" "])
+def test_a_megabyte_of_unclosed_markup(bad):
+    start = time.time()
+    for end in ("", ">", "\"'>"):
+        main_text("<article><p>x</p></article>" + bad * (1_000_000 // len(bad)) + end)
+    assert time.time() - start < 20
+
+
+@pytest.mark.parametrize("name", ["share-price", "comment-policy", "related-work", "search-engines", "notice-period", "side-effects", "hidden-figures"])
+@pytest.mark.parametrize("frame", ["<article><p>{long}</p>{part}<p>{long}</p></article>", "<body><div><p>{long}</p>{part}<p>{long}</p></div></body>"])
+@pytest.mark.parametrize("part", ["<div class='{name}'><p>{long}</p></div>", "<div id='{name}'><p>{long}</p></div>", "<p class='{name}'>{long}</p>"])
+def test_names_that_only_begin_like_a_box(name, frame, part):
+    html = frame.format(long=LONG, part=part.format(name=name, long=LONG))
+    assert main_text(html).count("stands well above") == 9
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot-1", "share-bar", "shareButtons", "comment-list", "comments_area", "site-header", "cookie-notice", "related-posts", "sr-only", "post sidebar"])
+def test_names_of_boxes(name):
+    assert named_as(name if name != "shareButtons" else "share-Buttons", _OTHER_PARTS)
+    box = f"<div class='{name}'><ul><li><a href=/>one link</a></li><li><a href=/>two links</a></li></ul></div>"
+    assert "link" not in main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p></div>{box}</body>")
+
+
+def plain_selection(lines):
+    """Ratio, Gaussian smoothing and threshold as sums over all lines."""
+    ratio = [math.log1p((len(t) - linked) / max(tags, 1)) for _, t, tags, linked in lines]
+    reach = 5
+    level = []
+    for i in range(len(ratio)):
+        near = [(math.exp(-((i - j) ** 2) / (2 * 1.5**2)), ratio[j]) for j in range(len(ratio)) if abs(i - j) <= reach]
+        level.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    at = sum(level) / len(level)
+    for _ in range(50):
+        low, high = [x for x in level if x <= at], [x for x in level if x > at]
+        if not low or not high:
+            return [True] * len(level)
+        new = (sum(low) / len(low) + sum(high) / len(high)) / 2
+        if new == at:
+            break
+        at = new
+    return [x > at for x in level] if sum(high) / len(high) - sum(low) / len(low) >= 1 else [True] * len(level)
+
+
+def test_selection_equals_plain_sums():
+    rng = random.Random(5)
+    for _ in range(40):
+        html = "".join(rng.choice([f"<p>{'word ' * rng.randint(1, 80)}</p>", "<div><a href=/>short link</a></div>", "<li><b><i>x</i></b></li>"]) for _ in range(rng.randint(1, 40)))
+        page = Lines()
+        for piece in repaired(html):
+            page.feed(piece)
+        page.end()
+        assert measured(page.lines)[1].tolist() == plain_selection(page.lines)
