@@ -260,7 +260,7 @@ def suffixes(docs: DataFrame, seed: int, slots: bytes, group_bytes: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, n, salt)], ["h1", "h2", "h3", "h4", "n", "salt"])
             give_back()
 
-    return stored(docs.mapInArrow(cut, "h1 long, h2 long, h3 long, h4 long, n long, salt int"))
+    return stored(docs.mapInArrow(cut, "h1 long, h2 long, h3 long, h4 long, n long, salt int"), "zstd")
 
 
 def phrase_counts(rows: DataFrame, least: int, range_rows: int, ranges: int) -> DataFrame:
