@@ -193,6 +193,26 @@ def u7_decode_volume(spark, sf):
     return _out(cb.decode_volume(cb.encode_volume(fx.slices(spark, sf), book, 4), book, 4), "v")
 
 
+def _lloyd_sql(rounds: int) -> str:
+    """Rounds of nearest code (lowest on ties) and means, from the mean vector of each label."""
+    ctes, book = [fx.CODEBOOK_SQL], "codebook"
+    for n in range(rounds):
+        ctes.append(
+            f"""near{n} AS (SELECT vec_id, f, code FROM (SELECT e.vec_id, e.f, k.code, row_number() OVER (PARTITION BY vec_id ORDER BY list_sum(list_transform(range(1,65), lambda i: (e.f[i]-k.c[i])*(e.f[i]-k.c[i]))), code) AS rn FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings) e, {book} k) WHERE rn=1),
+cells{n} AS (SELECT code, i, avg(f[i]) AS m FROM (SELECT code, f, unnest(range(1,65)) AS i FROM near{n}) GROUP BY ALL),
+book{n} AS (SELECT code, list(m ORDER BY i) AS c FROM cells{n} GROUP BY code UNION ALL SELECT code, c FROM {book} WHERE code NOT IN (SELECT code FROM cells{n}))"""
+        )
+        book = f"book{n}"
+    return f"WITH {', '.join(ctes)} SELECT CAST(code AS INT) AS code, CAST(i-1 AS INT) AS pos, round(c[i],6) + 0.0 AS v FROM (SELECT *, unnest(range(1,65)) AS i FROM {book})"
+
+
+@query("u6_lloyd_rounds", _lloyd_sql(3))
+def u6_lloyd_rounds(spark, sf):
+    """Three rounds from the mean vector of each label."""
+    book = cb.refine_codebook(vectors_of(spark, sf), fx.codebook(spark, sf), 3)
+    return _out(book.select("code", F.posexplode("c").alias("pos", "v")), "v")
+
+
 @query("u6_fit_codebook")
 def u6_fit_codebook(spark, sf):
     """Sixteen codes learned from all vectors, with the error they leave."""

@@ -40,7 +40,18 @@ def s2_slices_to_volume(spark, sf):
     rows = fx.table(spark, sf, "embeddings").select(
         F.col("label").alias("volume_id"), "vec_id", F.lit(8).alias("h"), F.lit(8).alias("w")
     )
-    return images.slices_to_volume(rows, "vec_id").select("volume_id", "z", "vec_id", "h", "w")
+    return images.slices_to_volume(rows, "vec_id").select("volume_id", F.col("z").cast("int").alias("z"), "vec_id", "h", "w")
+
+
+@query(
+    "s2_slices_by_hashed_id",
+    "SELECT label AS volume_id, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)))-1 AS z, md5(CAST(vec_id AS VARCHAR)) AS name FROM embeddings",
+)
+def s2_slices_by_hashed_id(spark, sf):
+    """Slices named by hashes: text ids, as sparse as can be."""
+    name = F.md5(F.col("vec_id").cast("string")).alias("name")
+    rows = fx.table(spark, sf, "embeddings").select(F.col("label").alias("volume_id"), name, F.lit(8).alias("h"), F.lit(8).alias("w"))
+    return images.slices_to_volume(rows, "name").select("volume_id", "z", "name")
 
 
 PATCHES = f"""{fx.VOXELS_SQL}, q AS (SELECT volume_id, quantile_cont(v, 0.001) AS p0, quantile_cont(v, 0.999) AS p1 FROM voxels GROUP BY volume_id),
@@ -86,7 +97,11 @@ def s7_append_epoch_metrics(spark, sf):
     means = events.groupBy(F.dayofmonth("ts").alias("_day"), F.col("event_type").alias("name")).agg(
         F.round(F.avg("value"), 6).alias("value")
     )
-    return images.with_epoch(means, F.col("_day").cast("long")).drop("_day")
+    log = scratch_path(spark, "epochs")
+    days = images.with_epoch(means, F.col("_day")).drop("_day")
+    images.put_epochs(days, log)
+    images.put_epochs(days.where("epoch = 3"), log)  # a repeated append
+    return images.read_epochs(spark, log, "name string, value double").withColumn("epoch", F.col("epoch").cast("long"))
 
 
 @query(
@@ -161,7 +176,7 @@ def so2_union(spark, sf):
 
 @query("w1_position_by_name", f"{FILES} SELECT dir, name, CAST(row_number() OVER (PARTITION BY dir ORDER BY name)-1 AS INT) AS pos FROM files")
 def w1_position_by_name(spark, sf):
-    return pairing.name_positions(fx.files(spark, sf), keys=["dir"])
+    return pairing.name_positions(fx.files(spark, sf), keys=["dir"]).withColumn("pos", F.col("pos").cast("int"))
 
 
 @query(

@@ -264,6 +264,19 @@ def r6_resize_stages(spark, sf):
     return _vox(planes.resize_stages(fx.slices(spark, sf), "linear", 0.5, 2))
 
 
+@query(
+    "r6_resize_and_stack",
+    f"{V}, low AS (SELECT volume_id, z, x//2 AS x, y//2 AS y, v FROM voxels WHERE x%2=0 AND y%2=0), {linear_sql('w', 4, 8)}, {apply_sql('w', 'w', 'low', name='up')} SELECT volume_id, z, CAST(x AS INT) AS x, CAST(y AS INT) AS y, round(f.v,6) + 0.0 AS first, round(u.v,6) + 0.0 AS second FROM voxels f JOIN up u USING (volume_id, z, x, y)",
+)
+def r6_resize_and_stack(spark, sf):
+    """Every second pixel as the image of low resolution, brought back to full size beside the original."""
+    slices = fx.slices(spark, sf)
+    low = planes.map_planes(slices, lambda b: b[:, ::2, ::2])
+    cells = planes.resize_and_stack(slices, low).select("volume_id", "z", "w", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1), lambda i: F.slice("data", 2 * i + 1, 2))).alias("i", "p"))
+    value = lambda k: F.round(F.col("p")[k], 6) + 0.0
+    return cells.select("volume_id", "z", F.expr("CAST(i DIV w AS INT)").alias("x"), F.expr("CAST(i % w AS INT)").alias("y"), value(0).alias("first"), value(1).alias("second"))
+
+
 @query("r6_resize_area", f"{V}, w AS (SELECT a.range AS o, b.range AS i, 1.0::DOUBLE/(-(-((a.range+1)*8)//5) - a.range*8//5 + CASE WHEN ((a.range+1)*8)%5 > 0 THEN 1 ELSE 0 END) AS w FROM range(0,5) a, range(0,8) b WHERE b.range >= a.range*8//5 AND b.range*5 < (a.range+1)*8), {apply_sql('w', 'w')} {DONE.format(t='res')}")
 def r6_resize_area(spark, sf):
     return _vox(planes.resize(fx.slices(spark, sf), "area", (5, 5)))
@@ -386,12 +399,14 @@ def a2_subpixel_refine(spark, sf):
     return out.withColumns({c: F.round(c, 6) + 0.0 for c in ("dy", "dx")})
 
 
-@query(
-    "a3_apply_shift",
+A3_SQL = (
     f"""{V}, {CORR}, {FINE}, spots AS (SELECT f.volume_id, f.z, CAST(a.range AS INT) AS x, CAST(b.range AS INT) AS y, a.range+round(dy,6) AS sx, b.range+round(dx,6) AS sy FROM fine f, range(0,8) a, range(0,8) b),
 tap AS (SELECT *, floor(sx)+p AS tx, floor(sy)+q AS ty, CASE p WHEN 0 THEN 1-(sx-floor(sx)) ELSE sx-floor(sx) END * CASE q WHEN 0 THEN 1-(sy-floor(sy)) ELSE sy-floor(sy) END AS w FROM spots, (SELECT unnest([0,0,1,1]) AS p, unnest([0,1,0,1]) AS q))
-SELECT t.volume_id, t.z, t.x, t.y, round(CASE WHEN bool_and(sx BETWEEN 0 AND 7 AND sy BETWEEN 0 AND 7) THEN sum(w*coalesce(s.v,0)) ELSE -1 END,6) + 0.0 AS v FROM tap t LEFT JOIN voxels s ON s.volume_id=t.volume_id AND s.z=t.z AND s.x=t.tx AND s.y=t.ty GROUP BY ALL""",
+SELECT t.volume_id, t.z, t.x, t.y, round(CASE WHEN bool_and(sx BETWEEN 0 AND 7 AND sy BETWEEN 0 AND 7) THEN sum(w*coalesce(s.v,0)) ELSE -1 END,6) + 0.0 AS v FROM tap t LEFT JOIN voxels s ON s.volume_id=t.volume_id AND s.z=t.z AND s.x=t.tx AND s.y=t.ty GROUP BY ALL"""
 )
+
+
+@query("a3_apply_shift", A3_SQL)
 def a3_apply_shift(spark, sf):
     """Each slice moved back by its measured subpixel displacement; -1 outside."""
     slices = fx.slices(spark, sf)
@@ -400,6 +415,18 @@ def a3_apply_shift(spark, sf):
     return _vox(planes.apply_shift(placed, None, sign=-1, fill=-1.0).select(*slices.columns))
 
 
+@query("a3_align", A3_SQL)
+def a3_align(spark, sf):
+    """The same measured and moved in one pass."""
+    return _vox(register.align(fx.slices(spark, sf), subpixel=True, fill=-1.0, digits=6))
+
+
+@query("a1_slice_shifts_large", f"{E}, {CORR.replace('voxels', 'event_voxels')} SELECT volume_id, z, CAST(dy AS DOUBLE) AS dy, CAST(dx AS DOUBLE) AS dx FROM peak")
+def a1_slice_shifts_large(spark, sf):
+    """Slices of 24 x 24, beyond the size of direct sums: correlation by Fourier transform."""
+    return register.slice_shifts(fx.event_slices(spark, sf))
+
+
 def event_pairs(spark, sf, squash: float):
     """Even and odd days of each user block as [0, squash) levels."""
     level = lambda v: squash * v / (v + 50.0)

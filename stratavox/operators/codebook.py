@@ -6,14 +6,15 @@ A codebook is a model parameter of at most ``MAX_CODES`` codes; its size is chec
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratavox.functions import vectors
+from stratavox.functions import draws, vectors
 from stratavox.operators.planes import map_batches
 from stratavox.operators.tiling import extents
 from stratavox.scale import attach_small
@@ -84,9 +85,10 @@ def remap_codes(codes: DataFrame, used: DataFrame) -> DataFrame:
     kept = [r["code"] for r in used.select("code").distinct().orderBy("code").limit(MAX_CODES + 1).collect()]
     if len(kept) > MAX_CODES:
         raise ValueError(f"a codebook may hold {MAX_CODES} codes")
-    table = F.array(*[F.lit(int(c)) for c in kept])
-    place = F.array_position(table, F.col("code").cast("int"))
-    return codes.withColumn("index", F.when(place > 0, place - 1).otherwise(F.lit(len(kept))).cast("int"))
+    rows = [(int(c), i) for i, c in enumerate(kept)]
+    numbers = codes.sparkSession.createDataFrame(rows, "_code int, index int")
+    same = F.col("code").cast("int") == F.col("_code")
+    return codes.join(F.broadcast(numbers), same, "left").drop("_code").withColumn("index", F.coalesce("index", F.lit(len(kept))))
 
 
 def code_lookup(codes: DataFrame, codebook: DataFrame) -> DataFrame:
@@ -141,18 +143,110 @@ def decode_volume(codes: DataFrame, codebook: DataFrame, p: int) -> DataFrame:
     )
 
 
-def fit_codebook(features: DataFrame, k: int = 256, seed: int = 1, feature: str = "f", iterations: int = 20) -> DataFrame:
-    """Learn k codes with the distributed k-means of the ML library."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def code_sums(coded: DataFrame, feature: str = "f") -> DataFrame:
+    """(code, n, total): count and vector sum of the features of each code; a task sends one row per code it met."""
+    size = F.size(feature)
+    made = T.StructType([T.StructField("code", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("total", T.ArrayType(T.DoubleType()))])
 
-    data = features.select(array_to_vector(F.col(feature).cast("array<double>")).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=iterations).fit(data)
-    rows = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
-    schema = T.StructType(
-        [T.StructField("code", T.IntegerType(), False), T.StructField("c", T.ArrayType(T.DoubleType()), False)]
-    )
-    return features.sparkSession.createDataFrame(rows, schema)
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            codes, x = batch["code"].to_numpy(), np.stack(batch[feature].to_numpy()).astype(float)
+            order = np.argsort(codes, kind="stable")
+            first = np.flatnonzero(np.diff(codes[order], prepend=codes[order][0] - 1))
+            sums, counts = np.add.reduceat(x[order], first, axis=0), np.diff(np.append(first, len(order)))
+            for code, n, total in zip(codes[order][first].tolist(), counts.tolist(), sums):
+                known = held.setdefault(code, [0, np.zeros(x.shape[1])])
+                known[0], known[1] = known[0] + n, known[1] + total
+        yield pd.DataFrame({"code": list(held), "n": [n for n, _ in held.values()], "total": [t for _, t in held.values()]})
+
+    parts = coded.where(size > 0).select("code", feature).mapInPandas(add, made)
+    cells = parts.select("code", "n", F.posexplode("total").alias("_i", "_t"))
+    summed = cells.groupBy("code", "_i").agg(F.sum("n").alias("n"), F.sum("_t").alias("_t"))
+    ordered = F.array_sort(F.collect_list(F.struct("_i", "_t")))  # one entry per dimension
+    return summed.groupBy("code").agg(F.max("n").alias("n"), F.transform(ordered, lambda c: c["_t"]).alias("total"))
+
+
+def _book(spark: SparkSession, codes: list[int], centers: np.ndarray) -> DataFrame:
+    schema = T.StructType([T.StructField("code", T.IntegerType(), False), T.StructField("c", T.ArrayType(T.DoubleType()), False)])
+    return spark.createDataFrame([(int(k), [float(v) for v in c]) for k, c in zip(codes, centers)], schema)
+
+
+def refine_codebook(features: DataFrame, codebook: DataFrame, rounds: int, feature: str = "f", tolerance: float = 0.0) -> DataFrame:
+    """Lloyd rounds from given codes: nearest code, then the mean of what each code got. A code that got nothing stays.
+
+    Per round the data are read once; sums are merged per task and code, and k sums reach the driver. It ends early when no
+    center moves by more than ``tolerance``.
+    """
+    codes, centers = _load(codebook)
+    place = {int(c): i for i, c in enumerate(codes)}
+    for _ in range(rounds):
+        sums = code_sums(nearest_code(features, _book(features.sparkSession, codes, centers), feature), feature)
+        moved = centers.copy()
+        for r in sums.collect():  # at most MAX_CODES rows
+            moved[place[r["code"]]] = np.array(r["total"]) / r["n"]
+        step = np.abs(moved - centers).max(initial=0.0)
+        centers = moved
+        if step <= tolerance:
+            break
+    return _book(features.sparkSession, codes, centers)
+
+
+def _weighted_choice(candidates: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k of the candidates by squared-distance draws, then weighted Lloyd rounds among them."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.choice(len(candidates), p=weights / weights.sum()))]
+    nearest = ((candidates - candidates[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < min(k, len(candidates)):
+        mass = weights * nearest
+        if mass.sum() <= 0:
+            break
+        chosen.append(int(rng.choice(len(candidates), p=mass / mass.sum())))
+        nearest = np.minimum(nearest, ((candidates - candidates[chosen[-1]]) ** 2).sum(axis=1))
+    centers = candidates[chosen].copy()
+    for _ in range(20):
+        to = np.array([int(((centers - x) ** 2).sum(axis=1).argmin()) for x in candidates])
+        for j in range(len(centers)):
+            mine = to == j
+            if mine.any():
+                centers[j] = (weights[mine, None] * candidates[mine]).sum(axis=0) / weights[mine].sum()
+    return centers
+
+
+def seed_codebook(features: DataFrame, k: int, seed: int, feature: str = "f", rounds: int = 4) -> DataFrame:
+    """First codes by oversampling: every round draws about 2 k vectors with a chance proportional to their squared distance to
+    the codes so far; the drawn ones, weighted by how many vectors they stand for, are reduced to k on the driver.
+
+    Draws depend on the seed and the vector only. k is at most ``MAX_CODES``; fewer codes come back if there are fewer
+    distinct vectors.
+    """
+    spark = features.sparkSession
+    data = features.select(F.col(feature).cast("array<double>").alias("f")).where(F.size("f") > 0)
+    key = F.xxhash64("f")
+    first = data.orderBy(draws.uniform(seed, "first", key), "f").limit(1).collect()
+    if not first:
+        raise ValueError("there are no vectors to learn codes from")
+    centers = np.array([first[0]["f"]])
+    for turn in range(rounds):
+        coded = nearest_code(data, _book(spark, range(len(centers)), centers))
+        total = coded.agg(F.sum("d2")).head()[0]
+        if not total:
+            break
+        chance = F.col("d2") * F.lit(2.0 * k / total)
+        room = MAX_CODES - len(centers)
+        drawn = coded.where(draws.uniform(seed, f"seed{turn}", key) < chance).select("f").distinct().orderBy("f").limit(room).collect()  # about 2 k
+        if drawn:
+            centers = np.vstack([centers, np.array([r["f"] for r in drawn])])
+    counts = {r["code"]: r["n"] for r in nearest_code(data, _book(spark, range(len(centers)), centers)).groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weights = np.array([counts.get(i, 0) for i in range(len(centers))], float)
+    chosen = _weighted_choice(centers[weights > 0], weights[weights > 0], k, seed)
+    return _book(spark, range(len(chosen)), chosen)
+
+
+def fit_codebook(features: DataFrame, k: int = 256, seed: int = 1, feature: str = "f", iterations: int = 20, tolerance: float = 1e-6) -> DataFrame:
+    """Learn k codes: drawn first codes, then Lloyd rounds over ``nearest_code``. The same vectors give the same codes, however they lie."""
+    data = features.select(F.col(feature).cast("array<double>").alias("f"))
+    return refine_codebook(data, seed_codebook(data, k, seed), iterations, tolerance=tolerance)
 
 
 def compression_report(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratavox.functions import text
-from stratavox.scale import attach_small, prefix_sum
+from stratavox.scale import attach_small, rank_rows
 
 
 def interleaved_pair(slices: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,11 +89,8 @@ def subject_labels(samples: DataFrame, subjects: DataFrame, path: str = "path")
 
 
 def name_positions(names: DataFrame, order: Sequence[str] = ("name",), keys: Sequence[str] = ()) -> DataFrame:
-    """0-based place of each row in sorted order."""
-    if keys:
-        return prefix_sum(names, list(keys), list(order), {}, rank="pos").withColumn("pos", (F.col("pos") - 1).cast("int"))
-    one = names.withColumn("_all", F.lit(1))
-    return prefix_sum(one, ["_all"], list(order), {}, rank="pos").withColumn("pos", (F.col("pos") - 1).cast("int")).drop("_all")
+    """0-based place (long) of each row in sorted order."""
+    return rank_rows(names, keys, order, "pos")
 
 
 def select_indices(names: DataFrame, positions: DataFrame) -> DataFrame:

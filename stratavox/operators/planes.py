@@ -156,6 +156,30 @@ def resize_stages(df: DataFrame, method: str, multiplier: float, stages: int) ->
     return df
 
 
+def resize_and_stack(images: DataFrame, low: DataFrame, method: str = "linear") -> DataFrame:
+    """The image of ``low`` with the same (volume_id, z), resized to the size of the image and put behind its channels.
+
+    Values interleave channels, so an image of a and one of b channels give a + b values per pixel. Rows without a partner go.
+    """
+    keys = ["volume_id", "z"]
+    right = low.select(*keys, F.col("h").alias("_lh"), F.col("w").alias("_lw"), F.col("data").alias("_low"))
+    both = images.select(*keys, "h", "w", "data").join(right, keys)
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        out: list = [None] * len(batch)
+        for at, block in by_shape(batch["data"], batch["h"], batch["w"]):
+            h, w = block.shape[1:3]
+            part = batch.iloc[at].reset_index(drop=True)
+            for inner, small in by_shape(part["_low"], part["_lh"], part["_lw"]):
+                rows, cols = kernels.resize_weights(method, small.shape[1], h), kernels.resize_weights(method, small.shape[2], w)
+                stacked = np.concatenate([block[inner], separable(small, rows, cols)], axis=3)
+                for i, flat in zip(at[inner], stacked.reshape(len(inner), -1)):
+                    out[i] = flat
+        return pd.DataFrame({"h": batch["h"], "w": batch["w"], "data": out})
+
+    return map_batches(both, run, ["h", "w", "data", "_lh", "_lw", "_low"], PLANE)
+
+
 def matlab_block(block: np.ndarray, scale: float) -> np.ndarray:
     """Bicubic, widened when shrinking, output length ceil(length * scale)."""
     h, w = block.shape[1:3]
@@ -258,6 +282,13 @@ def _place(block: np.ndarray, y: np.ndarray, x: np.ndarray, fill: float | None)
     return out
 
 
+def shifted_block(block: np.ndarray, dy: np.ndarray, dx: np.ndarray, sign: int = -1, fill: float = 0.0) -> np.ndarray:
+    """Planes (rows, h, w, channels), each moved by sign * (dy, dx) of its own."""
+    h, w = block.shape[1:3]
+    y, x = np.meshgrid(np.arange(h, dtype=float), np.arange(w, dtype=float), indexing="ij")
+    return _place(block, y[None] - sign * dy[:, None, None], x[None] - sign * dx[:, None, None], fill)
+
+
 def _moved(df: DataFrame, params: list[Column], coords, fill: float | None) -> DataFrame:
     """Inverse mapping with per-row parameters."""
 

@@ -71,35 +71,61 @@ def _parabola(corr: np.ndarray, row: int, col: int, axis: int) -> float:
     return 0.5 * (before - after) / bend if bend != 0 else 0.0
 
 
-def slice_shifts(slices: DataFrame, reference: str | DataFrame = "first", subpixel: bool = False) -> DataFrame:
-    """Displacement (dy, dx) of each slice against the reference: place of the largest correlation, first one on ties.
+def _displacements(img: np.ndarray, ref: np.ndarray, subpixel: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(dy, dx) of each plane (rows, h, w) against its reference."""
+    corr = full_correlation(img, ref)
+    best = [first_peak(c, x, y) for c, x, y in zip(corr, img, ref)]
+    rows, cols = np.unravel_index(best, corr.shape[1:])
+    dy, dx = rows - (img.shape[1] - 1.0), cols - (img.shape[2] - 1.0)
+    if subpixel:
+        dy += [_parabola(c, r, k, 0) for c, r, k in zip(corr, rows, cols)]
+        dx += [_parabola(c, r, k, 1) for c, r, k in zip(corr, rows, cols)]
+    return dy, dx
 
-    References are attached by a checked join; slices are not shuffled.
-    """
-    refs = reference_planes(slices, reference)
-    clean = F.transform("data", pixel.nan_to_num)
-    clean_ref = F.transform("ref", pixel.nan_to_num)
+
+def _beside_references(slices: DataFrame, reference: str | DataFrame) -> DataFrame:
+    """Slices with ``img`` and ``ref``, free of NaN. References are attached by a checked join; slices are not shuffled."""
+    both = attach_small(slices, reference_planes(slices, reference), ["volume_id"])
+    return both.withColumns({"img": F.transform("data", pixel.nan_to_num), "ref": F.transform("ref", pixel.nan_to_num)})
+
+
+def slice_shifts(slices: DataFrame, reference: str | DataFrame = "first", subpixel: bool = False) -> DataFrame:
+    """Displacement (dy, dx) of each slice against the reference: place of the largest correlation, first one on ties."""
 
     def measure(batch: pd.DataFrame) -> pd.DataFrame:
         dy, dx = np.zeros(len(batch)), np.zeros(len(batch))
         sides = [planes.by_shape(batch[side], batch["h"], batch["w"]) for side in ("img", "ref")]
         for (at, a), (_, b) in zip(*sides):
-            corr = full_correlation(a[..., 0], b[..., 0])
-            best = [first_peak(c, x, y) for c, x, y in zip(corr, a[..., 0], b[..., 0])]
-            rows, cols = np.unravel_index(best, corr.shape[1:])
-            for k, i in enumerate(at):
-                fine = (_parabola(corr[k], rows[k], cols[k], axis) if subpixel else 0.0 for axis in (0, 1))
-                off_y, off_x = fine
-                dy[i], dx[i] = rows[k] - (a.shape[1] - 1) + off_y, cols[k] - (a.shape[2] - 1) + off_x
+            dy[at], dx[at] = _displacements(a[..., 0], b[..., 0], subpixel)
         return pd.DataFrame({"dy": dy, "dx": dx})
 
-    both = attach_small(slices, refs, ["volume_id"])
-    ready = both.select("volume_id", "z", "h", "w", clean.alias("img"), clean_ref.alias("ref"))
+    ready = _beside_references(slices, reference).select("volume_id", "z", "h", "w", "img", "ref")
     return planes.map_batches(ready, measure, ["h", "w", "img", "ref"], "dy double, dx double")
 
 
-def align(slices: DataFrame, reference: str | DataFrame = "first", subpixel: bool = False, sign: int = -1, fill: float = 0.0) -> DataFrame:
-    """Measure and move in one pass."""
-    shifts = slice_shifts(slices, reference, subpixel)
-    placed = slices.join(shifts, ["volume_id", "z"])
-    return planes.apply_shift(placed, None, sign, fill).select(*slices.columns)
+def align(
+    slices: DataFrame,
+    reference: str | DataFrame = "first",
+    subpixel: bool = False,
+    sign: int = -1,
+    fill: float = 0.0,
+    digits: int | None = None,
+) -> DataFrame:
+    """Measure and move in one pass over the slices, which are not shuffled; adds nothing and drops nothing.
+
+    ``digits`` rounds the displacement before the move.
+    """
+
+    def register(batch: pd.DataFrame) -> pd.DataFrame:
+        out: list = [None] * len(batch)
+        sides = [planes.by_shape(batch[side], batch["h"], batch["w"]) for side in ("img", "ref", "data")]
+        for (at, a), (_, b), (_, block) in zip(*sides):
+            dy, dx = _displacements(a[..., 0], b[..., 0], subpixel)
+            if digits is not None:
+                dy, dx = np.round(dy, digits), np.round(dx, digits)
+            for i, flat in zip(at, planes.shifted_block(block, dy, dx, sign, fill).reshape(len(at), -1)):
+                out[i] = flat
+        return pd.DataFrame({"h": batch["h"], "w": batch["w"], "data": out})
+
+    moved = planes.map_batches(_beside_references(slices, reference), register, ["h", "w", "img", "ref", "data"], planes.PLANE)
+    return moved.select(*slices.columns)

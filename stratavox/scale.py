@@ -2,14 +2,17 @@
 
 * ``attach_small``  - join per-key statistics: broadcast only after weighing them, shuffle join beyond.
 * ``rank_ids``      - position of integer ids inside a key, with bounded window groups.
+* ``rank_rows``     - position of ids of any type, over any number of rows.
 * ``prefix_sum``    - exact running totals over any sort order, no window over a whole key.
 * ``carry_last``    - the last known value before each row, the core of an as-of join.
-* ``exact_quantiles`` - linear-interpolated percentiles by interval refinement, no sort of the data.
+* ``exact_quantiles`` - linear-interpolated percentiles by a sketch and one exact pass, no sort of the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,6 +137,16 @@ def prefix_sum(
     ).drop("_part", *[f"_o_{n}" for n in (*parts, *previous)])
 
 
+def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """0-based position (long) of each row inside its key in the order of unique ids of any type: numbers, sparse or not, or text.
+
+    Range partitions of (key, id), ranked inside and moved on by the counts of earlier partitions; without keys the whole table is ranked.
+    """
+    keyed, keys = (df, list(keys)) if keys else (df.withColumn("_all", F.lit(1)), ["_all"])
+    ranked = prefix_sum(keyed, keys, list(order), {}, rank=out).withColumn(out, (F.col(out) - 1).cast("long"))
+    return ranked.drop("_all")
+
+
 def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Fills ``value`` with the last non-null one at or before each row of its key, in the given order (ascending).
 
@@ -159,93 +172,75 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probs: dict[str, float],
-    bins: int = 4096,
+    accuracy: int = 10_000,
     small: int = 1_000_000,
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles of ``value`` per key, one column per entry of ``probs`` (plus min, max, n).
+    """Exact linear-interpolated quantiles of ``value`` per key, one column per entry of ``probs`` (plus v_min, v_max, n).
 
-    Each wanted rank is enclosed in an interval. A round counts the values of the interval in ``bins``
-    equal cells (a partial aggregate, so only cell counts are shuffled), keeps the cell holding the rank and shrinks the
-    interval to the smallest and largest value seen in it. When an interval holds at most ``small``
-    values they are counted one by one. A dense volume of 10**13 voxels needs two rounds.
+    Two passes over the data, whatever its values. The first merges one sketch per key, which brackets every wanted rank within
+    a few parts in ``accuracy``. The second counts what lies below each bracket and the values inside it; only these counts are
+    shuffled and ranked (by ``prefix_sum`` if a bracket holds more than ``small`` of them). Keys of few values take all of
+    them as the bracket. Should a sketch ever miss a rank, its key is counted once more without a bracket.
+
+    Nulls are left out. A key with a NaN has NaN for every quantile, minimum and maximum, as arrays have; infinities are
+    ordinary largest and smallest values, and a quantile between a finite and an infinite one is infinite.
     """
-    keys = list(keys)
-    data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
-    )
+    keys, names = list(keys), list(probs)
+    data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    room = 3.0 / accuracy
+    asked = [min(max(p + side * room, 0.0), 1.0) for p in probs.values() for side in (-1, 1)]
+    number = F.when(~F.isnan("_v"), F.col("_v"))
     span = settle(
-        data.groupBy(*keys).agg(F.min("_v").alias("v_min"), F.max("_v").alias("v_max"), F.count("_v").alias("n"))
+        data.groupBy(*keys).agg(
+            F.min("_v").alias("v_min"),
+            F.max("_v").alias("v_max"),
+            F.count("_v").alias("n"),
+            F.max(F.isnan("_v")).alias("_nan"),
+            F.percentile_approx(number, asked, accuracy).alias("_around"),
+        )
     )
-    names = list(probs)
-    ranks = F.array(
-        *[
-            F.struct(F.lit(f"{name}|{side}").alias("_want"), func(F.lit(p) * (F.col("n") - 1)).cast("long").alias("_k"))
-            for name, p in probs.items()
-            for side, func in (("lo", F.floor), ("hi", F.ceil))
-        ]
+    # A sketch of few values could be off by one rank.
+    tight = (F.col("n") >= 10 * accuracy) & F.lit(accuracy > 1)
+    low, high = (lambda i: F.when(tight, F.col("_around")[2 * i]).otherwise(F.col("v_min"))), (lambda i: F.when(tight, F.col("_around")[2 * i + 1]).otherwise(F.col("v_max")))
+    brackets = F.array(*[F.struct(F.lit(i).alias("i"), low(i).alias("from"), high(i).alias("to")) for i in range(len(names))])
+    sane = span.where(~F.col("_nan"))
+    met = attach_small(data, sane.select(*keys, brackets.alias("_b")), keys).select(*keys, "_v", F.explode("_b").alias("_b"))
+    cell = F.when(F.col("_v") >= F.col("_b.from"), F.col("_v"))  # NULL: below the bracket, counted as one
+    counts = settle(
+        met.where(F.col("_v") <= F.col("_b.to")).groupBy(*keys, F.col("_b.i").alias("_i"), cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
     )
-    state = span.select(
-        *keys,
-        F.explode(ranks).alias("_r"),
-        F.col("v_min").alias("_from"),
-        F.col("v_max").alias("_to"),
-        F.lit(0).cast("long").alias("_below"),
-        F.col("n").alias("_held"),
-    ).select(*keys, "_r._want", "_r._k", "_from", "_to", "_below", "_held")
-    last = None
-    while True:
-        # ``state`` is a projection of a settled frame here: reading it again is cheap.
-        seen = state.agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum("_held").alias("held"),
-            F.max((F.col("_to") > F.col("_from")) & (F.col("_held") > small)).alias("open"),
-        ).head()
-        # Cells that cannot part the values (infinite spans) are counted value by value too.
-        split = seen["open"] and seen["held"] != last
-        last = seen["held"]
-        ranges = state.select(*keys, "_from", "_to", "_below").distinct()
-        if seen["rows"] <= BROADCAST_ROWS:
-            met = data.join(F.broadcast(ranges), keys)
-        else:
-            met = data.join(ranges, keys)
-        inside = met.where(F.col("_v").between(F.col("_from"), F.col("_to")))
-        if split:
-            share = F.try_divide(F.col("_v") - F.col("_from"), F.col("_to") - F.col("_from"))
-            cell = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1))
-        else:
-            cell = F.col("_v")
-        counts = inside.groupBy(*keys, "_from", "_to", "_below", cell.alias("_cell")).agg(
-            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-        )
-        upto = Window.partitionBy(*keys, "_from", "_to").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-        counts = counts.withColumn("_upto", F.col("_below") + F.sum("_n").over(upto))
-        found = (
-            state.drop("_below", "_held")
-            .join(counts, [*keys, "_from", "_to"])
-            .where((F.col("_k") < F.col("_upto")) & (F.col("_k") >= F.col("_upto") - F.col("_n")))
-        )
-        state = found.select(
-            *keys,
-            "_want",
-            "_k",
-            F.col("_lo").alias("_from"),
-            F.col("_hi").alias("_to"),
-            (F.col("_upto") - F.col("_n")).alias("_below"),
-            F.col("_n").alias("_held"),
-        )
-        if not split:
-            break
-        state = settle(state)
-    wide = state.groupBy(*keys).agg(
+    most = counts.groupBy(*keys, "_i").count().agg(F.max("count")).head()[0] or 0
+    if most <= small:
+        upto = Window.partitionBy(*keys, "_i").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+        running = counts.withColumn("_upto", F.sum("_n").over(upto))
+    else:
+        running = prefix_sum(counts, [*keys, "_i"], ["_cell"], {"_upto": F.col("_n")})
+    ranks = F.array(*[F.struct(F.lit(i).alias("_i"), (F.lit(p) * (F.col("n") - 1)).alias("_rank")) for i, p in enumerate(probs.values())])
+    wanted = sane.select(*keys, F.explode(ranks).alias("_r")).select(*keys, "_r._i", "_r._rank")
+    inside = attach_small(running.where(F.col("_cell").isNotNull()), wanted, [*keys, "_i"])
+    at = lambda k: (k < F.col("_upto")) & (k >= F.col("_upto") - F.col("_n"))
+    found = inside.groupBy(*keys).agg(
         *[
-            F.max(F.when(F.col("_want") == f"{name}|{side}", F.col("_from"))).alias(f"_{name}_{side}")
-            for name in names
-            for side in ("lo", "hi")
+            F.max(F.when((F.col("_i") == i) & at(side(F.col("_rank"))), F.col("_cell"))).alias(f"_{tag}_{i}")
+            for i in range(len(names))
+            for tag, side in (("lo", F.floor), ("hi", F.ceil))
         ]
     )
-    out = wide.join(span, keys)
-    for name, p in probs.items():
-        rank = F.lit(p) * (F.col("n") - 1)
-        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out = out.withColumn(name, low + (high - low) * (rank - F.floor(rank)))
-    return out.select(*keys, *names, "v_min", "v_max", "n")
+    out = span.join(found, keys, "left")
+    missed = ~F.col("_nan") & reduce(or_, [F.col(f"_{tag}_{i}").isNull() for i in range(len(names)) for tag in ("lo", "hi")])
+    for i, (name, p) in enumerate(probs.items()):
+        first, second, rank = F.col(f"_lo_{i}"), F.col(f"_hi_{i}"), F.lit(p) * (F.col("n") - 1)
+        share = rank - F.floor(rank)
+        open_end = (first == float("-inf")) & (second < float("inf"))
+        between = F.when((first == second) | (share == 0) | open_end, first).otherwise(first + (second - first) * share)
+        out = out.withColumn(name, F.when(F.col("_nan"), F.lit(float("nan"))).otherwise(between))
+    out = out.withColumns({c: F.when(F.col("_nan"), F.lit(float("nan"))).otherwise(F.col(c)) for c in ("v_min", "v_max")})
+    done = out.select(*keys, *names, "v_min", "v_max", "n", missed.alias("_missed"))
+    if accuracy == 1:
+        return done.drop("_missed")
+    done = settle(done)
+    again = done.where("_missed").select(*keys)
+    if again.isEmpty():
+        return done.drop("_missed")
+    redone = exact_quantiles(df.join(again, keys, "left_semi"), keys, value, probs, 1, small)
+    return done.where("NOT _missed").drop("_missed").unionByName(redone)

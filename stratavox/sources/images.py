@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from stratavox.functions import text
 from stratavox.operators import tiling
-from stratavox.scale import attach_small, rank_ids
+from stratavox.scale import attach_small, rank_rows
 
 # Accepted image suffixes, case as listed.
 IMAGE_SUFFIXES = (".jpg", ".JPG", ".jpeg", ".JPEG", ".png", ".PNG", ".ppm", ".PPM", ".bmp", ".BMP", ".tif")
@@ -40,11 +40,11 @@ def sorted_paths(df: DataFrame, path: str = "path") -> DataFrame:
 
 
 def slices_to_volume(slices: DataFrame, id_col: str) -> DataFrame:
-    """Stack slices in id order; all slices of a volume must have one shape."""
+    """Stack slices in the order of their ids (numbers or text); all slices of a volume must have one shape. ``z`` is long."""
     shapes = slices.groupBy("volume_id").agg(
         F.min(F.struct("h", "w")).alias("_least"), F.max(F.struct("h", "w")).alias("_most")
     )
-    stacked = attach_small(rank_ids(slices, ["volume_id"], id_col, "z"), shapes, ["volume_id"])
+    stacked = attach_small(rank_rows(slices, ["volume_id"], [id_col], "z"), shapes, ["volume_id"])
     same = F.col("_least") == F.col("_most")
     checked = F.when(same, F.col("z")).otherwise(F.raise_error(F.lit("slices of a volume differ in shape")))
     return stacked.withColumn("z", checked).drop("_least", "_most")
@@ -88,9 +88,23 @@ def with_epoch(metrics: DataFrame, epoch: int | Column) -> DataFrame:
 
 
 def append_epoch_metrics(metrics: DataFrame, epoch: int, path: str) -> None:
+    """Plain CSV rows at the end of a log; calling it twice doubles the rows (``put_epochs`` does not)."""
     with_epoch(metrics, epoch).write.mode("append").csv(path, header=True)
 
 
+def put_epochs(metrics: DataFrame, path: str) -> None:
+    """Metrics with an ``epoch`` column as CSV, a folder per epoch. An epoch written again replaces itself, others stay: a
+    retried or repeated append does not double rows.
+    """
+    writer = metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True)
+    writer.partitionBy("epoch").csv(path)
+
+
+def read_epochs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``put_epochs`` wrote, all epochs; ``schema`` names the columns but ``epoch``, which is an int."""
+    return spark.read.option("header", True).schema(f"{schema}, epoch int").csv(path)
+
+
 def stale_runs(paths: DataFrame, runs: DataFrame | None = None, min_epoch: int = 60) -> DataFrame:
     """Runs whose last checkpoint path (in text order) has an epoch below ``min_epoch``; runs without one count as 0."""
     last = (

@@ -97,3 +97,59 @@ def test_blocks_that_lack_a_slice_are_dropped(spark):
     df = plane_rows(spark, [np.full((4, 4), float(z)) for z in range(4)]).where("z <> 2")
     got = tiling.cut_patches(df, (2, 2, 2)).collect()
     assert {r["gz"] for r in got} == {0} and {len(r["data"]) for r in got} == {8}
+
+
+@pytest.mark.parametrize("side", [8, 24])
+@pytest.mark.parametrize("subpixel", [False, True])
+def test_one_pass_alignment_equals_measuring_and_moving(spark, side, subpixel):
+    rng = np.random.default_rng(5)
+    base = rng.random((side, side))
+    images = [np.roll(base, (k % 3 - 1, k % 2), axis=(0, 1)) for k in range(7)]
+    slices = plane_rows(spark, images)
+    plan = register.align(slices, subpixel=subpixel)
+    shifts = register.slice_shifts(slices, subpixel=subpixel)
+    want = planes.apply_shift(slices.join(shifts, ["volume_id", "z"]), None, sign=-1, fill=0.0)
+    for a, b in zip(to_planes(plan), to_planes(want.select(*slices.columns))):
+        assert np.allclose(a, b)
+    assert "Exchange hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stacking_images_of_two_sizes(spark):
+    rng = np.random.default_rng(7)
+    big = [rng.random((6, 9)), rng.random((4, 4)), rng.random((6, 9))]
+    low = [rng.random((3, 3, 2)), rng.random((2, 2, 2)), np.full((2, 5, 2), 0.5)]
+    got = to_planes(planes.resize_and_stack(plane_rows(spark, big), plane_rows(spark, low)))
+    assert [g.shape for g in got] == [(6, 9, 3), (4, 4, 3), (6, 9, 3)]
+    for g, image in zip(got, big):
+        assert np.allclose(g[..., 0], image)
+    assert np.allclose(got[2][..., 1:], 0.5) and np.allclose(got[1][0, 0, 1:], low[1][0, 0])
+
+
+def blobs(spark, n=600, seed=0):
+    rng = np.random.default_rng(seed)
+    centers = np.array([[0.0, 0], [10, 0], [0, 10], [10, 10]])
+    x = centers[rng.integers(0, 4, n)] + rng.normal(0, 0.3, (n, 2))
+    return centers, x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, f array<double>")
+
+
+def test_lloyd_rounds_equal_plain_ones(spark):
+    _, x, df = blobs(spark)
+    book = np.array([[1.0, 1], [2, 2], [9, 9], [500, 500]])
+    start = spark.createDataFrame([(k * 7, c.tolist()) for k, c in enumerate(book)], "code int, c array<double>")
+    got = codebook.refine_codebook(df.repartition(5), start, 4).orderBy("code").collect()
+    for _ in range(4):
+        to = ((x[:, None] - book[None]) ** 2).sum(axis=2).argmin(axis=1)
+        book = np.array([x[to == k].mean(axis=0) if (to == k).any() else book[k] for k in range(4)])
+    assert [r["code"] for r in got] == [0, 7, 14, 21]
+    assert np.allclose([r["c"] for r in got], book) and got[3]["c"] == [500.0, 500.0]
+
+
+def test_learned_codes_find_the_blobs_however_rows_lie(spark):
+    centers, _, df = blobs(spark)
+    one = codebook.fit_codebook(df.coalesce(1), 4, seed=2).orderBy("code").collect()
+    many = codebook.fit_codebook(df.repartition(9), 4, seed=2).orderBy("code").collect()
+    assert np.allclose([r["c"] for r in one], [r["c"] for r in many])
+    found = np.array(sorted(r["c"] for r in one))
+    assert np.allclose(found, sorted(centers.tolist()), atol=0.2)
+    few = codebook.fit_codebook(df.limit(2), 4, seed=2)
+    assert few.count() == 2

@@ -156,3 +156,58 @@ def test_average_of_a_million_rows_of_one_key(spark):
         keep = 0.0 if i == 0 else min(0.9999, (1 + i) / (10 + i))
         s = keep * s + (1 - keep) * v
         assert abs(found - s) < 1e-9
+
+
+def counted_source(spark, rows, schema):
+    """A frame that counts how often its rows are produced."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    return spark.createDataFrame(rows, schema).mapInPandas(passed, schema), seen
+
+
+def test_quantiles_take_two_passes_whatever_the_values(spark):
+    rng = np.random.default_rng(6)
+    wild = np.concatenate([rng.normal(size=30_000), np.full(20_000, 0.5), 10.0 ** rng.uniform(-300, 300, 10_000), -(10.0 ** rng.uniform(-300, 300, 5_000))])
+    df, seen = counted_source(spark, [(int(i % 3 == 0), float(v)) for i, v in enumerate(wild)], "k int, v double")
+    probs = {"a": 0.001, "b": 0.5, "c": 0.999}
+    got = scale.exact_quantiles(df, ["k"], "v", probs, accuracy=500).toPandas().set_index("k")
+    assert seen.value == 2 * len(wild)
+    for k in (0, 1):
+        mine = np.array([v for i, v in enumerate(wild) if int(i % 3 == 0) == k])
+        assert np.allclose(got.loc[k, list(probs)].to_numpy(float), np.percentile(mine, [0.1, 50, 99.9]), rtol=1e-9)
+        assert (got.loc[k, "v_min"], got.loc[k, "v_max"], got.loc[k, "n"]) == (mine.min(), mine.max(), len(mine))
+
+
+@pytest.mark.parametrize("small", [1, 1_000_000])
+def test_quantiles_of_nan_and_infinity(spark, small):
+    nan, inf = float("nan"), float("inf")
+    rows = [("nan", v) for v in (1.0, nan, 3.0)] + [("inf", v) for v in (-inf, 1.0, 2.0, 4.0, inf)] + [("null", None), ("null", 7.0)] + [("none", None)]
+    got = scale.exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"lo": 0.1, "mid": 0.5, "hi": 1.0}, small=small).toPandas().set_index("k")
+    assert sorted(got.index) == ["inf", "nan", "null"]
+    assert got.loc["nan", ["lo", "mid", "hi", "v_min", "v_max"]].isna().all() and got.loc["nan", "n"] == 3
+    assert got.loc["inf", ["lo", "mid", "hi"]].tolist() == [-inf, 2.0, inf]
+    assert got.loc["null", ["lo", "mid", "hi", "n"]].tolist() == [7.0, 7.0, 7.0, 1]
+
+
+def test_a_missed_rank_is_counted_again(spark, monkeypatch):
+    """A sketch that answers beside the point costs one more pass, not a wrong result."""
+    values = [(0, float(v)) for v in np.random.default_rng(8).permutation(5000)]
+    wrong = scale.F.percentile_approx
+    monkeypatch.setattr(scale.F, "percentile_approx", lambda col, at, accuracy: wrong(col, [0.0] * len(at), accuracy))
+    got = scale.exact_quantiles(spark.createDataFrame(values, "k int, v double"), ["k"], "v", {"m": 0.5}, accuracy=20).collect()
+    assert [r["m"] for r in got] == [2499.5]
+
+
+def test_rank_of_text_and_sparse_ids(spark):
+    rows = spark.range(4000).select((F.col("id") % 5 == 0).cast("int").alias("k"), F.md5(F.col("id").cast("string")).alias("name"), (F.col("id") * 2_000_000_011).alias("far"))
+    for ids in ("name", "far"):
+        ranked = scale.rank_rows(rows, ["k"], [ids], "z")
+        assert dict(ranked.dtypes)["z"] == "bigint"
+        got = ranked.toPandas().sort_values(["k", ids])
+        assert (got["z"].to_numpy() == got.groupby("k").cumcount().to_numpy()).all()
+    assert sorted(r["z"] for r in scale.rank_rows(rows, [], ["name"], "z").collect()) == list(range(4000))

@@ -73,3 +73,12 @@ def test_stacking_rejects_mixed_shapes(spark):
     rows = spark.createDataFrame([(0, 5, 8, 8), (0, 9, 8, 7)], "volume_id int, id int, h int, w int")
     with pytest.raises(Exception, match="differ in shape"):
         images.slices_to_volume(rows, "id").collect()
+
+
+def test_an_epoch_written_twice_is_there_once(spark, tmp_path):
+    metrics = spark.createDataFrame([(1, "l1", 0.5), (1, "nce", 2.0), (2, "l1", 0.25)], "epoch int, name string, value double")
+    path = str(tmp_path / "log")
+    images.put_epochs(metrics, path)
+    images.put_epochs(metrics.where("epoch = 1").withColumn("value", F.col("value") * 2), path)
+    back = images.read_epochs(spark, path, "name string, value double")
+    assert sorted(map(tuple, back.select("epoch", "name", "value").collect())) == [(1, "l1", 1.0), (1, "nce", 4.0), (2, "l1", 0.25)]
