@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratavox import fixtures as fx
 from stratavox.catalogue.geometry import draw_sql
 from stratavox.catalogue.registry import query
-from stratavox.catalogue.stencils import DONE, ISO, V, _vox, apply_sql, conv_sql, matlab_sql
+from stratavox.catalogue.stencils import CUBIC, DONE, ISO, V, _vox, apply_sql, border_sql, conv_sql, matlab_sql
 from stratavox.functions import fields, kernels
 from stratavox.operators import degrade, planes, user
 from stratavox.operators.layout import slices_to_voxels
@@ -219,12 +219,57 @@ def d5_dct_quantize_noise(spark, sf):
     return summary(degrade.dct_quantize_noise(fx.event_rgb(spark, sf), seed=5))
 
 
-@query("d6_blur_random")
+def _drawn(seed: int, words: int) -> str:
+    """``u0``, ``u1`` ... of every colour image."""
+    numbers = ", ".join(f"{_step_draw(seed, 0, k)} AS u{k}" for k in range(words))
+    return f"(SELECT volume_id, z, {numbers} FROM (SELECT DISTINCT volume_id, z FROM rgb_sums))"
+
+
+def _blur_sql(seed: int, sf: int) -> str:
+    """A kernel per image, applied under mirrored borders."""
+    wide, narrow = 4.0 + sf, 2.0 + 0.2 * sf
+    theta = "u2 * pi()"
+    im = f"""im AS (SELECT *, 2 * (2 + least(CAST(floor(u1 * 10) AS INT), 9)) + 3 AS size, greatest({wide!r}::DOUBLE * u3, 1e-6::DOUBLE) AS l1, greatest({wide!r}::DOUBLE * u4, 1e-6::DOUBLE) AS l2, greatest({narrow!r}::DOUBLE * u3, 1e-6::DOUBLE) AS sigma FROM {_drawn(seed, 5)}),
+im2 AS (SELECT *, l1 * pow(cos({theta}), 2) + l2 * pow(sin({theta}), 2) AS m0, l1 * pow(sin({theta}), 2) + l2 * pow(cos({theta}), 2) AS m1, (l1 - l2) * sin({theta}) * cos({theta}) AS m2 FROM im),
+kr AS (SELECT *, ky - (size - 1) / 2.0::DOUBLE AS gy, kx - (size - 1) / 2.0::DOUBLE AS gx, m0 * m1 - m2 * m2 AS det FROM im2, (SELECT a.range AS ky, b.range AS kx FROM range(0, 25) a, range(0, 25) b) WHERE ky < size AND kx < size),
+kw AS (SELECT volume_id, z, size, ky, kx, u0, CASE WHEN u0 < 0.5 THEN exp(-0.5::DOUBLE * (gx * gx * m1 - 2 * gx * gy * m2 + gy * gy * m0) / det) ELSE exp(-(gy * gy + gx * gx) / (2 * sigma * sigma)) END AS w FROM kr),
+kc AS (SELECT * REPLACE (CASE WHEN u0 >= 0.5 AND w < 2.220446049250313e-16::DOUBLE * max(w) OVER (PARTITION BY volume_id, z) THEN 0 ELSE w END AS w) FROM kw),
+k AS (SELECT volume_id, z, ky - size // 2 AS ky, kx - size // 2 AS kx, w / sum(w) OVER (PARTITION BY volume_id, z) AS w FROM kc)"""
+    spots = f"spots AS (SELECT a.range AS x, t.range - 12 AS k, {border_sql('(a.range - (t.range - 12))', 24, 'mirror')} AS sx FROM range(0, 24) a, range(0, 25) t)"
+    px = "px AS (SELECT volume_id, z, x, y, max(v) FILTER (WHERE ch = 0) AS r, max(v) FILTER (WHERE ch = 1) AS g, max(v) FILTER (WHERE ch = 2) AS b FROM event_rgb GROUP BY ALL)"
+    # The rows of the kernel first: sources of one column share their place.
+    out = """o AS (SELECT k.volume_id, k.z, p.x, q.x AS y, sum(w * r) AS r, sum(w * g) AS g, sum(w * b) AS b FROM k JOIN spots p ON p.k = k.ky JOIN spots q ON q.k = k.kx
+ JOIN px ON px.volume_id = k.volume_id AND px.z = k.z AND px.x = p.sx AND px.y = q.sx GROUP BY ALL)"""
+    return f"WITH {fx.EVENT_RGB_SQL}, {im}, {spots}, {px}, {out}, done AS (SELECT volume_id, z, unnest([r, g, b]) AS v FROM o) {SUMMARY.format(src='done')}"
+
+
+@query("d6_blur_random", _blur_sql(6, 4))
 def d6_blur_random(spark, sf):
     return summary(degrade.blur_random(fx.event_rgb(spark, sf), 4, seed=6))
 
 
-@query("d7_resize_random")
+def _resize_sql(seed: int, sf: int) -> str:
+    """Weights of every method and size from 24 cells, then a drawn method and size per image."""
+    least = 0.5 / sf
+    factor = f"CASE WHEN u0 > 0.8 THEN 1 + u1 WHEN u0 < 0.7 THEN {least!r}::DOUBLE + u1 * {1 - least!r}::DOUBLE ELSE 1.0::DOUBLE END"
+    im = f"im AS (SELECT volume_id, z, CAST(floor(({factor}) * 24) AS INT) AS m, least(CAST(floor(u2 * 3) AS INT), 2) AS how FROM {_drawn(seed, 3)})"
+    # how: 0 linear, 1 cubic, 2 shares of covered cells (linear when enlarging).
+    weights = f"""sz AS (SELECT DISTINCT m, CASE WHEN how = 2 AND m >= 24 THEN 0 ELSE how END AS how FROM im), ou AS (SELECT m, how, unnest(range(0, m)) AS o FROM sz),
+pos AS (SELECT *, (o + 0.5::DOUBLE) * 24 / m - 0.5::DOUBLE AS u FROM ou),
+lin AS (SELECT m, how, o, greatest(u, 0) AS u FROM pos WHERE how = 0),
+wl AS (SELECT m, how, o, least(CAST(floor(u) AS INT), 23) AS i, 1 - (u - least(floor(u), 23)) AS w FROM lin UNION ALL SELECT m, how, o, least(CAST(floor(u) AS INT) + 1, 23), u - least(floor(u), 23) FROM lin),
+cu AS (SELECT m, how, o, u, CAST(floor(u) AS INT) + t.k AS tap FROM pos, (SELECT unnest([-1, 0, 1, 2]) AS k) t WHERE how = 1),
+wc AS (SELECT m, how, o, greatest(0, least(23, tap)) AS i, {CUBIC.format(t="(u-tap)", a="(-0.75::DOUBLE)")} AS w FROM cu),
+cv AS (SELECT m, how, o, p, greatest(least((o + 1) * 24.0::DOUBLE / m, p + 1) - greatest(o * 24.0::DOUBLE / m, p), 0) AS w FROM ou, (SELECT range AS p FROM range(0, 24)) WHERE how = 2),
+wv AS (SELECT m, how, o, p AS i, w / sum(w) OVER (PARTITION BY m, o) AS w FROM cv),
+wt AS (SELECT m, how, o, i, sum(w) AS w FROM (SELECT * FROM wl UNION ALL SELECT * FROM wc UNION ALL SELECT * FROM wv) GROUP BY ALL)"""
+    return f"""WITH {fx.EVENT_RGB_SQL}, {im}, {weights}, im2 AS (SELECT volume_id, z, m, CASE WHEN how = 2 AND m >= 24 THEN 0 ELSE how END AS how FROM im),
+a AS (SELECT volume_id, z, m, how, wt.o AS x, y, ch, sum(w * v) AS v FROM event_rgb JOIN im2 USING (volume_id, z) JOIN wt USING (m, how) WHERE wt.i = x GROUP BY ALL),
+b AS (SELECT volume_id, z, m, x, wt.o AS y, ch, greatest(least(sum(w * v), 1), 0) AS v FROM a JOIN wt USING (m, how) WHERE wt.i = y GROUP BY ALL)
+SELECT volume_id, z, m AS h, m AS w, round(avg(v),6) + 0.0 AS mean, round(min(v),6) + 0.0 AS low, round(max(v),6) + 0.0 AS high FROM b GROUP BY ALL"""
+
+
+@query("d7_resize_random", _resize_sql(7, 4))
 def d7_resize_random(spark, sf):
     return summary(degrade.resize_random(fx.event_rgb(spark, sf), 4, seed=7))
 
