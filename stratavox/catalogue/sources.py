@@ -30,6 +30,18 @@ def s1_image_catalog(spark, sf):
     return listed(spark, sf).where(images.is_image(F.col("path")))
 
 
+@query("s1_catalog_of_folder", "SELECT DISTINCT lang, source FROM documents WHERE lang IN ('en', 'de', 'fr')")
+def s1_catalog_of_folder(spark, sf):
+    """A folder of files with image and other suffixes, written from the documents and listed again; Spanish files are no images."""
+    root = scratch_path(spark, "pictures")
+    docs = fx.table(spark, sf, "documents").select("doc_id", "lang", "source")
+    for lang, suffix in (("en", "tif"), ("de", "png"), ("fr", "BMP"), ("es", "csv")):
+        rows = docs.where(F.col("lang") == lang).repartition("source")
+        rows.select("doc_id", "source").write.option("extension", suffix).partitionBy("source").csv(f"{root}/{lang}")
+    found = images.image_catalog(spark, root).where("length > 0").select(F.regexp_extract("path", "/(..)/source=([^/]+)/[^/]+$", 1).alias("lang"), F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"))
+    return found.distinct()
+
+
 @query("w9_sorted_paths", f"WITH {LISTED} SELECT DISTINCT path FROM listed")
 def w9_sorted_paths(spark, sf):
     return images.sorted_paths(listed(spark, sf))
