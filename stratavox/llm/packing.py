@@ -28,7 +28,7 @@ WINDOW = 2048
 GRAIN = 4
 MOST_PIECES = 8
 END_ID = 1
-GROUP_CHARS = 500_000
+GROUP_CHARS = 1_000_000
 
 
 def combinations(present: np.ndarray, full: int) -> list[dict[int, int]]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 400_000
 BATCH = 1024
 
 _BYTE = np.arange(256)
