@@ -31,7 +31,6 @@ from stratavox.llm.common import fold, stored, table
 from stratavox.llm.registry import query
 
 SAMPLE_ROWS = 12_000
-LEXICON_WORDS = 5_000
 THRESHOLD = 0.7
 PRIOR_WEIGHT = 2.0
 STEM_FORMS = 5
@@ -217,7 +216,7 @@ def lower_log_odds(hit: float, miss: float, hits: float, misses: float) -> float
 
 
 def learn_lexicon(sample: DataFrame, rows: dict[int, int]) -> dict[str, float]:
-    """Insult weights from the sample (text, toxic); at most ``LEXICON_WORDS`` candidates reach the driver."""
+    """Insult weights from the sample (text, toxic). All its candidates count: the sample, not a number of words, is the bound."""
     clean, toxic = rows.get(0, 0), rows.get(1, 0)
     counted = sample.mapInArrow(_document_counts, "word string, toxic int, n long").groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"),
@@ -225,7 +224,7 @@ def learn_lexicon(sample: DataFrame, rows: dict[int, int]) -> dict[str, float]:
     )
     odds = (F.col("t") + 0.5) * (clean + 1.0) / ((F.col("c") + 0.5) * (toxic + 1.0))
     listed = F.col("word").isin(INSULTS)
-    seen = counted.where(listed | ((F.col("t") >= 5) & (odds > 4))).orderBy(listed.desc(), F.col("t").desc(), "word").limit(LEXICON_WORDS).collect()
+    seen = counted.where(listed | ((F.col("t") >= 5) & (odds > 4))).collect()  # words of the bounded sample
     words = {r["word"]: (r["t"], r["c"]) for r in seen}
     wanted = frozenset(words)
 
@@ -246,7 +245,7 @@ def learn_lexicon(sample: DataFrame, rows: dict[int, int]) -> dict[str, float]:
     distinct = sample.mapInArrow(contexts, "word string, toxic int, form string, around string").where("toxic = 1").groupBy("word").agg(
         F.count_distinct("around").alias("t"), F.count_distinct("form").alias("forms")
     )
-    around = {r["word"]: (r["t"], r["forms"]) for r in distinct.collect()}  # at most LEXICON_WORDS rows
+    around = {r["word"]: (r["t"], r["forms"]) for r in distinct.collect()}  # words of the bounded sample
     weights = {w: PRIOR_WEIGHT for w in INSULTS}
     for word, (t, c) in words.items():
         far_t, forms = around.get(word, (0, 0))
@@ -284,8 +283,8 @@ def fit_curve(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> t
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> Grammar:
     """Learn from about ``sample_rows`` labelled rows of ``docs``, whole texts, chosen by a hash of the id.
 
-    Of rows with one label whose texts have the same words, one is learned from, whatever their ids. Without toxic and clean
-    rows in the sample the built-in lists and a fixed curve are used.
+    An id with both labels is not learned from. Of rows with one label whose texts have the same words, one is learned from,
+    whatever their ids. Without toxic and clean rows in the sample the built-in lists and a fixed curve are used.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")
@@ -293,7 +292,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     total = known.count()
     share = min(1.0, sample_rows / max(total, 1))
     at = F.shiftrightunsigned(F.xxhash64("_id"), 1) / F.lit(2.0**63)
-    some = known.where(at < share).dropDuplicates(["_id"])  # about sample_rows rows of two numbers
+    drawn = known.where(at < share).groupBy("_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"))
+    some = drawn.where("toxic = other").drop("other")  # about sample_rows rows of two numbers
     words = F.arrow_udf(_word_digest, "binary")
     sample = stored(
         docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -327,13 +327,13 @@ def score_toxicity(
 ) -> DataFrame:
     """One row per row of ``docs``: id, held_out, score, predicted (1 from ``THRESHOLD`` on).
 
-    Labels of held-out ids, null labels and labels of unknown ids are not learned from. Null and empty texts get the score
+    Labels of held-out ids, null labels, labels of unknown ids and ids with both labels are not learned from. Null and empty texts get the score
     of a text without a match. An empty table gives an empty result; repeated rows repeat.
     """
     mod, rest = hold_out
     held = fold(id_col, mod) == rest
     grammar = fit(docs, labels.where(~held), id_col, text_col, label_col)
-    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # at most LEXICON_WORDS words
+    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # words of the bounded sample
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

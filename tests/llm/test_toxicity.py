@@ -97,3 +97,14 @@ def test_copies_of_one_text_count_once(spark):
     alone = fit(docs.where("doc_id < 1001"), spark.createDataFrame(labels[:901], "doc_id long, toxic int"), "doc_id", "text", "toxic")
     assert grammar.weights["idiot"] > 1
     assert grammar.weights == alone.weights and grammar.curve == pytest.approx(alone.curve)
+
+
+def test_ids_with_both_labels_are_not_learned_from(spark):
+    """A word whose only toxic rows also carry the other label stays unknown."""
+    texts = [(i, f"the foulwort number {i} stood near gate {i % 7} today") for i in range(60)] + [(100 + i, f"a calm day {i} by the sea {i % 5}") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    clear = [(i, 1) for i in range(60)] + [(100 + i, 0) for i in range(60)]
+    schema = "doc_id long, toxic int"
+    known = fit(docs, spark.createDataFrame(clear, schema), "doc_id", "text", "toxic")
+    mixed = fit(docs, spark.createDataFrame(clear + [(i, 0) for i in range(60)], schema), "doc_id", "text", "toxic")
+    assert any(w.startswith("foulw") for w in known.weights) and not any(w.startswith("foulw") for w in mixed.weights)
