@@ -109,7 +109,7 @@ def dedup_exact(
         F.col(id_col).alias("_id"),
         F.translate(text, SPACES, "").alias("_norm"),
         F.length(text).alias("_chars"),
-        *([F.struct(*carry).alias("row")] if carry else []),
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []),
     ).withColumns(
         {"_digest": F.unhex(F.sha2("_norm", 256)), "_head": F.substring(F.col("_norm").cast("binary"), 1, HEAD_BYTES)}
     )

@@ -51,3 +51,9 @@ def test_stage_keeps_whole_rows(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert dedup_exact(docs).collect() == [] and keep_distinct(docs).collect() == []
+
+
+def test_names_with_dots_and_blanks(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, "x"), (2, "ab", 6, "y"), (3, None, 7, None)], "doc_id long, text string, `a.b` int, `c d` string")
+    kept = keep_distinct(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, "a b", 5, "x"), (3, None, 7, None)]
