@@ -5,8 +5,8 @@ The product D x D' holds the overlap of every two documents. Most of it is never
 * Columns are ordered by rarity over the whole corpus. Two documents whose Jaccard similarity reaches the threshold share
   one of the first n - ceil(threshold n) + 1 columns of either, so only these columns link documents into families, and
   columns that a single document has link nothing.
-* A family's rows are cut into blocks. A block product accumulates overlap counts over chunks of columns, drops pairs whose
-  sizes already exclude the threshold, and returns a spanning set of links instead of all of them.
+* A family's rows are cut into blocks. A block product accumulates overlap counts over chunks of columns, discards pairs whose
+  overlap is below the bound that both sizes set, and returns a spanning set of links instead of all of them.
 * Large families go in two rounds: each block with itself and with the family's first block; then only documents outside the
   family's largest component with all others. Pairs inside one component cannot change the result and are not formed.
 

@@ -1,9 +1,10 @@
+import math
 import random
 import zlib
 
 import numpy as np
 
-from stratavox.llm.language import ORDER, Trees, fit, identify, keep_identified
+from stratavox.llm.language import ORDER, Trees, fit, grams, identify, keep_identified, padded
 
 WORDS = {"xx": "sol mar luz rio flor casa".split(), "yy": "stein wald haus berg licht feld".split(), "zz": "дом река лес".split()}
 
@@ -66,3 +67,52 @@ def test_no_language_loses_its_grams_to_the_others(spark):
     trees = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     found = trees.classify(words)[0]
     assert sum(x == lang for x, (_, _, lang) in zip(found, rows)) == len(rows)
+
+
+class PlainContexts:
+    """One language's context tree as nested dictionaries: escape by the number of kinds, exclusion of what was seen above."""
+
+    def __init__(self, texts):
+        self.counts = [{} for _ in range(ORDER + 1)]
+        for text in texts:
+            raw = b"\0" * ORDER + text.encode()
+            for j in range(ORDER, len(raw)):
+                for k in range(ORDER + 1):
+                    seen = self.counts[k].setdefault(raw[j - k : j], {})
+                    seen[raw[j]] = seen.get(raw[j], 0) + 1
+
+    def p(self, context, byte, k):
+        if k < 0:
+            return 1 / 256
+        seen = self.counts[k].get(context[len(context) - k :])
+        if seen is None:
+            return self.p(context, byte, k - 1)
+        total, kinds = sum(seen.values()), len(seen)
+        if byte in seen:
+            return seen[byte] / (total + kinds)
+        left = 1 - sum(self.p(context, b, k - 1) for b in seen)
+        return kinds / (total + kinds) * self.p(context, byte, k - 1) / left
+
+    def code_length(self, text):
+        raw = b"\0" * ORDER + text.encode()
+        return -sum(math.log(self.p(raw[j - ORDER : j], raw[j], ORDER)) for j in range(ORDER, len(raw)))
+
+
+def test_code_lengths_equal_a_plain_context_tree():
+    texts = {"a": ["the cat and the hat", "a cat", "the", ""], "b": ["der hut und die katze", "über", "die hüte"]}
+    which, keys, counts = [], [], []
+    for i, lang in enumerate(sorted(texts)):
+        found = {}
+        for text in texts[lang]:
+            stream, _ = padded([text.encode()])
+            for key in grams(stream).tolist():
+                found[key] = found.get(key, 0) + 1
+        which += [i] * len(found)
+        keys += list(found)
+        counts += list(found.values())
+    trees = Trees(sorted(texts), np.array(which), np.array(keys, np.int64), np.array(counts, float))
+    asked = ["the hat", "die katze über", "q", "x" * 40, "cat und", "中 the", "a"]
+    got = trees.code([t.encode() for t in asked])
+    for j, lang in enumerate(sorted(texts)):
+        plain = PlainContexts(texts[lang])
+        assert np.allclose(-got[:, j], [plain.code_length(t) for t in asked], rtol=1e-4)

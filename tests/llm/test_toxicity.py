@@ -108,3 +108,37 @@ def test_ids_with_both_labels_are_not_learned_from(spark):
     known = fit(docs, spark.createDataFrame(clear, schema), "doc_id", "text", "toxic")
     mixed = fit(docs, spark.createDataFrame(clear + [(i, 0) for i in range(60)], schema), "doc_id", "text", "toxic")
     assert any(w.startswith("foulw") for w in known.weights) and not any(w.startswith("foulw") for w in mixed.weights)
+
+
+def plain_features(grammar, text):
+    """Clauses, words and the four machines one by one, without the composed machine and its shortcuts."""
+    import math
+    import re
+
+    best = total = 0.0
+    matched = clauses = 0
+    for part in re.split(r"[.!?;:\n]+", text.lower()):
+        words = grammar.rewritten(re.findall(r"[^\W_]+(?:[@$][^\W_]+)*", part))
+        if not words:
+            continue
+        clauses += 1
+        machines = [insult_machine(), threat_machine(), target_machine(), negation_machine(), report_machine()]
+        states, weight = [m.start for m in machines], 0.0
+        for word in words:
+            label = grammar.labels.get(word, 0)
+            pay, factor = (grammar.weights[word] if label == 1 else 0.0), 1.0
+            for k, m in enumerate(machines):
+                states[k], extra, times = m.arcs[states[k]].get(label, m.arcs[states[k]][0])
+                pay, factor = pay + extra, factor * times
+            weight += pay * factor
+        matched += weight > 0
+        best, total = max(best, weight), total + weight
+    return best, math.log1p(total), matched / clauses if clauses else 0.0
+
+
+def test_features_equal_machines_run_one_by_one():
+    draw = random.Random(9)
+    words = "you idiot not never wrote said kill we they schurken schurkerei 1d10t nice day the of KILL Idiot".split()
+    for _ in range(300):
+        text = "".join(draw.choice(words) + draw.choice([" ", " ", " ", ", ", ". ", "\n", "! "]) for _ in range(draw.randint(0, 40)))
+        assert np.allclose(GRAMMAR.features(text), plain_features(GRAMMAR, text)), text
