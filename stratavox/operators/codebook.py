@@ -30,13 +30,17 @@ def _load(codebook: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["code"].to_numpy(), np.stack(rows["c"].to_numpy()).astype(float)
 
 
-def nearest_code(features: DataFrame, codebook: DataFrame, feature: str = "f", method: str = "arrow") -> DataFrame:
+def nearest_code(
+    features: DataFrame, codebook: DataFrame | tuple[np.ndarray, np.ndarray], feature: str = "f", method: str = "arrow"
+) -> DataFrame:
     """Add ``code`` (int) and ``d2``; equal distances go to the lowest code. The feature side is never shuffled.
 
+    The codebook is a table (code, c) or, already loaded, its codes in order and their vectors.
+
     The codebook is a broadcast variable, searched in Arrow batches by a matrix product per block of codes; every code that
     rounding could have hidden is measured again directly. ``method='expression'`` searches an array literal instead.
     """
-    codes, centers = _load(codebook)
+    codes, centers = codebook if isinstance(codebook, tuple) else _load(codebook)
     if method == "expression":
         entries = F.array(
             *[
@@ -181,7 +185,7 @@ def refine_codebook(features: DataFrame, codebook: DataFrame, rounds: int, featu
     codes, centers = _load(codebook)
     place = {int(c): i for i, c in enumerate(codes)}
     for _ in range(rounds):
-        sums = code_sums(nearest_code(features, _book(features.sparkSession, codes, centers), feature), feature)
+        sums = code_sums(nearest_code(features, (codes, centers), feature), feature)
         moved = centers.copy()
         for r in sums.collect():  # at most MAX_CODES rows
             moved[place[r["code"]]] = np.array(r["total"]) / r["n"]
@@ -213,7 +217,7 @@ def _weighted_choice(candidates: np.ndarray, weights: np.ndarray, k: int, seed:
     return centers
 
 
-def seed_codebook(features: DataFrame, k: int, seed: int, feature: str = "f", rounds: int = 4) -> DataFrame:
+def seed_codebook(features: DataFrame, k: int, seed: int, feature: str = "f", rounds: int = 2) -> DataFrame:
     """First codes by oversampling: every round draws about 2 k vectors with a chance proportional to their squared distance to
     the codes so far; the drawn ones, weighted by how many vectors they stand for, are reduced to k on the driver.
 
@@ -228,7 +232,7 @@ def seed_codebook(features: DataFrame, k: int, seed: int, feature: str = "f", ro
         raise ValueError("there are no vectors to learn codes from")
     centers = np.array([first[0]["f"]])
     for turn in range(rounds):
-        coded = nearest_code(data, _book(spark, range(len(centers)), centers))
+        coded = nearest_code(data, (np.arange(len(centers)), centers))
         total = coded.agg(F.sum("d2")).head()[0]
         if not total:
             break
@@ -237,7 +241,7 @@ def seed_codebook(features: DataFrame, k: int, seed: int, feature: str = "f", ro
         drawn = coded.where(draws.uniform(seed, f"seed{turn}", key) < chance).select("f").distinct().orderBy("f").limit(room).collect()  # about 2 k
         if drawn:
             centers = np.vstack([centers, np.array([r["f"] for r in drawn])])
-    counts = {r["code"]: r["n"] for r in nearest_code(data, _book(spark, range(len(centers)), centers)).groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["code"]: r["n"] for r in nearest_code(data, (np.arange(len(centers)), centers)).groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
     weights = np.array([counts.get(i, 0) for i in range(len(centers))], float)
     chosen = _weighted_choice(centers[weights > 0], weights[weights > 0], k, seed)
     return _book(spark, range(len(chosen)), chosen)
