@@ -7,7 +7,7 @@ from types import SimpleNamespace
 
 from stratavox.catalogue.registry import ORACLES, QUERIES
 
-MODULES = ("intensity", "geometry", "sources", "metrics", "codes", "stencils", "degradation", "stateful", "journeys")
+MODULES = ("intensity", "geometry", "sources", "metrics", "codes", "stencils", "degradation", "recipes", "stateful", "journeys")
 
 
 def load() -> SimpleNamespace:

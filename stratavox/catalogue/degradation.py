@@ -188,19 +188,21 @@ def d4_poisson_noise(spark, sf):
     return summary(degrade.poisson_noise(fx.event_rgb(spark, sf), seed=4))
 
 
-def _dct_sql(seed: int) -> str:
-    """Forward and inverse cosine transform as four weighted sums over 8-blocks, quantised between."""
-    ycc = degrade.TO_YCC.tolist()
-    back = np.linalg.inv(degrade.TO_YCC).tolist()
+def coder_mixes() -> tuple[list[str], list[str]]:
+    """The coder's channels from r, g, b, and the colours from c0, c1, c2."""
 
     def mix(rows, names):
         return [" + ".join(f"({w!r}::DOUBLE)*{n}" for w, n in zip(row, names)) for row in rows]
 
-    y, cb, cr = mix(ycc, "rgb")
-    r, g, b = mix(back, ("c0", "c1", "c2"))
+    return mix(degrade.TO_YCC.tolist(), "rgb"), mix(np.linalg.inv(degrade.TO_YCC).tolist(), ("c0", "c1", "c2"))
+
+
+def _dct_sql(seed: int) -> str:
+    """Forward and inverse cosine transform as four weighted sums over 8-blocks, quantised between."""
+    (y, cb, cr), (r, g, b) = coder_mixes()
     quant = f"greatest(least(floor((CASE WHEN c=0 THEN ({_numbers(degrade.LUMA)})[k*8+l+1] ELSE ({_numbers(degrade.CHROMA)})[k*8+l+1] END*percent+50)/100),255),1)"
     return f"""WITH {fx.EVENT_RGB_SQL}, lv AS (SELECT volume_id, z, x, y, max(CASE WHEN ch=0 THEN v END) AS r, max(CASE WHEN ch=1 THEN v END) AS g, max(CASE WHEN ch=2 THEN v END) AS b
- FROM (SELECT volume_id, z, x, y, ch, round_even(v*255,0) AS v FROM event_rgb) GROUP BY ALL),
+ FROM (SELECT volume_id, z, x, y, ch, round_even(round(v*255,9),0) AS v FROM event_rgb) GROUP BY ALL),
 q AS (SELECT volume_id, z, CASE WHEN q < 50 THEN 5000.0::DOUBLE/q ELSE 200-2*q END AS percent FROM (SELECT volume_id, z, 30+least(CAST(floor({_step_draw(seed, 0, 0)}*66) AS INT),65) AS q FROM (SELECT DISTINCT volume_id, z FROM rgb_sums))),
 y3 AS (SELECT volume_id, z, x, y, unnest([0,1,2]) AS c, unnest([{y}-128, {cb}, {cr}]) AS v FROM lv),
 basis AS (SELECT a.range AS k, b.range AS i, cos((2*b.range+1)*a.range*pi()/16)/2*CASE WHEN a.range=0 THEN 1/sqrt(2) ELSE 1 END AS w FROM range(0,8) a, range(0,8) b),
@@ -310,32 +312,6 @@ def d12_classical_degradation(spark, sf):
     return _vox(degrade.classical_degradation(fx.slices(spark, sf), kernels.isotropic_gaussian(5, 1.3), 2))
 
 
-@query("d13_degrade_bsrgan")
-def d13_degrade_bsrgan(spark, sf):
-    out = degrade.degrade_bsrgan(fx.event_rgb(spark, sf), sf=4, lq_patchsize=5, seed=13)
-    return summary(out, F.size("hq").alias("hq_cells"))
-
-
-@query("d14_degrade_variant")
-def d14_degrade_variant(spark, sf):
-    return summary(degrade.degrade_variant(byte_images(spark, sf), sf=4, seed=14))
-
-
-@query("d15_degrade_plus")
-def d15_degrade_plus(spark, sf):
-    out = degrade.degrade_plus(fx.event_rgb(spark, sf), sf=2, lq_patchsize=10, seed=15)
-    return summary(out, F.size("hq").alias("hq_cells"))
-
-
-@query("d16_degrade_light")
-def d16_degrade_light(spark, sf):
-    return summary(degrade.degrade_light(byte_images(spark, sf), sf=4, seed=16))
-
-
-def byte_images(spark, sf):
-    return fx.event_rgb(spark, sf).withColumn("data", F.transform("data", lambda v: F.rint(v * 255.0)))
-
-
 @query("u2_parallel_apply", "SELECT vec_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v*v)),6) AS energy FROM embeddings")
 def u2_parallel_apply(spark, sf):
     """A user function over chunks of vectors, one value per vector, order key kept."""
