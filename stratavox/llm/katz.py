@@ -1,14 +1,16 @@
-"""Language-model scores by Katz backoff over word bigrams.
+"""Language-model scores by Katz backoff over word n-grams of any order.
 
-Counts are kept in hash buckets, each a part of the n-gram tables, and blocks of documents exchange arrays with them:
+Counts are kept in hash buckets, each a part of one order's n-gram table, and blocks of documents exchange arrays with them:
 
-* words and bigrams of each block go out with their training counts and come back with those of the corpus;
-* Good-Turing discounts follow from the counts of counts, one small row per bucket, summed by Spark;
-* what a history's seen bigrams take, and the unigram probability of what follows them, is summed by history, each bigram
-  once, by the block that owns it; blocks ask for the histories of bigrams they have not seen.
+* n-grams of every order leave a block with their training counts and come back with those of the corpus;
+* Good-Turing discounts follow from the counts of counts, one small row per bucket, summed by Spark for each order;
+* what a history's seen n-grams take, and the lower-order probability of what follows them, is summed by history, each
+  n-gram once, by the block that owns it; blocks ask for the histories of n-grams they have not seen.
 
-P(w | h) = d(c) c(h, w) / c(h) for a seen bigram, else bow(h) P(w), and P(w) = d(c) c(w) / N or the mass left for unknown
-words. bow(h) makes each history's probabilities sum to one over the vocabulary and the class of unknown words.
+P(w | h) = d(c) c(h, w) / c(h) for a seen n-gram, else bow(h) P(w | h without its first word), down to P(w) = d(c) c(w) / N or
+the mass left for unknown words. bow(h) makes each history's probabilities sum to one over the vocabulary and the class of
+unknown words; a history never seen passes its words on unweighted. The end of the document before stands in front of a first
+word; no history reaches farther back.
 """
 
 from __future__ import annotations
@@ -17,16 +19,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratavox.llm.blocks import SENT, Block, bucket_count, make_blocks, meet, mix, pack_arrays, send, sent_rows, settle, unpack_arrays
-from stratavox.llm.common import stored, table
+from stratavox.llm.blocks import SENT, Block, bucket_count, make_blocks, meet, mix, opened, pack_arrays, sent_rows, settle, unpack_arrays
+from stratavox.llm.common import give_back, stored, table
 from stratavox.llm.registry import query
 
 BLOCK_BYTES = 12 << 20
 STEP = 1 << 18
+ORDER = 3
 #: Counts up to this are discounted by Good-Turing; of larger ones ``TAIL`` of one count is set aside.
 GOOD_TURING = 5
 TAIL = 0.1
@@ -44,26 +48,53 @@ class Tokens:
         self.word = np.insert(codes.astype(np.int32), first[1:], len(names))
         self.before = np.concatenate([np.array([len(names)], np.int32), self.word[:-1]])
         self.doc = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
+        self.place = np.arange(len(self.word), dtype=np.int64) - np.repeat(first[:-1] + np.arange(len(size)), size + 1)
         folds = [zlib.crc32(b"" if x is None else str(x).encode()) % mod for x in block.ids.to_pylist()]
         self.held = np.array(folds, np.int64) == rest
         self.train = ~self.held[self.doc]
 
-    def words(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        by = np.argsort(self.names)
-        counts = np.bincount(self.word[self.train], minlength=len(self.names))
-        return self.names[by], [counts[by].astype(np.uint32)]
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct bigrams, a token of each, and the bigram of every token."""
-        key = np.empty(len(self.word), np.uint64)
-        for begin in range(0, len(key), STEP):
-            part = slice(begin, begin + STEP)
-            key[part] = mix(self.names[self.before[part]] * ODD + mix(self.names[self.word[part]] + ODD))
-        return np.unique(key, return_index=True, return_inverse=True)
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct n-grams in ascending order of their hashes, a token that ends each, and each token's n-gram (-1: none).
+
+        A token has one if it stands at least ``order`` - 2 words behind the first.
+        """
+        if order == 1:
+            by = np.argsort(self.names)
+            rank = np.empty(len(by), np.int32)
+            rank[by] = np.arange(len(by), dtype=np.int32)
+            some = np.zeros(len(by), np.int64)
+            some[self.word] = np.arange(len(self.word))
+            return self.names[by], some[by], rank[self.word]
+        key = self.names[self.before]
+        for length in range(2, order + 1):
+            if length > 2:
+                key = np.concatenate([key[:1], key[:-1]])
+            for begin in range(0, len(key), STEP):
+                part = slice(begin, begin + STEP)
+                key[part] = mix(key[part] * ODD + mix(self.names[self.word[part]] + ODD))
+        whole = np.flatnonzero(self.place >= order - 2)
+        keys, first, of = np.unique(key[whole], return_index=True, return_inverse=True)
+        at = np.full(len(key), -1, np.int32)
+        at[whole] = of
+        return keys, whole[first], at
+
+
+def _emit(blocks: DataFrame, order: int, buckets: int, mod: int, rest: int) -> DataFrame:
+    """Every block's n-grams with their training counts; the table of order n has the buckets from (n - 1) ``buckets`` on."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = Tokens(opened(batch, i), mod, rest)
+                for n in range(1, order + 1):
+                    keys, _, at = own.grams(n)
+                    counts = np.bincount(at[own.train & (at >= 0)], minlength=len(keys)).astype(np.uint32)
+                    rows = sent_rows(batch["gid"][i].as_py(), keys, lambda p: [keys[p], counts[p]], buckets)  # noqa: B023
+                    yield rows.set_column(0, "bucket", pc.add(rows["bucket"], pa.scalar((n - 1) * buckets, pa.int32())))
+                del own, keys, at, counts, rows
+                give_back()
 
-    def bigrams(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        keys, _, at = self.pairs()
-        return keys, [np.bincount(at[self.train], minlength=len(keys)).astype(np.uint32)]
+    return blocks.mapInArrow(run, SENT)
 
 
 def _totals(got: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,17 +120,18 @@ def _tally(got: list[list[np.ndarray]]) -> np.ndarray:
     return np.array([seen.sum(), len(seen), *[np.count_nonzero(seen == r) for r in range(1, GOOD_TURING + 2)]], np.int64)
 
 
-def _sums(answers: DataFrame) -> list[int]:
-    """Sum of the tallies over all buckets; one row of a few numbers reaches the driver."""
+def _sums(answers: DataFrame, order: int, buckets: int) -> list[list[int]]:
+    """Each order's sum of the tallies over its buckets; one row of a few numbers per order reaches the driver."""
 
     def numbers(batches):
         for batch in batches:
             rows = [unpack_arrays(body)[0].tolist() for body in batch["body"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"tally": pa.array(rows, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"bucket": batch["bucket"], "tally": pa.array(rows, pa.list_(pa.int64()))})
 
-    got = answers.where("gid is null").select("body").mapInArrow(numbers, "tally array<long>")
-    total = got.agg(*[F.sum(F.col("tally")[k]) for k in range(GOOD_TURING + 3)]).head()
-    return [x or 0 for x in total]
+    got = answers.where("gid is null").select("bucket", "body").mapInArrow(numbers, "bucket int, tally array<long>")
+    by_order = got.groupBy(F.floor(F.col("bucket") / buckets).cast("int").alias("n"))
+    totals = {r[0]: list(r[1:]) for r in by_order.agg(*[F.sum(F.col("tally")[k]) for k in range(GOOD_TURING + 3)]).collect()}
+    return [totals.get(n, [0] * (GOOD_TURING + 3)) for n in range(order)]
 
 
 def discounts(of: list[int]) -> np.ndarray:
@@ -125,24 +157,26 @@ def kept(counts: np.ndarray, discount: np.ndarray) -> np.ndarray:
     return np.where(small, counts * discount[np.where(small, counts, 0).astype(int)], counts - TAIL)
 
 
-def score_katz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold_out: tuple[int, int] = (7, 2)) -> DataFrame:
+def score_katz(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold_out: tuple[int, int] = (7, 2), order: int = ORDER
+) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
-    Learns from ids whose fold is not held out. base_score is the add-one unigram score, score the Katz bigram model's.
-    Null and empty texts are a single end token; repeated rows count each; a null id is a training row. With no training
-    row every token is unknown and has probability 1. An empty table gives an empty result.
+    Learns from ids whose fold is not held out. base_score is the add-one unigram score, score the Katz model's with histories of up to
+    ``order`` - 1 words. Null and empty texts are a single end token; repeated rows count each; a null id is a training row.
+    With no training row every token is unknown and has probability 1. An empty table gives an empty result.
     """
+    if order < 2:
+        raise ValueError("a backoff model has an order of 2 or more")
     mod, rest = hold_out
     blocks = make_blocks(docs, id_col, text_col, BLOCK_BYTES)
     buckets = bucket_count(docs, text_col, 1.0)
-    words = stored(settle(send(blocks, lambda b: Tokens(b, mod, rest).words(), buckets), _count, _tally))
-    bigrams = stored(settle(send(blocks, lambda b: Tokens(b, mod, rest).bigrams(), buckets), _count, _tally))
-    tokens, types, *of_words = _sums(words)
-    of_bigrams = _sums(bigrams)[2:]
-    word_discount, pair_discount = discounts(of_words), discounts(of_bigrams)
+    grams = stored(settle(_emit(blocks, order, buckets, mod, rest), _count, _tally))
+    (tokens, types, *of_words), *longer = _sums(grams, order, buckets)
+    discount = [discounts(of_words), *[discounts(of[2:]) for of in longer]]
     # What the discounts leave of the unigrams: the count of small types is known exactly, all others lose TAIL.
     small = sum(of_words[:GOOD_TURING])
-    lost = sum(n * r * (1 - word_discount[r]) for r, n in enumerate(of_words[:GOOD_TURING], 1)) + (types - small) * TAIL
+    lost = sum(n * r * (1 - discount[0][r]) for r, n in enumerate(of_words[:GOOD_TURING], 1)) + (types - small) * TAIL
     unknown = lost / tokens if tokens else 1.0
 
     id_type = docs.schema[id_col].dataType
@@ -158,47 +192,72 @@ def score_katz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def evaluate(block: Block, answers: list[list[np.ndarray] | None]) -> pa.Table:
         """Everything but the backoff weights: a row per bucket with sums and questions by history, and the block's row."""
         own = Tokens(block, mod, rest)
-        by = np.argsort(own.names)
-        count = np.empty(len(by), np.float64)
-        count[by] = answers[0][0]
-        p_word = np.where(count > 0, kept(count, word_discount) / max(tokens, 1), unknown)
-        keys, token, at = own.pairs()
-        pair_count, owner = answers[1]
-        pair_kept = kept(pair_count, pair_discount)
-        history = own.before[token]
-        mine = np.flatnonzero((owner == 1) & (pair_count > 0))
-        taken = np.bincount(history[mine], weights=pair_kept[mine], minlength=len(by))
-        after = np.bincount(history[mine], weights=p_word[own.word[token[mine]]], minlength=len(by))
-        seen = pair_count[at] > 0
-        part = np.where(seen, np.log10(np.maximum(pair_kept[at], 1e-300) / np.maximum(count[own.before], 1)), np.log10(p_word[own.word]))
-        far = np.flatnonzero(~seen & (count[own.before] > 0))  # tokens that lack a backoff weight
-        docs_n = len(own.held)
+        counts, owners = answers[0]
+        docs_n, size, begin = len(own.held), len(own.word), 0
         add = lambda values: np.bincount(own.doc, weights=values, minlength=docs_n)
-        asked = np.zeros(len(by), bool)
-        asked[own.before[far]] = True
-        place = np.empty(len(by), np.int64)
-        listed = by[asked[by]]
-        place[listed] = np.arange(len(listed))
-        told = by[(taken[by] > 0)]
+        # By token: the history's hash and count, and the direct probability of the order below (0: not seen).
+        history = count = direct = None
+        levels, told = [], []
+        for n in range(1, order + 1):
+            keys, token, at = own.grams(n)
+            total = counts[begin : begin + len(keys)].astype(np.float64)
+            mine = np.flatnonzero((owners[begin : begin + len(keys)] == 1) & (total > 0))
+            begin += len(keys)
+            keys, total = np.append(keys, END), np.append(total, 0.0)  # the last place answers for no n-gram (-1)
+            held, seen = kept(total, discount[n - 1]), total > 0
+            if n == 1:
+                known = total[at]
+                p_word = np.where(seen, held / max(tokens, 1), unknown)[at]
+                level = p_word
+                end = np.searchsorted(keys[:-1], END)
+                before = np.concatenate([[end], at[:-1]])
+            else:
+                level = np.where(seen[at], held[at] / np.maximum(count, 1), 0.0)
+                spoken, of = np.unique(history[token[mine]], return_inverse=True)
+                told.append((spoken, np.bincount(of, held[mine], len(spoken)), np.bincount(of, direct[token[mine]], len(spoken))))
+                levels.append((level, np.where(at >= 0, count, 0.0), history))
+                before = np.concatenate([[-1], at[:-1]])
+                before[own.place < n - 1] = -1
+            history, count = keys[before], total[before]
+            direct = level
+        part, open_, asked, of_doc = np.zeros(size), np.ones(size, bool), [], []
+        for level, count, history in reversed(levels):
+            hit = open_ & (level > 0)
+            part[hit] = np.log10(level[hit])
+            open_ &= ~hit
+            far = np.flatnonzero(open_ & (count > 0))  # tokens that lack a backoff weight of this order
+            names, first, of = np.unique(history[far], return_index=True, return_inverse=True)
+            asked.append((names, count[far][first], of))
+            of_doc.append(own.doc[far])
+        part[open_] = np.log10(p_word[open_])
+        place, listed, shift = [], [], 0
+        for names, _, of in asked:
+            place.append(of + shift)
+            shift += len(names)
+        names = np.concatenate([a[0] for a in asked])
+        listed = np.argsort(names)
+        rank = np.empty(len(names), np.int64)
+        rank[listed] = np.arange(len(names))
+        spoken = np.concatenate([t[0] for t in told])
+        said = np.argsort(spoken)
         none = lambda n: pa.nulls(n, pa.list_(block.ids.type))
         out = []
         for chosen, arrays in (
-            (told, [taken[told], after[told].astype(np.float64)]),
-            (listed, [count[listed]]),
+            (spoken[said], [np.concatenate([t[k] for t in told])[said] for k in (1, 2)]),
+            (names[listed], [np.concatenate([a[1] for a in asked])[listed]]),
         ):
-            names = own.names[chosen]
-            rows = sent_rows(block.gid, names, lambda p: [names[p], *[x[p] for x in arrays]], buckets)
+            rows = sent_rows(block.gid, chosen, lambda p: [chosen[p], *[x[p] for x in arrays]], buckets)
             out.append(pa.Table.from_batches([rows]).append_column("ids", none(rows.num_rows)))
-        base = np.log10((count[own.word] + 1) / (tokens + types + 1))
+        base = np.log10((known + 1) / (tokens + types + 1))
         body = pack_arrays(
             [
                 own.held.astype(np.uint8),
                 np.bincount(own.doc, minlength=docs_n),
-                add(count[own.word] > 0).astype(np.int64),
+                add(known > 0).astype(np.int64),
                 add(base),
                 add(part),
-                own.doc[far].astype(np.int32),
-                place[own.before[far]].astype(np.int32),
+                np.concatenate(of_doc).astype(np.int32),
+                rank[np.concatenate(place)].astype(np.int32),
             ]
         )
         whole = pa.table(
@@ -211,8 +270,7 @@ def score_katz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         return pa.concat_tables([*out, whole])
 
-    known = [words.where("gid is not null"), bigrams.where("gid is not null")]
-    results = stored(meet(blocks, known, evaluate, schema))
+    results = stored(meet(blocks, [grams.where("gid is not null")], evaluate, schema))
 
     def weights(group: pa.Table) -> pa.Table:
         """log10 of the backoff weight of each history asked for."""
