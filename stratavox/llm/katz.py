@@ -2,10 +2,10 @@
 
 Counts are kept in hash buckets, each a part of one order's n-gram table, and blocks of documents exchange arrays with them:
 
-* n-grams of every order leave a block with their training counts and come back with those of the corpus;
+* n-grams of each order leave a block with their training counts and come back with those of the corpus;
 * Good-Turing discounts follow from the counts of counts, one small row per bucket, summed by Spark for each order;
 * what a history's seen n-grams take, and the lower-order probability of what follows them, is summed by history, each
-  n-gram once, by the block that owns it; blocks ask for the histories of n-grams they have not seen.
+  n-gram once, by the block that owns it, for histories that held-out texts have; blocks ask for the histories of n-grams they have not seen.
 
 P(w | h) = d(c) c(h, w) / c(h) for a seen n-gram, else bow(h) P(w | h without its first word), down to P(w) = d(c) c(w) / N or
 the mass left for unknown words. bow(h) makes each history's probabilities sum to one over the vocabulary and the class of
@@ -28,7 +28,7 @@ from stratavox.llm.blocks import SENT, Block, bucket_count, make_blocks, meet, m
 from stratavox.llm.common import give_back, stored, table
 from stratavox.llm.registry import query
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 STEP = 1 << 18
 ORDER = 3
 #: Counts up to this are discounted by Good-Turing; of larger ones ``TAIL`` of one count is set aside.
@@ -48,7 +48,7 @@ class Tokens:
         self.word = np.insert(codes.astype(np.int32), first[1:], len(names))
         self.before = np.concatenate([np.array([len(names)], np.int32), self.word[:-1]])
         self.doc = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
-        self.place = np.arange(len(self.word), dtype=np.int64) - np.repeat(first[:-1] + np.arange(len(size)), size + 1)
+        self.place = np.arange(len(self.word), dtype=np.int32) - np.repeat((first[:-1] + np.arange(len(size))).astype(np.int32), size + 1)
         folds = [zlib.crc32(b"" if x is None else str(x).encode()) % mod for x in block.ids.to_pylist()]
         self.held = np.array(folds, np.int64) == rest
         self.train = ~self.held[self.doc]
@@ -79,16 +79,17 @@ class Tokens:
         return keys, whole[first], at
 
 
-def _emit(blocks: DataFrame, order: int, buckets: int, mod: int, rest: int) -> DataFrame:
-    """Every block's n-grams with their training counts; the table of order n has the buckets from (n - 1) ``buckets`` on."""
+def _emit(blocks: DataFrame, orders: tuple[int, ...], buckets: int, mod: int, rest: int) -> DataFrame:
+    """Every block's n-grams of some orders with twice their training counts, plus one if a held-out text has them; order n has the buckets from (n - 1) ``buckets`` on."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 own = Tokens(opened(batch, i), mod, rest)
-                for n in range(1, order + 1):
+                for n in orders:
                     keys, _, at = own.grams(n)
-                    counts = np.bincount(at[own.train & (at >= 0)], minlength=len(keys)).astype(np.uint32)
+                    counts = np.bincount(at[own.train & (at >= 0)], minlength=len(keys)).astype(np.uint32) << np.uint32(1)
+                    counts[at[~own.train & (at >= 0)]] |= np.uint32(1)
                     rows = sent_rows(batch["gid"][i].as_py(), keys, lambda p: [keys[p], counts[p]], buckets)  # noqa: B023
                     yield rows.set_column(0, "bucket", pc.add(rows["bucket"], pa.scalar((n - 1) * buckets, pa.int32())))
                 del own, keys, at, counts, rows
@@ -101,16 +102,19 @@ def _totals(got: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.nda
     keys = np.concatenate([k for k, _ in got])
     counts = np.concatenate([c for _, c in got])
     distinct, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    return first, at, np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.uint64)
+    return first, at, np.bincount(at, weights=counts >> 1, minlength=len(distinct)).astype(np.uint64)
 
 
 def _count(got: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
-    """The corpus count of each n-gram, and a 1 for the one block that owns it."""
+    """The corpus count of each n-gram, and flags: 1 for the one block that owns it, 2 if a held-out text has it."""
     first, at, total = _totals(got)
-    owner = np.zeros(len(at), np.uint8)
-    owner[first] = 1
+    held = np.concatenate([c for _, c in got]) & 1 == 1
+    asked = np.zeros(len(total), np.uint8)
+    asked[at[held]] = 2
+    flags = asked[at]
+    flags[first] |= 1
     ends = np.cumsum([len(k) for k, _ in got])[:-1]
-    return [list(x) for x in zip(np.split(total[at], ends), np.split(owner, ends))]
+    return [list(x) for x in zip(np.split(total[at], ends), np.split(flags, ends))]
 
 
 def _tally(got: list[list[np.ndarray]]) -> np.ndarray:
@@ -120,7 +124,7 @@ def _tally(got: list[list[np.ndarray]]) -> np.ndarray:
     return np.array([seen.sum(), len(seen), *[np.count_nonzero(seen == r) for r in range(1, GOOD_TURING + 2)]], np.int64)
 
 
-def _sums(answers: DataFrame, order: int, buckets: int) -> list[list[int]]:
+def _sums(answers: DataFrame, orders: tuple[int, ...], buckets: int) -> list[list[int]]:
     """Each order's sum of the tallies over its buckets; one row of a few numbers per order reaches the driver."""
 
     def numbers(batches):
@@ -131,7 +135,7 @@ def _sums(answers: DataFrame, order: int, buckets: int) -> list[list[int]]:
     got = answers.where("gid is null").select("bucket", "body").mapInArrow(numbers, "bucket int, tally array<long>")
     by_order = got.groupBy(F.floor(F.col("bucket") / buckets).cast("int").alias("n"))
     totals = {r[0]: list(r[1:]) for r in by_order.agg(*[F.sum(F.col("tally")[k]) for k in range(GOOD_TURING + 3)]).collect()}
-    return [totals.get(n, [0] * (GOOD_TURING + 3)) for n in range(order)]
+    return [totals.get(n - 1, [0] * (GOOD_TURING + 3)) for n in orders]
 
 
 def discounts(of: list[int]) -> np.ndarray:
@@ -171,8 +175,10 @@ def score_katz(
     mod, rest = hold_out
     blocks = make_blocks(docs, id_col, text_col, BLOCK_BYTES)
     buckets = bucket_count(docs, text_col, 1.0)
-    grams = stored(settle(_emit(blocks, order, buckets, mod, rest), _count, _tally))
-    (tokens, types, *of_words), *longer = _sums(grams, order, buckets)
+    # Words and pairs are few enough to share an exchange; its files can go before the next one.
+    turns = [(1, 2), *((n,) for n in range(3, order + 1))]
+    grams = [stored(settle(_emit(blocks, orders, buckets, mod, rest), _count, _tally)) for orders in turns]
+    (tokens, types, *of_words), *longer = [of for answers, orders in zip(grams, turns) for of in _sums(answers, orders, buckets)]
     discount = [discounts(of_words), *[discounts(of[2:]) for of in longer]]
     # What the discounts leave of the unigrams: the count of small types is known exactly, all others lose TAIL.
     small = sum(of_words[:GOOD_TURING])
@@ -192,16 +198,16 @@ def score_katz(
     def evaluate(block: Block, answers: list[list[np.ndarray] | None]) -> pa.Table:
         """Everything but the backoff weights: a row per bucket with sums and questions by history, and the block's row."""
         own = Tokens(block, mod, rest)
-        counts, owners = answers[0]
+        counts, flags = (np.concatenate(x) for x in zip(*[a for a in answers if a is not None]))
         docs_n, size, begin = len(own.held), len(own.word), 0
         add = lambda values: np.bincount(own.doc, weights=values, minlength=docs_n)
-        # By token: the history's hash and count, and the direct probability of the order below (0: not seen).
-        history = count = direct = None
+        # By token: the history's hash and count, whether it may be asked for, and the direct probability of the order below (0: not seen).
+        history = count = direct = wanted = None
         levels, told = [], []
         for n in range(1, order + 1):
             keys, token, at = own.grams(n)
             total = counts[begin : begin + len(keys)].astype(np.float64)
-            mine = np.flatnonzero((owners[begin : begin + len(keys)] == 1) & (total > 0))
+            flag = np.append(flags[begin : begin + len(keys)], np.uint8(0))
             begin += len(keys)
             keys, total = np.append(keys, END), np.append(total, 0.0)  # the last place answers for no n-gram (-1)
             held, seen = kept(total, discount[n - 1]), total > 0
@@ -213,12 +219,14 @@ def score_katz(
                 before = np.concatenate([[end], at[:-1]])
             else:
                 level = np.where(seen[at], held[at] / np.maximum(count, 1), 0.0)
+                # Only held-out texts have n-grams that were never seen, so only their histories are asked for.
+                mine = np.flatnonzero((flag[:-1] & 1 == 1) & (total[:-1] > 0) & wanted[token])
                 spoken, of = np.unique(history[token[mine]], return_inverse=True)
                 told.append((spoken, np.bincount(of, held[mine], len(spoken)), np.bincount(of, direct[token[mine]], len(spoken))))
                 levels.append((level, np.where(at >= 0, count, 0.0), history))
                 before = np.concatenate([[-1], at[:-1]])
                 before[own.place < n - 1] = -1
-            history, count = keys[before], total[before]
+            history, count, wanted = keys[before], total[before], flag[before] & 2 == 2
             direct = level
         part, open_, asked, of_doc = np.zeros(size), np.ones(size, bool), [], []
         for level, count, history in reversed(levels):
@@ -270,7 +278,7 @@ def score_katz(
         )
         return pa.concat_tables([*out, whole])
 
-    results = stored(meet(blocks, [grams.where("gid is not null")], evaluate, schema))
+    results = stored(meet(blocks, [a.where("gid is not null") for a in grams], evaluate, schema))
 
     def weights(group: pa.Table) -> pa.Table:
         """log10 of the backoff weight of each history asked for."""
