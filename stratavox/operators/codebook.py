@@ -162,7 +162,8 @@ def code_sums(coded: DataFrame, feature: str = "f") -> DataFrame:
             for code, n, total in zip(codes[order][first].tolist(), counts.tolist(), sums):
                 known = held.setdefault(code, [0, np.zeros(x.shape[1])])
                 known[0], known[1] = known[0] + n, known[1] + total
-        yield pd.DataFrame({"code": list(held), "n": [n for n, _ in held.values()], "total": [t for _, t in held.values()]})
+        if held:  # a task without rows has no vectors to tell the type of a sum by
+            yield pd.DataFrame({"code": list(held), "n": [n for n, _ in held.values()], "total": [t for _, t in held.values()]})
 
     parts = coded.where(size > 0).select("code", feature).mapInPandas(add, made)
     cells = parts.select("code", "n", F.posexplode("total").alias("_i", "_t"))
@@ -184,8 +185,9 @@ def refine_codebook(features: DataFrame, codebook: DataFrame, rounds: int, featu
     """
     codes, centers = _load(codebook)
     place = {int(c): i for i, c in enumerate(codes)}
+    data = features.where(F.size(feature) > 0)
     for _ in range(rounds):
-        sums = code_sums(nearest_code(features, (codes, centers), feature), feature)
+        sums = code_sums(nearest_code(data, (codes, centers), feature), feature)
         moved = centers.copy()
         for r in sums.collect():  # at most MAX_CODES rows
             moved[place[r["code"]]] = np.array(r["total"]) / r["n"]

@@ -153,3 +153,12 @@ def test_learned_codes_find_the_blobs_however_rows_lie(spark):
     assert np.allclose(found, sorted(centers.tolist()), atol=0.2)
     few = codebook.fit_codebook(df.limit(2), 4, seed=2)
     assert few.count() == 2
+
+
+def test_codes_are_learned_when_tasks_have_no_rows(spark):
+    centers, x, df = blobs(spark, 6)
+    missing = spark.createDataFrame([(99, None), (98, [])], "id int, f array<double>")
+    start = spark.createDataFrame([(0, centers[0].tolist()), (1, [500.0, 500.0])], "code int, c array<double>")
+    got = codebook.refine_codebook(df.repartition(40).union(missing), start, 1).orderBy("code").collect()
+    assert np.allclose([r["c"] for r in got], [x.mean(axis=0), [500, 500]])
+    assert codebook.fit_codebook(df.repartition(40), 3, seed=2).count() == 3
