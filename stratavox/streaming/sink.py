@@ -11,14 +11,11 @@ from stratavox.session import ROCKSDB, ensure_checkpoint_dir
 
 
 def read_files(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
-    """File stream of one table; the schema is read once from the files."""
+    """File stream of one table, a file or a folder of files; the schema is read once from the files."""
     schema: T.StructType = spark.read.parquet(f"{folder}/{name}").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", name)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+    # As a glob the path may be a file, or a folder whose files are listed at every trigger.
+    path = name if set(name) & set("*?[{") else f"{{{name}}}"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{path}")
 
 
 def run_available(stream: DataFrame) -> DataFrame:

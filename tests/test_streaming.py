@@ -28,6 +28,19 @@ def stream(spark, folder):
     return sink.read_files(spark, folder, "*.parquet", files_per_batch=1)
 
 
+@pytest.mark.parametrize("parts", [0, 3])
+def test_a_table_is_a_file_or_a_folder(spark, tmp_path, parts):
+    rows = spark.range(60).selectExpr("id % 4 AS key", "id AS event_id", "CAST(id AS double) AS v")
+    rows.repartition(parts or 1).write.parquet(str(tmp_path / "made"))
+    if parts:
+        (tmp_path / "made").rename(tmp_path / "t.parquet")
+    else:
+        next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "t.parquet")
+    rows.write.parquet(str(tmp_path / "other.parquet"))
+    got = sink.run_available(sink.read_files(spark, str(tmp_path), "t.parquet", files_per_batch=1))
+    assert sorted(r["event_id"] for r in got.collect()) == list(range(60))
+
+
 def test_replay(spark, folder):
     got = sink.run_available(replay.replay_stream(stream(spark, folder), 8, seed=1, order=("event_id",))).toPandas()
     want = replay.replay_batch(spark.read.parquet(folder), 8, seed=1, order=("event_id",)).toPandas()
