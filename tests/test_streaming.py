@@ -1,11 +1,14 @@
 """Streams over several triggers equal their batch twins."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from stratavox.operators import recurrence
-from stratavox.streaming import averages, replay, sink
+from stratavox.streaming import averages, ordered, replay, sink
 
 
 @pytest.fixture(scope="module")
@@ -121,3 +124,75 @@ def test_a_million_rows_of_one_key_in_one_trigger(spark, tmp_path, in_time):
         s = v if s is None else s - (1 - keep) * (s - v)
         if i in at:
             assert np.isclose(got["ema"][i], s)
+
+
+class CountedState:
+    """Value and map state and timers of one key, in memory, with the number of calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.held = 0, set(), {}
+
+    def state(self, name, *schema):
+        return CountedVariable(self, name)
+
+    getMapState = getValueState = state
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class CountedVariable:
+    def __init__(self, owner, name):
+        self.owner, self.name = owner, name
+
+    def put(self, key, value):
+        self.owner.calls += 1
+        self.owner.held[self.name, key] = value
+
+    def look(self, key=None):
+        self.owner.calls += 1
+        return self.owner.held.get((self.name, key))
+
+    def drop(self, key=None):
+        self.owner.calls += 1
+        self.owner.held.pop((self.name, key))
+
+    get, getValue, clear, removeKey, updateValue = look, look, drop, drop, put
+
+    def update(self, value):
+        self.put(None, value)
+
+    def exists(self):
+        return self.look() is not None
+
+    def containsKey(self, key):
+        return self.look(key) is not None
+
+
+def test_calls_to_the_state_do_not_grow_with_slots(monkeypatch):
+    monkeypatch.setattr(ordered, "OUT_ROWS", 700)
+    rng = np.random.default_rng(1)
+    at = np.concatenate([rng.permutation(2000) * 1_000_000, rng.integers(5_000_000, 6_000_000, 9000)])
+    rows = pd.DataFrame({"at": at, "tie": rng.permutation(11_000), "v": rng.random(11_000)})
+    key, state, chain = ("k",), CountedState(), ordered.TimedChain(averages.EmaChain(0.9), 1000)
+    chain.init(state)
+    got = []
+    for half in range(2):
+        assert not list(chain.handleInputRows(key, iter([rows[half::2]]), None))
+    for passed, done in ((1500, 10_500), (3000, 11_000)):
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda: passed * 1000)
+        while state.timers and min(state.timers) <= passed * 1000:
+            first = min(state.timers)
+            got += chain.handleExpiredTimer(key, now, SimpleNamespace(getExpiryTimeInMs=lambda: first))
+            state.timers.remove(first)
+        assert sum(len(f) for f in got) == done
+    assert state.calls < 150
+    assert set(state.held) == {("progress", None)} and not state.timers
+    want = averages.EmaChain(0.9).take("k", (0.0, 0), rows.sort_values(["at", "tie"])["v"].to_numpy())[1]["ema"]
+    made = pd.concat(got)
+    assert made["n"].tolist() == list(range(11_000)) and np.allclose(made["ema"], want)
