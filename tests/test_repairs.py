@@ -1,6 +1,7 @@
 """Cases off the fixtures: extreme decays, many codes, ties, gray images, other keys, missing slices."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import plane_rows, to_planes
 from pyspark.sql import functions as F
@@ -162,3 +163,20 @@ def test_codes_are_learned_when_tasks_have_no_rows(spark):
     got = codebook.refine_codebook(df.repartition(40).union(missing), start, 1).orderBy("code").collect()
     assert np.allclose([r["c"] for r in got], [x.mean(axis=0), [500, 500]])
     assert codebook.fit_codebook(df.repartition(40), 3, seed=2).count() == 3
+
+
+def test_planes_are_worked_on_in_pieces_of_bounded_size(spark):
+    rows = spark.range(3000, numPartitions=1).selectExpr(
+        "id", "IF(id % 2 = 0, NULL, CAST(id AS int)) AS odd", "IF(id = 5, double('nan'), 1D) AS real", "timestamp_seconds(id) AS at", "array_repeat(id + 0D, 576) AS data"
+    )
+
+    def measure(piece):
+        return pd.DataFrame({"first": [d[0] for d in piece["data"]], "n": [len(piece)] * len(piece)})
+
+    got = planes.map_batches(rows, measure, ["data"], "first double, n int").orderBy("id").toPandas()
+    assert got.columns.tolist() == ["id", "odd", "real", "at", "first", "n"]
+    assert got["n"].max() * 576 * 8 <= planes.PIECE_BYTES and got["first"].tolist() == list(range(3000))
+    want = rows.drop("data").toPandas()
+    assert got[want.columns.tolist()].equals(want)
+    wide = spark.createDataFrame([(k, [0.5] * 200_000) for k in range(3)], "id int, data array<double>")
+    assert planes.map_batches(wide.coalesce(1), measure, ["data"], "first double, n int").select("n").collect() == [(1,)] * 3
