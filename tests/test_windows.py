@@ -38,6 +38,15 @@ def test_windows_hold_their_ghosts_and_no_more(spark):
     assert all(len(r["a"]) == r["h"] * r["w"] for r in got)
 
 
+def test_scored_windows_have_only_the_neighbours_of_halving_below(spark, monkeypatch):
+    _, _, pairs = volumes(spark, 30)
+    made = []
+    monkeypatch.setattr(planes, "x_windows", lambda *args, **named: made.append(x_windows(*args, **named)) or made[-1])
+    planes.ms_ssim_depth(pairs, win=5, rows=8, weights=planes.MS_WEIGHTS[:3])
+    got = made[0].where("x = 1").orderBy("window").collect()
+    assert [(r["z_from"], r["h"]) for r in got] == [(0, 30), (0, 30), (8, 22), (16, 14)]
+
+
 def test_missing_slice_is_an_error(spark):
     _, _, pairs = volumes(spark, 12)
     with pytest.raises(Exception, match="missing"):
