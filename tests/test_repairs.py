@@ -180,3 +180,13 @@ def test_planes_are_worked_on_in_pieces_of_bounded_size(spark):
     assert got[want.columns.tolist()].equals(want)
     wide = spark.createDataFrame([(k, [0.5] * 200_000) for k in range(3)], "id int, data array<double>")
     assert planes.map_batches(wide.coalesce(1), measure, ["data"], "first double, n int").select("n").collect() == [(1,)] * 3
+
+
+def test_pieces_shrink_with_what_is_made_of_them(spark):
+    rows = spark.range(3000, numPartitions=1).selectExpr("id", "array_repeat(id + 0D, 64) AS data")
+
+    def widen(piece):
+        return pd.DataFrame({"data": [np.tile(d, 100) for d in piece["data"]], "n": [len(piece)] * len(piece)})
+
+    got = planes.map_batches(rows, widen, ["data"], "data array<double>, n int").selectExpr("id", "data[6399] AS last", "n").orderBy("id").toPandas()
+    assert got["n"].max() * 6400 * 8 <= planes.PIECE_BYTES and got["n"].max() > 16 and got["last"].tolist() == list(range(3000))
