@@ -190,3 +190,19 @@ def test_pieces_shrink_with_what_is_made_of_them(spark):
 
     got = planes.map_batches(rows, widen, ["data"], "data array<double>, n int").selectExpr("id", "data[6399] AS last", "n").orderBy("id").toPandas()
     assert got["n"].max() * 6400 * 8 <= planes.PIECE_BYTES and got["n"].max() > 16 and got["last"].tolist() == list(range(3000))
+
+
+@pytest.mark.parametrize(
+    "run",
+    [
+        lambda d: degrade.degrade_bsrgan(d, 4, 5, seed=1),
+        lambda d: degrade.degrade_variant(d, 4, seed=1),
+        lambda d: degrade.degrade_plus(d, 2, 0.5, True, 10, seed=1),
+    ],
+)
+def test_recipes_pass_python_once(spark, run):
+    rng = np.random.default_rng(9)
+    df = plane_rows(spark, [rng.random((33, 35, 3)) for _ in range(5)])
+    out = run(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert out.count() == 5
