@@ -232,6 +232,8 @@ def meet(blocks: DataFrame, answers: list[DataFrame], work: Callable[[Block, lis
         for k in set(kinds):
             parts = [unpack_arrays(body) for kind, body in zip(kinds, bodies) if kind == k]
             got[k] = [np.concatenate(x) for x in zip(*parts)]
+            del parts
+        del bodies, right
         out = work(opened(left), got)
         give_back()
         return out

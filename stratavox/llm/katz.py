@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratavox.llm.blocks import SENT, Block, bucket_count, make_blocks, meet, mix, opened, pack_arrays, sent_rows, settle, unpack_arrays
-from stratavox.llm.common import give_back, stored, table
+from stratavox.llm.common import discard, give_back, stored, table
 from stratavox.llm.registry import query
 
 BLOCK_BYTES = 8 << 20
@@ -73,8 +73,9 @@ class Tokens:
                 part = slice(begin, begin + STEP)
                 key[part] = mix(key[part] * ODD + mix(self.names[self.word[part]] + ODD))
         whole = np.flatnonzero(self.place >= order - 2)
-        keys, first, of = np.unique(key[whole], return_index=True, return_inverse=True)
-        at = np.full(len(key), -1, np.int32)
+        key = key[whole]
+        keys, first, of = np.unique(key, return_index=True, return_inverse=True)
+        at = np.full(len(self.word), -1, np.int32)
         at[whole] = of
         return keys, whole[first], at
 
@@ -175,9 +176,9 @@ def score_katz(
     mod, rest = hold_out
     blocks = make_blocks(docs, id_col, text_col, BLOCK_BYTES)
     buckets = bucket_count(docs, text_col, 1.0)
-    # Words and pairs are few enough to share an exchange; its files can go before the next one.
+    # Words and pairs are few enough to share an exchange; its files go before the next one.
     turns = [(1, 2), *((n,) for n in range(3, order + 1))]
-    grams = [stored(settle(_emit(blocks, orders, buckets, mod, rest), _count, _tally)) for orders in turns]
+    grams = [stored(settle(_emit(blocks, orders, buckets, mod, rest), _count, _tally), release=True) for orders in turns]
     (tokens, types, *of_words), *longer = [of for answers, orders in zip(grams, turns) for of in _sums(answers, orders, buckets)]
     discount = [discounts(of_words), *[discounts(of[2:]) for of in longer]]
     # What the discounts leave of the unigrams: the count of small types is known exactly, all others lose TAIL.
@@ -199,6 +200,7 @@ def score_katz(
         """Everything but the backoff weights: a row per bucket with sums and questions by history, and the block's row."""
         own = Tokens(block, mod, rest)
         counts, flags = (np.concatenate(x) for x in zip(*[a for a in answers if a is not None]))
+        answers.clear()
         docs_n, size, begin = len(own.held), len(own.word), 0
         add = lambda values: np.bincount(own.doc, weights=values, minlength=docs_n)
         # By token: the history's hash and count, whether it may be asked for, and the direct probability of the order below (0: not seen).
@@ -278,7 +280,9 @@ def score_katz(
         )
         return pa.concat_tables([*out, whole])
 
-    results = stored(meet(blocks, [a.where("gid is not null") for a in grams], evaluate, schema))
+    results = stored(meet(blocks, [a.where("gid is not null") for a in grams], evaluate, schema), release=True)
+    for done in (blocks, *grams):  # scores need only the results from here on
+        discard(done)
 
     def weights(group: pa.Table) -> pa.Table:
         """log10 of the backoff weight of each history asked for."""

@@ -5,6 +5,8 @@ from collections import Counter
 
 import pytest
 
+from stratavox.llm import katz
+from stratavox.llm.common import CLEANUP, discard, stored
 from stratavox.llm.katz import GOOD_TURING, TAIL, discounts, score_katz
 
 
@@ -86,3 +88,24 @@ def test_empty_and_untrained(spark):
     assert tuple(row) == (lone, True, 3, 0, 0, 0.0, 0.0)
     bare = spark.createDataFrame([(1, ""), (2, None), (3, "")], "doc_id long, text string")
     assert [r.n_tokens for r in score_katz(bare, order=4).collect()] == [1, 1, 1]
+
+
+def test_exchanges_leave_no_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: set(manager.getAllFiles().mkString("\n").split("\n"))
+    before, setting = names(), spark.conf.get(CLEANUP)
+    out = stored(spark.range(20_000).selectExpr("id % 1000 AS k").groupBy("k").count(), release=True)
+    assert names() <= before | {""} and spark.conf.get(CLEANUP) == setting
+    assert out.count() == 1000
+
+
+def test_scores_outlive_the_files_that_are_taken(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"a b c{i % 7}") for i in range(60)], "doc_id long, text string")
+    held = stored(rows)
+    discard(held)
+    assert spark.read.parquet(held.inputFiles()[0].rsplit("/", 1)[0]).count() == 0
+    taken = []
+    monkeypatch.setattr(katz, "discard", lambda df: (taken.append(set(df.columns)), discard(df)))
+    assert score_katz(rows).count() == 60
+    assert taken == [{"gid", "ids", "lengths", "body"}, {"bucket", "gid", "body"}, {"bucket", "gid", "body"}]
+    assert score_katz(rows.limit(0)).count() == 0
