@@ -9,6 +9,8 @@ anything else (other scripts, apostrophes, control characters, the start of a sp
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,6 +23,9 @@ _UPPER = (_BYTE >= 0x41) & (_BYTE <= 0x5A)
 _LETTER = _UPPER | ((_BYTE >= 0x61) & (_BYTE <= 0x7A))
 _DIGIT = (_BYTE >= 0x30) & (_BYTE <= 0x39)
 _ODD = ((_BYTE < 0x20) & ~_SPACE) | (_BYTE == 0x7F) | (_BYTE == 0x27)
+_SOLID = ~_SPACE
+_KIND = _LETTER.astype(np.uint8) + 2 * _DIGIT.astype(np.uint8)
+_LOWER = (_BYTE + 0x20 * _UPPER).astype(np.uint8)
 #: Second bytes, after 0xC3, of the letters from U+00C0 to U+00FF (two of these code points are signs).
 _LATIN = (_BYTE >= 0x80) & (_BYTE <= 0xBF) & (_BYTE != 0x97) & (_BYTE != 0xB7)
 
@@ -39,11 +44,9 @@ def _before(mask: np.ndarray) -> np.ndarray:
 
 def cut_pieces(raw: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Start of each piece in ``raw``, the pieces (lower case if plain), and which of them are words kept whole."""
-    solid = ~_SPACE[raw]
+    solid, kind, lowered, odd = _SOLID[raw], _KIND[raw], _LOWER[raw], _ODD[raw]
     high = raw >= 0x80
-    odd = _ODD[raw] | ((raw == 0x3C) & _before(raw == 0x7C))
-    kind = _LETTER[raw].astype(np.uint8) + 2 * _DIGIT[raw]
-    lowered = raw + (_UPPER[raw].astype(np.uint8) << 5)
+    odd |= (raw == 0x3C) & _before(raw == 0x7C)
     if high.any():
         second = _after(raw == 0xC3) & _LATIN[raw]
         latin = second | _before(second)
@@ -69,7 +72,10 @@ def cut_pieces(raw: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 class PieceIds:
-    """Ids of texts, little-endian uint32; holds at most ``CACHE_ENTRIES`` pieces besides those of the block at hand."""
+    """Ids of texts, little-endian uint32; holds at most ``CACHE_ENTRIES`` pieces besides those of the block at hand.
+
+    A block looks each of its distinct pieces up once, in a table of places; the ids themselves lie in one array.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -84,7 +90,12 @@ class PieceIds:
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a piece
         for token, i in vocab.items():
             self.last[i] = token.endswith("</w>")
-        self.known: dict[bytes, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.pool = np.zeros(0, "<u4")  # ids of the known pieces
+        self.first = self.count = np.zeros(0, np.int64)  # place and number of each one's
 
     def _encode(self, texts: list[str], whole: bool) -> list[np.ndarray]:
         if whole != self.front:
@@ -92,26 +103,33 @@ class PieceIds:
             self.front = whole
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _whole(self, words: list[bytes]) -> list[np.ndarray]:
-        return self._encode([w.decode("utf-8", "replace") for w in words], True)
+    def _whole(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end, and the number of each one's."""
+        ids = self._encode([w.decode("utf-8", "replace") for w in words], True)
+        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
 
-    def _merged(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """One call for many pieces: each gives ids of which only the last ends a piece."""
         ids = self._encode([b" ".join(pieces).decode("utf-8", "replace")], False)[0]
         ends = np.flatnonzero(self.last[ids]) + 1 if len(ids) else np.zeros(0, int)
         if len(ends) != len(pieces) or ends[-1] != len(ids):
             return self._whole(pieces)
-        bounds = [0, *ends.tolist()]
-        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
-
-    def _learn(self, pieces: list[bytes], whole: list[bytes]) -> None:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known = {}
-        for names, ids_of in ((pieces, self._merged), (whole, self._whole)):
-            names = [p for p in names if p not in self.known]
-            for begin in range(0, len(names), BATCH):
-                part = names[begin : begin + BATCH]
-                self.known.update(zip(part, [x.tobytes() for x in ids_of(part)]))
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, names: np.ndarray, whole: np.ndarray) -> None:
+        """Append the ids of new pieces."""
+        pools, base = [self.pool], len(self.pool)
+        first, count = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        for at, ids_of in ((np.flatnonzero(~whole), self._merged), (np.flatnonzero(whole), self._whole)):
+            for begin in range(0, len(at), BATCH):
+                part = at[begin : begin + BATCH]
+                ids, own = ids_of(names[part].tolist())
+                first[part], count[part] = base + np.cumsum(own) - own, own
+                pools.append(ids)
+                base += len(ids)
+        self.known.update(zip(names.tolist(), range(len(self.first), len(self.first) + len(names))))
+        self.pool = np.concatenate(pools)
+        self.first, self.count = np.append(self.first, first), np.append(self.count, count)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and where each text's begin (one more entry at the end). Call it with a few MB at a time."""
@@ -120,18 +138,20 @@ class PieceIds:
         lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
         at, pieces, whole = cut_pieces(raw)
         coded = pieces.dictionary_encode()
-        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        is_whole = np.zeros(len(names), bool)
-        is_whole[codes[whole]] = True
-        kept_whole = is_whole.tolist()
-        self._learn([n for n, w in zip(names, kept_whole) if not w], [n for n, w in zip(names, kept_whole) if w])
-        bodies = [self.known[n] for n in names]
-        own = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
-        pool = np.frombuffer(b"".join(bodies), "<u4")
-        from_ = np.cumsum(own) - own
+        names, codes = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+        if len(self.known) > CACHE_ENTRIES:
+            self._forget()
+        place = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            is_whole = np.zeros(len(names), bool)
+            is_whole[codes[whole]] = True
+            place[new] = len(self.first) + np.arange(len(new))
+            self._learn(names[new], is_whole[new])
+        own = self.count[place]
         count = own[codes]
         end = np.cumsum(count)
-        ids = pool[np.repeat(from_[codes] - (end - count), count) + np.arange(end[-1] if len(end) else 0)]
+        ids = self.pool[np.repeat(self.first[place][codes] - (end - count), count) + np.arange(end[-1] if len(end) else 0)]
         first = np.searchsorted(at, np.cumsum(lengths) - lengths)
         begins = np.append(np.concatenate([[0], end])[first], len(ids))
         return ids, begins

@@ -21,6 +21,35 @@ def test_ids_equal_the_tokenizers():
         assert ids[begins[i] : begins[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_a_block_looks_each_distinct_piece_up_once(monkeypatch):
+    class Counted(dict):
+        asked = 0
+
+        def _one(self):
+            self.asked += 1
+            return super()
+
+        def get(self, *at):
+            return self._one().get(*at)
+
+        def __getitem__(self, at):
+            return self._one().__getitem__(at)
+
+        def __contains__(self, at):
+            return self._one().__contains__(at)
+
+    pieces = PieceIds(vocabulary())
+    texts = [" ".join(f"{a}{b} " * 3 for b in "xyz") for a in ("on", "tw", "thr")]
+    want = [x.tolist() for x in pieces.encode(texts)]
+    pieces.known = Counted(pieces.known)
+    assert [x.tolist() for x in pieces.encode(texts)] == want and pieces.known.asked == 9
+    monkeypatch.setattr("stratavox.llm.tokens.CACHE_ENTRIES", 4)  # the known pieces go, and are learned again
+    assert [x.tolist() for x in pieces.encode(texts)] == want
+    tokenizer = Tokenizer.from_file(vocabulary())
+    for text in [*HARD, *texts]:
+        assert pieces.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_pieces_cover_documents_and_fill_windows(spark):
     draw = random.Random(5)
     rows = [(i, " ".join(draw.choice("alpha beta Gamma, 7x ünder".split()) for _ in range(draw.choice([0, 3, 40, 500, 1500, 5000])))) for i in range(120)]
